@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lower-cases A-Z; every other ASCII character but digits and a-z becomes a space.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def words(text: bytes) -> list[bytes]:
+    """Runs of letters and digits of a UTF-8 text, A-Z lower-cased; characters beyond ASCII are letters."""
+    return text.translate(FOLD).split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

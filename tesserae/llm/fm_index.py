@@ -22,10 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, words
 
-#: Lower-cases A-Z; every other ASCII character but digits and a-z becomes a space.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 SHARD = 1_000_000
 SAMPLE = 8
@@ -33,10 +31,6 @@ SAMPLE = 8
 BLOCK = 20_000
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
-
-
 class Windows:
     """A block of items as rows of symbols, right-aligned, with the items that hold each."""
 

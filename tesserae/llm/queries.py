@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fm_index
+from . import bpe, fm_index, probminhash
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,5 +40,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN item ON d.doc_id = item.doc_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_fm_index": op8_fm_index}
+QUERIES = {"op1_bpe": op1_bpe, "op7_probminhash": op7_probminhash, "op8_fm_index": op8_fm_index}
 ORACLES: dict[str, str] = {"op8_fm_index": OP8_SQL}
