@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text alone, null texts as empty ones; other columns can't clash afterwards."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id and text, null texts as empty ones, and the columns to keep as one struct, kept; no other column can clash afterwards."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+
+
+def fields(df: DataFrame, *names: str) -> str:
+    """The named columns of df, those that it has, as the beginning of a schema text."""
+    return "".join(f"{n} {df.schema[n].dataType.simpleString()}, " for n in names if n in df.columns)
 
 
 def shared_dir(spark: SparkSession) -> str:

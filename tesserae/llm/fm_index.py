@@ -15,14 +15,14 @@ without words have no window; equal windows of several items count for each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, words
+from .common import fields, texts, words
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 SHARD = 1_000_000
@@ -158,15 +158,15 @@ def _scan(shard: list[tuple[np.ndarray, int]], look: Windows) -> dict[int, tuple
     return {int(d[g[0]]): (_merged(begin[g], end[g]), {i for w in np.unique(window[g]) for i in look.items[w]}) for g in np.split(order, cuts)}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK) -> DataFrame:
-    """doc_id, text, n_words, spans (words hit, [begin, end) in code points, merged) and items of each row of docs.
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, n_words, n_hit, spans (words hit, [begin, end) in code points, merged) and items of each row of docs, and the columns to keep as the struct kept.
 
     benchmark: item_id, text. Its items are broadcast `block` at a time; a row's spans over several blocks are merged.
     """
     spark = docs.sparkSession
-    docs = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, text string, n_words long, at array<struct<begin:long,end:long>>, items array<{item_kind}>"
+    docs = texts(docs, keep).withColumn("row", F.monotonically_increasing_id())
+    carried, item_kind = ["doc_id", "text", "kept"][: 2 + bool(keep)], benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"row long, {fields(docs, *carried)}n_words long, at array<struct<begin:long,end:long>>, items array<{item_kind}>"
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     passes, group = [], []
 
@@ -182,19 +182,19 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BL
             def flush() -> pa.RecordBatch:
                 hits = _scan(shard, look) if len(look.rows) else {}
                 none = ([], ())
-                row, doc, text = zip(*rows, strict=True)
+                row, *rest = zip(*rows, strict=True)
                 spans = [[{"begin": b, "end": e} for b, e in hits.get(i, none)[0]] for i in range(len(rows))]
-                columns = [pa.array(row, pa.int64()), pa.array(doc, ids), pa.array(text, pa.string()), pa.array([n for _, n in shard], pa.int64()), pa.array(spans, spans_type), pa.array([sorted(hits.get(i, none)[1]) for i in range(len(rows))], pa.list_(items_of))]
-                return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text", "n_words", "at", "items"])
+                columns = [pa.array(row, pa.int64()), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True)), pa.array([n for _, n in shard], pa.int64()), pa.array(spans, spans_type), pa.array([sorted(hits.get(i, none)[1]) for i in range(len(rows))], pa.list_(items_of))]
+                return pa.RecordBatch.from_arrays(columns, ["row", *carried, "n_words", "at", "items"])
 
             for batch in batches:
-                ids = batch.schema.field("doc_id").type
-                for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                    found = words(text.encode())
+                kinds = [batch.schema.field(c).type for c in carried]
+                for row in zip(*(batch.column(c).to_pylist() for c in ("row", *carried)), strict=True):
+                    found = words(row[2].encode())
                     get = look.symbol.get
                     symbols = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
                     shard.append((symbols, len(found)))
-                    rows.append((row, doc, text))
+                    rows.append(row)
                     size += len(found) + 100
                     if size >= SHARD:
                         yield flush()
@@ -216,7 +216,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BL
     for more in passes[1:]:
         found = found.unionByName(more.withColumn("text", F.lit(None).cast("string")))
     if passes[1:]:
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text", True).alias("text"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("at")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("row").agg(*(F.first(c, True).alias(c) for c in carried), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("at")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,20 +229,20 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BL
                 else:
                     spans.append([])
                 hit.append(sum(e - b for b, e in at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "n_words")), pa.array(hit, pa.int64()), pa.array(spans, spans_type), batch.column("items")], ["doc_id", "text", "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "n_words")), pa.array(hit, pa.int64()), pa.array(spans, spans_type), batch.column("items")], [*carried, "n_words", "n_hit", "spans", "items"])
 
-    return found.mapInArrow(placed, f"doc_id {kind}, text string, n_words long, n_hit long, spans array<struct<begin:long,end:long>>, items array<{item_kind}>")
+    return found.mapInArrow(placed, f"{fields(docs, *carried)}n_words long, n_hit long, spans array<struct<begin:long,end:long>>, items array<{item_kind}>")
 
 
 def remove(found: DataFrame) -> DataFrame:
-    """doc_id and text without the spans; a hit text of which no word is left is dropped."""
+    """The columns doc_id, text and kept without the spans in text; a hit text of which no word is left is dropped."""
     left = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, (s["begin"] - a["at"]).cast("int"))).alias("out"), s["end"].alias("at")),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, F.length("text"))),
     )
-    return found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(left).alias("text"))
+    return found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).select("doc_id", *[c for c in found.columns if c == "kept"], F.when(F.size("spans") == 0, F.col("text")).otherwise(left).alias("text"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored
+from .common import fields, held_out, stored
 
 LONGEST = 64
 ROUNDS = 2
@@ -227,10 +227,11 @@ def _vocabulary(pieces: list[str]) -> Vocabulary:
     return _held["trie"]
 
 
-def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score of each row of docs (doc_id, text), and log_probs, the languages' posteriors' logarithms in alphabetical order."""
+def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.ndarray, np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score of each row of docs (doc_id, text), log_probs, the languages' posteriors' logarithms in alphabetical order, and the columns to keep as the struct kept."""
     held = docs.sparkSession.sparkContext.broadcast((load_pieces(vocabulary_path), *model))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *([F.struct(*keep).alias("kept")] if keep else []))
+    carried = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, shares, p = held.value
@@ -263,9 +264,9 @@ def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.nd
                     logs.append([])
             if len(index) > REMEMBERED:
                 index, table = {}, np.zeros((0, len(langs)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(logs, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "log_probs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(logs, pa.list_(pa.float64()))], [*carried, "lang_pred", "score", "log_probs"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, log_probs array<double>")
+    return docs.mapInArrow(run, f"{fields(docs, *carried)}lang_pred string, score double, log_probs array<double>")
 
 
 def digest(docs: DataFrame, vocabulary_path: str) -> DataFrame:

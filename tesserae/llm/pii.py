@@ -17,7 +17,7 @@ other columns. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import fields, map_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, ROWS = 50_000, 200_000
@@ -240,23 +240,23 @@ def spans_of(found: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray])
 _SPAN = pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
-def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """doc_id, text, base and spans (arrays of kind, begin, end) of each row of docs (doc_id, text)."""
-    docs = texts(docs)
+def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, base and spans (arrays of kind, begin, end) of each row of docs (doc_id, text), and the columns to keep as the struct kept."""
+    docs = texts(docs, keep)
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = spans_of(batch.column("text").to_pylist(), held.value)
         arrays = [pa.array([[dict(zip(("kind", "begin", "end"), s, strict=True)) for s in x[i]] for x in both], pa.list_(_SPAN)) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *arrays], ["doc_id", "text", "base", "spans"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in docs_columns), *arrays], [*docs_columns, "base", "spans"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs_columns = docs.columns
     span = "array<struct<kind:string,begin:long,end:long>>"
-    return map_batches(docs, run, f"doc_id {kind}, text string, base {span}, spans {span}")
+    return map_batches(docs, run, f"{fields(docs, *docs_columns)}base {span}, spans {span}")
 
 
 def mask(found: DataFrame) -> DataFrame:
-    """doc_id and text with each span (overlapping ones as one, by the first's kind) replaced by [KIND]."""
+    """The columns doc_id, text and kept, in text each span (overlapping ones as one, by the first's kind) replaced by [KIND]."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -267,10 +267,10 @@ def mask(found: DataFrame) -> DataFrame:
                     parts += [text[at : s["begin"]], f"[{s['kind'].upper()}]"]
                 at = max(at, s["end"])
             out.append("".join([*parts, text[at:]]) if parts else text)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out, pa.string())], [*carried, "text"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return map_batches(found.select("doc_id", "text", "spans"), run, f"doc_id {kind}, text string")
+    carried = [c for c in found.columns if c in ("doc_id", "kept")]
+    return map_batches(found.select(*carried, "text", "spans"), run, f"{fields(found, *carried)}text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
