@@ -16,8 +16,10 @@ rows and repeated ids too; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -28,7 +30,7 @@ from .common import Memo, map_batches, texts
 #: Characters behind the end of a pre-token that can still decide it: contractions and trailing white space.
 LOOK = 3
 #: Pre-tokens remembered by one Python worker.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -107,15 +109,23 @@ class Tokens:
         return list(chain.from_iterable(map(self.ids.__getitem__, pieces)))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
+def _lists(rows: Iterable[list[int] | None]) -> pa.ListArray:
+    """An Arrow list array from lists made one at a time, of which only the packed integers are held."""
+    packed = [None if row is None else np.array(row, np.int32) for row in rows]
+    offsets = np.cumsum([0, *(0 if x is None else len(x) for x in packed)])
+    values = np.concatenate([np.empty(0, np.int32), *(x for x in packed if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array([x is None for x in packed]))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
     """doc_id and ids (array of int) of each row of docs (doc_id, text)."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     docs = texts(docs)
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = Tokens.of(pattern, ranks)
-        ids = [t.encode(x) for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        ids = _lists(t.encode(x.as_py()) for x in batch.column("text"))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, ids array<int>"
@@ -159,7 +169,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 16_384,
                 at = [p for p in starts if b <= p < e]
                 ids.append(t.encode_pieces([x[p:q] for p, q in zip(at, [*at[1:], e], strict=True)]))
                 raw.append(None)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "k")), pa.array(ids, pa.list_(pa.int32())), pa.array(raw, pa.string())], ["row", "doc_id", "k", "ids", "raw"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "k")), _lists(ids), pa.array(raw, pa.string())], ["row", "doc_id", "k", "ids", "raw"])
 
     done = map_batches(parts, pieces, f"row long, doc_id {kind}, k long, ids array<int>, raw string").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids", "raw"))).alias("parts"))
     stitched = done.where(F.col("parts")[0]["raw"].isNull()).select("doc_id", F.flatten("parts.ids").alias("ids"))
@@ -173,7 +183,7 @@ def decode(ids: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         get = names.value.__getitem__
-        back = [b"".join(map(get, x or ())) for x in batch.column("ids").to_pylist()]
+        back = [b"".join(map(get, x.values.to_numpy().tolist() if x.is_valid else ())) for x in batch.column("ids")]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*batch.schema.names, "bytes"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields)
