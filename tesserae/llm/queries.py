@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, fm_index, langid, pii, probminhash
+from . import bottomk, bpe, brown, fm_index, langid, pii, probminhash
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,10 @@ def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"), PIECES)
 
@@ -53,5 +57,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN item ON d.doc_id = item.doc_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op5_brown": op5_brown, "op7_probminhash": op7_probminhash, "op8_fm_index": op8_fm_index, "op10_langid": op10_langid}
+QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op5_brown": op5_brown, "op7_probminhash": op7_probminhash, "op8_fm_index": op8_fm_index, "op9_bottomk": op9_bottomk, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {"op8_fm_index": OP8_SQL}
