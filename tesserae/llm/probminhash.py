@@ -10,9 +10,11 @@ on their whole texts; a link is a probability Jaccard or a plain Jaccard similar
 shingles of at least 0.8.
 
 Exact copies become one text before banding. In a bucket, members are first compared with its
-smallest text, then members that are still in different classes with each other, so large
-groups of copies cost a row a member and no link between classes is lost. Classes are the
-connected components of the links.
+lead, the text that meets most others over all bands: in a group of copies, what they were
+made from. Where a bucket then still holds several classes, all its pairs of different classes are
+compared: listed in small buckets; in large ones inside blocks of two parts each, which
+emit only links that join classes. So large groups cost a few rows a member, and no link between
+classes is lost. Classes are the connected components of the links.
 
 One row per row of docs: doc_id, class_id (the smallest id in its class), class_size. Texts
 without words are never copies: each is a class of its own. A null id is a class of its own
@@ -31,6 +33,8 @@ from .shingles import mix, shingles
 
 M, BANDS, LEAST = 100, 20, 0.8
 ROWS = M // BANDS
+#: Members of a bucket up to which its pairs of different classes are listed; beyond, they are compared in blocks of BLOCK members.
+FEW, BLOCK = 32, 512
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -125,6 +129,50 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same)], ["a", "b", "same"])
 
 
+def _block(rows: pa.Table) -> pa.Table:
+    """Links between the classes of two parts of a bucket (or within one part); of those that join the same classes, one.
+
+    Shared shingles of all pairs are counted by products of matrices whose columns are the block's shared shingles.
+    """
+    doc, root, part, i, j = (rows.column(c).to_numpy() for c in ("doc", "root", "part", "i", "j"))
+    held = [weighted(x) for x in rows.column("text").to_pylist()]
+    shingle, owner = np.concatenate([s for s, _ in held]), np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
+    weight = np.concatenate([w for _, w in held])
+    shared, column, times = np.unique(shingle, return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+    x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    both, mine, yours = (np.zeros((len(x), len(y)), np.float32) for _ in range(3))
+    for c in range(0, int((times > 1).sum()), 4096):
+        here = (column >= c) & (column < c + 4096)
+        ones = np.zeros((len(held), 4096), np.float32)
+        heavy = ones.copy()
+        ones[owner[here], column[here] - c] = 1
+        heavy[owner[here], column[here] - c] = weight[here]
+        both += ones[x] @ ones[y].T
+        mine += heavy[x] @ ones[y].T
+        yours += ones[x] @ heavy[y].T
+    size, total = np.array([len(s) for s, _ in held]), np.array([w.sum() for _, w in held])
+    plain = both / (size[x][:, None] + size[y][None] - both)
+    # No probability Jaccard exceeds either text's share of weight on common shingles.
+    bound = np.minimum(mine / total[x][:, None], yours / total[y][None])
+    out: list[tuple] = []
+    above: dict = {}
+
+    def top(r):
+        while r in above:
+            r = above[r]
+        return r
+
+    for p, q in np.argwhere((np.maximum(plain, bound) >= LEAST - 1e-4) & (root[x][:, None] != root[y][None])).tolist():
+        a, b = x[p], y[q]
+        u, v = top(root[a]), top(root[b])
+        if u != v and max(similarity(held[a], held[b])) >= LEAST:
+            above[max(u, v)] = min(u, v)
+            out.append((doc[a], doc[b]))
+    kind = rows.schema.field("doc").type
+    return pa.table([pa.array([o[k] for o in out], kind) for k in (0, 1)], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node it is linked with, over any number of links) of the links' ends.
 
@@ -155,35 +203,42 @@ def classes(docs: DataFrame) -> DataFrame:
     worded = sketches.where(F.size("bands") > 0)
     copies = worded.groupBy("copy").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     members = cut(copies.select("doc", F.posexplode("bands").alias("band", "key")))
-    buckets = members.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(buckets, ["band", "key"]))
+    met = members.groupBy("doc").agg(F.sum("n").alias("met"))
+    leads = members.join(met, "doc").groupBy("band", "key").agg(F.max_by("doc", F.struct("met", -F.col("doc"))).alias("lead"))
     # The texts that stand in any bucket with another: only those are joined again.
-    needed = stored(known.select("doc_id", "text").join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    needed = stored(known.select("doc_id", "text").join(met.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
         y = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
         return cut(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _verify, f"a {kind}, b {kind}, same boolean"))
 
-    def apart(pairs: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-        """Of the pairs, those neither in one class nor compared before."""
-        ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        return left.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-
-    to_lead = members.where("doc <> lead").groupBy(F.col("lead").alias("a"), F.col("doc").alias("b")).count()
-    likeliest = to_lead.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
-    done = verified(likeliest)
-    roots = components(done.where("same"))
-    done = done.unionByName(verified(apart(to_lead.select("a", "b"), roots, done)))
-    roots = components(done.where("same"))
-    # What is left: members of a bucket that belong to different classes, among which its lead linked nothing.
-    grouped = members.join(roots, members["doc"] == roots["node"], "left").select("band", "key", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = cut(grouped.join(grouped.groupBy("band", "key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("band", "key"), ["band", "key"], "left_semi"))
-    across = mixed.select("band", "key", F.col("doc").alias("a"), F.col("root").alias("ra")).join(mixed.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("rb")), ["band", "key"]).where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = done.unionByName(verified(across.join(done.select("a", "b"), ["a", "b"], "left_anti")))
+    to_lead = members.join(leads, ["band", "key"]).where("doc <> lead").select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
+    done = verified(to_lead)
     roots = components(done.where("same"))
+    # What is left: members of a bucket that are in different classes, among which its lead linked nothing.
+    grouped = members.join(roots, members["doc"] == roots["node"], "left").select("band", "key", "n", "doc", F.coalesce("root", "doc").alias("root"))
+    mixed = cut(grouped.join(grouped.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key"), ["band", "key"], "left_semi"))
+    few = mixed.where(F.col("n") <= FEW)
+    across = few.select("band", "key", F.col("doc").alias("a"), F.col("root").alias("ra")).join(few.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("rb")), ["band", "key"]).where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(across.join(done.select("a", "b"), ["a", "b"], "left_anti")).where("same").select("a", "b")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = (
+        mixed.where(F.col("n") > FEW)
+        .withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+        .select("band", "key", "doc", "root", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("band", "key", "doc", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .join(needed.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    )
+    links = cut(links.unionByName(blocks.groupBy("band", "key", "i", "j").applyInArrow(_block, f"a {kind}, b {kind}")))
+    if not links.isEmpty():  # classes that these join, over the roots found so far
+        old = roots
+        for end in ("a", "b"):
+            links = links.join(old.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+        new = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        roots = old.join(new, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")).unionByName(new.join(old, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root")))
     named = copies.select("copy", "doc").join(roots, F.col("doc") == F.col("node"), "left").select("copy", F.coalesce("root", "doc").alias("class_id"))
     out = sketches.select("doc_id", F.when(F.size("bands") > 0, F.col("copy")).alias("copy")).join(named, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = cut(out)

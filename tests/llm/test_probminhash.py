@@ -67,6 +67,20 @@ def test_classes_are_brute_forces(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(docs).values()))
 
 
+def test_chain_of_copies_in_large_buckets(spark, monkeypatch):
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(90):
+        docs.append((i, " ".join(base)))
+        for _ in range(3):
+            base[r.randrange(len(base))] = f"x{r.randrange(10**6)}"
+    monkeypatch.setattr(p, "FEW", 3)
+    monkeypatch.setattr(p, "BLOCK", 16)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in p.classes(df).collect()} == brute(docs)
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [(1, long), (1, long), (2, long), (None, long), (None, None), (3, ""), (4, None)]
