@@ -140,8 +140,8 @@ def peak(profile: DataFrame, by: list[str], x: str, v: str) -> DataFrame:
     rows = profile.withColumn("_b", F.lag(v).over(o)).withColumn("_a", F.lead(v).over(o)).withColumn("_s", F.coalesce(F.lead(x).over(o) - F.col(x), F.col(x) - F.lag(x).over(o)))
     top = rows.groupBy(*by).agg(F.max_by(F.struct(F.col(x).alias("x"), F.col(v).alias("v"), "_b", "_a", "_s"), F.struct(v, -F.col(x))).alias("m"))
     bend = F.col("m._b") - 2 * F.col("m.v") + F.col("m._a")
-    shift = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(0.5 * (F.col("m._b") - F.col("m._a")), bend)))
-    return top.select(*by, (F.col("m.x") + F.coalesce(shift, F.lit(0.0)) * F.coalesce("m._s", F.lit(0.0))).alias("at"), F.col("m.v").alias("top"))
+    shift = F.when(bend != 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.5 * (F.col("m._b") - F.col("m._a")) / bend))).otherwise(0.0)
+    return top.select(*by, (F.col("m.x") + shift * F.coalesce("m._s", F.lit(0.0))).alias("at"), F.col("m.v").alias("top"))
 
 
 def lanczos_weights(n: int, low: float, high: float) -> list[float]:
