@@ -16,7 +16,8 @@ rows and repeated ids too; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+import heapq
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, texts
+from .common import IntTable, map_batches, texts
 
 #: Characters behind the end of a pre-token that can still decide it: contractions and trailing white space.
 LOOK = 3
-#: Pre-tokens remembered by one Python worker.
-REMEMBERED = 200_000
+#: Pre-tokens remembered by one Python worker; characters that it pre-tokenises at a time.
+REMEMBERED, PART = 200_000, 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,57 +40,89 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The ids of one pre-token: the pair of lowest rank merges first, leftmost among equals."""
-    if (whole := ranks.get(piece)) is not None:
-        return (whole,)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 200:
-        return _merge_long(parts, ranks)
-    none = len(ranks)
-    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-    while pairs and (low := min(pairs)) < none:
-        i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-    return tuple(ranks[p] for p in parts)
-
-
-def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The same over a linked list with a heap, for pre-tokens of any length."""
-    import heapq
-
-    n, none = len(parts), -1
-    after, before = list(range(1, n)) + [none], [none] + list(range(n - 1))
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token of any length: the pair of lowest rank merges first, leftmost among equals."""
+    n, none = len(piece), -1
+    parts: list = [piece[i : i + 1] for i in range(n)]
+    after, before = [*range(1, n), none], [none, *range(n - 1)]
     heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
         _, i, pair = heapq.heappop(heap)
         j = after[i] if parts[i] is not None else none
         if j == none or parts[i] + parts[j] != pair:
-            continue
+            continue  # one of the two has merged since
         parts[i], parts[j], after[i] = pair, None, after[j]
         if after[j] != none:
             before[after[j]] = i
         for a, b in ((before[i], i), (i, after[i])):
             if none not in (a, b) and (r := ranks.get(parts[a] + parts[b])) is not None:
                 heapq.heappush(heap, (r, a, parts[a] + parts[b]))
-    return tuple(ranks[p] for p in parts if p is not None)
+    return [ranks[p] for p in parts if p is not None]
+
+
+class Merges:
+    """Merges many short pre-tokens at once: a row each, one merge a row and round."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.none = ranks, len(ranks)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        pairs = {a << 20 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
+        self.pairs = IntTable(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+
+    def __call__(self, pieces: list[str]) -> list[list[int]]:
+        found = [p.encode() for p in pieces]
+        out: list = [None] * len(found)
+        order = sorted(range(len(found)), key=lambda i: len(found[i]))
+        while order and len(found[order[-1]]) > 64:
+            i = order.pop()
+            out[i] = merge(found[i], self.ranks)
+        for c in range(0, len(order), 4096):
+            part = order[c : c + 4096]
+            for i, ids in zip(part, self._rows([found[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _rows(self, found: list[bytes]) -> list[list[int]]:
+        width = len(found[-1])
+        ids = self.byte[np.frombuffer(b"".join(f.ljust(width, b"\0") for f in found), np.uint8).reshape(-1, width)]
+        size = np.array([len(f) for f in found])
+        column = np.arange(width)
+        rank = np.full(ids.shape, self.none)  # of the pair that begins in each place
+        r, k = np.nonzero(column[None] < size[:, None] - 1)
+        rank[r, k] = self.pairs.get(ids[r, k] << 20 | ids[r, k + 1], self.none)
+        rows, done = np.arange(len(found)), [None] * len(found)
+        while len(rows):
+            at = rank.argmin(1)
+            low = rank[np.arange(len(rows)), at]
+            for i in np.flatnonzero(low == self.none).tolist():
+                done[rows[i]] = ids[i, : size[i]].tolist()
+            left = low < self.none
+            rows, ids, rank, size, at, low = (x[left] for x in (rows, ids, rank, size, at, low))
+            if not len(rows):
+                break
+            here = np.arange(len(rows))
+            source = np.minimum(column[None] + (column[None] > at[:, None]), width - 1)
+            ids, rank = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, source, 1)
+            size -= 1
+            ids[here, at] = low
+            rank[here, size - 1] = self.none
+            i = np.flatnonzero(at > 0)
+            rank[i, at[i] - 1] = self.pairs.get(ids[i, at[i] - 1] << 20 | low[i], self.none)
+            i = np.flatnonzero(at < size - 1)
+            rank[i, at[i]] = self.pairs.get(low[i] << 20 | ids[i, at[i] + 1], self.none)
+        return done
 
 
 class Tokens:
-    """One worker's pattern, ranks and memory of pre-tokens."""
+    """One worker's pattern, merges and memory of pre-tokens."""
 
     held: dict = {}
 
     def __init__(self, pattern: str, ranks: dict[bytes, int]):
         self.find = regex.compile(pattern)
-        self.ids = Memo(lambda piece: merge(piece.encode(), ranks), REMEMBERED)
-        self.size = Memo(lambda piece: len(merge(piece.encode(), ranks)), REMEMBERED)
+        self.merges = Merges(ranks)
+        self.ids: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, pattern: str, ranks) -> Tokens:
@@ -100,13 +133,28 @@ class Tokens:
             cls.held[key] = cls(pattern, ranks.value)
         return cls.held[key]
 
-    def encode(self, text: str) -> list[int]:
-        self.ids.trim()
-        return list(chain.from_iterable(map(self.ids.__getitem__, self.find.findall(text))))
-
-    def encode_pieces(self, pieces: list[str]) -> list[int]:
-        self.ids.trim()
-        return list(chain.from_iterable(map(self.ids.__getitem__, pieces)))
+    def meet(self, pieces: list[list[str]]) -> None:
+        """Sees to it that ids has all these pre-tokens."""
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        new = list(set().union(*pieces) - self.ids.keys())
+        self.ids.update(zip(new, self.merges(new), strict=True))
+
+    def of_pieces(self, pieces: list[list[str]]) -> Iterator[list[int]]:
+        """The ids of each list of pre-tokens."""
+        self.meet(pieces)
+        return (list(chain.from_iterable(map(self.ids.__getitem__, p))) for p in pieces)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text; about PART characters are pre-tokenised together."""
+        part, size = [], 0
+        for x in texts:
+            part.append(self.find.findall(x))
+            size += len(x)
+            if size > PART:
+                yield from self.of_pieces(part)
+                part, size = [], 0
+        yield from self.of_pieces(part)
 
 
 def _lists(rows: Iterable[list[int] | None]) -> pa.ListArray:
@@ -124,7 +172,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 65_536,
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = Tokens.of(pattern, ranks)
-        ids = _lists(t.encode(x.as_py()) for x in batch.column("text"))
+        ids = _lists(t.encode(x.as_py() for x in batch.column("text")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -167,7 +215,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 65_536,
             else:
                 e = len(x) if e is None else e
                 at = [p for p in starts if b <= p < e]
-                ids.append(t.encode_pieces([x[p:q] for p, q in zip(at, [*at[1:], e], strict=True)]))
+                ids += t.of_pieces([[x[p:q] for p, q in zip(at, [*at[1:], e], strict=True)]])
                 raw.append(None)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "k")), _lists(ids), pa.array(raw, pa.string())], ["row", "doc_id", "k", "ids", "raw"])
 

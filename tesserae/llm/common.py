@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,59 @@ class Memo(dict):
             self.clear()
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of (word, n) with the greatest n, at most `limit`: those from a threshold on.
+
+    The threshold comes from a histogram of at most a thousand buckets, so no task and no driver ranks all words;
+    words as frequent as those of the first bucket that would not fit stay out.
+    """
+    bucket = F.floor(F.log2("n") * 16).cast("int")
+    left, least = limit, None
+    for r in sorted(counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.b):
+        if r.k > left:
+            break
+        left, least = left - r.k, r.b
+    return counts.where(bucket >= least) if least is not None else counts.limit(0)
+
+
+def drawn(df: DataFrame, limit: int, *key: str) -> DataFrame:
+    """All rows, or about 95 of a hundred of `limit`, drawn by a hash of their key."""
+    share = 0.95 * limit / max(1, df.count())
+    return df if share >= 0.95 else df.where(F.pmod(F.xxhash64(*key), F.lit(1_000_003)) < int(1_000_003 * share))
+
+
+class IntTable:
+    """A map of non-negative 64-bit integers that looks many up at once: open addressing over arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        at, left = self._at(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at[left]] == keys[left]
+            self.values[at[left[placed]]] = values[left[placed]]
+            left = left[~placed]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: int = -1) -> np.ndarray:
+        at = self._at(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], default)
+        left = np.flatnonzero((found != keys) & (found != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[left]]
+            same = found == keys[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (found != -1)]
+        return out
+
+
 def held_out(buckets: int, doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo the number of buckets."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % buckets

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, held_out, stored
+from .common import IntTable, fields, held_out, stored
 
 LONGEST = 64
 ROUNDS = 2
@@ -44,43 +44,20 @@ def load_pieces(path: str) -> list[str]:
 class Vocabulary:
     """Finds all pieces within many words at once: a trie in a hash table, walked by arrays."""
 
-    BITS = 20
-
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1  # the last is the unknown piece
-        self.keys = np.full(1 << self.BITS, -1, np.int64)
-        self.to = np.zeros(1 << self.BITS, np.int64)
-        nodes: dict[str, int] = {"": 0}
-        self.piece = [-1]
+        nodes, edges, piece = {"": 0}, {}, [-1]
         for k, p in enumerate(pieces):
             for i in range(1, len(p) + 1):
                 if p[:i] not in nodes:
-                    nodes[p[:i]] = len(self.piece)
-                    self.piece.append(-1)
-                    key = nodes[p[: i - 1]] << 21 | ord(p[i - 1])
-                    at = self._at(np.array([key]))[0]
-                    while self.keys[at] != -1:
-                        at = (at + 1) & (len(self.keys) - 1)
-                    self.keys[at], self.to[at] = key, nodes[p[:i]]
-            self.piece[nodes[p]] = k
-        self.piece = np.array(self.piece)
+                    nodes[p[:i]] = len(piece)
+                    piece.append(-1)
+                    edges[nodes[p[: i - 1]] << 21 | ord(p[i - 1])] = nodes[p[:i]]
+            piece[nodes[p]] = k
+        self.edges = IntTable(np.array(list(edges), np.int64), np.array(list(edges.values()), np.int64))
+        self.piece = np.array(piece)
         self.longest = max(map(len, pieces), default=1)
 
-    def _at(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.BITS)).astype(np.int64)
-
-    def _step(self, key: np.ndarray) -> np.ndarray:
-        """The node each key leads to, -1 for none."""
-        at, out = self._at(key), np.full(len(key), -1, np.int64)
-        left = np.arange(len(key))
-        while len(left):
-            found = self.keys[at[left]]
-            same = found == key[left]
-            out[left[same]] = self.to[at[left[same]]]
-            left = left[~same & (found != -1)]
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-        return out
-
     def arcs(self, words: list[str]) -> tuple[np.ndarray, int, list[tuple[int, int, np.ndarray, np.ndarray]]]:
         """Lengths of the words with their leading space mark, the greatest, and for each (begin, end) the words and pieces that stand there."""
         words = ["▁" + w for w in words]
@@ -94,7 +71,7 @@ class Vocabulary:
             for n in range(1, min(self.longest, width - b) + 1):
                 inside = lengths[row] >= b + n
                 row, node = row[inside], node[inside]
-                node = self._step(node << 21 | codes[row, b + n - 1])
+                node = self.edges.get(node << 21 | codes[row, b + n - 1])
                 row, node = row[node >= 0], node[node >= 0]
                 if not len(row):
                     break

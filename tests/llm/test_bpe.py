@@ -14,15 +14,19 @@ LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_
 TEXTS = ["", None, "a", "don't  stop\n\n\n now 12345 <|endoftext|> äöü ñ 漢字🙂  ", "x" * 700, "  \n \t" * 90, "we'll've'd " * 60, "word one two\r\n" * 70, "é" * 301 + " " * 200 + "7" * 333]
 
 
+OWN = bpe.Tokens(public_tokenizers.PATTERN, RANKS)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=80))
-def test_merge_is_the_librarys(x):
-    assert bpe.Tokens(public_tokenizers.PATTERN, RANKS).encode(x) == LIBRARY.encode_ordinary(x)
+@given(st.lists(st.text(max_size=80)))
+def test_ids_are_the_librarys(xs):
+    assert list(OWN.encode(xs)) == [LIBRARY.encode_ordinary(x) for x in xs]
 
 
-def test_long_merge():
-    x = ("abcthe" * 300).encode()
-    assert list(bpe._merge_long([x[i : i + 1] for i in range(len(x))], RANKS)) == LIBRARY.encode_ordinary(x.decode())
+@settings(max_examples=50, deadline=None)
+@given(st.text("abdeghilnorst", min_size=1, max_size=150))
+def test_both_merges(x):
+    assert bpe.merge(x.encode(), RANKS) == OWN.merges([x])[0] == LIBRARY.encode_ordinary(x)
 
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(10_000, 100), (64, 16), (17, 5), (200, 40)])
