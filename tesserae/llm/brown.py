@@ -124,10 +124,8 @@ class Model:
         self.unit = np.log10(self.tokens + self.distinct + 1)
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts (word, n); docs: doc_id, text, all learned from."""
-    spark = docs.sparkSession
-    docs = texts(docs)
+def counted(docs: DataFrame) -> DataFrame:
+    """word, n over all texts of docs, ends not counted; stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -145,7 +143,15 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         if seen:
             yield flush()
 
-    counts = stored(docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    return stored(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the table of all counts (word, n); docs: doc_id, text, all learned from."""
+    spark = docs.sparkSession
+    docs = texts(docs)
+
+    counts = counted(docs)
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, bpe, brown, fm_index, langid, pii, probminhash, toxicity
+from . import bottomk, bpe, brown, edits, fm_index, langid, pii, probminhash, secrets, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.digest(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.digest(table(spark, sf_dir, "documents"))
 
@@ -61,5 +69,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN item ON d.doc_id = item.doc_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_probminhash": op7_probminhash, "op8_fm_index": op8_fm_index, "op9_bottomk": op9_bottomk, "op10_langid": op10_langid}
+QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_probminhash": op7_probminhash, "op8_fm_index": op8_fm_index, "op9_bottomk": op9_bottomk, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {"op8_fm_index": OP8_SQL}
