@@ -1 +1,101 @@
+"""Queries on the shapes of sources: prunings, picks, inventories, scrapes (2.A, 2.H)."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tesserae.queries import query
+from tesserae.sources import files
+from tesserae.sources.fields import table
+
+
+def order_files(spark, d):
+    o = table(spark, d, "orders")
+    return o.select((F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("ym"), F.format_string("dir%d/file_%06d", F.col("o_orderkey") % 7, F.col("o_orderkey")).alias("path"), F.col("o_orderstatus").alias("variable"), "o_totalprice", "o_orderdate")
+
+
+YM = "fl AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS ym, printf('dir%d/file_%06d', o_orderkey % 7, o_orderkey) AS path, o_orderstatus AS variable, o_totalprice FROM orders)"
+
+
+@query("a1_stamped_scan", "ym n", "v", ctes=YM, sql="SELECT ym, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM fl WHERE ym BETWEEN 199601 AND 199812 GROUP BY ym", places=2)
+def _(spark, d):
+    return order_files(spark, d).where(F.col("ym").between(199601, 199812)).groupBy("ym").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+
+
+@query("a2_surface_level", "n", "v", "flag", sql="SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1", places=2)
+def _(spark, d):
+    return table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("v"))
+
+
+@query("a3_first_file_of_month", "ym", "", "path", ctes=YM, sql="SELECT ym, min(path) AS path FROM fl GROUP BY ym")
+def _(spark, d):
+    return files.first_of_month(order_files(spark, d))
+
+
+@query("a4_product_window", "", "", "product t0 t1", sql="SELECT n_name AS product, greatest(min(o_orderdate)::DATE, DATE '1996-03-01') AS t0, least(max(o_orderdate)::DATE, DATE '1999-12-31') AS t1 FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name")
+def _(spark, d):
+    o, c, n = (table(spark, d, x) for x in ("orders", "customer", "nation"))
+    span = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("product")).agg(F.min("o_orderdate").cast("date").alias("t0"), F.max("o_orderdate").cast("date").alias("t1"))
+    return files.product_window(span, "1996-03-01", "1999-12-31")
+
+
+@query("a5_series_slice", "n", "v", sql="SELECT count(*) AS n, avg(value) AS v FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
+def _(spark, d):
+    e = table(spark, d, "events").where("event_type = 'view' AND ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-20'")
+    return e.agg(F.count("*").alias("n"), F.avg("value").alias("v"))
+
+
+@query("a6_coverage", "year months", "", "variable complete", ctes=YM, sql="SELECT variable, ym // 100 AS year, count(DISTINCT ym % 100) AS months, count(DISTINCT ym % 100) = 12 AS complete FROM fl GROUP BY ALL")
+def _(spark, d):
+    return files.coverage(order_files(spark, d))
+
+
+@query("a7_catalogue_pick", "version", "", "model member", ctes="ca AS (SELECT p_brand AS model, printf('r%di1', p_size) AS member, p_size AS num, p_type AS grid, p_partkey AS version FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY CASE WHEN grid = 'ECONOMY' THEN 0 ELSE 1 END, num, member, version DESC) AS k FROM ca)", sql="SELECT model, member, version FROM k WHERE k = 1")
+def _(spark, d):
+    ca = table(spark, d, "part").select(F.col("p_brand").alias("model"), F.format_string("r%di1", "p_size").alias("member"), F.col("p_type").alias("grid"), F.col("p_partkey").alias("version"))
+    return files.catalogue_pick(ca, ["model"], F.when(F.col("grid") == "ECONOMY", 0).otherwise(1))
+
+
+@query("a15_log_scrape", "conv_id turn size", "", "speaker", ctes="r AS (SELECT conv_id, turn, length(text) AS size, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM conversations)", sql="SELECT conv_id, turn, size, CASE WHEN k = turn THEN 'opens' ELSE 'follows' END AS speaker FROM r WHERE k IS NOT NULL")
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    o = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    k = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(o)
+    return c.withColumn("k", k).where("k IS NOT NULL").select("conv_id", "turn", F.length("text").alias("size"), F.when(F.col("k") == F.col("turn"), "opens").otherwise("follows").alias("speaker"))
+
+
+@query("a16_equal_area_pixels", "pix", "lat lon")
+def _(spark, d):
+    return files.pixel_lookup(spark, 8)
+
+
+@query("a18_depth_bins", "month bin n", "mean", sql="SELECT month(l_shipdate) AS month, floor(l_quantity / 10) AS bin, count(*) AS n, avg(l_discount) AS mean FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select(F.month("l_shipdate").alias("month"), F.col("l_quantity").alias("pressure"), F.col("l_discount").alias("v"))
+    return files.depth_bins(rows, 10.0)
+
+
+@query("a23_worklist", "n", "", "status", sql="SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_orderdate <= TIMESTAMP '2001-07-01' GROUP BY 1")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("target"), "o_orderstatus", "o_orderdate")
+    failed = o.select("target", F.col("o_orderdate").alias("failed_at"))
+    left = files.worklist(o, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target")).distinct(), failed, F.lit("2001-07-01 06:00:00").cast("timestamp_ntz"))
+    return left.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("h1_regex_scan", "n", "", "domain", sql="SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "https?://([^/]+)", 1).alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query("h13_json_props", "k n", "v", sql="SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, avg(value) AS v FROM events GROUP BY 1")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.from_json("props", "k int")["k"])
+    return e.groupBy("k").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
+
+
+@query("p3_monthly_accumulators", "day n", "total", "model", sql="SELECT event_type AS model, day(ts) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL", places=2)
+def _(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.col("event_type").alias("model"), F.dayofmonth("ts").alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
