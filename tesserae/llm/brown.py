@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored, texts
+from .common import held_out, most_frequent, stored, texts
 
 HEAD, CLUSTERED, CLASSES, ROUNDS = 65_536, 1_000, 50, 4
 SMOOTH = 5.0
@@ -154,7 +154,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = counted(docs)
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    head = sorted(((r.word, r.n) for r in most_frequent(counts, HEAD).collect()), key=lambda x: (-x[1], x[0]))
     model = Model(head, ends, sums[0] + ends, sums[1] + (ends > 0))
     held = spark.sparkContext.broadcast(model)
 
