@@ -32,7 +32,7 @@ def mann_kendall(series: DataFrame, by: list[str]) -> DataFrame:
     """s, its tie-corrected variance, z with continuity correction, and Sen's slope (the median pairwise one)."""
     rows = series.where("v IS NOT NULL")
     pair = pairs_below(rows, by).groupBy(*by).agg(F.sum(F.signum("dv")).alias("s"), F.percentile(F.col("dv") / F.col("dt"), 0.5).alias("sen"))
-    ties = rows.groupBy(*by, "v").agg(F.count("*").alias("g")).groupBy(*by).agg(F.sum("g").alias("n"), F.sum(F.col("g") * (F.col("g") - 1) * (2 * F.col("g") + 5)).alias("tie"))
+    ties = rows.groupBy(*by, "v").agg(F.count("*").alias("_g")).groupBy(*by).agg(F.sum("_g").alias("n"), F.sum(F.col("_g") * (F.col("_g") - 1) * (2 * F.col("_g") + 5)).alias("tie"))
     out = pair.join(ties, by)
     out = out.withColumn("var", (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("tie")) / 18.0)
     z = F.when(F.col("var") > 0, F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var")).otherwise(0.0))
@@ -174,3 +174,30 @@ def density(points: DataFrame, at: DataFrame, bandwidth: float) -> DataFrame:
     p = points.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(at))
     dx, dy = (F.col("x") - F.col("gx")) / (F.col("sx") * bandwidth), (F.col("y") - F.col("gy")) / (F.col("sy") * bandwidth)
     return p.groupBy("gx", "gy").agg((F.avg(F.exp(-0.5 * (dx * dx + dy * dy))) / (2 * 3.141592653589793 * F.max("sx") * F.max("sy") * bandwidth**2)).alias("density"))
+
+
+def label_permutations(spark: SparkSession, means: DataFrame, label: str, chosen: int) -> DataFrame:
+    """All ways to choose so many of a few labelled values: their number, how many have as large a sum as the first ones by name, and the share.
+
+    means: label, v; at most twenty labels (each choice is a number whose bits are the labels).
+    """
+    n = means.count()
+    if n > 20:
+        raise ValueError("more than twenty labels")
+    rows = means.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(label)) - 1).cast("int"))
+    seen = rows.where(F.col("i") < chosen).agg(F.round(F.sum("v"), 9).alias("o"))
+    bit = F.expr("shiftright(mask, i)").bitwiseAND(F.lit(1).cast("long")) == 1
+    picks = spark.range(2**n).withColumnRenamed("id", "mask").crossJoin(F.broadcast(rows)).groupBy("mask").agg(F.count_if(bit).alias("k"), F.round(F.sum(F.when(bit, F.col("v"))), 9).alias("a"))
+    hit = (F.col("a") >= F.col("o")).cast("double")
+    return picks.where(F.col("k") == chosen).crossJoin(F.broadcast(seen)).agg(F.count("*").alias("chosen"), F.sum(hit).cast("long").alias("as_extreme"), F.avg(hit).alias("share"))
+
+
+def exit_fraction(points: DataFrame, bandwidth: float, q: float) -> DataFrame:
+    """How many points lie below the q-quantile contour of their own kernel density (unnormalised), and its level. points: t, x, y, a few thousand."""
+    s = points.agg(F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
+    a, b = points.select("t", F.col("x").alias("ax"), F.col("y").alias("ay")), points.select(F.col("x").alias("bx"), F.col("y").alias("by"))
+    p = a.crossJoin(F.broadcast(s)).crossJoin(b)  # the points are the places of the density
+    dx, dy = (F.col("ax") - F.col("bx")) / (F.col("sx") * bandwidth), (F.col("ay") - F.col("by")) / (F.col("sy") * bandwidth)
+    d = p.groupBy("t").agg(F.avg(F.exp(-0.5 * (dx * dx + dy * dy))).alias("d"))
+    level = d.agg(F.percentile("d", q).alias("level"))
+    return d.crossJoin(F.broadcast(level)).groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("d") < F.col("level")).alias("outside"))

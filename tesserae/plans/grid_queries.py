@@ -57,7 +57,7 @@ BASINS = [("north", 10.0, 60.0, -40.0, -30.0), ("wrap", 0.0, 20.0, -20.0, -35.0)
 def _(spark, d):
     g = customer_grid(spark, d)
     parts = [g.where(scalar.in_box(F.col("lat"), F.col("lon"), *box)).groupBy().agg(F.count("*").alias("n"), F.avg("v").alias("v")).withColumn("basin", F.lit(name)) for name, *box in BASINS]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).where("n > 0")
 
 
 @query("b8_cell_validity", "cell n", views="f", sql="SELECT cell, count(*) AS n FROM f GROUP BY cell HAVING count(v) > 0.75 * (SELECT count(DISTINCT t) FROM f)")
@@ -75,7 +75,7 @@ def _(spark, d):
 @query("b11_edge_trim", "cell t", "v", views="f", sql="SELECT cell, t, v FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY t) AS k, count(*) OVER (PARTITION BY cell) AS n FROM f) WHERE k > 6 AND k <= n - 6")
 def _(spark, d):
     o = series.ordered(["cell"])
-    k, n = F.row_number().over(o), F.count("*").over(o.rowsBetween(-(2**31), 2**31 - 1))
+    k, n = F.row_number().over(o), F.count("*").over(series.Window.partitionBy("cell"))
     return nation_month(spark, d).withColumn("k", k).withColumn("n", n).where("k > 6 AND k <= n - 6")
 
 
