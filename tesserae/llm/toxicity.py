@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import drawn, held_out, texts
 
 SAMPLE, LEXICON, PHRASES = 40_000, 5_000, 5_000
 LEAST_DOCS, LEAST_WEIGHT = 5, 2.0
@@ -185,8 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """docs: doc_id, text; labels: doc_id, toxic, all learned from. At most `sample` labels are used, so they are broadcast."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    chosen = F.broadcast(spark.createDataFrame(drawn, "doc_id long, toxic long"))
+    chosen = F.broadcast(drawn(known, sample, "doc_id"))
     rows = texts(docs).join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
