@@ -79,17 +79,17 @@ def _(spark, d):
 CROSS = "m AS (SELECT *, avg(v) OVER (PARTITION BY model) AS c, row_number() OVER (PARTITION BY model ORDER BY t) AS k, count(*) OVER (PARTITION BY model) AS n FROM e), r AS (SELECT *, min(CASE WHEN v > c THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM m)"
 
 
-@query("e8_first_crossing", "first", "", "model", views="e", ctes=CROSS, sql="SELECT model, min(CASE WHEN run = 1 AND k + 3 <= n THEN t END) AS first FROM r GROUP BY model")
+@query("e8_first_crossing", "first", "", "model", views="e", ctes=CROSS, sql="SELECT model, coalesce(min(CASE WHEN run = 1 AND k + 3 <= n THEN t END), -1) AS first FROM r GROUP BY model")
 def _(spark, d):
     rows = events_hour(spark, d).withColumn("c", F.avg("v").over(Window.partitionBy("model")))
-    return series.first_crossing(rows, ["model"], F.col("v") > F.col("c"), 3)
+    return series.first_crossing(rows, ["model"], F.col("v") > F.col("c"), 3).withColumn("first", F.coalesce("first", F.lit(-1)))
 
 
-@query("e9_strict_exit", "exit", "", "model", views="e", ctes="m AS (SELECT *, quantile_cont(v, 0.6) OVER (PARTITION BY model) AS c, stddev_pop(v) OVER (PARTITION BY model) AS sd FROM e), r AS (SELECT *, min(CASE WHEN v > c THEN 1 ELSE 0 END) OVER w AS run, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY model ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))", sql="SELECT model, min(CASE WHEN v > c + 0.1 * sd AND run = 1 AND n = 3 THEN t END) AS exit FROM r GROUP BY model")
+@query("e9_strict_exit", "exit", "", "model", views="e", ctes="m AS (SELECT *, quantile_cont(v, 0.6) OVER (PARTITION BY model) AS c, stddev_pop(v) OVER (PARTITION BY model) AS sd FROM e), r AS (SELECT *, min(CASE WHEN v > c THEN 1 ELSE 0 END) OVER w AS run, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY model ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))", sql="SELECT model, coalesce(min(CASE WHEN v > c + 0.1 * sd AND run = 1 AND n = 3 THEN t END), -1) AS exit FROM r GROUP BY model")
 def _(spark, d):
     w = Window.partitionBy("model")
     rows = events_hour(spark, d).withColumn("c", F.percentile("v", 0.6).over(w)).withColumn("sd", F.stddev_pop("v").over(w))
-    return series.strict_exit(rows, ["model"], F.col("c"), 0.1 * F.col("sd"))
+    return series.strict_exit(rows, ["model"], F.col("c"), 0.1 * F.col("sd")).withColumn("exit", F.coalesce("exit", F.lit(-1)))
 
 
 @query("e10_overturning", "cell", "strength", views="f", ctes="st AS (SELECT cell, t, v, 0.5 * (v - 3 + lag(v - 3) OVER w) * (t - lag(t) OVER w) AS q FROM f WINDOW w AS (PARTITION BY cell ORDER BY t)), cs AS (SELECT cell, sum(coalesce(q, 0)) OVER (PARTITION BY cell ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM st)", sql="SELECT cell, max(c) AS strength FROM cs GROUP BY cell")

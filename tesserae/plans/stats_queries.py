@@ -209,12 +209,12 @@ def _(spark, d):
     return last.select("model", F.explode("q").alias("q")).groupBy("model").agg(F.least(F.lit(10.0), F.try_divide(F.lit(60.0), F.percentile("q", 0.5))).alias("factor"))
 
 
-@query("n4_corridor_exit", "exit", "threshold", "model", views="s", ctes="ws AS (SELECT unnest(range(1995, 2001)) AS start), w AS (SELECT model, start, avg(v) AS q FROM s JOIN ws ON year BETWEEN start AND start + 1 GROUP BY ALL), th AS (SELECT model, quantile_cont(v, 0.5) AS threshold FROM s WHERE year <= 1997 GROUP BY model)", sql="SELECT model, threshold, min(CASE WHEN q > threshold THEN start + 1 END) AS exit FROM w JOIN th USING (model) GROUP BY ALL")
+@query("n4_corridor_exit", "exit", "threshold", "model", views="s", ctes="ws AS (SELECT unnest(range(1995, 2001)) AS start), w AS (SELECT model, start, avg(v) AS q FROM s JOIN ws ON year BETWEEN start AND start + 1 GROUP BY ALL), th AS (SELECT model, quantile_cont(v, 0.5) AS threshold FROM s WHERE year <= 1997 GROUP BY model)", sql="SELECT model, threshold, coalesce(min(CASE WHEN q > threshold THEN start + 1 END), -1) AS exit FROM w JOIN th USING (model) GROUP BY ALL")
 def _(spark, d):
     s = segment_month(spark, d)
     threshold = s.where("year <= 1997").groupBy("model").agg(F.percentile("v", 0.5).alias("threshold"))
     w = series.windows(s, ["model"], 2, 1, 1995, 2001)
-    return w.join(threshold, "model").groupBy("model", "threshold").agg(F.min(F.when(F.col("mean") > F.col("threshold"), F.col("centre"))).alias("exit"))
+    return w.join(threshold, "model").groupBy("model", "threshold").agg(F.coalesce(F.min(F.when(F.col("mean") > F.col("threshold"), F.col("centre"))), F.lit(-1)).alias("exit"))
 
 
 @query("n6_stationarity_audit", "passed failed", "", "failing", views="s", ctes=PAIRS + ", t AS (SELECT model, abs(sum(sign(dv))) / count(*) AS tau FROM pr GROUP BY model)", sql="SELECT count(*) FILTER (tau < 0.1) AS passed, count(*) FILTER (tau >= 0.1) AS failed, coalesce(string_agg(CASE WHEN tau >= 0.1 THEN model END, ',' ORDER BY model), '') AS failing FROM t")
