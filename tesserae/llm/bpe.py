@@ -31,7 +31,7 @@ from .common import IntTable, map_batches, texts
 #: Characters behind the end of a pre-token that can still decide it: contractions and trailing white space.
 LOOK = 3
 #: Pre-tokens remembered by one Python worker; characters that it pre-tokenises at a time.
-REMEMBERED, PART = 200_000, 2_000_000
+REMEMBERED, PART = 120_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -57,12 +57,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies f to each Arrow batch; rows of a partition never meet in one list."""
+    """Applies f to parts of each Arrow batch; rows of a partition never meet in one list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
+        for batch in slices(batches):
+            if (out := f(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

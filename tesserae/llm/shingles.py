@@ -8,7 +8,7 @@ import xxhash
 from .common import Memo, words
 
 WIDTH = 5
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _U = np.uint64
 _hashes = Memo(xxhash.xxh64_intdigest, REMEMBERED)
 
