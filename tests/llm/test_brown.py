@@ -70,3 +70,13 @@ def test_empty(spark):
     assert brown.digest(df).count() == 0
     model, counts = brown.train(df)
     assert [(r.base_score, r.n_known, r.n_tokens) for r in brown.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model, counts).collect()] == [(0.0, 0, 3)]
+
+
+def test_a_head_that_does_not_fit_is_empty(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", 2)
+    rows = [(i, "a b c d") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = brown.train(df)
+    assert not len(model.counts)
+    for r in brown.score(df, model, counts).collect():
+        assert (r.n_tokens, r.n_known) == (5, 5) and r.base_score == pytest.approx(5 * math.log10(6 / 31)) and math.isfinite(r.score)
