@@ -21,8 +21,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language stay, with lang as predicted; those without a letter (`und`) go."""
     model = langid.train(docs.where(held_out(5) != 0), PIECES)
-    known = langid.predict(docs, PIECES, model, keep=["text", "source", "n_chars"]).where("lang_pred <> 'und'")
-    return known.select("doc_id", "kept.text", F.col("lang_pred").alias("lang"), "kept.source", "kept.n_chars")
+    known = langid.predict(docs, PIECES, model, keep=["source", "n_chars"]).where("lang_pred <> 'und'")
+    return known.select("doc_id", "text", F.col("lang_pred").alias("lang"), "kept.source", "kept.n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,8 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of at most so many rows, unless the session has a number of its own: 10,000 long texts fill several buffers of tens of megabytes in each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def texts(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id and text, null texts as empty ones, and the columns to keep as one struct, kept; no other column can clash afterwards."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
 
 

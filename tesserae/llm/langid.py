@@ -9,7 +9,8 @@ sums) from the counts of every (language, word) of the training rows.
 Words are cut every LONGEST characters. A character outside the vocabulary is the unknown
 piece. A text that is null or has no letter is `und` with score 0, and so is every text
 where no row has been learned from; else the prediction is the language of highest posterior
-(the alphabetically first of equals) and score that posterior, 0 to 1. Rows are kept one for one.
+(the alphabetically first of equals) and score that posterior, 0 to 1. Rows are kept one for one;
+those with a null id are not learned from.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IntTable, fields, held_out, stored
+from .common import IntTable, fields, held_out, slices, small_batches, stored
 
 LONGEST = 64
 ROUNDS = 2
 ADDED = 0.01  # to each piece's expected count
-REMEMBERED = 200_000
+#: Words that a worker counts before it passes them on, and that it remembers when it scores.
+COUNTED, REMEMBERED = 150_000, 100_000
 LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
 
@@ -147,25 +149,24 @@ def cut_words(text: str) -> list[str]:
 def train(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their shares of the rows, and a column of piece probabilities for each. docs: text, lang, all learned from."""
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = load_pieces(vocabulary_path)
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
-        def flush() -> pa.RecordBatch:
-            lang, word = zip(*seen, strict=True)
-            out = pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(c.values(), pa.int64())], ["lang", "word", "n"])
             seen.clear()
-            return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.update((lang, w) for w in cut_words(text))
-                if len(seen) > 400_000:
-                    yield flush()
-        if seen:
-            yield flush()
+                seen.setdefault(lang, Counter()).update(cut_words(text))
+            if sum(map(len, seen.values())) > COUNTED:
+                yield from flush()
+        yield from flush()
 
     words = stored(docs.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     shares = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -178,12 +179,23 @@ def train(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> tuple[
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces, langs, p = held.value  # noqa: B023
             vocabulary, sums = _vocabulary(pieces), np.zeros((len(langs), len(pieces) + 1))
-            for batch in batches:
-                of, word, n = (batch.column(c).to_pylist() for c in ("lang", "word", "n"))
+            held_rows: list[list] = [[], [], []]
+
+            def flush() -> None:
+                of, word, n = held_rows
                 for g, lang in enumerate(langs):
                     mine = [i for i, x in enumerate(of) if x == lang]
                     if mine:
                         sums[g] += expected(vocabulary, [word[i] for i in mine], np.array([n[i] for i in mine], float), p[:, g])
+                for x in held_rows:
+                    x.clear()
+
+            for batch in batches:
+                for x, c in zip(held_rows, ("lang", "word", "n"), strict=True):
+                    x += batch.column(c).to_pylist()
+                if len(held_rows[0]) >= 20_000:  # many words share one walk through the vocabulary
+                    flush()
+            flush()
             g, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(sums[g, k])], ["g", "k", "x"])
 
@@ -205,15 +217,16 @@ def _vocabulary(pieces: list[str]) -> Vocabulary:
 
 
 def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.ndarray, np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, lang_pred, score of each row of docs (doc_id, text), log_probs, the languages' posteriors' logarithms in alphabetical order, and the columns to keep as the struct kept."""
+    """doc_id, lang_pred, score of each row of docs (doc_id, text), log_probs, the languages' posteriors' logarithms in alphabetical order, and, if columns are to be kept, text and those as the struct kept."""
     held = docs.sparkSession.sparkContext.broadcast((load_pieces(vocabulary_path), *model))
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", *([F.struct(*keep).alias("kept")] if keep else []))
-    carried = [c for c in docs.columns if c != "text"]
+    carried = docs.columns if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, shares, p = held.value
         vocabulary, index, table = _vocabulary(pieces), {}, np.zeros((0, len(langs)))
-        for batch in batches:
+        for batch in slices(batches):
             places, whole = [], []
             for text in batch.column("text").to_pylist():
                 if text and langs and LETTER.search(text):
@@ -249,4 +262,4 @@ def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.nd
 def digest(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """The contract of operator 10: learns from the rows that aren't held out, predicts all."""
     model = train(docs.where(held_out(5) != 0), vocabulary_path)
-    return predict(docs, vocabulary_path, model).select("doc_id", (held_out(5) == 0).alias("held_out"), "lang_pred", "score")
+    return predict(docs, vocabulary_path, model).select("doc_id", F.coalesce(held_out(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
