@@ -1,15 +1,18 @@
 """Class-based bigrams with exchange clustering (operator 5).
 
 Counts come from every training row. The HEAD most frequent words are held by each worker; of
-these the CLUSTERED most frequent are put into CLASSES classes by the exchange algorithm, which
-moves one word at a time to the class that most raises the likelihood of the class bigrams, the
-others into classes by the magnitude of their counts. All other words, seen or not, are one class, and
-their counts are joined, not broadcast. A text's probability is the product over its tokens of
+these the CLUSTERED most frequent are put into classes by the exchange algorithm, which
+moves one word at a time to the class that most raises the likelihood of the class bigrams. Each
+other word of the head then goes to the class of theirs that its neighbours' classes make most likely, and
+after that so does each word outside the head, by jobs over all training rows: words as likely as
+class c's are class c's rarer half, which is a class of its own. The number of classes grows with the
+fourth root of the vocabulary beyond HEAD words, from CLASSES on. At most TAIL words outside the head are one
+class. Their classes and counts are a table that is joined, not broadcast. A text's probability is the product over its tokens of
 P(class | class before) P(word | class); texts begin where one has ended.
 
 P(class | before) is smoothed by the classes' own shares; P(word | class) is the word's share of
-its class, and (count + 1) / (tokens + distinct words + 1) in the class of other words, where
-all unseen words are one.
+its class, and (count + 1) / (tokens + distinct words + 1) in the classes outside the head. An unseen
+word is the last one of the rare class with most distinct words.
 
 Null and empty texts consist of an end alone. Rows are kept one for one, repeated ids and rows too.
 Without training rows all counts are 0 and base_score is 0.
@@ -22,12 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, most_frequent, stored, texts
+from .common import held_out, most_frequent, slices, stored, texts
 
 HEAD, CLUSTERED, CLASSES, ROUNDS = 65_536, 1_000, 50, 4
+#: Words outside the head up to which they are one class.
+TAIL = 1_000
+#: Codes that a task gathers before it counts and hands them on.
+HELD = 3_000_000
 SMOOTH = 5.0
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -91,8 +99,19 @@ def exchange(pairs: np.ndarray, n: int, classes: int, rounds: int = ROUNDS) -> n
     return of
 
 
+def likely(n: np.ndarray, classes: int) -> np.ndarray:
+    """What a neighbour adds to the likelihood of a word's being in each of the first classes: rows are the classes behind, then those before; n: counts of (class before, class)."""
+    whole = max(1.0, n.sum())
+    behind = np.log((n + SMOOTH * (n.sum(0) + 1) / whole) / (n.sum(1, keepdims=True) + SMOOTH))[:classes].T
+    before = np.log((n + SMOOTH * (n.sum(1, keepdims=True) + 1) / whole) / (n.sum(0) + SMOOTH))[:, :classes]
+    return np.concatenate([behind, before])
+
+
 class Model:
-    """What scoring needs of the head: places, counts, classes, and the logarithms of both factors."""
+    """What scoring needs of the head: places, counts, classes, and the logarithms of both factors.
+
+    Classes are numbered: those of the head, those of the words outside it, the end.
+    """
 
     def __init__(self, head: list[tuple[str, int]], ends: int, all_tokens: int, distinct: int):
         self.ids = Ids((w.encode(), i) for i, (w, _) in enumerate(head))
@@ -101,25 +120,31 @@ class Model:
         k = min(CLUSTERED, len(head))
         magnitude = np.log2(np.maximum(self.counts[k:], 1)).astype(int)
         levels = np.unique(magnitude)
-        # Symbols: the clustered words, the levels of the head's others, all other words, the end.
+        # Symbols for the exchange: the clustered words, the levels of the head's others, all other words, the end.
         self.clustered, self.symbols = k, k + len(levels) + 2
         self.symbol = np.concatenate([np.arange(k), k + np.searchsorted(levels, magnitude), [self.symbols - 2]]).astype(np.int64)
+        self.classes = min(int(CLASSES * max(1.0, distinct / HEAD) ** 0.25), max(1, k))
+        self.tails = self.classes if distinct - len(head) - (ends > 0) > TAIL else 1
+        self.end = self.classes + self.tails
 
-    def learn(self, pairs: np.ndarray) -> None:
+    def cluster(self, pairs: np.ndarray) -> None:
         """pairs: counts of (symbol before, symbol)."""
-        classes = min(CLASSES, max(1, self.clustered))
-        of = exchange(pairs, self.clustered, classes, ROUNDS)
-        size = classes + self.symbols - self.clustered
+        of = exchange(pairs, self.clustered, self.classes, ROUNDS)
+        size = self.classes + self.symbols - self.clustered
         n = np.zeros((size, size))
         np.add.at(n, (of[:, None], of[None]), pairs)
+        self.first, self.weights = size, likely(n, self.classes)
+        self.of = of[self.symbol]  # of the head's words, then of any other
+
+    def learn(self, n: np.ndarray, mass: np.ndarray, types: np.ndarray) -> None:
+        """n: counts of (class before, class); mass, types: tokens and distinct words of each class outside the head."""
+        size = len(n)
         share = (n.sum(0) + 1) / (n.sum() + size)
         self.step = np.log10((n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH))
-        self.of = of[self.symbol]  # of the head's words, then of any other
-        self.end = int(of[-1])
-        mass = np.bincount(self.of[:-1], self.counts, size)
-        rest = self.tokens - self.ends - int(self.counts.sum())
-        types = self.distinct - len(self.counts) - (self.ends > 0)
-        self.emit = np.append(np.log10(self.counts / np.maximum(mass[self.of[:-1]], 1)), -np.log10(rest + types + 1))
+        self.of[-1] = self.classes + int(types.argmax())  # of unseen words
+        self.tail_unit = np.log10(mass + types + 1.0)
+        head = np.bincount(self.of[:-1], self.counts, size)
+        self.emit = np.append(np.log10(self.counts / np.maximum(head[self.of[:-1]], 1)), -self.tail_unit[self.of[-1] - self.classes])
         self.log_count = np.append(np.log10(self.counts + 1.0), 0.0)
         self.unit = np.log10(self.tokens + self.distinct + 1)
 
@@ -147,7 +172,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts (word, n); docs: doc_id, text, all learned from."""
+    """The model, and the table of the words outside the head (word, n, class); docs: doc_id, text, all learned from."""
     spark = docs.sparkSession
     docs = texts(docs)
 
@@ -181,12 +206,140 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     found = docs.mapInArrow(pair, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most symbols squared
     pairs = np.zeros(model.symbols**2)
     pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    model.learn(pairs.reshape(model.symbols, -1))
-    return model, counts
+    model.cluster(pairs.reshape(model.symbols, -1))
+    _place_head(docs, model)
+    return model, _place_others(docs, model)
+
+
+def _best(found: DataFrame, key: str, weights: np.ndarray) -> DataFrame:
+    """key, class and the lists of each row of found (key, codes, times): the class that the coded neighbours make most likely."""
+    held = found.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = held.value
+        for batch in slices(batches):
+            codes, times = batch.column("codes"), batch.column("times")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy()))
+            x = np.bincount(row * len(w) + codes.flatten().to_numpy(), times.flatten().to_numpy(), batch.num_rows * len(w))
+            best = (x.reshape(-1, len(w)) @ w).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(best, pa.int32()), codes, times], [key, "class", "codes", "times"])
+
+    return found.mapInArrow(run, f"{key} {found.schema[key].dataType.simpleString()}, class int, codes array<int>, times array<long>")
+
+
+def _place_head(docs: DataFrame, model: Model) -> None:
+    """Gives the head's words that the exchange left out the class that their neighbours make most likely."""
+    if model.clustered == len(model.counts):
+        return
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    size = model.first
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        codes, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            code, times = np.unique(np.concatenate(codes), return_counts=True)
+            codes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], ["code", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                found = tokens(text.as_py())
+                at = np.fromiter(map(m.ids.__getitem__, found), np.int64, len(found))
+                of = np.concatenate([[size - 1], m.of[at], [size - 1]])
+                i = np.flatnonzero(at >= m.clustered)
+                codes += [at[i] * (2 * size) + of[i + 2], at[i] * (2 * size) + size + of[i]]
+                n += 2 * len(i)
+                if n > HELD:
+                    yield flush()
+                    n = 0
+        if codes:
+            yield flush()
+
+    found = docs.mapInArrow(contexts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    lists = found.groupBy(F.expr(f"code div {2 * size}").alias("id")).agg(F.collect_list(F.struct((F.col("code") % (2 * size)).cast("int").alias("c"), "n")).alias("l")).select("id", F.col("l.c").alias("codes"), F.col("l.n").alias("times"))
+    best = _best(lists, "id", model.weights).select("id", "class").toArrow()  # at most HEAD rows
+    model.of[best.column("id").to_numpy()] = best.column("class").to_numpy()
+
+
+def _place_others(docs: DataFrame, model: Model) -> DataFrame:
+    """word, n, class of each word outside the head; teaches the model the bigrams of all classes."""
+    c, tails, end = model.classes, model.tails, model.end
+    model.of[-1] = c
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    size = c + 2  # the head's classes, any other word, the end
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        inside = np.zeros(size * size, np.int64)
+        seen: dict[bytes, list] = {}
+        both: Counter = Counter()
+        n = 0
+        names = ["word", "after", "codes", "code", "n"]
+
+        def part(word, after, codes, code, times) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(after, pa.binary()).cast(pa.string()), pa.array(codes, pa.list_(pa.int32())), pa.array(code, pa.int64()), pa.array(times, pa.int64())], names)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if seen:
+                none = [None] * len(seen)
+                yield part(list(seen), none, list(seen.values()), none, none)
+            if both:
+                none = [None] * len(both)
+                yield part([a for a, _ in both], [b for _, b in both], none, none, list(both.values()))
+            seen.clear()
+            both.clear()
+
+        for batch in batches:
+            for text in batch.column("text"):
+                found = tokens(text.as_py())
+                at = np.fromiter(map(m.ids.__getitem__, found), np.int64, len(found))
+                of = np.concatenate([[size - 1], m.of[at], [size - 1]])
+                inside += np.bincount(of[:-1] * size + of[1:], minlength=size * size)
+                rare = np.flatnonzero(at < 0)
+                n += len(rare)
+                for i, behind, before in zip(rare.tolist(), of[rare + 2].tolist(), of[rare].tolist(), strict=True):
+                    seen.setdefault(found[i], []).extend((behind, size + before))
+                    if behind == c:
+                        both[found[i], found[i + 1]] += 1
+                if n > 300_000:
+                    yield from flush()
+                    n = 0
+        yield from flush()
+        code = np.flatnonzero(inside)
+        none = [None] * len(code)
+        yield part(none, none, none, code, inside[code])
+
+    raw = stored(docs.mapInArrow(contexts, "word string, after string, codes array<int>, code long, n long"), "contexts")
+    n = np.zeros((size, size))
+    for r in raw.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most classes squared
+        n[r.code // size, r.code % size] = r.n
+    lists = raw.where("codes IS NOT NULL").groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes")).withColumn("times", F.transform("codes", lambda _: F.lit(1).cast("long")))
+    placed = _best(lists, "word", likely(n, c)).select("word", (c + (F.col("class") if tails > 1 else F.lit(0))).cast("int").alias("class"), "codes", F.expr("size(codes) div 2").cast("long").alias("n"))
+    placed = stored(placed, "placed")
+    whole = np.zeros((end + 1, end + 1))
+    keep = np.append(np.arange(c), end)
+    whole[np.ix_(keep, keep)] = n[np.ix_(np.append(np.arange(c), c + 1), np.append(np.arange(c), c + 1))]
+    for r in placed.select("class", F.explode("codes").alias("code")).groupBy("class", "code").agg(F.count("*").alias("n")).collect():  # at most classes squared
+        other = r.code % size
+        if other != c:
+            other = end if other > c else other
+            whole[(r["class"], other) if r.code < size else (other, r["class"])] += r.n
+    of = placed.select("word", "class")
+    both = raw.where("after IS NOT NULL").groupBy("word", "after").agg(F.sum("n").alias("n"))
+    both = both.join(of.withColumnRenamed("class", "a"), "word").groupBy("a", "after").agg(F.sum("n").alias("n")).join(of.select(F.col("word").alias("after"), F.col("class").alias("b")), "after")
+    for r in both.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        whole[r.a, r.b] += r.n
+    mass, types = np.zeros(tails), np.zeros(tails)
+    for r in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        mass[r["class"] - c], types[r["class"] - c] = r.n, r.k
+    model.learn(whole, mass, types)
+    return placed.select("word", "n", "class")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text); counts: word, n, class of the words outside the head."""
     docs = texts(docs).withColumn("row", F.monotonically_increasing_id())
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -198,18 +351,38 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 found = tokens(text.as_py())
                 at = np.fromiter(map(m.ids.__getitem__, found), np.int64, len(found))
                 of = np.concatenate([[m.end], m.of[at], [m.end]])
-                rest = Counter([found[i] for i in np.flatnonzero(at < 0)])
-                n, known = len(found) + 1, len(found) - rest.total() + (m.ends > 0)
-                rows.append((n, known, float(m.log_count[at].sum() + np.log10(m.ends + 1) - n * m.unit), float(m.step[of[:-1], of[1:]].sum() + m.emit[at].sum()), [w.decode() for w in rest], list(rest.values())))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["row", "doc_id", "n_tokens", "known", "base", "prob", "words", "times"])
+                rest: dict[bytes, list] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    rest.setdefault(found[i], []).append(i + 1)
+                n, known = len(found) + 1, int((at >= 0).sum()) + (m.ends > 0)
+                rows.append((n, known, float(m.log_count[at].sum() + np.log10(m.ends + 1) - n * m.unit), float(m.emit[at].sum()), of.astype(np.int16), [w.decode() for w in rest], list(rest.values())))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int16()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["row", "doc_id", "n_tokens", "known", "base", "prob", "codes", "words", "places"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in slices(batches):
+            lengths = lambda x: x.value_lengths().fill_null(0).to_numpy()
+            codes, rest, size = batch.column("codes"), batch.column("rest"), batch.num_rows
+            many = lengths(codes)
+            of, row = codes.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(size), many)
+            words = rest.flatten()
+            places, count, kind_of = (pc.struct_field(words, i) for i in (0, 1, 2))
+            owner, times = np.repeat(np.arange(size), lengths(rest)), lengths(places)
+            count, kind_of = np.log10(count.to_numpy() + 1.0), kind_of.to_numpy()
+            of[np.repeat((np.cumsum(many) - many)[owner], times) + places.flatten().to_numpy()] = np.repeat(kind_of, times)
+            add = lambda x, weights: np.bincount(x, weights, size)
+            known = batch.column("known").to_numpy() + add(owner, times).astype(np.int64)
+            base = batch.column("base").to_numpy() + add(owner, times * count)
+            inside = row[:-1] == row[1:]
+            prob = batch.column("prob").to_numpy() + add(owner, times * (count - m.tail_unit[kind_of - m.classes] - m.emit[-1])) + add(row[:-1][inside], m.step[of[:-1][inside], of[1:][inside]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array([m.tokens] * len(known), pa.int64()), pa.array(base, pa.float64()), pa.array(prob, pa.float64())], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    part = stored(docs.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, prob double, words array<string>, times array<long>"), "scored")
-    rest = part.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    rest = rest.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_count"))
-    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return part.drop("words", "times").join(rest, "row", "left").select("doc_id", "n_tokens", add("known", "more").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), add("base", "log_count").alias("base_score"), add("prob", "log_count").alias("score"))
+    part = stored(docs.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, prob double, codes array<smallint>, words array<string>, places array<array<int>>"), "scored")
+    rest = part.select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.places").alias("places"))
+    rest = rest.join(counts, "word").groupBy("row").agg(F.collect_list(F.struct("places", "n", "class")).alias("rest"))
+    return part.drop("words", "places").join(rest, "row", "left").mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -80,3 +80,44 @@ def test_a_head_that_does_not_fit_is_empty(spark, monkeypatch):
     assert not len(model.counts)
     for r in brown.score(df, model, counts).collect():
         assert (r.n_tokens, r.n_known) == (5, 5) and r.base_score == pytest.approx(5 * math.log10(6 / 31)) and math.isfinite(r.score)
+
+
+def test_words_outside_the_clustered_ones_get_their_neighbours_classes(spark, monkeypatch):
+    """Names and verbs, frequent and rare, alternate: each kind is in classes of its own, within the head and outside it."""
+    monkeypatch.setattr(brown, "HEAD", 60)
+    monkeypatch.setattr(brown, "CLUSTERED", 8)
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    monkeypatch.setattr(brown, "TAIL", 10)
+    r = random.Random(3)
+    pick = lambda k: k + str(r.choice([r.randrange(4), r.randrange(4), r.randrange(20), r.randrange(200)]))
+    docs = spark.createDataFrame([(i, " ".join(pick("nv"[j % 2]) for j in range(20))) for i in range(300)], "doc_id long, text string").repartition(3)
+    model, table = brown.train(docs)
+    table = table.collect()
+    assert len(model.counts) > 8 and len(table) > 100 and model.tails > 1
+    kinds: dict = {}
+    for word, c in [*((w.decode(), int(model.of[i])) for w, i in model.ids.items()), *((x.word, x["class"]) for x in table)]:
+        kinds.setdefault(c, Counter())[word[0]] += 1
+    assert all(max(k.values()) / k.total() > 0.95 for k in kinds.values())
+    assert sum(c >= model.classes for c in kinds) > 1
+    pair = spark.createDataFrame([(1, "n1 v199"), (2, "n1 n199")], "doc_id long, text string")
+    good, bad = (x.score for x in sorted(brown.score(pair, model, spark.createDataFrame(table)).collect(), key=lambda x: x.doc_id))
+    assert math.isfinite(good) and good > bad + 0.5
+
+
+def test_class_bigrams_count_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", 6)
+    monkeypatch.setattr(brown, "CLUSTERED", 3)
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    monkeypatch.setattr(brown, "TAIL", 3)
+    kept = {}
+    learn = brown.Model.learn
+    monkeypatch.setattr(brown.Model, "learn", lambda m, n, mass, types: (kept.update(n=n), learn(m, n, mass, types))[1])
+    rows = docs()
+    model, table = brown.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    table = {r.word.encode(): (r.n, r["class"]) for r in table.collect()}
+    want = Counter()
+    for _, t in rows:
+        of = [model.end, *(int(model.of[model.ids[w]]) if w in model.ids else table[w][1] for w in brown.tokens(t or "")), model.end]
+        want.update(zip(of, of[1:]))
+    assert model.tails > 1 and {(i, j): int(kept["n"][i, j]) for i, j in np.argwhere(kept["n"]).tolist()} == want
+    assert {w: n for w, (n, _) in table.items()} == {w: n for w, n in Counter(w for _, t in rows for w in brown.tokens(t or "")).items() if w not in model.ids}
