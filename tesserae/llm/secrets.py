@@ -1,7 +1,9 @@
 """Secrets among candidates by a random forest (operator 4).
 
-Candidates are runs of at least SHORTEST key characters with a digit or of mixed case, and values
-assigned to words like password or token. Labelled findings train the forest: known key formats
+Candidates are runs of at least SHORTEST key characters with a digit or of mixed case, strings of the
+known key formats wherever they stand alone, and values of at least 8 characters of any kind
+assigned to words like password or token: all within the quotes, or all up to white space or a quote without the
+punctuation behind. Labelled findings train the forest: known key formats
 and assigned values of some variety are secrets; candidates that are part of an address, a
 number or a plain word, or that repeat one character, are false positives; others are unlabelled. The forest
 doesn't see the formats. It sees the length, how likely the characters' transitions are in the corpus,
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -36,22 +39,35 @@ from .common import drawn, most_frequent, stored, texts
 SHORTEST, WORDS, SAMPLE, TREES, DEPTH, SEED = 16, 20_000, 50_000, 40, 8, 7
 BUCKETS = 8
 #: Values with which key strings of well-known services begin, and how they go on.
-FORMATS = re.compile(r"\A(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)\Z")
-ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api_?key|access_?key|auth)\s*[=:]\s*[\"']?\Z")
+_KEYS = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)"
+FORMATS = re.compile(rf"\A{_KEYS}\Z")
+#: A key that stands alone.
+BARE = re.compile(rf"(?<![\w+/=.@-]){_KEYS}(?![\w])")
+_NAMES = r"(?<![a-z])(?:password|passwd|pwd|token|secret|api_?key|access_?key|auth)"
+ASSIGNED = re.compile(rf"(?i){_NAMES}\s*[=:]\s*[\"']?\Z")
+#: A value and what it is assigned to; one of the groups is the value.
+VALUE = re.compile(rf"(?i){_NAMES}[\"']?\s*[=:]\s*(?:\"([^\"\n]{{8,}})\"|'([^'\n]{{8,}})'|[\"']?([^\s\"']{{7,}}[^\s\"',;.)\]}}>]))")
 CANDIDATE = re.compile(r"(?<![\w+/=.@-])(?=[^\s]*[0-9A-Z])[A-Za-z0-9_+/-]{16,}={0,2}|(?<=[=:\"'])[A-Za-z0-9_+/.-]{8,}={0,2}")
 WORDLIKE = re.compile(r"\A[A-ZÀ-Þ]?[a-zß-ÿ]+\Z|\A[A-Z]+\Z")
 
 
 def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
     """(begin, end, assigned, part of something larger) of each candidate."""
-    out = []
+    spans = {m.span(m.lastindex): (True, False) for m in VALUE.finditer(text)}
+    for m in BARE.finditer(text):
+        spans.setdefault(m.span(), (False, False))
+    # What lies within one of these is no candidate of its own, unless a quoted value is several words.
+    taken = sorted(s for s in spans if not any(map(str.isspace, text[s[0] : s[1]])))
     for m in CANDIDATE.finditer(text):
         b, e = m.span()
+        i = bisect(taken, (b, len(text))) - 1
+        if i >= 0 and e <= taken[i][1]:
+            continue
         assigned = bool(ASSIGNED.search(text, max(0, b - 30), b))
         if assigned or e - b >= SHORTEST:
             larger = (b > 0 and text[b - 1] in "@.") or text[e : e + 1] in ("@", ".") and text[e + 1 : e + 2].isalnum()
-            out.append((b, e, assigned, larger))
-    return out
+            spans.setdefault((b, e), (assigned, larger))
+    return [(*s, *spans[s]) for s in sorted(spans)]
 
 
 def label(token: str, assigned: bool, larger: bool) -> int | None:
@@ -98,10 +114,11 @@ def coverage(token: str, automaton) -> float:
     """The share of the token's characters within words of the dictionary."""
     if not len(automaton):
         return 0.0
-    inside = bytearray(len(token))
-    for last, size in automaton.iter(token.lower()):
+    low = token.lower()
+    inside = bytearray(len(low))
+    for last, size in automaton.iter(low):
         inside[last - size + 1 : last + 1] = b"\1" * size
-    return sum(inside) / len(token)
+    return sum(inside) / len(low)
 
 
 def find(docs: DataFrame, path_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
