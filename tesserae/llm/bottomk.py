@@ -23,6 +23,8 @@ from .common import fields, map_batches, texts
 from .shingles import shingles
 
 K = 64
+#: Characters of text that a range of ids is meant to hold, and the most ranges.
+RANGE, RANGES = 8_000_000, 20_000
 LOWEST = -(2**63)
 
 
@@ -88,14 +90,14 @@ def edited(text: str, other: str) -> str:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, edge, key, doc_id, text) in partitions that hold whole ranges of ids, from the largest id down, each range followed by an edge: the row that comes next.
+    """Rows (bucket, edge, key, doc_id, text), a partition for each range of ids, from the largest id down, followed by an edge: the row that comes next.
 
-    Texts are shuffled once. Range limits are quantiles of the ids, one range a shuffle partition; an edge is the first
+    Texts are shuffled once. Range limits are quantiles of the ids, as many as the texts' length asks for; an edge is the first
     row of the range below, for the last range the first row of all. Equal ids follow each other by text; null ids come last.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = texts(docs).withColumn("key", F.coalesce(F.col("doc_id"), F.lit(LOWEST)))
+    n = min(RANGES, 1 + docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0] // RANGE)
     limits = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100_000).alias("q")).first().q or []
     limits = np.unique(np.array(limits, np.int64))
 
@@ -113,7 +115,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = docs.drop("bucket").join(F.broadcast(targets), "key").groupBy("key", "target").agg(F.min("text").alias("text"))
     edges = first.select(F.col("target").alias("bucket"), F.lit(True).alias("edge"), "key", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text")
     rows = docs.select("bucket", F.lit(False).alias("edge"), "key", "doc_id", "text").unionByName(edges)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "edge", F.desc("key"), "text")
+    return rows.repartitionById(len(limits) + 1, "bucket").sortWithinPartitions("bucket", "edge", F.desc("key"), "text")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IntTable, map_batches, texts
+from .common import IntTable, map_batches, stored, texts, worker_holds
 
 #: Characters behind the end of a pre-token that can still decide it: contractions and trailing white space.
 LOOK = 3
@@ -117,21 +117,16 @@ class Merges:
 class Tokens:
     """One worker's pattern, merges and memory of pre-tokens."""
 
-    held: dict = {}
-
     def __init__(self, pattern: str, ranks: dict[bytes, int]):
         self.find = regex.compile(pattern)
         self.merges = Merges(ranks)
+        self.names = {v: k for k, v in ranks.items()}
         self.ids: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, pattern: str, ranks) -> Tokens:
         """ranks: a broadcast; a worker keeps what it made for the last one."""
-        key = pattern, id(ranks.value)
-        if key not in cls.held:
-            cls.held.clear()
-            cls.held[key] = cls(pattern, ranks.value)
-        return cls.held[key]
+        return worker_holds(f"bpe {pattern}", ranks.value, lambda: cls(pattern, ranks.value))
 
     def meet(self, pieces: list[list[str]]) -> None:
         """Sees to it that ids has all these pre-tokens."""
@@ -165,18 +160,23 @@ def _lists(rows: Iterable[list[int] | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array([x is None for x in packed]))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
-    """doc_id and ids (array of int) of each row of docs (doc_id, text)."""
+def _decoded(ids: pa.ListArray, names: dict[int, bytes]) -> pa.BinaryArray:
+    return pa.array([b"".join(map(names.__getitem__, x.values.to_numpy().tolist() if x.is_valid else ())) for x in ids], pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 65_536, overlap: int = 1_024, back: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of each row of docs (doc_id, text); back: and bytes, what decode makes of the ids."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     docs = texts(docs)
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = Tokens.of(pattern, ranks)
         ids = _lists(t.encode(x.as_py() for x in batch.column("text")))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+        more = [_decoded(ids, t.names)] if back else []
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, *more], ["doc_id", "ids", "bytes"][: 2 + len(more)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, ids array<int>"
+    out = f"doc_id {kind}, ids array<int>" + ", bytes binary" * back
     short = map_batches(docs.where(F.length("text") <= chunk), whole, out)
 
     def chunks(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -195,7 +195,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 65_536,
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "k", "text", "last")), *(pa.array(c, ints) for c in (starts, heads, tails))], ["row", "doc_id", "k", "text", "last", "starts", "head", "tail"])
 
     # The chunk that reaches the end of its text is the last: a later one would lie within it.
-    parts = map_batches(docs.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), chunks, f"row long, doc_id {kind}, k long, text string, last boolean")
+    # Long texts are stored with their row numbers, which would not be the same if they were made again.
+    long = stored(docs.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    parts = map_batches(long, chunks, f"row long, doc_id {kind}, k long, text string, last boolean")
     parts = map_batches(parts.repartition("row", "k"), bounds, f"row long, doc_id {kind}, k long, text string, last boolean, starts array<int>, head array<int>, tail array<int>")
     order, all_of = Window.partitionBy("row").orderBy("k"), Window.partitionBy("row")
     parts = (
@@ -221,6 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 65_536,
 
     done = map_batches(parts, pieces, f"row long, doc_id {kind}, k long, ids array<int>, raw string").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids", "raw"))).alias("parts"))
     stitched = done.where(F.col("parts")[0]["raw"].isNull()).select("doc_id", F.flatten("parts.ids").alias("ids"))
+    stitched = decode(stitched, ranks_path) if back else stitched
     joined = map_batches(done.where(F.col("parts")[0]["raw"].isNotNull()).select("doc_id", F.array_join("parts.raw", "").alias("text")), whole, out)
     return short.unionByName(stitched).unionByName(joined)
 
@@ -230,9 +233,7 @@ def decode(ids: DataFrame, ranks_path: str) -> DataFrame:
     names = ids.sparkSession.sparkContext.broadcast({v: k for k, v in load_ranks(ranks_path).items()})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        get = names.value.__getitem__
-        back = [b"".join(map(get, x.values.to_numpy().tolist() if x.is_valid else ())) for x in batch.column("ids")]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*batch.schema.names, "bytes"])
+        return pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column("ids"), names.value)], [*batch.schema.names, "bytes"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields)
     return map_batches(ids, run, f"{kinds}, bytes binary")
@@ -240,8 +241,7 @@ def decode(ids: DataFrame, ranks_path: str) -> DataFrame:
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The contract of operator 1: ids and decoded bytes as digests."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path)
-    return both.select(
+    return encode(docs, ranks_path, pattern, back=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of at most so many rows, unless the session has a number of its own: 10,000 long texts fill several buffers of tens of megabytes in each task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
-
-
 def texts(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id and text, null texts as empty ones, and the columns to keep as one struct, kept; no other column can clash afterwards."""
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
 
 
@@ -44,9 +39,15 @@ def fields(df: DataFrame, *names: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves a session whose tasks all run on it; on a cluster that is an error, as executors
+    couldn't read each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -65,6 +66,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_slot: list = [None, None, None]
+
+
+def release() -> None:
+    """Hands memory that is no longer in use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the usual C library of Linux has it
+    if trim:
+        trim(0)
+
+
+def worker_holds(name: str, source: Any, make: Callable[[], Any]) -> Any:
+    """make(), made once in a worker for a name and a source (by identity) and held until another operator asks for something else.
+
+    Spark uses its Python workers again, so what one operator holds would stay in memory beside the next one's.
+    """
+    if _slot[0] != name or _slot[1] is not source:
+        _slot[:] = None, None, None
+        release()
+        _slot[:] = name, source, make()
+    return _slot[2]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """Parts of Arrow batches, so that few texts at a time become Python objects."""
     for batch in batches:
@@ -100,11 +125,11 @@ class Memo(dict):
             self.clear()
 
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of (word, n) with the greatest n, at most `limit`: those from a threshold on.
+def frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """Rows of (word, n) with the greatest n, at most `limit`: all from a threshold on.
 
-    The threshold comes from a histogram of at most a thousand buckets, so no task and no driver ranks all words;
-    words as frequent as those of the first bucket that would not fit stay out.
+    The threshold comes from a histogram of at most a thousand buckets, so no task and no driver ranks all words. Words as frequent as
+    those of the first bucket that would not fit stay out: for what is a store of often needed words, not a choice.
     """
     bucket = F.floor(F.log2("n") * 16).cast("int")
     left, least = limit, None
@@ -115,6 +140,37 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(bucket >= least) if least is not None else counts.limit(0)
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """Exactly the `limit` rows of (word, n) with the greatest n, or all: of equals those first by word.
+
+    Only words from the histogram's last bucket that is needed on are ranked, at most `limit` a task.
+    """
+    bucket = F.floor(F.log2("n") * 16).cast("int")
+    left, least = limit, -1
+    for r in sorted(counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.b):
+        least, left = r.b, left - r.k
+        if left <= 0:
+            break
+    return counts.where(bucket >= least).orderBy(F.desc("n"), "word").limit(limit)
+
+
+#: Rows of a table that may be broadcast by spread_join.
+HEAVY = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: Sequence[str], n: str) -> DataFrame:
+    """left joined with right (one row a key, whose column n says how many rows of left have it), without a task that gets all rows of a frequent key.
+
+    Keys that hold at least one in HEAVY of all rows, and a thousand, are at most HEAVY: these are broadcast, and their rows of left stay
+    where they are. The other rows are shuffled. left should be stored: it is read twice.
+    """
+    whole = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    least = max(1_000, whole // HEAVY)
+    heavy = F.broadcast(right.where(F.col(n) >= least))
+    light = left.join(heavy.select(*key), list(key), "left_anti").join(right.where(F.col(n) < least), list(key))
+    return left.join(heavy, list(key)).unionByName(light)
+
+
 def drawn(df: DataFrame, limit: int, *key: str) -> DataFrame:
     """All rows, or about 95 of a hundred of `limit`, drawn by a hash of their key."""
     share = 0.95 * limit / max(1, df.count())

@@ -1,14 +1,17 @@
 """Benchmark decontamination by an FM-index per shard of documents (operator 8).
 
 A shard is what one task gathers from its own partition, up to SHARD symbols; nothing is
-shuffled. Its text is the documents' words as symbols of the benchmark's vocabulary. Words
+shuffled. A longer document is cut into shards that overlap by one word less than a window. A shard's text is the documents' words as symbols of the benchmark's vocabulary. Words
 outside that vocabulary can't be part of a window, nor can runs of known words shorter than
 the shortest window: both become separators. The index is a suffix array, the Burrows-Wheeler
 transform in a wavelet matrix, and suffix positions sampled every SAMPLE symbols of
 a run. All windows of a block of items are searched backward at once, occurrences are located
 by walking to a sampled position, and their spans are merged per document.
 
-Null and empty texts have no words and are never hit. Rows are kept one for one; items
+A benchmark of at most BLOCK bytes is one block, broadcast as it is. A larger one is dealt to blocks by a hash; each takes a pass over
+the documents, which are stored with a row number first, and only one block at a time is with the driver.
+
+Null and empty texts have no words and are never hit. Rows are kept one for one, also where ids repeat; items
 without words have no window; equal windows of several items count for each.
 """
 
@@ -22,29 +25,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, texts, words
+from .common import fields, slices, stored, texts, words, worker_holds
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-SHARD = 1_000_000
+SHARD = 500_000
 SAMPLE = 8
-#: Benchmark items whose windows are searched in one pass; a larger benchmark takes more passes.
-BLOCK = 20_000
+#: Bytes of benchmark texts whose windows are searched in one pass.
+BLOCK = 4_000_000
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
 class Windows:
-    """A block of items as rows of symbols, right-aligned, with the items that hold each."""
+    """A block of items as rows of symbols, right-aligned, with the items (by their place in the block) that hold each."""
 
-    def __init__(self, items: list[tuple], width: int):
+    def __init__(self, found: list[str], width: int):
         self.symbol: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], list] = {}
-        for item, text in items:
-            found = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words(text.encode())]
-            for i in range(max(1, len(found) - width + 1) if found else 0):
-                holders.setdefault(tuple(found[i : i + width]), []).append(item)
-        self.sizes = np.array([len(w) for w in holders], np.int64)
-        self.rows = np.array([(0,) * (width - len(w)) + w for w in holders], np.int64).reshape(-1, width)
-        self.items = [sorted(set(x)) for x in holders.values()]
-        self.least = int(self.sizes.min()) if holders else 0
+        rows, owner = [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)]
+        for i, text in enumerate(found):
+            x = np.array([self.symbol.setdefault(w, len(self.symbol) + 1) for w in words(text.encode())], np.int64)
+            if len(x):
+                x = np.concatenate([np.zeros(max(0, width - len(x)), np.int64), x])
+                rows.append(np.unique(np.lib.stride_tricks.sliding_window_view(x, width), axis=0))
+                owner.append(np.full(len(rows[-1]), i))
+        self.rows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.sizes = (self.rows > 0).sum(1)
+        self.least = int(self.sizes.min()) if len(self.rows) else 0
+        order = np.argsort(which.reshape(-1), kind="stable")
+        self.owner = np.concatenate(owner)[order]  # of all windows, those of one row together
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(which.reshape(-1), minlength=len(self.rows)))])
+
+    def items(self, windows: np.ndarray) -> set[int]:
+        return set().union(*(self.owner[self.first[w] : self.first[w + 1]].tolist() for w in windows.tolist()))
 
 
 class FMIndex:
@@ -129,25 +140,25 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _scan(shard: list[tuple[np.ndarray, int]], look: Windows) -> dict[int, tuple[list[tuple[int, int]], set]]:
-    """Word spans and items of each document (by its place in the shard) that has any."""
+def _scan(shard: list[tuple[int, int, np.ndarray]], look: Windows) -> list[tuple[int, np.ndarray, np.ndarray, set[int]]]:
+    """(row, begins and ends of word spans, items) of the rows of a shard that have any; shard: row, place of the first symbol in it, symbols."""
     pieces, runs = [np.zeros(1, np.int64)], []
     place = 1
-    for d, (symbols, _) in enumerate(shard):
+    for d, first, symbols in shard:
         edge = np.diff(np.concatenate([[0], (symbols > 0).view(np.int8), [0]]))
-        for b, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        for b, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
             if e - b >= look.least:
-                runs.append((place, d, b))
+                runs.append((place, d, first + b))
                 pieces += [symbols[b:e], np.zeros(1, np.int64)]
                 place += e - b + 1
     if not runs:
-        return {}
+        return []
     index = FMIndex(np.concatenate(pieces), len(look.symbol))
     low, high = index.search(look.rows)
     found = np.flatnonzero(high > low)
     times = (high - low)[found]
     if not len(found):
-        return {}
+        return []
     window = np.repeat(found, times)
     at = index.locate(np.repeat(low[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
     starts, owner, offset = (np.array(x, np.int64) for x in zip(*runs, strict=True))
@@ -155,83 +166,106 @@ def _scan(shard: list[tuple[np.ndarray, int]], look: Windows) -> dict[int, tuple
     d, begin = owner[run], offset[run] + at - starts[run]
     end, order = begin + look.sizes[window], np.argsort(d, kind="stable")
     cuts = np.flatnonzero(np.diff(d[order])) + 1
-    return {int(d[g[0]]): (_merged(begin[g], end[g]), {i for w in np.unique(window[g]) for i in look.items[w]}) for g in np.split(order, cuts)}
+    return [(int(d[g[0]]), begin[g], end[g], look.items(np.unique(window[g]))) for g in np.split(order, cuts)]
+
+
+def _hits(found: list[bytes], look: Windows, width: int) -> tuple[list[int], dict[int, tuple[list[tuple[int, int]], set[int]]]]:
+    """The number of words of each text, and for those that are hit the word spans, merged, and the items."""
+    sizes, shard, held, parts = [], [], 0, []
+    get = look.symbol.get
+    for d, text in enumerate(found):
+        own = words(text)
+        sizes.append(len(own))
+        symbols = np.fromiter((get(w, 0) for w in own), np.int64, len(own))
+        for first in range(0, len(symbols), SHARD):
+            shard.append((d, first, symbols[first : first + SHARD + width - 1]))
+            held += len(shard[-1][2]) + 100
+            if held >= SHARD:
+                parts += _scan(shard, look) if len(look.rows) else []
+                shard, held = [], 0
+    parts += _scan(shard, look) if shard and len(look.rows) else []
+    by: dict[int, list] = {}
+    for d, *rest in parts:
+        by.setdefault(d, []).append(rest)
+    return sizes, {d: (_merged(np.concatenate([x[0] for x in p]), np.concatenate([x[1] for x in p])), set().union(*(x[2] for x in p))) for d, p in by.items()}
+
+
+def _in_text(text: str, at: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Word spans as spans of code points."""
+    where = [m.span() for m in WORD.finditer(text)]
+    return [{"begin": where[b][0], "end": where[e - 1][1]} for b, e in at]
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about as many characters as make a shard."""
+    held: list[pa.RecordBatch] = []
+    for batch in slices(batches):
+        held.append(batch)
+        if sum(x.column("text").nbytes for x in held) >= 5 * SHARD:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, n_words, n_hit, spans (words hit, [begin, end) in code points, merged) and items of each row of docs, and the columns to keep as the struct kept.
 
-    benchmark: item_id, text. Its items are broadcast `block` at a time; a row's spans over several blocks are merged.
+    benchmark: item_id, text; block: bytes of its texts that are searched in one pass.
     """
     spark = docs.sparkSession
-    docs = texts(docs, keep).withColumn("row", F.monotonically_increasing_id())
-    carried, item_kind = ["doc_id", "text", "kept"][: 2 + bool(keep)], benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"row long, {fields(docs, *carried)}n_words long, at array<struct<begin:long,end:long>>, items array<{item_kind}>"
-    spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    passes, group = [], []
-
-    def scanned(items: list[tuple]) -> DataFrame:
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            look = Windows(held.value, width)
-            shard: list = []
-            rows: list = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                hits = _scan(shard, look) if len(look.rows) else {}
-                none = ([], ())
-                row, *rest = zip(*rows, strict=True)
-                spans = [[{"begin": b, "end": e} for b, e in hits.get(i, none)[0]] for i in range(len(rows))]
-                columns = [pa.array(row, pa.int64()), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True)), pa.array([n for _, n in shard], pa.int64()), pa.array(spans, spans_type), pa.array([sorted(hits.get(i, none)[1]) for i in range(len(rows))], pa.list_(items_of))]
-                return pa.RecordBatch.from_arrays(columns, ["row", *carried, "n_words", "at", "items"])
-
-            for batch in batches:
-                kinds = [batch.schema.field(c).type for c in carried]
-                for row in zip(*(batch.column(c).to_pylist() for c in ("row", *carried)), strict=True):
-                    found = words(row[2].encode())
-                    get = look.symbol.get
-                    symbols = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-                    shard.append((symbols, len(found)))
-                    rows.append(row)
-                    size += len(found) + 100
-                    if size >= SHARD:
-                        yield flush()
-                        shard, rows, size = [], [], 0
-            if rows:
-                yield flush()
-
-        return docs.mapInArrow(run, schema)
-
-    items_of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-    for r in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id").toLocalIterator():
-        group.append((r.item_id, r.text))
-        if len(group) == block:
-            passes.append(scanned(group))
-            group = []
-    if group or not passes:
-        passes.append(scanned(group))
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more.withColumn("text", F.lit(None).cast("string")))
-    if passes[1:]:
-        found = found.groupBy("row").agg(*(F.first(c, True).alias(c) for c in carried), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("at")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    docs = texts(docs, keep)
+    carried = docs.columns
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    item_kind, id_type = items.schema["item_id"].dataType.simpleString(), items.select("item_id").limit(0).toArrow().schema.field(0).type
+    out = f"{fields(docs, *carried)}n_words long, n_hit long, spans array<struct<begin:long,end:long>>, items array<{item_kind}>"
+    blocks = -(-items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block)
+    if blocks <= 1:
+        held = spark.sparkContext.broadcast(items.orderBy("item_id").toArrow().to_pylist())
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look = worker_holds("windows", held.value, lambda: Windows([x["text"] for x in held.value], width))
+            for batch in _together(batches):
+                sizes, hits = _hits([x.as_buffer().to_pybytes() for x in batch.column("text")], look, width)
+                spans = [_in_text(batch.column("text")[i].as_py(), hits[i][0]) if i in hits else [] for i in range(batch.num_rows)]
+                hit = [sum(e - b for b, e in hits[i][0]) if i in hits else 0 for i in range(batch.num_rows)]
+                ids = [sorted({held.value[k]["item_id"] for k in hits[i][1]} - {None}) if i in hits else [] for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, SPANS), pa.array(ids, pa.list_(id_type))], [*carried, "n_words", "n_hit", "spans", "items"])
+
+        return docs.mapInArrow(whole, out)
+
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    dealt = stored(items.withColumn("block", F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(blocks))), "items")
+    found = None
+    for k in range(blocks):
+        part = spark.sparkContext.broadcast(dealt.where(F.col("block") == k).orderBy("item_id").toArrow().to_pylist())
+
+        def scan(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            look = worker_holds("windows", part.value, lambda: Windows([x["text"] for x in part.value], width))
+            for batch in _together(batches):
+                _, hits = _hits([x.as_buffer().to_pybytes() for x in batch.column("text")], look, width)
+                row = batch.column("row").to_pylist()
+                columns = [pa.array([row[i] for i in hits], pa.int64()), pa.array([[{"begin": b, "end": e} for b, e in at] for at, _ in hits.values()], SPANS), pa.array([sorted({part.value[j]["item_id"] for j in x} - {None}) for _, x in hits.values()], pa.list_(id_type))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "at", "items"])
+
+        hit = stored(rows.select("row", "text").mapInArrow(scan, f"row long, at array<struct<begin:long,end:long>>, items array<{item_kind}>"), "hits")
+        part.unpersist()
+        found = hit if found is None else found.unionByName(hit)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = rows.join(found, "row", "left")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, hit = [], []
+        for batch in slices(batches):
+            sizes, hit, spans = [], [], []
             for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                if at:
-                    at = _merged(np.array([x["begin"] for x in at]), np.array([x["end"] for x in at]))
-                    where = [m.span() for m in WORD.finditer(text)]
-                    spans.append([{"begin": where[b][0], "end": where[e - 1][1]} for b, e in at])
-                else:
-                    spans.append([])
+                at = _merged(np.array([x["begin"] for x in at]), np.array([x["end"] for x in at])) if at else []
+                sizes.append(len(words(text.encode())))
+                spans.append(_in_text(text, at) if at else [])
                 hit.append(sum(e - b for b, e in at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "n_words")), pa.array(hit, pa.int64()), pa.array(spans, spans_type), batch.column("items")], [*carried, "n_words", "n_hit", "spans", "items"])
+            ids = [x or [] for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(sizes, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, SPANS), pa.array(ids, pa.list_(id_type))], [*carried, "n_words", "n_hit", "spans", "items"])
 
-    return found.mapInArrow(placed, f"{fields(docs, *carried)}n_words long, n_hit long, spans array<struct<begin:long,end:long>>, items array<{item_kind}>")
+    return joined.mapInArrow(placed, out)
 
 
 def remove(found: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ separates words and pieces don't cross it, so a text's log probability is the su
 over its words. Piece probabilities are learned by expectation maximisation (forward and backward
 sums) from the counts of every (language, word) of the training rows.
 
-Words are cut every LONGEST characters. A character outside the vocabulary is the unknown
-piece. A text that is null or has no letter is `und` with score 0, and so is every text
+A character outside the vocabulary is the unknown piece. Words of any length count whole: sums are
+kept as logarithms, and a word is worked through in parts between places that no piece crosses. A text that is null or
+has no letter is `und` with score 0, and so is every text
 where no row has been learned from; else the prediction is the language of highest posterior
 (the alphabetically first of equals) and score that posterior, 0 to 1. Rows are kept one for one;
 those with a null id are not learned from.
@@ -25,13 +26,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IntTable, fields, held_out, slices, small_batches, stored
+from .common import IntTable, fields, held_out, slices, stored, worker_holds
 
-LONGEST = 64
 ROUNDS = 2
 ADDED = 0.01  # to each piece's expected count
-#: Words that a worker counts before it passes them on, and that it remembers when it scores.
-COUNTED, REMEMBERED = 150_000, 100_000
+#: Words that a worker counts before it passes them on, and that it remembers when it scores; characters of these; characters summed at a time.
+COUNTED, REMEMBERED, CHARACTERS, PART = 150_000, 100_000, 2_000_000, 200_000
+#: Parts of words up to which all are worked through side by side, by their places; longer ones place by place.
+SIDE = 48
 LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
 
@@ -43,8 +45,53 @@ def load_pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in plain]
 
 
+class Arcs:
+    """The pieces that stand in many words, and the parts that these fall into: a part lies between two places that no piece crosses.
+
+    Places run on from word to word and part to part; a part of n characters has n + 1 of them. An arc goes from place to place.
+    """
+
+    def __init__(self, source, target, piece, part, first, last, word):
+        self.source, self.target, self.piece, self.part = source, target, piece, part
+        self.first, self.last, self.word = first, last, word  # of each part
+        self.size = int(last[-1]) + 1 if len(last) else 0
+        long = (last - first > SIDE)[part]
+        side = np.flatnonzero(~long)
+        step = (source - first[part])[side] * 1_000 + (target - source)[side]  # arcs of one step never share a source or a target
+        side = side[np.argsort(step, kind="stable")]
+        self.steps = np.split(side, np.flatnonzero(np.diff(np.sort(step))) + 1)
+        self.long = np.flatnonzero(long)
+
+    def forward(self, log_p: np.ndarray) -> np.ndarray:
+        """The log probability of what each part has before each place, a column a language."""
+        a = np.full((self.size, log_p.shape[1]), -np.inf)
+        a[self.first] = 0.0
+        for at in self.steps:
+            to = self.target[at]
+            a[to] = np.logaddexp(a[to], a[self.source[at]] + log_p[self.piece[at]])
+        at = self.long[np.argsort(self.target[self.long], kind="stable")]
+        for group in np.split(at, np.flatnonzero(np.diff(self.target[at])) + 1) if len(at) else ():
+            x = a[self.source[group]] + log_p[self.piece[group]]
+            top = x.max(0)
+            a[self.target[group[0]]] = top + np.log(np.exp(x - top).sum(0))
+        return a
+
+    def backward(self, log_p: np.ndarray) -> np.ndarray:
+        """The log probability of what each part has behind each place, in one language."""
+        z = np.full(self.size, -np.inf)
+        z[self.last] = 0.0
+        for at in reversed(self.steps):
+            begin = self.source[at]
+            z[begin] = np.logaddexp(z[begin], z[self.target[at]] + log_p[self.piece[at]])
+        at = self.long[np.argsort(-self.source[self.long], kind="stable")]
+        for group in np.split(at, np.flatnonzero(np.diff(self.source[at])) + 1) if len(at) else ():
+            x = z[self.target[group]] + log_p[self.piece[group]]
+            z[self.source[group[0]]] = x.max() + np.log(np.exp(x - x.max()).sum())
+        return z
+
+
 class Vocabulary:
-    """Finds all pieces within many words at once: a trie in a hash table, walked by arrays."""
+    """Finds all pieces within many words at once: a trie in a hash table, walked from every character side by side."""
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1  # the last is the unknown piece
@@ -58,103 +105,87 @@ class Vocabulary:
             piece[nodes[p]] = k
         self.edges = IntTable(np.array(list(edges), np.int64), np.array(list(edges.values()), np.int64))
         self.piece = np.array(piece)
-        self.longest = max(map(len, pieces), default=1)
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, int, list[tuple[int, int, np.ndarray, np.ndarray]]]:
-        """Lengths of the words with their leading space mark, the greatest, and for each (begin, end) the words and pieces that stand there."""
+    def arcs(self, words: list[str]) -> Arcs:
+        """All pieces of the words, each with a leading space mark; a character that is no piece by itself is the unknown piece too."""
         words = ["▁" + w for w in words]
-        lengths = np.array([len(w) for w in words])
-        width = int(lengths.max())
-        codes = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width).astype(np.int64)
-        out = []
-        for b in range(width):
-            row = np.flatnonzero(lengths > b)
-            node, single = np.zeros(len(row), np.int64), np.zeros(len(words), bool)
-            for n in range(1, min(self.longest, width - b) + 1):
-                inside = lengths[row] >= b + n
-                row, node = row[inside], node[inside]
-                node = self.edges.get(node << 21 | codes[row, b + n - 1])
-                row, node = row[node >= 0], node[node >= 0]
-                if not len(row):
-                    break
-                piece = self.piece[node]
-                ends = piece >= 0
-                if n == 1:
-                    single[row[ends]] = True
-                out.append((b, b + n, row[ends], piece[ends]))
-            lone = np.flatnonzero(~single & (lengths > b))
-            if len(lone):
-                out.append((b, b + 1, lone, np.full(len(lone), self.size - 1)))
-        return lengths, width, out
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        lengths = np.array([len(w) for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), lengths)
+        stop = np.cumsum(lengths)[word]
+        at, node, begins, sizes, pieces, n = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], [], [], 0
+        while len(at):
+            node = self.edges.get(node << 21 | codes[at + n])
+            n += 1
+            alive = node >= 0
+            at, node = at[alive], node[alive]
+            piece = self.piece[node]
+            ends = piece >= 0
+            begins.append(at[ends])
+            sizes.append(np.full(int(ends.sum()), n))
+            pieces.append(piece[ends])
+            if n == 1:
+                lone = np.ones(len(codes), bool)
+                lone[at[ends]] = False
+                lone = np.flatnonzero(lone)
+                begins.append(lone)
+                sizes.append(np.ones(len(lone), np.int64))
+                pieces.append(np.full(len(lone), self.size - 1))
+            inside = at + n < stop[at]
+            at, node = at[inside], node[inside]
+        begin, size, piece = (np.concatenate(x) for x in (begins, sizes, pieces))
+        crossed = np.cumsum(np.bincount(begin + 1, minlength=len(codes) + 2) - np.bincount(begin + size, minlength=len(codes) + 2))[: len(codes)]
+        cut = crossed == 0
+        part = np.cumsum(cut) - 1
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(codes))
+        shift = np.arange(len(first))
+        return Arcs(begin + part[begin], begin + size + part[begin], piece, part[begin], first + shift, last + shift, word[first])
+
+
+def _in_parts(words: list[str]) -> Iterator[slice]:
+    """Slices of the words of about PART characters each."""
+    begin = size = 0
+    for i, w in enumerate(words):
+        size += len(w) + 1
+        if size >= PART:
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+    if begin < len(words):
+        yield slice(begin, len(words))
 
 
 def forward(vocabulary: Vocabulary, words: list[str], p: np.ndarray) -> np.ndarray:
     """The log probability of each word (row) in each language (column); p: a column of piece probabilities a language."""
-    total = np.zeros((len(words), p.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for c in range(0, len(order), 20_000):
-        part = order[c : c + 20_000]
-        lengths, width, arcs = vocabulary.arcs([words[i] for i in part])
-        a = np.zeros((width + 1, len(part), p.shape[1]))
-        a[0] = 1.0
-        scale = np.zeros((len(part), p.shape[1]))
-        done = np.zeros((len(part), p.shape[1]))
-        at = 0
-        for b, e, row, piece in arcs:  # in order of begin
-            if b != at:
-                at = b
-                if b % 8 == 0:  # keeps long words within the range of doubles
-                    top = a[b : b + vocabulary.longest + 1].max(0)
-                    top[top == 0] = 1.0
-                    a[b:] /= top
-                    scale += np.log(top)
-                ended = lengths == b
-                done[ended] = np.log(a[b, ended]) + scale[ended]
-            a[e, row] += a[b, row] * p[piece]
-        ended = lengths == width
-        done[ended] = np.log(a[width, ended]) + scale[ended]
-        # A length that no arc begins at (the last of shorter words) has been read above, in passing.
-        total[part] = done
+    total, log_p = np.zeros((len(words), p.shape[1])), np.log(p)
+    for part in _in_parts(words):
+        arcs = vocabulary.arcs(words[part])
+        ended = arcs.forward(log_p)[arcs.last]
+        for g in range(p.shape[1]):
+            total[part, g] = np.bincount(arcs.word, ended[:, g], len(words[part]))
     return total
 
 
 def expected(vocabulary: Vocabulary, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The expected number of each piece in the words of one language, over all their segmentations."""
-    out = np.zeros(vocabulary.size)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for c in range(0, len(order), 20_000):
-        part = order[c : c + 20_000]
-        lengths, width, arcs = vocabulary.arcs([words[i] for i in part])
-        # Each character weighs as much as a middling one: sums stay within the range of doubles.
-        unit = 1 / p[:-1].mean() ** 0.5
-        a, z = np.zeros((width + 1, len(part))), np.zeros((width + 1, len(part)))
-        a[0], z[lengths, np.arange(len(part))] = 1.0, 1.0
-        for b, e, row, piece in arcs:
-            a[e, row] += a[b, row] * p[piece] * unit ** (e - b)
-        whole = counts[part] / np.maximum(a[lengths, np.arange(len(part))], 1e-300)
-        for b, e, row, piece in reversed(arcs):
-            x = p[piece] * unit ** (e - b) * z[e, row]
-            z[b, row] += x
-            out += np.bincount(piece, x * a[b, row] * whole[row], vocabulary.size)
+    out, log_p = np.zeros(vocabulary.size), np.log(p)
+    for part in _in_parts(words):
+        arcs = vocabulary.arcs(words[part])
+        a, z = arcs.forward(log_p[:, None])[:, 0], arcs.backward(log_p)
+        share = np.exp(a[arcs.source] + log_p[arcs.piece] + z[arcs.target] - a[arcs.last][arcs.part])
+        out += np.bincount(arcs.piece, share * counts[part][arcs.word][arcs.part], vocabulary.size)
     return out
 
 
-def cut_words(text: str) -> list[str]:
-    found = text.split()
-    if len(text) > LONGEST and any(len(w) > LONGEST for w in found):
-        return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
-
-
 def train(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their shares of the rows, and a column of piece probabilities for each. docs: text, lang, all learned from."""
     spark = docs.sparkSession
-    small_batches(spark)
     pieces = load_pieces(vocabulary_path)
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, c in seen.items():
@@ -163,8 +194,10 @@ def train(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> tuple[
 
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(cut_words(text))
-            if sum(map(len, seen.values())) > COUNTED:
+                seen.setdefault(lang, Counter()).update(text.split())
+                size += len(text)
+            if sum(map(len, seen.values())) > COUNTED or size > 20 * CHARACTERS:
+                size = 0
                 yield from flush()
         yield from flush()
 
@@ -178,7 +211,7 @@ def train(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> tuple[
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces, langs, p = held.value  # noqa: B023
-            vocabulary, sums = _vocabulary(pieces), np.zeros((len(langs), len(pieces) + 1))
+            vocabulary, sums = _vocabulary(held.value), np.zeros((len(langs), len(pieces) + 1))
             held_rows: list[list] = [[], [], []]
 
             def flush() -> None:
@@ -206,31 +239,25 @@ def train(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> tuple[
     return langs, np.array([shares[x] for x in langs], float) / max(1, sum(shares.values())), p
 
 
-_held: dict = {}
-
-
-def _vocabulary(pieces: list[str]) -> Vocabulary:
-    """One worker's trie of the pieces last asked for."""
-    if _held.get("pieces") != pieces:
-        _held.update(pieces=pieces, trie=Vocabulary(pieces))
-    return _held["trie"]
+def _vocabulary(source: tuple) -> Vocabulary:
+    """One worker's trie of the pieces that come first in a broadcast value."""
+    return worker_holds("langid", source, lambda: Vocabulary(source[0]))
 
 
 def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.ndarray, np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text), log_probs, the languages' posteriors' logarithms in alphabetical order, and, if columns are to be kept, text and those as the struct kept."""
     held = docs.sparkSession.sparkContext.broadcast((load_pieces(vocabulary_path), *model))
-    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", *([F.struct(*keep).alias("kept")] if keep else []))
     carried = docs.columns if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, shares, p = held.value
-        vocabulary, index, table = _vocabulary(pieces), {}, np.zeros((0, len(langs)))
+        vocabulary, index, table = _vocabulary(held.value), {}, np.zeros((0, len(langs)))
         for batch in slices(batches):
             places, whole = [], []
             for text in batch.column("text").to_pylist():
                 if text and langs and LETTER.search(text):
-                    places.append(np.array([index.setdefault(w, len(index)) for w in cut_words(text)]))
+                    places.append(np.array([index.setdefault(w, len(index)) for w in text.split()]))
                     whole.append(True)
                 else:
                     whole.append(False)
@@ -252,7 +279,7 @@ def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.nd
                     names.append("und")
                     scores.append(0.0)
                     logs.append([])
-            if len(index) > REMEMBERED:
+            if len(index) > REMEMBERED or sum(map(len, index)) > CHARACTERS:
                 index, table = {}, np.zeros((0, len(langs)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(logs, pa.list_(pa.float64()))], [*carried, "lang_pred", "score", "log_probs"])
 

@@ -1,14 +1,19 @@
 """Personal data by patterns and a skip-chain conditional random field (operator 2).
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by their patterns. The
-field's nodes are the tokens with a digit or an @, labelled `none` or with one of the kinds;
-every other token is `none`. Its potentials: the token's shape and its neighbours
-(a logistic regression), adjacent nodes (chain), and the next token of the document with the same
-digits or letters, however far off (skip chain). Each is fitted on its own (piecewise) to
-the base's findings in at most SAMPLE documents and ROWS tokens, drawn by a hash of the
-id. Tokens within base spans keep their kind; sum-product messages pass over the loopy graph
-of all documents of a batch at once, so a kind spreads to what repeats it in another form. Runs of
-tokens whose belief in one kind reaches SURE and that no base span overlaps become spans.
+field's nodes are the base spans, whose kind is given, and the other mentions: tokens with a digit or an @ (numbers beside each other are one), and
+addresses whose @ is spelled `(at)`. A mention is `none` or one of the kinds. What speaks for a label: the mention's
+form, whether its digits pass a kind's check, the words around it (unary); the mention beside it (chain);
+and the last mention of the document that is the same, or similar, however far off (skip chains): the same
+digits or address in any form, or the same last seven digits or the same local part.
+
+All potentials are fitted together by the pseudo-likelihood of each mention given its neighbours, to
+the base's findings in at most SAMPLE documents and ROWS mentions, drawn by a hash. The base doesn't know a
+repeat in another form, so a mention that is none of the base's but like one of them has no label there and teaches
+nothing. Instead each mention is learned again as its own repeat would look: without its form, without its form and
+the words around it but the same as itself, and similar to itself. Loopy sum-product messages
+pass over all documents of a batch at once. A mention whose belief in one kind reaches SURE becomes a span if it passes that
+kind's check, or if skip chains join it with a base span of that kind.
 
 Null and empty texts have no spans. Rows are kept one for one; the result doesn't depend on
 other columns. Positions are code points, ends exclusive.
@@ -18,6 +23,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from heapq import merge
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +37,11 @@ from .common import fields, map_batches, texts
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, ROWS = 50_000, 200_000
 FEATURES = 4_096
-STEPS, SURE = 12, 0.6
-#: Skip edges start from so many agreements of each label: the patterns miss repeats in another form, which would teach that they differ.
-AGREE = 20.0
+STEPS, SURE, ROUNDS = 12, 0.6, 150
+#: Kinds of edges: beside each other, the same, similar.
+EDGES = ("chain", "same", "similar")
 
-ANY = re.compile("[0-9@]")
+ANY = re.compile(r"[0-9@]|[\[({<][Aa][Tt][\])}>]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,8 +49,10 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
-DIGITS = re.compile("[^0-9]+")
+TOKEN = re.compile(r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|[A-Za-z0-9._%+-]++[\[({<][Aa][Tt][\])}>][A-Za-z0-9.-]++)")
+NUMBER = re.compile(r"[0-9().+/_-]*\Z")
+SPELLED = re.compile(r"[\[({<](at|dot)[\])}>]")
+DIGITS = re.compile("[^0-9]+")  # all but digits
 Spans = list[tuple[str, int, int]]
 
 
@@ -52,6 +61,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octets(parts: list[str]) -> bool:
+    """Whether all are at most 255, of any length: Python reads no integers of thousands of digits."""
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in parts))
+
+
 def emails(text: str) -> Spans:
     """From each @ back over its local part and on over its domain: linear, where a search from the left is not."""
     out, end, at = [], 0, text.find("@")
@@ -70,7 +84,7 @@ def emails(text: str) -> Spans:
 def base(text: str) -> Spans:
     """The spans of the patterns, by kind as listed, then start."""
     out = emails(text)
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if octets(m[0].split("."))]
     for m in CARD.finditer(text):
         digits = DIGITS.sub("", m[0]) if m.end() - m.start() >= 16 else ""
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -83,7 +97,6 @@ _SHAPE = ((re.compile("[0-9]+"), "9"), (re.compile("[A-Z]+"), "A"), (re.compile(
 
 
 def shape(token: str) -> str:
-    token = token[:200]
     for pattern, sign in _SHAPE:
         token = pattern.sub(sign, token)
     return token
@@ -93,87 +106,156 @@ def _bucket(name: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{name}={value}") % FEATURES
 
 
-def nodes(text: str, spans: Spans) -> list[tuple[int, int, int, list[int], str, bool]]:
-    """(begin, end, label, features, key, follows the node before) of each token with a digit or an @."""
-    out, last = [], -1
-    spans = sorted(spans, key=lambda s: s[1:])
+def checks(token: str, digits: str) -> list[bool]:
+    """Whether a mention could be of each kind, in any form."""
+    local, _, domain = SPELLED.sub(lambda m: "@" if m[1] == "at" else ".", token.lower()).partition("@")
+    parts = [p for p in DIGITS.split(token) if p] if len(digits) <= 12 else []
+    return [bool(local and DOMAIN.fullmatch(domain)), len(parts) == 4 and octets(parts), 16 <= len(digits) <= 19 and luhn(digits), 8 <= len(digits) <= 15]
+
+
+def features(text: str, begin: int, end: int, digits: str) -> tuple[list[int], list[int]]:
+    """Of a mention: what another form of it would share, and its form."""
+    token = text[begin:end]
+    before, after = text[max(0, begin - 40) : begin].split(), text[end : end + 40].split()
+    passed = "".join("01"[x] for x in checks(token, digits))
+    same = [_bucket("checks", passed), _bucket("digits", str(min(len(digits), 20))), _bucket("before", before[-1].lower() if before else "^"), _bucket("after", after[0].lower() if after else "$"), _bucket("all", "")]
+    return same, [_bucket("shape", shape(token)), _bucket("length", str(min(len(token), 24))), _bucket("at", str("@" in token)), _bucket("dots", str(min(token.count("."), 5)))]
+
+
+class Node(NamedTuple):
+    begin: int
+    end: int
+    label: int
+    same: str  # equal for the same datum in any form, or empty
+    similar: str
+    beside: bool  # nothing but white space stands between it and the node before
+
+
+def keys(token: str, digits: str) -> tuple[str, str]:
+    low = SPELLED.sub(lambda m: "@" if m[1] == "at" else ".", token.lower())
+    local, at, domain = low.partition("@")
+    if at:
+        return low, f"{local}@" if len(local) >= 3 else ""
+    if any(map(str.isalpha, low)):
+        return (low, "") if len(low) >= 4 else ("", "")
+    return (digits if len(digits) >= 4 else ""), (digits[-7:] if len(digits) >= 7 else "")
+
+
+def nodes(text: str, spans: Spans) -> list[Node]:
+    """The base spans and the other mentions, in order; spans that overlap an earlier one are no nodes."""
+    found: list[list] = []  # begin, end, label
+    last = 0
+    for kind, b, e in sorted(spans, key=lambda s: s[1:]):
+        if b >= last:
+            found.append([b, e, 1 + KINDS.index(kind)])
+            last = e
+    given, k, free = found, 0, []
     for m in TOKEN.finditer(text):
         b, e = m.span()
-        token = m[0].strip(".,;:!?()[]{}<>\"'|=")
-        begin = b + max(0, m[0].find(token)) if token else b
-        end = begin + len(token) if token else e
-        label = next((1 + KINDS.index(k) for k, s, t in spans if s < end and begin < t), 0)
-        digits = DIGITS.sub("", token)
-        before, after = text[max(0, b - 40) : b].split(), text[e : e + 40].split()
-        features = [_bucket("shape", shape(token)), _bucket("length", str(min(len(token), 24))), _bucket("digits", str(min(len(digits), 20))), _bucket("at", str("@" in token)), _bucket("dots", str(min(token.count("."), 5))), _bucket("before", shape(before[-1]) if before else "^"), _bucket("after", shape(after[0]) if after else "$"), 0]
-        out.append((begin, end, label, features, digits if len(digits) >= 4 else token.lower(), last >= 0 and text[last:b].isspace()))
-        last = e
+        while k < len(given) and given[k][1] <= b:
+            k += 1
+        if k < len(given) and given[k][0] < e:
+            continue
+        token = m[0].strip(".,;:!?[]{}<>\"'|=")
+        b += max(0, m[0].find(token)) if token else 0
+        e = b + len(token) if token else e
+        if free and free[-1][1] + 1 == b and text[b - 1].isspace() and e - free[-1][0] <= 40 and NUMBER.match(token) and NUMBER.match(text, free[-1][0], free[-1][1]):
+            free[-1][1] = e
+        else:
+            free.append([b, e, 0])
+    out, end = [], -1
+    for b, e, label in merge(given, free):
+        digits = DIGITS.sub("", text[b:e])
+        out.append(Node(b, e, label, *keys(text[b:e], digits), end >= 0 and text[end:b].isspace()))
+        end = e
     return out
 
 
-def _edges(found: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain and skip edges (pairs of node numbers) over the documents' nodes, numbered in order."""
-    chain, skip, k = [], [], 0
+def _edges(found: list[list[Node]]) -> list[np.ndarray]:
+    """Edges of each kind (pairs of node numbers) over the documents' nodes, numbered in order."""
+    out: list[list] = [[], [], []]
+    k = 0
     for doc in found:
         seen: dict[str, int] = {}
-        for i, node in enumerate(doc):
-            if node[5]:
-                chain.append((k + i - 1, k + i))
-            if node[4] in seen:
-                skip.append((seen[node[4]], k + i))
-            seen[node[4]] = k + i
+        like: dict[str, int] = {}
+        for i, n in enumerate(doc, k):
+            if n.beside:
+                out[0].append((i - 1, i))
+            if n.same in seen:
+                out[1].append((seen[n.same], i))
+            elif n.similar in like:
+                out[2].append((like[n.similar], i))
+            if n.same:
+                seen[n.same] = i
+            if n.similar:
+                like[n.similar] = i
         k += len(doc)
-    return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
-
-
-def _log_ratio(pairs: np.ndarray, agree: float = 0.0) -> np.ndarray:
-    """How much likelier two labels stand together than apart, within e^-4 and e^4; agree: pairs of equal labels counted beforehand."""
-    pairs = pairs + 0.5 + agree * np.eye(len(pairs))
-    pairs = pairs / pairs.sum()
-    return np.clip(np.log(pairs / np.outer(pairs.sum(1), pairs.sum(0))), -4, 4)
+    return [np.array(x, np.int64).reshape(-1, 2) for x in out]
+
+
+class Field(NamedTuple):
+    """Weights of the unary features, and the potentials of each kind of edge; labels are the columns."""
+
+    unary: np.ndarray
+    pairs: list[np.ndarray]
+
+
+def examples(text: str) -> list[tuple[int, list[int]]]:
+    """(label, features) of each mention whose label is known, as it is and as its repeats would be; a neighbour's label is a feature."""
+    doc = nodes(text, base(text))
+    edges = _edges([doc])
+    unknown = {a for e in edges[1:] for a, b in [*e.tolist(), *e[:, ::-1].tolist()] if not doc[a].label and doc[b].label}
+    around: list[list[int]] = [[] for _ in doc]
+    for kind, e in enumerate(edges):
+        for a, b in [*e.tolist(), *e[:, ::-1].tolist()]:
+            if b not in unknown:
+                around[a].append(FEATURES + kind * (len(KINDS) + 1) + doc[b].label)
+    out = []
+    for i, n in enumerate(doc):
+        if i not in unknown:
+            same, form = features(text, n.begin, n.end, DIGITS.sub("", text[n.begin : n.end]))
+            alike = [FEATURES + kind * (len(KINDS) + 1) + n.label for kind in (1, 2)]
+            out += [(n.label, sorted(x)) for x in (same + form + around[i], same + around[i], [*same[:2], same[-1], alike[0]], [same[-1], alike[1]])]
+    return out
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unary weights (features x labels), chain and skip potentials (labels x labels)."""
+def fit(docs: DataFrame) -> Field:
     docs = texts(docs)
-    size = docs.count()
-    share = min(1.0, SAMPLE / max(1, size))
-    drawn = docs.where((F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < int(1_000_003 * share)) if share < 1 else F.lit(True))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where((F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < int(1_000_003 * share)) if share < 1 else F.lit(True))
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows: list[tuple[str, list[int], int, int]] = []
-        for text in batch.column("text").to_pylist():
-            if not ANY.search(text):
-                continue
-            doc = nodes(text, base(text))
-            rows += [("unary", n[3], n[2], 0) for n in doc]
-            for name, edges in zip(("chain", "skip"), _edges([doc]), strict=True):
-                rows += [(name, [], doc[i][2], doc[j][2]) for i, j in edges.tolist()]
+        rows = [x for text in batch.column("text").to_pylist() if ANY.search(text) for x in examples(text)]
         if rows:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64()), strict=True)], ["factor", "features", "y", "z"])
-
-    counts = map_batches(drawn, gather, "factor string, features array<int>, y long, z long").groupBy("factor", "features", "y", "z").agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.xxhash64("factor", "features", "y", "z"), "factor", "features", "y", "z").limit(ROWS).collect()
-    k = len(KINDS) + 1
-    pairs = {"chain": np.zeros((k, k)), "skip": np.zeros((k, k))}
-    for r in rows:
-        if r.factor != "unary":
-            pairs[r.factor][r.y, r.z] += r.n
-    weights = np.zeros((FEATURES, k))
-    if unary := [r for r in rows if r.factor == "unary"]:
-        x, y, n = np.array([r.features for r in unary]), np.array([r.y for r in unary]), np.array([r.n for r in unary], float)
-        n /= n.sum()
-        squares = np.full_like(weights, 1e-8)
-        for _ in range(150):
-            z = weights[x].sum(1)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            slope = 1e-5 * weights
-            np.add.at(slope, x, (p * n[:, None])[:, None, :])
-            squares += slope**2
-            weights -= 0.5 * slope / np.sqrt(squares)
-    return weights, _log_ratio(pairs["chain"] + pairs["chain"].T), _log_ratio(pairs["skip"] + pairs["skip"].T, AGREE)
+            return pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int32()))], ["y", "x"])
+
+    counts = map_batches(some, gather, "y long, x array<int>").groupBy("y", "x").agg(F.count("*").alias("n"))
+    rows = counts.orderBy(F.xxhash64("y", "x"), "y", "x").limit(ROWS).collect()
+    return learned([(r.y, r.x, r.n) for r in rows])
+
+
+def learned(rows: list[tuple[int, list[int], int]]) -> Field:
+    """The field of greatest pseudo-likelihood, a little drawn to zero; rows: label, features, times. Edge potentials are kept symmetric."""
+    k, kinds = len(KINDS) + 1, len(EDGES)
+    size = FEATURES + kinds * k
+    w, squares = np.zeros((size, k)), np.full((size, k), 1e-8)
+    y, n = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], float)
+    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    x = np.array([f for r in rows for f in r[1]], np.int64)
+    n /= max(1.0, n.sum())
+    for _ in range(ROUNDS if len(rows) else 0):
+        z = np.stack([np.bincount(row, w[x, g], len(rows)) for g in range(k)], 1)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p *= n[:, None]
+        slope = 1e-5 * w + np.stack([np.bincount(x, p[row, g], size) for g in range(k)], 1)
+        for e in range(kinds):
+            at = slice(FEATURES + e * k, FEATURES + (e + 1) * k)
+            slope[at] = (slope[at] + slope[at].T) / 2
+        squares += slope**2
+        w -= 0.5 * slope / np.sqrt(squares)
+    return Field(w[:FEATURES], [w[FEATURES + e * k : FEATURES + (e + 1) * k] for e in range(kinds)])
 
 
 def beliefs(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS) -> np.ndarray:
@@ -202,36 +284,56 @@ def beliefs(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], steps
     return out / out.sum(1, keepdims=True)
 
 
-def spans_of(found: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[Spans, Spans]]:
+def _joined(doc: list[Node], edges: list[tuple[int, int]]) -> list[set[int]]:
+    """The kinds of base spans that skip chains join each node with."""
+    above = list(range(len(doc)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    for a, b in edges:
+        above[top(a)] = top(b)
+    kinds: dict[int, set[int]] = {}
+    for i, n in enumerate(doc):
+        kinds.setdefault(top(i), set()).add(n.label)
+    return [kinds[top(i)] - {0} for i in range(len(doc))]
+
+
+def spans_of(found: list[str], model: Field) -> list[tuple[Spans, Spans]]:
     """Base spans and all spans of each text."""
-    weights, chain_w, skip_w = model
     bases = [base(x) if ANY.search(x) else [] for x in found]
     docs = [nodes(x, s) if ANY.search(x) else [] for x, s in zip(found, bases, strict=True)]
-    flat = [n for doc in docs for n in doc]
-    if not flat:
+    label = np.array([n.label for doc in docs for n in doc], np.int64)
+    if not len(label):
         return [(s, s) for s in bases]
-    unary = weights[np.array([n[3] for n in flat])].sum(1)
-    unary -= unary.max(1, keepdims=True)
-    label = np.array([n[2] for n in flat])
     pinned = label > 0
-    unary[pinned] = -50.0
+    unary = np.full((len(label), len(KINDS) + 1), -50.0)
     unary[pinned, label[pinned]] = 0.0
-    chain, skip = _edges(docs)
-    belief = beliefs(unary, [(chain, chain_w), (skip, skip_w)])
+    free = [features(text, n.begin, n.end, DIGITS.sub("", text[n.begin : n.end])) for text, doc in zip(found, docs, strict=True) for n in doc if not n.label]
+    if free:
+        own = np.stack([model.unary[a + b].sum(0) for a, b in free])
+        unary[~pinned] = own - own.max(1, keepdims=True)
+    edges = _edges(docs)
+    belief = beliefs(unary, list(zip(edges, model.pairs, strict=True)))
     best = np.where(belief.max(1) >= SURE, belief.argmax(1), 0)
+    skip = np.concatenate(edges[1:])
+    skip = skip[np.argsort(skip[:, 1], kind="stable")]
+    cuts = np.searchsorted(skip[:, 1], np.cumsum([0, *map(len, docs)]))
     out, k = [], 0
-    for s, doc in zip(bases, docs, strict=True):
-        added: list[list] = []
-        joined = -2
-        for i, node in enumerate(doc):
-            if best[k + i] and not pinned[k + i]:
-                kind = KINDS[best[k + i] - 1]
-                if node[5] and joined == i - 1 and added[-1][0] == kind:
-                    added[-1][2] = node[1]
-                else:
-                    added.append([kind, node[0], node[1]])
-                joined = i
-        every = sorted([*s, *map(tuple, added)], key=lambda x: (KINDS.index(x[0]), x[1])) if added else s
+    for text, s, doc, low, high in zip(found, bases, docs, cuts[:-1], cuts[1:], strict=True):
+        added: list[tuple[str, int, int]] = []
+        if best[k : k + len(doc)][~pinned[k : k + len(doc)]].any():
+            joined = _joined(doc, (skip[low:high] - k).tolist())
+            for i, n in enumerate(doc):
+                kind = int(best[k + i])
+                if kind and not n.label:
+                    token = text[n.begin : n.end]
+                    if kind in joined[i] or checks(token, DIGITS.sub("", token))[kind - 1]:
+                        added.append((KINDS[kind - 1], n.begin, n.end))
+        every = sorted([*s, *added], key=lambda x: (KINDS.index(x[0]), x[1])) if added else s
         out.append((s, every))
         k += len(doc)
     return out
@@ -240,37 +342,43 @@ def spans_of(found: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray])
 _SPAN = pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
-def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def _held_model(docs: DataFrame, model: Field | None):
+    return docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+
+
+def find(docs: DataFrame, model: Field | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, base and spans (arrays of kind, begin, end) of each row of docs (doc_id, text), and the columns to keep as the struct kept."""
-    docs = texts(docs, keep)
-    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    held, docs = _held_model(docs, model), texts(docs, keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = spans_of(batch.column("text").to_pylist(), held.value)
         arrays = [pa.array([[dict(zip(("kind", "begin", "end"), s, strict=True)) for s in x[i]] for x in both], pa.list_(_SPAN)) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in docs_columns), *arrays], [*docs_columns, "base", "spans"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "base", "spans"])
 
-    docs_columns = docs.columns
     span = "array<struct<kind:string,begin:long,end:long>>"
-    return map_batches(docs, run, f"{fields(docs, *docs_columns)}base {span}, spans {span}")
+    return map_batches(docs, run, f"{fields(docs, *docs.columns)}base {span}, spans {span}")
 
 
-def mask(found: DataFrame) -> DataFrame:
-    """The columns doc_id, text and kept, in text each span (overlapping ones as one, by the first's kind) replaced by [KIND]."""
+def masked(text: str, spans: Spans) -> str:
+    """The text with each span (overlapping ones as one, by the first's kind) replaced by [KIND]."""
+    parts, at = [], 0
+    for kind, b, e in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if b >= at:
+            parts += [text[at:b], f"[{kind.upper()}]"]
+        at = max(at, e)
+    return "".join([*parts, text[at:]]) if parts else text
+
+
+def mask(docs: DataFrame, model: Field | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text with personal data replaced by their kinds, and kept, of each row of docs."""
+    held, docs = _held_model(docs, model), texts(docs, keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            parts, at = [], 0
-            for s in sorted(spans, key=lambda s: (s["begin"], -s["end"])):
-                if s["begin"] >= at:
-                    parts += [text[at : s["begin"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            out.append("".join([*parts, text[at:]]) if parts else text)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out, pa.string())], [*carried, "text"])
-
-    carried = [c for c in found.columns if c in ("doc_id", "kept")]
-    return map_batches(found.select(*carried, "text", "spans"), run, f"{fields(found, *carried)}text string")
+        found = batch.column("text").to_pylist()
+        new = [masked(x, every) for x, (_, every) in zip(found, spans_of(found, held.value), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return map_batches(docs, run, fields(docs, *docs.columns)[:-2])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -3,14 +3,17 @@
 Candidates are runs of at least SHORTEST key characters with a digit or of mixed case, strings of the
 known key formats wherever they stand alone, and values of at least 8 characters of any kind
 assigned to words like password or token: all within the quotes, or all up to white space or a quote without the
-punctuation behind. Labelled findings train the forest: known key formats
-and assigned values of some variety are secrets; candidates that are part of an address, a
-number or a plain word, or that repeat one character, are false positives; others are unlabelled. The forest
-doesn't see the formats. It sees the length, how likely the characters' transitions are in the corpus,
-the share of dictionary words, the variety of characters and their kinds, the path (the hashed
-source), and the hashed words before and after, and scores every candidate.
-
-The dictionary is the WORDS most frequent words of all texts at most, the transitions are counted over all
+punctuation behind. Findings are labelled where there is no doubt: known key formats
+and assigned values of great variety are secrets; candidates that are part of an address, a
+number or a plain word, or that repeat few characters, are false positives. All others have no label: bare strings such as
+digests, and assigned values that may be words, names or placeholders. The forest decides on every candidate. It
+doesn't see formats, labels or assignments: it sees the length, how likely the characters' transitions are in the corpus,
+the share of characters within dictionary words, the variety of characters and their kinds, the path (the hashed
+source), and the hashed words before and after.
+
+A fifth of the labelled findings, by a hash of their string, is held out: the forest never learns from these, and `held_out` marks them, so
+that precision and recall can be read from the result. The dictionary is every word of 4 to 16 letters that the texts have
+at least KNOWN times, the transitions are counted over all
 texts, and at most SAMPLE findings, drawn by hash, train the forest. Without findings of both
 kinds a candidate's own label decides and the score is null. One row for each candidate; null and
 empty texts have none; repeated rows have theirs each.
@@ -18,13 +21,13 @@ empty texts have none; repeated rows have theirs each.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .brown import counted
-from .common import drawn, most_frequent, stored, texts
+from .common import drawn, map_batches, spread_join, stored, texts
 
-SHORTEST, WORDS, SAMPLE, TREES, DEPTH, SEED = 16, 20_000, 50_000, 40, 8, 7
-BUCKETS = 8
+SHORTEST, SAMPLE, TREES, DEPTH, SEED = 16, 50_000, 40, 8, 7
+#: Occurrences from which on a word is in the dictionary; lengths of its words; buckets of hashed neighbours and paths.
+KNOWN, LENGTHS, BUCKETS = 20, range(4, 17), 32
 #: Values with which key strings of well-known services begin, and how they go on.
 _KEYS = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)"
 FORMATS = re.compile(rf"\A{_KEYS}\Z")
@@ -47,7 +51,9 @@ _NAMES = r"(?<![a-z])(?:password|passwd|pwd|token|secret|api_?key|access_?key|au
 ASSIGNED = re.compile(rf"(?i){_NAMES}\s*[=:]\s*[\"']?\Z")
 #: A value and what it is assigned to; one of the groups is the value.
 VALUE = re.compile(rf"(?i){_NAMES}[\"']?\s*[=:]\s*(?:\"([^\"\n]{{8,}})\"|'([^'\n]{{8,}})'|[\"']?([^\s\"']{{7,}}[^\s\"',;.)\]}}>]))")
-CANDIDATE = re.compile(r"(?<![\w+/=.@-])(?=[^\s]*[0-9A-Z])[A-Za-z0-9_+/-]{16,}={0,2}|(?<=[=:\"'])[A-Za-z0-9_+/.-]{8,}={0,2}")
+CANDIDATE = re.compile(r"(?<![\w+/=.@-])[A-Za-z0-9_+/-]{16,}={0,2}|(?<=[=:\"'])[A-Za-z0-9_+/.-]{8,}={0,2}")
+MARKED = re.compile("[0-9A-Z]")
+LETTERS = re.compile(r"[^\W\d_]{4,}")
 WORDLIKE = re.compile(r"\A[A-ZÀ-Þ]?[a-zß-ÿ]+\Z|\A[A-Z]+\Z")
 
 
@@ -61,7 +67,7 @@ def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
     for m in CANDIDATE.finditer(text):
         b, e = m.span()
         i = bisect(taken, (b, len(text))) - 1
-        if i >= 0 and e <= taken[i][1]:
+        if i >= 0 and e <= taken[i][1] or not MARKED.search(text, b, e):
             continue
         assigned = bool(ASSIGNED.search(text, max(0, b - 30), b))
         if assigned or e - b >= SHORTEST:
@@ -76,7 +82,7 @@ def label(token: str, assigned: bool, larger: bool) -> int | None:
         return 1
     if larger or token.isdigit() or WORDLIKE.match(token) or len(set(token)) <= 3:
         return 0
-    return 1 if assigned and len(set(token)) >= 6 and any(c.isdigit() for c in token) else None
+    return 1 if assigned and len(set(token)) >= 10 and sum(map(str.isdigit, token)) * 5 >= len(token) else None
 
 
 def _transitions(docs: DataFrame) -> np.ndarray:
@@ -99,7 +105,8 @@ def _transitions(docs: DataFrame) -> np.ndarray:
     return np.log(table / table.sum(1, keepdims=True))
 
 
-def features(token: str, before: str, after: str, path: str, transitions: np.ndarray, covered: float) -> list[float]:
+def features(token: str, before: str, after: str, path: str, transitions: np.ndarray) -> list[float]:
+    """All but the dictionary's coverage."""
     x = np.minimum(np.frombuffer(token.encode(), np.uint8), 127)
     counts = Counter(token)
     entropy = -sum(n / len(token) * math.log2(n / len(token)) for n in counts.values())
@@ -107,57 +114,77 @@ def features(token: str, before: str, after: str, path: str, transitions: np.nda
     kind = lambda c: 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
     changes = sum(kind(a) != kind(b) for a, b in zip(token, token[1:], strict=False)) / max(1, len(token) - 1)
     hashed = lambda s: [float(xxhash.xxh32_intdigest(s) % BUCKETS == i) for i in range(BUCKETS)]
-    return [float(len(token)), float(transitions[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0, covered, entropy, share(str.isdigit), share(str.isupper), share(str.islower), changes, len(counts) / len(token), *hashed(before.lower()), *hashed(after.lower()), *hashed(path)]
+    return [float(len(token)), float(transitions[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0, entropy, share(str.isdigit), share(str.isupper), share(str.islower), changes, len(counts) / len(token), *hashed(before.lower()), *hashed(after.lower()), *hashed(path)]
 
 
-def coverage(token: str, automaton) -> float:
-    """The share of the token's characters within words of the dictionary."""
-    if not len(automaton):
-        return 0.0
-    low = token.lower()
-    inside = bytearray(len(low))
-    for last, size in automaton.iter(low):
-        inside[last - size + 1 : last + 1] = b"\1" * size
-    return sum(inside) / len(low)
+def pieces(token: str) -> list[tuple[int, str]]:
+    """(begin, lower-cased text) of each run of 4 to 16 letters that a dictionary word could cover."""
+    low = token.lower() if len(token.lower()) == len(token) else token
+    return [(i, low[i : i + n]) for m in LETTERS.finditer(low) for n in LENGTHS for i in range(m.start(), m.end() - n + 1)]
 
 
-def find(docs: DataFrame, path_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, begin, end, secret (0 or 1), score, labelled (0, 1 or null) of each candidate; docs: doc_id, text and a path."""
+def coverage(size: int, spans: list[tuple[int, int]]) -> float:
+    """The share of a token's characters within spans (begin, length)."""
+    inside, end = 0, 0
+    for b, n in sorted(spans):
+        inside += max(0, b + n - max(b, end))
+        end = max(end, b + n)
+    return inside / size
+
+
+def _covered(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """digest, n (rows of found), covered of each different token: pieces of tokens are joined with the dictionary, neither is gathered anywhere."""
+    tokens = found.groupBy("digest").agg(F.count("*").alias("n"), F.first("token").alias("token"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows = [(d, b, p) for d, t in zip(batch.column("digest").to_pylist(), batch.column("token").to_pylist(), strict=True) for b, p in pieces(t)]
+        if rows:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string()), strict=True)], ["digest", "begin", "word"])
+
+    def share(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[(s["begin"], s["size"]) for s in x or ()] for x in batch.column("spans").to_pylist()]
+        covered = [coverage(size, x) for size, x in zip(batch.column("size").to_pylist(), spans, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(covered, pa.float64())], ["digest", "n", "covered"])
+
+    parts = stored(map_batches(tokens.select("digest", "token"), cut, "digest binary, begin long, word string"), "pieces")
+    known = counts.where(F.col("n") >= KNOWN).select("word").join(parts.groupBy("word").agg(F.count("*").alias("times")), "word")
+    spans = spread_join(parts, known, ["word"], "times").groupBy("digest").agg(F.collect_list(F.struct("begin", F.length("word").alias("size"))).alias("spans"))
+    whole = tokens.select("digest", "n", F.length("token").alias("size")).join(spans, "digest", "left")
+    return map_batches(whole, share, "digest binary, n long, covered double")
+
+
+def find(docs: DataFrame, path_col: str = "source") -> DataFrame:
+    """doc_id, begin, end, secret (0 or 1), score, labelled (0, 1 or null), held_out of each candidate; docs: doc_id, text and a path."""
     spark = docs.sparkSession
     whole = texts(docs)
-    counts = counted(whole)
-    letters = most_frequent(counts.where(F.col("word").rlike("^[a-z]{4,}$")), WORDS)
-    held = spark.sparkContext.broadcast((sorted(r.word for r in letters.collect()), _transitions(whole)))
+    held = spark.sparkContext.broadcast(_transitions(whole))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, transitions = held.value
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, len(w))
-        if words:
-            automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for doc, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
-                for b, e, assigned, larger in candidates(text):
-                    token = text[b:e]
-                    before, after = text[max(0, b - 40) : b].split(), text[e : e + 40].split()
-                    out.append((doc, b, e, label(token, assigned, larger), features(token, before[-1] if before else "", after[0] if after else "", path, transitions, coverage(token, automaton))))
-            if out:
-                kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "begin", "end", "labelled", "x"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for doc, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
+            for b, e, assigned, larger in candidates(text):
+                token = text[b:e]
+                before, after = text[max(0, b - 40) : b].split(), text[e : e + 40].split()
+                digest = hashlib.sha256(token.encode()).digest()
+                out.append((doc, b, e, token, digest, label(token, assigned, larger), digest[0] % 5 == 0, features(token, before[-1] if before else "", after[0] if after else "", path, held.value)))
+        if out:
+            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.bool_(), pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "begin", "end", "token", "digest", "labelled", "apart", "x"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = stored(rows.mapInArrow(run, f"doc_id {kind}, begin long, end long, labelled int, x array<double>"), "candidates")
-    known = drawn(found.where("labelled IS NOT NULL"), SAMPLE, "doc_id", "begin").orderBy("doc_id", "begin", "x").select(F.col("labelled").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    found = stored(map_batches(rows, run, f"doc_id {kind}, begin long, end long, token string, digest binary, labelled int, apart boolean, x array<double>"), "candidates")
+    covered = stored(_covered(found, counted(whole)), "covered")
+    held_out = (F.col("labelled").isNotNull() & F.col("apart")).alias("held_out")
+    found = spread_join(found, covered, ["digest"], "n").select("doc_id", "begin", "end", "labelled", held_out, F.concat("x", F.array("covered")).alias("x"))
+    known = drawn(found.where("labelled IS NOT NULL AND NOT held_out"), SAMPLE, "doc_id", "begin").orderBy("doc_id", "begin", "x").select(F.col("labelled").cast("double").alias("label"), array_to_vector("x").alias("features"))
     if known.select("label").distinct().count() < 2:
-        return found.select("doc_id", "begin", "end", F.coalesce("labelled", F.lit(0)).alias("secret"), F.lit(None).cast("double").alias("score"), "labelled")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(known)
+        return found.select("doc_id", "begin", "end", F.coalesce("labelled", F.lit(0)).alias("secret"), F.lit(None).cast("double").alias("score"), "labelled", "held_out")
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=SEED).fit(known)
     scored = forest.transform(found.withColumn("features", array_to_vector("x"))).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "begin", "end", (F.col("score") >= 0.5).cast("int").alias("secret"), "score", "labelled")
+    return scored.select("doc_id", "begin", "end", (F.col("score") >= 0.5).cast("int").alias("secret"), "score", "labelled", "held_out")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Every candidate with its score to nine places, as the forest's sums may differ beyond."""
-    return find(docs).select("doc_id", "begin", "end", "secret", F.round("score", 9).alias("score"), "labelled")
+    return find(docs).select("doc_id", "begin", "end", "secret", F.round("score", 9).alias("score"), "labelled", "held_out")

@@ -5,12 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import Memo, words
+from .common import Memo, words, worker_holds
 
 WIDTH = 5
 REMEMBERED = 100_000
 _U = np.uint64
-_hashes = Memo(xxhash.xxh64_intdigest, REMEMBERED)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,8 +24,9 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     found = words(text.encode())
     if not found:
         return np.empty(0, _U)
-    _hashes.trim()
-    h = np.fromiter(map(_hashes.__getitem__, found), _U, len(found))
+    hashes = worker_holds("hashes", None, lambda: Memo(xxhash.xxh64_intdigest, REMEMBERED))
+    hashes.trim()
+    h = np.fromiter(map(hashes.__getitem__, found), _U, len(found))
     if len(h) < width:
         h = np.concatenate([h, np.zeros(width - len(h), _U)])
     out = h[: len(h) - width + 1].copy()

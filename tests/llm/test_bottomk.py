@@ -1,8 +1,11 @@
 import hashlib
 import random
+import re
+import string
 
 import numpy as np
 import pytest
+import xxhash
 
 from tesserae.llm import bottomk as b
 from tesserae.llm.shingles import shingles
@@ -28,14 +31,12 @@ def rows():
     return [*out, (7, None), (7, ""), (7, "same text"), (7, "same text"), (9000, out[0][1])]
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 40])
-def test_against_brute_force(spark, partitions):
+@pytest.mark.parametrize("size", [b.RANGE, 8_000, 300])
+def test_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(b, "RANGE", size)
     data = rows() + [(None, "no id")]
     df = spark.createDataFrame([(*x, 1.0) for x in data], "doc_id long, text string, key double").repartition(4)
-    was = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     got = [tuple("" if v is None else v for v in r[:7]) for r in b.digest(df).collect()]
-    spark.conf.set("spark.sql.shuffle.partitions", was)
     order = sorted(((d, t or "") for d, t in data), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
     want = []
     for (d, t), (_, o) in zip(order, [*order[1:], order[0]], strict=True):
@@ -59,3 +60,25 @@ def test_one_and_none(spark):
     r = b.digest(one).first()
     assert (r.doc_id, r.n_chars, r.near_next) == (5, 15, 1.0)
     assert b.digest(one.limit(0)).count() == 0
+
+
+def by_hand(text, width=5):
+    """Shingle hashes from their definition: a polynomial of the words' hashes, then a bijective mix."""
+    m, out = 2**64, []
+    words = ["".join(c.lower() if c in string.ascii_letters else c for c in w) for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text)]
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    h += [0] * (width - len(h)) if h else []
+    for i in range(len(h) - width + 1):
+        x = 0
+        for v in h[i : i + width]:
+            x = (x * 0x9E3779B97F4A7C15 + v) % m
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % m
+        out.append(x ^ x >> 31)
+    return out
+
+
+def test_shingles_by_hand():
+    for text in ("", "?!", "One", "a b c d", "A b, c d e!", "the Öl of the Öl of the Öl of x1 y2", "x " * 40):
+        assert shingles(text).tolist() == by_hand(text)
+        assert b.bottom(text, 3).tolist() == sorted(set(by_hand(text)))[:3]

@@ -18,7 +18,7 @@ def state(text):
     pieces = TOKENS.find.findall(text)
     TOKENS.meet([pieces])
     c, n = edits._leaves(pieces, TOKENS)
-    return c, edits.grown(n)
+    return edits.grown(c), edits.grown(n)
 
 
 @settings(max_examples=300, deadline=None)
@@ -30,20 +30,38 @@ def test_counts_are_those_of_the_whole_text(text, changes):
         c, tree = state(text)
         for at, size, new in changes:
             want = text[:at] + new + text[at + size :]
-            text, c, tree, again = edits.edit(text, c, tree, at, at + size, new, TOKENS)
-            assert text == want and c.sum() == len(text)
+            text, c, tree, again, sums = edits.edit(text, c, tree, at, at + size, new, TOKENS)
+            assert text == want and c[1] == len(text)
             assert tree[1] == len(LIBRARY.encode_ordinary(text))
-            assert (tree[1 : len(tree) // 2] == tree[2:].reshape(-1, 2).sum(1)).all()
+            for x in (c, tree):
+                assert (x[1 : len(x) // 2] == x[2:].reshape(-1, 2).sum(1)).all()
     finally:
         edits.LEAF = was
 
 
-def test_an_edit_of_a_long_text_is_local():
+def test_edits_of_a_long_text_renew_few_sums():
     r = random.Random(1)
     text = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(20_000))
     c, tree = state(text)
-    after, c, tree, again = edits.edit(text, c, tree, 60_000, 60_010, "new words", TOKENS)
-    assert tree[1] == len(LIBRARY.encode_ordinary(after)) and again < 700
+    slots = len(tree) // 2
+    anew = 0
+    for _ in range(200):
+        at, size = r.randrange(len(text)), r.randrange(0, 40)
+        new = "".join(r.choices("ab c", k=r.randrange(0, 60)))
+        text, c, tree, again, sums = edits.edit(text, c, tree, at, at + size, new, TOKENS)
+        anew += len(tree) // 2 != slots or sums >= slots
+        assert again < 2_000 and (sums <= 8 * slots.bit_length() or sums >= slots)
+    assert tree[1] == len(LIBRARY.encode_ordinary(text)) and c[1] == len(text)
+    assert anew == 0  # the tree is never laid out again
+
+
+def test_a_long_insertion_lays_the_tree_out_anew():
+    text = "some words " * 50
+    c, tree = state(text)
+    text, c, tree, _, _ = edits.edit(text, c, tree, 100, 100, "many new words " * 5_000, TOKENS)
+    assert tree[1] == len(LIBRARY.encode_ordinary(text)) and c[1] == len(text)
+    text, c, tree, _, sums = edits.edit(text, c, tree, 0, len(text), "", TOKENS)
+    assert text == "" and tree[1] == c[1] == 0
 
 
 def test_query(spark):

@@ -41,9 +41,9 @@ def test_index_is_exact():
 
 
 def test_against_brute_force(spark):
-    for seed, block in ((1, 100), (2, 3)):
+    for seed, block in ((1, fm_index.BLOCK), (2, 60)):
         docs, items = cases(seed)
-        if block == 3:
+        if block == 60:
             items = [x for x in items if x[1] and len(x[1].split()) != 1]
         df = spark.createDataFrame([(*x, [1]) for x in docs], "doc_id long, text string, items array<int>").repartition(3)
         bench = spark.createDataFrame(items, "item_id long, text string")
@@ -51,6 +51,26 @@ def test_against_brute_force(spark):
         assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found.collect()) == brute(docs, items, 4)
 
 
+def test_long_texts_are_cut_into_shards_that_overlap(monkeypatch):
+    docs, items = cases(5)
+    look = fm_index.Windows([t or "" for _, t in items], 4)
+    for size in (7, 50, 500_000):
+        monkeypatch.setattr(fm_index, "SHARD", size)
+        sizes, hits = fm_index._hits([(t or "").encode() for _, t in docs], look, 4)
+        got = [(d, n, *((sum(e - b for b, e in hits[i][0]), sorted({items[k][0] for k in hits[i][1]})) if i in hits else (0, []))) for i, ((d, _), n) in enumerate(zip(docs, sizes, strict=True))]
+        assert sorted(got) == brute(docs, items, 4)
+
+
+def test_ids_of_other_kinds(spark):
+    from decimal import Decimal
+
+    bench = spark.createDataFrame([(Decimal("1.50"), "one two three"), (None, "two three")], "item_id decimal(9,2), text string")
+    docs = spark.createDataFrame([("a", "One two, three."), ("b", "x")], "doc_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in fm_index.find(docs, bench).collect()}
+    assert got == {"a": (3, [Decimal("1.50")]), "b": (0, [])}
+    assert {r.doc_id: r.n_hit for r in fm_index.find(docs, bench, block=8).collect()} == {"a": 3, "b": 0}
+
+
 def test_remove_and_empty(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Say ONE, two three: four! end"), (2, "one two three four"), (3, None), (4, "clean 🙂 text")], "doc_id long, text string")

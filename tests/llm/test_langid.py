@@ -1,3 +1,4 @@
+import time
 from functools import cache
 
 import numpy as np
@@ -9,7 +10,9 @@ from tesserae.llm import langid
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def test_forward_and_expected_are_sums_over_all_segmentations():
+@pytest.mark.parametrize("side", [langid.SIDE, 3])
+def test_forward_and_expected_are_sums_over_all_segmentations(monkeypatch, side):
+    monkeypatch.setattr(langid, "SIDE", side)
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab"]
     v = langid.Vocabulary(pieces)
     r = np.random.default_rng(1)
@@ -51,6 +54,21 @@ def test_long_words_do_not_vanish():
     p = np.full((v.size, 1), 1 / v.size)
     x = langid.forward(v, ["zñ漢" * 21, "q" * 64, "a"], p)
     assert np.isfinite(x).all() and x[0] < x[2]
+    one = np.full((v.size, 1), 1e-200)  # far beyond the range of doubles, and no logarithm is lost
+    assert np.isfinite(langid.forward(v, ["the" * 50], one)).all()
+    assert np.isfinite(langid.expected(v, ["the" * 50, "q"], np.array([2.0, 3.0]), one[:, 0])).all()
+
+
+def test_a_word_of_a_million_characters():
+    v = langid.Vocabulary(langid.load_pieces(PATH))
+    p = np.full((v.size, 1), 1 / v.size)
+    began = time.process_time()
+    x = langid.forward(v, ["ab" * 500_000, "abcd" * 12, "漢字仮名" * 50_000], p)
+    assert np.isfinite(x).all() and time.process_time() - began < 90
+    parts = v.arcs(["漢字仮名" * 500])
+    assert len(parts.first) > 1_000  # places that no piece crosses cut it
+    half = langid.forward(v, ["ab" * 250_000], p)
+    assert x[0, 0] == pytest.approx(2 * half[0, 0], rel=1e-4)
 
 
 def test_predict(spark):

@@ -1,5 +1,7 @@
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -29,9 +31,62 @@ def test_base_examples(text):
     assert pii.base(text) == plain(text)
 
 
+def test_numbers_of_thousands_of_digits():
+    assert pii.base("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.base("1" * 5000 + ".1.1.1") == []
+
+
 def test_long_runs_take_linear_time():
-    for x in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "1@" * 100_000, "@" * 100_000):
-        pii.spans_of([x], (np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5))))
+    nothing = pii.learned([])
+    began = time.process_time()
+    for x in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "1@" * 100_000, "@" * 100_000, "1 " * 50_000, "(at)" * 50_000, "a(at)" * 50_000):
+        pii.spans_of([x], nothing)
+    text = " ".join(f"ab{i}@mail.example.com" for i in range(50_000))
+    assert len(pii.spans_of([text], nothing)[0][0]) == 50_000
+    assert time.process_time() - began < 40
+
+
+def test_added_spans_are_repeats_in_another_form():
+    """Held out: half of the texts teach, the other half has repeats of its data in forms that the patterns miss, beside numbers that fail the checks."""
+    r = random.Random(4)
+    other = {"phone": lambda x: re.sub("[^0-9]+", r.choice(["-", "."]), x).strip(".-"), "card": lambda x: ".".join(re.findall("....", x)), "ip": lambda x: x.replace(".", "-"), "email": lambda x: x.replace("@", "(at)")}
+
+    def card():
+        digits = "4" + "".join(r.choices("0123456789", k=14))
+        return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+    def some(kind):
+        return {"phone": lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}", "card": card, "ip": lambda: ".".join(str(r.randrange(1, 255)) for _ in range(4)), "email": lambda: f"{r.choice('abcdef')}{r.choice('ghijk')}.{r.randrange(100)}@mail.example.com"}[kind]()
+
+    def fails():
+        x = card()
+        return r.choice([x[:-1] + str((int(x[-1]) + 1) % 10), f"{r.randrange(256, 999)}.1.2.3", str(r.randrange(10**10)), f"{r.randrange(9)}.{r.randrange(9)}"])
+
+    def text(again):
+        words = r.choices(["the", "of", "ringer", "said", "onto"], k=30)
+        kind = r.choice(pii.KINDS)
+        v, bad = some(kind), fails()
+        for x in [v, bad, bad]:
+            words.insert(r.randrange(len(words)), x)
+        form = other[kind](v)
+        return " ".join([*words, "then", *([form] if again else []), "end"]), kind, form
+
+    seen: dict = {}
+    for _ in range(400):
+        for y, x in pii.examples(text(False)[0]):
+            seen[y, tuple(x)] = seen.get((y, tuple(x)), 0) + 1
+    model = pii.learned([(y, list(x), n) for (y, x), n in seen.items()])
+    caught = wrong = whole = 0
+    for _ in range(400):
+        t, kind, form = text(True)
+        s, every = pii.spans_of([t], model)[0]
+        added = set(every) - set(s)
+        at = t.rindex(form)
+        if not any(b < at + len(form) and at < e for _, b, e in s):  # else the base has it
+            whole += 1
+            caught += (kind, at, at + len(form)) in added
+        wrong += len(added - {(kind, at, at + len(form))})
+    assert whole > 300 and caught >= 0.85 * whole and wrong <= 0.03 * whole
 
 
 def test_beliefs_are_exact_on_a_tree_and_near_on_a_loop():
@@ -64,7 +119,7 @@ def test_repeats_take_the_kind(spark):
     assert "555-7777" in [text[s.begin : s.end] for s in got[500].spans]
     assert all(len(got[i].spans) == 2 for i in range(60))
     assert not (got[501].spans or got[502].spans or got[503].spans)
-    masked = {r.doc_id: r.text for r in pii.mask(pii.find(docs)).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert masked[0] == "call [PHONE] now or mail [EMAIL] at 4.0. and 3 or 12 of version 7" and masked[503] == "nothing here"
     out = pii.digest(docs)
     assert out.count() == len(rows) and pii.digest(docs.limit(0)).count() == 0
