@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kinds."""
-    masked = pii.mask(pii.find(docs, keep=["lang", "source"]))
+    masked = pii.mask(docs, keep=["lang", "source"])
     return masked.select("doc_id", "text", "kept.lang", "kept.source", F.length("text").cast("long").alias("n_chars"))
 
 
