@@ -1,18 +1,16 @@
 """Class-based bigrams with exchange clustering (operator 5).
 
-Counts come from every training row. The HEAD most frequent words are held by each worker; of
-these the CLUSTERED most frequent are put into classes by the exchange algorithm, which
-moves one word at a time to the class that most raises the likelihood of the class bigrams. Each
-other word of the head then goes to the class of theirs that its neighbours' classes make most likely, and
-after that so does each word outside the head, by jobs over all training rows: words as likely as
-class c's are class c's rarer half, which is a class of its own. The number of classes grows with the
-fourth root of the vocabulary beyond HEAD words, from CLASSES on. At most TAIL words outside the head are one
-class. Their classes and counts are a table that is joined, not broadcast. A text's probability is the product over its tokens of
-P(class | class before) P(word | class); texts begin where one has ended.
-
-P(class | before) is smoothed by the classes' own shares; P(word | class) is the word's share of
-its class, and (count + 1) / (tokens + distinct words + 1) in the classes outside the head. An unseen
-word is the last one of the rare class with most distinct words.
+Counts come from every training row. The most frequent words, EACH a class, are put into classes by the exchange algorithm, which
+moves one word at a time to the class that most raises the likelihood of the class bigrams. Then every other word, down to those that
+occur once, goes to the class that its neighbours make most likely, by one job over all training rows. The number of classes grows with the
+fourth root of the vocabulary beyond BASE words, from CLASSES on. A text's probability is the product over its tokens of
+P(class | class before) P(word | class); texts begin where one has ended, and the end is a class of its own.
+
+P(class | before) is smoothed by the classes' own shares; P(word | class) is (count + 1) / (tokens + words of the class), where the class
+with most different words has one more, for any unseen word.
+
+Each worker holds the words that are needed often (HEAD of them at most); what the others need is a table that is joined. Which words are held changes
+no result. The driver holds the counts of pairs of the words that are exchanged, the classes' bigrams and the held words.
 
 Null and empty texts consist of an end alone. Rows are kept one for one, repeated ids and rows too.
 Without training rows all counts are 0 and base_score is 0.
@@ -22,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, most_frequent, slices, stored, texts
+from .common import frequent, held_out, most_frequent, slices, stored, texts
 
-HEAD, CLUSTERED, CLASSES, ROUNDS = 65_536, 1_000, 50, 4
-#: Words outside the head up to which they are one class.
-TAIL = 1_000
+#: Words that a worker holds; classes at least, and up to so many words; words that are exchanged for each class.
+HEAD, CLASSES, BASE, EACH, ROUNDS = 131_072, 64, 65_536, 16, 4
 #: Codes that a task gathers before it counts and hands them on.
-HELD = 3_000_000
+HELD = 4_000_000
 SMOOTH = 5.0
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -45,13 +43,6 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(FOLD).split()
 
 
-class Ids(dict):
-    """Places of the head's words; every other word stands at -1."""
-
-    def __missing__(self, word):
-        return -1
-
-
 def exchange(pairs: np.ndarray, n: int, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """A class of each symbol of a square matrix of bigram counts: the first n are clustered, each other one is a class of its own behind theirs."""
     size = len(pairs)
@@ -108,45 +99,54 @@ def likely(n: np.ndarray, classes: int) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs of the head: places, counts, classes, and the logarithms of both factors.
+    """What scoring needs of the held words: places, counts, classes, and the logarithms of both factors.
 
-    Classes are numbered: those of the head, those of the words outside it, the end.
+    The first `clustered` words are those that were exchanged. Classes are numbered, the end is the last.
     """
 
-    def __init__(self, head: list[tuple[str, int]], ends: int, all_tokens: int, distinct: int):
-        self.ids = Ids((w.encode(), i) for i, (w, _) in enumerate(head))
-        self.counts = np.array([n for _, n in head], np.int64)
-        self.ends, self.tokens, self.distinct = ends, all_tokens, distinct
-        k = min(CLUSTERED, len(head))
-        magnitude = np.log2(np.maximum(self.counts[k:], 1)).astype(int)
-        levels = np.unique(magnitude)
-        # Symbols for the exchange: the clustered words, the levels of the head's others, all other words, the end.
-        self.clustered, self.symbols = k, k + len(levels) + 2
-        self.symbol = np.concatenate([np.arange(k), k + np.searchsorted(levels, magnitude), [self.symbols - 2]]).astype(np.int64)
-        self.classes = min(int(CLASSES * max(1.0, distinct / HEAD) ** 0.25), max(1, k))
-        self.tails = self.classes if distinct - len(head) - (ends > 0) > TAIL else 1
-        self.end = self.classes + self.tails
+    def __init__(self, held: list[tuple[str, int]], clustered: int, classes: int, ends: int, all_tokens: int, distinct: int):
+        self.ids = {w.encode(): i for i, (w, _) in enumerate(held)}
+        self.counts = np.array([n for _, n in held], np.int64)
+        self.clustered, self.classes, self.ends, self.tokens, self.distinct = clustered, classes, ends, all_tokens, distinct
+        self.of = np.full(len(held) + 1, classes, np.int64)  # the last is any other word
+        self.unit = np.log10(all_tokens + distinct + 1)
+
+    def places(self, found: list[bytes]) -> np.ndarray:
+        """The places of words; those not held stand at -1."""
+        return np.fromiter(map(self.ids.get, found, repeat(-1)), np.int64, len(found))
+
+    def symbols(self, found: list[bytes]) -> np.ndarray:
+        """Symbols for the exchange: the clustered words, any other word, the end; an end on both sides."""
+        at = self.places(found)
+        out = np.full(len(at) + 2, self.clustered + 1)
+        out[1:-1] = np.where((at >= 0) & (at < self.clustered), at, self.clustered)
+        return out
 
     def cluster(self, pairs: np.ndarray) -> None:
         """pairs: counts of (symbol before, symbol)."""
         of = exchange(pairs, self.clustered, self.classes, ROUNDS)
-        size = self.classes + self.symbols - self.clustered
+        size = self.classes + 2
         n = np.zeros((size, size))
         np.add.at(n, (of[:, None], of[None]), pairs)
-        self.first, self.weights = size, likely(n, self.classes)
-        self.of = of[self.symbol]  # of the head's words, then of any other
-
-    def learn(self, n: np.ndarray, mass: np.ndarray, types: np.ndarray) -> None:
-        """n: counts of (class before, class); mass, types: tokens and distinct words of each class outside the head."""
-        size = len(n)
-        share = (n.sum(0) + 1) / (n.sum() + size)
+        self.weights = likely(n, self.classes)
+        self.of[: self.clustered] = of[: self.clustered]
+
+    def emit(self, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) of words that occur n times."""
+        return np.log10((n + 1) / self.room[of])
+
+    def placed(self, mass: np.ndarray, types: np.ndarray) -> None:
+        """mass, types: tokens and different words of each class."""
+        self.rare = int(types.argmax())  # the class of unseen words
+        self.room = np.maximum(mass + types + (np.arange(self.classes) == self.rare), 1.0)
+        self.of[-1] = self.rare
+        n = np.append(self.counts, 0)
+        self.held_emit, self.held_log = self.emit(n, self.of), np.log10(n + 1.0)
+
+    def learn(self, n: np.ndarray) -> None:
+        """n: counts of (class before, class)."""
+        share = (n.sum(0) + 1) / (n.sum() + len(n))
         self.step = np.log10((n + SMOOTH * share) / (n.sum(1, keepdims=True) + SMOOTH))
-        self.of[-1] = self.classes + int(types.argmax())  # of unseen words
-        self.tail_unit = np.log10(mass + types + 1.0)
-        head = np.bincount(self.of[:-1], self.counts, size)
-        self.emit = np.append(np.log10(self.counts / np.maximum(head[self.of[:-1]], 1)), -self.tail_unit[self.of[-1] - self.classes])
-        self.log_count = np.append(np.log10(self.counts + 1.0), 0.0)
-        self.unit = np.log10(self.tokens + self.distinct + 1)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -171,221 +171,231 @@ def counted(docs: DataFrame) -> DataFrame:
     return stored(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
 
 
+def _summed(codes: list[np.ndarray]) -> pa.RecordBatch:
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+
+def _matrix(codes: DataFrame, size: int) -> np.ndarray:
+    """Sums of (code, n) as a square matrix: at most size squared rows come to the driver."""
+    out = np.zeros(size * size)
+    found = codes.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of the words outside the head (word, n, class); docs: doc_id, text, all learned from."""
+    """The model but for its class bigrams, and the table of the words that aren't held (word, n, class); docs: doc_id, text, all learned from."""
     spark = docs.sparkSession
     docs = texts(docs)
-
     counts = counted(docs)
     ends = docs.count()
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = sorted(((r.word, r.n) for r in most_frequent(counts, HEAD).collect()), key=lambda x: (-x[1], x[0]))
-    model = Model(head, ends, sums[0] + ends, sums[1] + (ends > 0))
-    held = spark.sparkContext.broadcast(model)
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        size = m.symbols
-        seen = np.zeros(size * size, np.int64)
+    n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    classes = int(CLASSES * max(1.0, n_words / BASE) ** 0.25)
+    first = [(r.word, r.n) for r in most_frequent(counts, EACH * classes).collect()]
+    held = sorted(((r.word, r.n) for r in frequent(counts, HEAD).collect()), key=lambda x: (-x[1], x[0]))
+    held = first + sorted(set(held) - set(first), key=lambda x: (-x[1], x[0]))
+    model = Model(held, len(first), max(1, min(classes, len(first))), ends, n_tokens + ends, n_words + (ends > 0))
+    shared = spark.sparkContext.broadcast(model)
+    size = model.clustered + 2
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n = [], 0
         for batch in batches:
-            codes = []
             for text in batch.column("text"):
-                found = tokens(text.as_py())
-                s = np.full(len(found) + 2, size - 1)
-                s[1:-1] = m.symbol[np.fromiter(map(m.ids.__getitem__, found), np.int64, len(found))]
+                s = shared.value.symbols(tokens(text.as_py()))
                 codes.append(s[:-1] * size + s[1:])
-                if len(codes) == 1000:
-                    seen += np.bincount(np.concatenate(codes), minlength=size * size)
-                    codes = []
-            if codes:
-                seen += np.bincount(np.concatenate(codes), minlength=size * size)
-        code = np.flatnonzero(seen)
-        for c in range(0, len(code), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(code[c : c + 100_000]), pa.array(seen[code[c : c + 100_000]])], ["code", "n"])
-
-    found = docs.mapInArrow(pair, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most symbols squared
-    pairs = np.zeros(model.symbols**2)
-    pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    model.cluster(pairs.reshape(model.symbols, -1))
-    _place_head(docs, model)
-    return model, _place_others(docs, model)
-
-
-def _best(found: DataFrame, key: str, weights: np.ndarray) -> DataFrame:
-    """key, class and the lists of each row of found (key, codes, times): the class that the coded neighbours make most likely."""
-    held = found.sparkSession.sparkContext.broadcast(weights)
+                n += len(s)
+                if n > HELD:
+                    yield _summed(codes)
+                    codes, n = [], 0
+        if codes:
+            yield _summed(codes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
-        for batch in slices(batches):
-            codes, times = batch.column("codes"), batch.column("times")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy()))
-            x = np.bincount(row * len(w) + codes.flatten().to_numpy(), times.flatten().to_numpy(), batch.num_rows * len(w))
-            best = (x.reshape(-1, len(w)) @ w).argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(best, pa.int32()), codes, times], [key, "class", "codes", "times"])
+    model.cluster(_matrix(docs.mapInArrow(pairs, "code long, n long"), size))
+    others = _place_others(docs, model)
+    k = model.clustered
+    mass, types = (np.bincount(model.of[:k], x, model.classes).astype(float) for x in (model.counts[:k], np.ones(k)))
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        mass[r["class"]] += r.n
+        types[r["class"]] += r.k
+    model.placed(mass, types)
+    return model, others.where("id < 0").select("word", "n", "class")
 
-    return found.mapInArrow(run, f"{key} {found.schema[key].dataType.simpleString()}, class int, codes array<int>, times array<long>")
 
+def _place_others(docs: DataFrame, model: Model) -> DataFrame:
+    """word, id (-1 if it isn't held), n, class of each word that was not exchanged; gives the held ones their classes.
 
-def _place_head(docs: DataFrame, model: Model) -> None:
-    """Gives the head's words that the exchange left out the class that their neighbours make most likely."""
-    if model.clustered == len(model.counts):
-        return
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    size = model.first
+    A task adds up the neighbours' classes of a word before it passes them on, so few rows of a word meet, however frequent it is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = model.classes + 2
+    names = ["word", "id", "codes", "times"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        codes, n = [], 0
+        m = shared.value
+        word_of = list(m.ids)
+        codes, rare, n, others = [], {}, 0, 0
 
-        def flush() -> pa.RecordBatch:
+        def flush_held() -> pa.RecordBatch:
             code, times = np.unique(np.concatenate(codes), return_counts=True)
-            codes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], ["code", "n"])
+            word = code // (2 * size)
+            ids, begin = np.unique(word, return_index=True)
+            offsets = pa.array(np.append(begin, len(code)), pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (code % (2 * size), times))
+            return pa.RecordBatch.from_arrays([pa.array([word_of[i] for i in ids], pa.binary()).cast(pa.string()), pa.array(ids, pa.int32()), *lists], names)
+
+        def flush_rare() -> pa.RecordBatch:
+            ints = pa.list_(pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(list(rare), pa.binary()).cast(pa.string()), pa.array([-1] * len(rare), pa.int32()), pa.array(rare.values(), ints), pa.nulls(len(rare), ints)], names)
 
         for batch in batches:
             for text in batch.column("text"):
                 found = tokens(text.as_py())
-                at = np.fromiter(map(m.ids.__getitem__, found), np.int64, len(found))
-                of = np.concatenate([[size - 1], m.of[at], [size - 1]])
+                at = m.places(found)
+                # of other words the class is not known yet: they count as one, behind all classes, and then comes the end
+                of = np.concatenate([[size - 1], np.where((at >= 0) & (at < m.clustered), m.of[at], size - 2), [size - 1]])
                 i = np.flatnonzero(at >= m.clustered)
-                codes += [at[i] * (2 * size) + of[i + 2], at[i] * (2 * size) + size + of[i]]
-                n += 2 * len(i)
+                if len(i):
+                    codes += [at[i] * (2 * size) + of[i + 2], at[i] * (2 * size) + size + of[i]]
+                    n += 2 * len(i)
+                i = np.flatnonzero(at < 0)
+                others += len(i)
+                for k, behind, before in zip(i.tolist(), of[i + 2].tolist(), (of[i] + size).tolist(), strict=True):
+                    rare.setdefault(found[k], []).extend((behind, before))
                 if n > HELD:
-                    yield flush()
-                    n = 0
+                    yield flush_held()
+                    codes, n = [], 0
+                if others > 300_000:
+                    yield flush_rare()
+                    rare, others = {}, 0
         if codes:
-            yield flush()
+            yield flush_held()
+        if rare:
+            yield flush_rare()
 
-    found = docs.mapInArrow(contexts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    lists = found.groupBy(F.expr(f"code div {2 * size}").alias("id")).agg(F.collect_list(F.struct((F.col("code") % (2 * size)).cast("int").alias("c"), "n")).alias("l")).select("id", F.col("l.c").alias("codes"), F.col("l.n").alias("times"))
-    best = _best(lists, "id", model.weights).select("id", "class").toArrow()  # at most HEAD rows
-    model.of[best.column("id").to_numpy()] = best.column("class").to_numpy()
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value.weights
+        last: tuple | None = None  # the word that the next batch may go on with: word, id, occurrences, sums
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32())
 
+        def out(word, ids, n, sums) -> pa.RecordBatch:
+            of = np.round(sums, 6).argmax(1)  # sums differ in their last places by the order of rows
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((word, ids, n, of), kinds, strict=True)], ["word", "id", "n", "class"])
 
-def _place_others(docs: DataFrame, model: Model) -> DataFrame:
-    """word, n, class of each word outside the head; teaches the model the bigrams of all classes."""
-    c, tails, end = model.classes, model.tails, model.end
-    model.of[-1] = c
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    size = c + 2  # the head's classes, any other word, the end
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        inside = np.zeros(size * size, np.int64)
-        seen: dict[bytes, list] = {}
-        both: Counter = Counter()
-        n = 0
-        names = ["word", "after", "codes", "code", "n"]
-
-        def part(word, after, codes, code, times) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(after, pa.binary()).cast(pa.string()), pa.array(codes, pa.list_(pa.int32())), pa.array(code, pa.int64()), pa.array(times, pa.int64())], names)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if seen:
-                none = [None] * len(seen)
-                yield part(list(seen), none, list(seen.values()), none, none)
-            if both:
-                none = [None] * len(both)
-                yield part([a for a, _ in both], [b for _, b in both], none, none, list(both.values()))
-            seen.clear()
-            both.clear()
-
-        for batch in batches:
-            for text in batch.column("text"):
-                found = tokens(text.as_py())
-                at = np.fromiter(map(m.ids.__getitem__, found), np.int64, len(found))
-                of = np.concatenate([[size - 1], m.of[at], [size - 1]])
-                inside += np.bincount(of[:-1] * size + of[1:], minlength=size * size)
-                rare = np.flatnonzero(at < 0)
-                n += len(rare)
-                for i, behind, before in zip(rare.tolist(), of[rare + 2].tolist(), of[rare].tolist(), strict=True):
-                    seen.setdefault(found[i], []).extend((behind, size + before))
-                    if behind == c:
-                        both[found[i], found[i + 1]] += 1
-                if n > 300_000:
-                    yield from flush()
-                    n = 0
-        yield from flush()
-        code = np.flatnonzero(inside)
-        none = [None] * len(code)
-        yield part(none, none, none, code, inside[code])
-
-    raw = stored(docs.mapInArrow(contexts, "word string, after string, codes array<int>, code long, n long"), "contexts")
-    n = np.zeros((size, size))
-    for r in raw.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most classes squared
-        n[r.code // size, r.code % size] = r.n
-    lists = raw.where("codes IS NOT NULL").groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes")).withColumn("times", F.transform("codes", lambda _: F.lit(1).cast("long")))
-    placed = _best(lists, "word", likely(n, c)).select("word", (c + (F.col("class") if tails > 1 else F.lit(0))).cast("int").alias("class"), "codes", F.expr("size(codes) div 2").cast("long").alias("n"))
-    placed = stored(placed, "placed")
-    whole = np.zeros((end + 1, end + 1))
-    keep = np.append(np.arange(c), end)
-    whole[np.ix_(keep, keep)] = n[np.ix_(np.append(np.arange(c), c + 1), np.append(np.arange(c), c + 1))]
-    for r in placed.select("class", F.explode("codes").alias("code")).groupBy("class", "code").agg(F.count("*").alias("n")).collect():  # at most classes squared
-        other = r.code % size
-        if other != c:
-            other = end if other > c else other
-            whole[(r["class"], other) if r.code < size else (other, r["class"])] += r.n
-    of = placed.select("word", "class")
-    both = raw.where("after IS NOT NULL").groupBy("word", "after").agg(F.sum("n").alias("n"))
-    both = both.join(of.withColumnRenamed("class", "a"), "word").groupBy("a", "after").agg(F.sum("n").alias("n")).join(of.select(F.col("word").alias("after"), F.col("class").alias("b")), "after")
-    for r in both.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        whole[r.a, r.b] += r.n
-    mass, types = np.zeros(tails), np.zeros(tails)
-    for r in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
-        mass[r["class"] - c], types[r["class"] - c] = r.n, r.k
-    model.learn(whole, mass, types)
-    return placed.select("word", "n", "class")
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text); counts: word, n, class of the words outside the head."""
-    docs = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    held = docs.sparkSession.sparkContext.broadcast(model)
+        for batch in slices(batches, 5_000):
+            codes, times = batch.column("codes"), batch.column("times")
+            many = codes.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), many)
+            x = np.ones(len(row))
+            x[np.repeat(times.is_valid().to_numpy(zero_copy_only=False), many)] = times.flatten().to_numpy()
+            both = np.bincount(row * len(w) + codes.flatten().to_numpy(), x, batch.num_rows * len(w)).reshape(-1, len(w))
+            word, ids, n, sums = batch.column("word").to_pylist(), batch.column("id").to_pylist(), both.sum(1) / 2, both @ w
+            if last is not None:
+                if last[0] == word[0]:
+                    n[0] += last[2]
+                    sums[0] += last[3]
+                else:
+                    yield out([last[0]], [last[1]], [int(last[2])], last[3][None])
+            first = np.flatnonzero([a != b for a, b in zip(word, [None, *word[:-1]], strict=True)])
+            n, sums = np.add.reduceat(n, first), np.add.reduceat(sums, first)
+            word, ids = [word[i] for i in first], [ids[i] for i in first]
+            last = word[-1], ids[-1], n[-1], sums[-1]
+            if len(word) > 1:
+                yield out(word[:-1], ids[:-1], n[:-1].astype(np.int64), sums[:-1])
+        if last is not None:
+            yield out([last[0]], [last[1]], [int(last[2])], last[3][None])
+
+    found = docs.mapInArrow(contexts, "word string, id int, codes array<int>, times array<int>")
+    placed = stored(found.repartition("word").sortWithinPartitions("word").mapInArrow(best, "word string, id int, n long, class int"), "placed")
+    own = placed.where("id >= 0").select("id", "class").toArrow()  # at most HEAD rows
+    model.of[own.column("id").to_numpy()] = own.column("class").to_numpy()
+    return placed
+
+
+def _resolved(docs: DataFrame, model: Model, others: DataFrame, keep: str) -> DataFrame:
+    """doc_id, keep, n_tokens, n_known, base, prob (of the words in their classes) and codes (the classes, with an end on both sides) of each row of docs; stored."""
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for batch in batches:
+        m = shared.value
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int16()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text"):
                 found = tokens(text.as_py())
-                at = np.fromiter(map(m.ids.__getitem__, found), np.int64, len(found))
-                of = np.concatenate([[m.end], m.of[at], [m.end]])
+                at = m.places(found)
+                of = np.concatenate([[m.classes], m.of[at], [m.classes]])
                 rest: dict[bytes, list] = {}
                 for i in np.flatnonzero(at < 0).tolist():
                     rest.setdefault(found[i], []).append(i + 1)
                 n, known = len(found) + 1, int((at >= 0).sum()) + (m.ends > 0)
-                rows.append((n, known, float(m.log_count[at].sum() + np.log10(m.ends + 1) - n * m.unit), float(m.emit[at].sum()), of.astype(np.int16), [w.decode() for w in rest], list(rest.values())))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int16()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["row", "doc_id", "n_tokens", "known", "base", "prob", "codes", "words", "places"])
+                rows.append((n, known, float(m.held_log[at].sum() + np.log10(m.ends + 1) - n * m.unit), float(m.held_emit[at].sum()), of.astype(np.int16), [w.decode() for w in rest], list(rest.values())))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column(keep), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["row", "doc_id", keep, "n_tokens", "known", "base", "prob", "codes", "words", "places"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = shared.value
         for batch in slices(batches):
             lengths = lambda x: x.value_lengths().fill_null(0).to_numpy()
             codes, rest, size = batch.column("codes"), batch.column("rest"), batch.num_rows
             many = lengths(codes)
-            of, row = codes.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(size), many)
+            of = codes.flatten().to_numpy().copy()
             words = rest.flatten()
             places, count, kind_of = (pc.struct_field(words, i) for i in (0, 1, 2))
             owner, times = np.repeat(np.arange(size), lengths(rest)), lengths(places)
-            count, kind_of = np.log10(count.to_numpy() + 1.0), kind_of.to_numpy()
+            n, kind_of = count.to_numpy().astype(float), kind_of.to_numpy().astype(np.int64)
             of[np.repeat((np.cumsum(many) - many)[owner], times) + places.flatten().to_numpy()] = np.repeat(kind_of, times)
-            add = lambda x, weights: np.bincount(x, weights, size)
-            known = batch.column("known").to_numpy() + add(owner, times).astype(np.int64)
-            base = batch.column("base").to_numpy() + add(owner, times * count)
+            add = lambda x: np.bincount(owner, x, size)
+            known = batch.column("known").to_numpy() + add(times).astype(np.int64)
+            base = batch.column("base").to_numpy() + add(times * np.log10(n + 1))
+            prob = batch.column("prob").to_numpy() + add(times * (m.emit(n, kind_of) - m.held_emit[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(of, pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(keep), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(prob, pa.float64()), lists], ["doc_id", keep, "n_tokens", "n_known", "base", "prob", "codes"])
+
+    part = stored(docs.mapInArrow(run, f"row long, doc_id {kind}, {keep} boolean, n_tokens long, known long, base double, prob double, codes array<smallint>, words array<string>, places array<array<int>>"), "scored")
+    rest = part.select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.places").alias("places"))
+    rest = rest.join(others, "word").groupBy("row").agg(F.collect_list(F.struct("places", "n", "class")).alias("rest"))
+    return stored(part.drop("words", "places").join(rest, "row", "left").mapInArrow(finish, f"doc_id {kind}, {keep} boolean, n_tokens long, n_known long, base double, prob double, codes array<smallint>"), "resolved")
+
+
+def score(docs: DataFrame, learn: str) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text), learned from those whose column `learn` is true."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), learn)
+    model, others = train(docs.where(F.col(learn)))
+    rows = _resolved(docs, model, others, learn)
+    size = model.classes + 1
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size * size, np.int64)  # a worker holds the square of the classes
+        for batch in slices(batches):
+            of, row = _codes(batch)
             inside = row[:-1] == row[1:]
-            prob = batch.column("prob").to_numpy() + add(owner, times * (count - m.tail_unit[kind_of - m.classes] - m.emit[-1])) + add(row[:-1][inside], m.step[of[:-1][inside], of[1:][inside]])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array([m.tokens] * len(known), pa.int64()), pa.array(base, pa.float64()), pa.array(prob, pa.float64())], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            seen += np.bincount((of[:-1] * size + of[1:])[inside], minlength=size * size)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], ["code", "n"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    part = stored(docs.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, prob double, codes array<smallint>, words array<string>, places array<array<int>>"), "scored")
-    rest = part.select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.places").alias("places"))
-    rest = rest.join(counts, "word").groupBy("row").agg(F.collect_list(F.struct("places", "n", "class")).alias("rest"))
-    return part.drop("words", "places").join(rest, "row", "left").mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model.learn(_matrix(rows.where(F.col(learn)).select("codes").mapInArrow(bigrams, "code long, n long"), size))
+    step, n_tokens = rows.sparkSession.sparkContext.broadcast(model.step), model.tokens
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            of, row = _codes(batch)
+            inside = row[:-1] == row[1:]
+            prob = batch.column("prob").to_numpy() + np.bincount(row[:-1][inside], step.value[of[:-1][inside], of[1:][inside]], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(learn), batch.column("n_tokens"), batch.column("n_known"), pa.array([n_tokens] * batch.num_rows, pa.int64()), batch.column("base"), pa.array(prob, pa.float64())], ["doc_id", learn, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return rows.mapInArrow(finish, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {learn} boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all tokens of a batch, and the row that each is of."""
+    codes = batch.column("codes")
+    return codes.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy())
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract of operator 5."""
-    model, counts = train(docs.where(F.coalesce(held_out(7) != 2, F.lit(True))))
-    return score(docs, model, counts).select("doc_id", F.coalesce(held_out(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = score(docs.withColumn("learn", F.coalesce(held_out(7) != 2, F.lit(True))), "learn")
+    return rows.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
