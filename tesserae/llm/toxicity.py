@@ -2,10 +2,11 @@
 
 Folding lower-cases, maps homoglyphs and accented letters to plain ones and digits or signs that stand
 for letters to those letters; everything else is a space. The lexicon is learned from at most
-SAMPLE labelled rows (drawn by a hash of the id): words much likelier in toxic texts, weighted
+SAMPLE labelled rows (drawn by a hash of the id): all words much likelier in toxic texts, weighted
 by their log odds. Exception phrases are pairs of adjacent words, one of them in the lexicon, that
 are no likelier in toxic texts; they cancel that word's match. Weights of matches, as
-they are and normalised by length, give the score by a logistic regression.
+they are and normalised by length, give the score by a logistic regression. It is fitted across FOLDS parts of the sample:
+each text is measured with a lexicon that was learned from the other parts, as a new text would be.
 
 Without labels of both kinds every score is the share of toxic ones (0 without labels). Empty
 and null texts are scored like texts without a match. Rows are kept one for one.
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, held_out, texts
+from .common import drawn, held_out, slices, stored, texts
 
-SAMPLE, LEXICON, PHRASES = 40_000, 5_000, 5_000
+SAMPLE, FOLDS = 40_000, 4
 LEAST_DOCS, LEAST_WEIGHT = 5, 2.0
 #: Lengths of the stems.
 STEMS = range(4, 8)
@@ -57,7 +58,7 @@ _FOLD = _Fold()
 _ENDS = str.maketrans("!|", "  ")
 
 
-def fold(text: str) -> str:
+def fold_text(text: str) -> str:
     """Folded words, a space around each."""
     if "!" in text or "|" in text:
         text = "".join(w if w.isalpha() else w.rstrip("!|") + " " if w[-1] in "!|" else w for w in _spaced(text))
@@ -95,14 +96,13 @@ class Lexicon:
         if not len(automaton):
             return []
         best: dict[int, float] = {}
-        spared = []
+        spared: set[int] = set()
         for last, (size, value) in automaton.iter(folded):
             if value is None:
-                spared.append((last - size, last))
+                spared |= {last - size, folded.index(" ", last - size + 1)}  # the spaces before its two words
             else:
                 best[last - size] = max(value, best.get(last - size, value))
-        found = [(b, folded.index(" ", b + 1), w) for b, w in sorted(best.items())]
-        return [m for m in found if not any(b <= m[0] and m[1] <= e for b, e in spared)] if spared else found
+        return [(b, folded.index(" ", b + 1), w) for b, w in sorted(best.items()) if b not in spared]
 
     def features(self, folded: str) -> list[float]:
         weights = [w for *_, w in self.matches(folded)]
@@ -135,21 +135,21 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.bias + (x - self.mean) / self.spread @ self.slope, -30, 30)))
 
 
-def _tables(held, counted):
-    """A function for mapInArrow that counts (key, toxic) over a partition; counted(folded) gives a text's distinct keys."""
+def _tables(keys):
+    """A function for mapInArrow that counts (key, toxic, fold) over a partition; keys(folded, fold) gives a text's distinct keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            key, toxic = zip(*seen, strict=True)
-            out = pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(toxic, pa.int64()), pa.array(seen.values(), pa.int64())], ["key", "toxic", "n"])
+            columns = [pa.array(x, t) for x, t in zip(zip(*seen, strict=True), (pa.string(), pa.int64(), pa.int32()), strict=True)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(seen.values(), pa.int64())], ["key", "toxic", "fold", "n"])
             seen.clear()
             return out
 
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen.update((k, toxic) for k in counted(fold(text), held))
+        for batch in slices(batches):
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                seen.update((k, toxic, f) for k, f in keys(fold_text(text), fold))
                 if len(seen) > 300_000:
                     yield flush()
         if seen:
@@ -158,54 +158,73 @@ def _tables(held, counted):
     return run
 
 
-def _words(folded: str, held) -> set[str]:
+def _words(folded: str, fold: int) -> set[tuple[str, int]]:
     words = set(folded.split())
-    return {f"{w} " for w in words}.union(*({w[:n] for w in words if len(w) > n} for n in STEMS))
+    return {(k, fold) for k in {f"{w} " for w in words}.union(*({w[:n] for w in words if len(w) > n} for n in STEMS))}
 
 
-def _phrases(folded: str, held) -> set[str]:
-    found = held.value.matches(folded)
+def phrases(folded: str, found: list[tuple[int, int, float]]) -> set[str]:
+    """The pairs of a matched word and a word beside it."""
     out = set()
     for b, e, _ in found:
-        word = folded[b + 1 : e]
-        if before := folded[max(0, b - 60) : b].rsplit(" ", 1)[-1]:
-            out.add(f"{before} {word}")
-        if after := folded[e + 1 : e + 60].split(" ", 1)[0]:
-            out.add(f"{word} {after}")
+        if b > 0:
+            out.add(folded[folded.rfind(" ", 0, b) + 1 : e])
+        if e + 1 < len(folded):
+            out.add(folded[b + 1 : folded.index(" ", e + 1)])
     return out
 
 
-def _odds(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """key, docs, weight: the log odds of standing in a toxic text against a clean one."""
-    by = counts.groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    return by.select("key", "t", (F.col("t") + F.col("c")).alias("docs"), F.log((F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))).alias("weight"))
+def _odds(t: float, c: float, toxic: int, clean: int) -> float:
+    """The log odds of standing in a toxic text against a clean one."""
+    return float(np.log((t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """docs: doc_id, text; labels: doc_id, toxic, all learned from. At most `sample` labels are used, so they are broadcast."""
     spark = docs.sparkSession
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     chosen = F.broadcast(drawn(known, sample, "doc_id"))
     rows = texts(docs).join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    schema = "key string, toxic long, n long"
-    words = _odds(rows.mapInArrow(_tables(None, _words), schema), toxic, clean).where((F.col("t") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT))
-    weights = {r.key: r.weight for r in words.orderBy(F.desc(F.col("weight") * F.sqrt("t")), "key").limit(LEXICON).collect()}
-    held = spark.sparkContext.broadcast(Lexicon(weights, set()))
-    spared = _odds(rows.mapInArrow(_tables(held, _phrases), schema), toxic, clean).where((F.col("docs") >= LEAST_DOCS) & (F.col("weight") <= 0))
-    model = Lexicon(weights, {r.key for r in spared.orderBy(F.desc("docs"), "key").limit(PHRASES).collect()})
-    final = spark.sparkContext.broadcast(model)
+    rows = stored(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")), "labelled")
+    sizes = np.zeros((2, FOLDS + 1), np.int64)  # clean and toxic texts of each fold; the last column is all
+    for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect():
+        sizes[r.toxic, [r.fold, FOLDS]] += r.n
+    counted = sizes[:, FOLDS:] - sizes
+    counted[:, FOLDS] = sizes[:, FOLDS]  # what the lexicon that leaves a fold out is learned from; the last leaves none out
+    schema = "key string, toxic long, fold int, n long"
+    apart = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"{'ct'[y]}{f}") for y in (0, 1) for f in range(FOLDS)]
+    total = sum(F.col(f"t{f}") for f in range(FOLDS))
+    words = rows.mapInArrow(_tables(_words), schema).groupBy("key").agg(*apart).where(total >= LEAST_DOCS)
+    weights: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    for r in words.toLocalIterator():  # keys of at least LEAST_DOCS toxic texts of the sample
+        c, t = (np.array([r[f"{x}{f}"] for f in range(FOLDS)]) for x in "ct")
+        for f in range(FOLDS + 1):
+            tf, cf = (int(x.sum() - (x[f] if f < FOLDS else 0)) for x in (t, c))
+            if tf >= LEAST_DOCS and (w := _odds(tf, cf, counted[1, f], counted[0, f])) >= LEAST_WEIGHT:
+                weights[f][r.key] = w
+    plain = spark.sparkContext.broadcast([Lexicon(w, set()) for w in weights])
+
+    def spared(folded: str, fold: int) -> set[tuple[str, int]]:
+        return {(p, f) for f, lexicon in enumerate(plain.value) if f != fold for p in phrases(folded, lexicon.matches(folded))}
+
+    both = rows.mapInArrow(_tables(spared), schema).groupBy("key", "fold").agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias("ct"[y]) for y in (0, 1)))
+    exceptions: list[set[str]] = [set() for _ in range(FOLDS + 1)]
+    for r in both.where(F.col("t") + F.col("c") >= LEAST_DOCS).toLocalIterator():
+        if _odds(r.t, r.c, counted[1, r.fold], counted[0, r.fold]) <= 0:
+            exceptions[r.fold].add(r.key)
+    models = [Lexicon(w, x) for w, x in zip(weights, exceptions, strict=True)]
+    final = spark.sparkContext.broadcast(models[:-1])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [final.value.features(fold(t)) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches):
+            x = [final.value[f].features(fold_text(t)) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
     found = rows.mapInArrow(measure, "x array<double>, toxic long").toArrow()  # a row a labelled text, at most the sample
-    x = np.array(found.column("x").to_pylist()).reshape(-1, 4)
-    model.fit(x, found.column("toxic").to_numpy())
-    return model
+    x, toxic = np.array(found.column("x").to_pylist()).reshape(-1, 4), found.column("toxic").to_numpy()
+    order = np.lexsort((*x.T, toxic))
+    models[-1].fit(x[order], toxic[order])
+    return models[-1]
 
 
 def score(docs: DataFrame, model: Lexicon) -> DataFrame:
@@ -214,10 +233,10 @@ def score(docs: DataFrame, model: Lexicon) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, met = [], []
             for t in batch.column("text"):
-                folded = fold(t.as_py())
+                folded = fold_text(t.as_py())
                 x.append(held.value.features(folded))
                 met.append([folded[b + 1 : e] for b, e, _ in held.value.matches(folded)] if x[-1][1] else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held.value.scores(np.array(x))), pa.array(met, pa.list_(pa.string()))], ["doc_id", "score", "matches"])
