@@ -59,13 +59,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as a Parquet table in the shared folder, and read from there."""
+    """The rows written as a Parquet table in the shared folder, and read from there; free() empties it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Empties the tables that stored() has written in this process (those from the first to before the last), once nothing reads them any more."""
+    for path in _written[first:last]:
+        spark.range(0).write.mode("overwrite").parquet(path)
+    del _written[first:last]
+
+
+def written() -> int:
+    """How many tables stored() has written and free() not emptied."""
+    return len(_written)
+
+
 _slot: list = [None, None, None]
 
 
@@ -154,21 +170,24 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(bucket >= least).orderBy(F.desc("n"), "word").limit(limit)
 
 
-#: Rows of a table that may be broadcast by spread_join.
-HEAVY = 100_000
+#: Rows of a table that may be broadcast by spread_join; rows of a key up to which one task may get them all.
+HEAVY, LIGHT = 100_000, 1_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: Sequence[str], n: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
     """left joined with right (one row a key, whose column n says how many rows of left have it), without a task that gets all rows of a frequent key.
 
-    Keys that hold at least one in HEAVY of all rows, and a thousand, are at most HEAVY: these are broadcast, and their rows of left stay
-    where they are. The other rows are shuffled. left should be stored: it is read twice.
+    Keys with more than LIGHT rows and more than one in HEAVY of all rows are fewer than HEAVY: these are broadcast, and their rows of left stay
+    where they are. The other rows are shuffled.
     """
-    whole = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    least = max(1_000, whole // HEAVY)
-    heavy = F.broadcast(right.where(F.col(n) >= least))
-    light = left.join(heavy.select(*key), list(key), "left_anti").join(right.where(F.col(n) < least), list(key))
-    return left.join(heavy, list(key)).unionByName(light)
+    right = stored(right, "keys")
+    whole, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    least = max(LIGHT, whole // HEAVY)
+    if most <= least:
+        return left.join(right, key)
+    heavy = right.where(F.col(n) > least)
+    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col(n) <= least), key)
+    return left.join(F.broadcast(heavy), key).unionByName(light)
 
 
 def drawn(df: DataFrame, limit: int, *key: str) -> DataFrame:

@@ -6,8 +6,8 @@ separates words and pieces don't cross it, so a text's log probability is the su
 over its words. Piece probabilities are learned by expectation maximisation (forward and backward
 sums) from the counts of every (language, word) of the training rows.
 
-A character outside the vocabulary is the unknown piece. Words of any length count whole: sums are
-kept as logarithms, and a word is worked through in parts between places that no piece crosses. A text that is null or
+A character outside the vocabulary is the unknown piece. Words of any length count whole: a word is worked
+through in parts between places that no piece crosses, and sums of long parts, or beyond the range of doubles, are kept as logarithms. A text that is null or
 has no letter is `und` with score 0, and so is every text
 where no row has been learned from; else the prediction is the language of highest posterior
 (the alphabetically first of equals) and score that posterior, 0 to 1. Rows are kept one for one;
@@ -52,25 +52,59 @@ class Arcs:
     """
 
     def __init__(self, source, target, piece, part, first, last, word):
-        self.source, self.target, self.piece, self.part = source, target, piece, part
+        step = (source - first[part]) * 1_000 + target - source  # arcs of one step and different parts never share a place
+        long = (last - first > SIDE)[part]
+        order = np.argsort(np.where(long, np.iinfo(np.int64).max, step), kind="stable")
+        self.source, self.target, self.piece, self.part = (x[order] for x in (source, target, piece, part))
         self.first, self.last, self.word = first, last, word  # of each part
         self.size = int(last[-1]) + 1 if len(last) else 0
-        long = (last - first > SIDE)[part]
-        side = np.flatnonzero(~long)
-        step = (source - first[part])[side] * 1_000 + (target - source)[side]  # arcs of one step never share a source or a target
-        side = side[np.argsort(step, kind="stable")]
-        self.steps = np.split(side, np.flatnonzero(np.diff(np.sort(step))) + 1)
-        self.long = np.flatnonzero(long)
+        self.side = len(order) - int(long.sum())  # arcs of parts that are worked through side by side, then those of long ones
+        cuts = np.flatnonzero(np.diff(step[order[: self.side]])) + 1
+        self.steps = [slice(b, e) for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), self.side], strict=True)] if self.side else []
+
+    def _long(self, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """The arcs of long parts, those of one end together, in order of their ends."""
+        at = self.side + np.argsort(ends[self.side :], kind="stable")
+        return iter(np.split(at, np.flatnonzero(np.diff(ends[at])) + 1) if len(at) else ())
+
+    def _plain(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Sums of products before each place and the arcs' factors, for parts that are not long, a column a language; and the factor that each
+        character has been given, so that sums of middling words stay near one."""
+        unit = 1 / max(1e-30, float(p[:-1].mean())) ** 0.5
+        own = p[self.piece[: self.side]] * (unit ** (self.target - self.source)[: self.side])[:, None]
+        a = np.zeros((self.size, p.shape[1]))
+        a[self.first] = 1.0
+        with np.errstate(all="ignore"):
+            for s in self.steps:
+                a[self.target[s]] += a[self.source[s]] * own[s]
+        return a, own, unit
+
+    def ended(self, p: np.ndarray) -> np.ndarray:
+        """The log probability of each part (row) in each language (column); not finite for long parts, and where a sum left the range of doubles."""
+        a, _, unit = self._plain(p)
+        with np.errstate(all="ignore"):
+            return np.log(a[self.last]) - ((self.last - self.first) * np.log(unit))[:, None]
+
+    def shares(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each arc of parts that are not long given its part, in one language, and which parts this holds for."""
+        a, own, _ = self._plain(p[:, None])
+        a, own, z = a[:, 0], own[:, 0], np.zeros(self.size)
+        z[self.last] = 1.0
+        source, target = self.source[: self.side], self.target[: self.side]
+        with np.errstate(all="ignore"):
+            for s in reversed(self.steps):
+                z[source[s]] += z[target[s]] * own[s]
+            whole = a[self.last]
+            return a[source] * own * z[target] / whole[self.part[: self.side]], np.isfinite(whole) & (whole > 0)
 
     def forward(self, log_p: np.ndarray) -> np.ndarray:
         """The log probability of what each part has before each place, a column a language."""
         a = np.full((self.size, log_p.shape[1]), -np.inf)
         a[self.first] = 0.0
-        for at in self.steps:
-            to = self.target[at]
-            a[to] = np.logaddexp(a[to], a[self.source[at]] + log_p[self.piece[at]])
-        at = self.long[np.argsort(self.target[self.long], kind="stable")]
-        for group in np.split(at, np.flatnonzero(np.diff(self.target[at])) + 1) if len(at) else ():
+        for s in self.steps:
+            to = self.target[s]
+            a[to] = np.logaddexp(a[to], a[self.source[s]] + log_p[self.piece[s]])
+        for group in self._long(self.target):
             x = a[self.source[group]] + log_p[self.piece[group]]
             top = x.max(0)
             a[self.target[group[0]]] = top + np.log(np.exp(x - top).sum(0))
@@ -80,11 +114,10 @@ class Arcs:
         """The log probability of what each part has behind each place, in one language."""
         z = np.full(self.size, -np.inf)
         z[self.last] = 0.0
-        for at in reversed(self.steps):
-            begin = self.source[at]
-            z[begin] = np.logaddexp(z[begin], z[self.target[at]] + log_p[self.piece[at]])
-        at = self.long[np.argsort(-self.source[self.long], kind="stable")]
-        for group in np.split(at, np.flatnonzero(np.diff(self.source[at])) + 1) if len(at) else ():
+        for s in reversed(self.steps):
+            begin = self.source[s]
+            z[begin] = np.logaddexp(z[begin], z[self.target[s]] + log_p[self.piece[s]])
+        for group in self._long(-self.source):
             x = z[self.target[group]] + log_p[self.piece[group]]
             z[self.source[group[0]]] = x.max() + np.log(np.exp(x - x.max()).sum())
         return z
@@ -157,23 +190,41 @@ def _in_parts(words: list[str]) -> Iterator[slice]:
 
 def forward(vocabulary: Vocabulary, words: list[str], p: np.ndarray) -> np.ndarray:
     """The log probability of each word (row) in each language (column); p: a column of piece probabilities a language."""
-    total, log_p = np.zeros((len(words), p.shape[1])), np.log(p)
+    total = np.zeros((len(words), p.shape[1]))
+
+    def add(arcs: Arcs, ended: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(arcs.word, ended[:, g], size) for g in range(p.shape[1])], 1)
+
     for part in _in_parts(words):
-        arcs = vocabulary.arcs(words[part])
-        ended = arcs.forward(log_p)[arcs.last]
-        for g in range(p.shape[1]):
-            total[part, g] = np.bincount(arcs.word, ended[:, g], len(words[part]))
+        here = words[part]
+        arcs = vocabulary.arcs(here)
+        ended = arcs.ended(p)
+        total[part] = add(arcs, ended, len(here))
+        rest = np.unique(arcs.word[~np.isfinite(ended).all(1)])
+        if len(rest):
+            arcs = vocabulary.arcs([here[i] for i in rest])
+            total[part.start + rest] = add(arcs, arcs.forward(np.log(p))[arcs.last], len(rest))
     return total
 
 
 def expected(vocabulary: Vocabulary, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The expected number of each piece in the words of one language, over all their segmentations."""
-    out, log_p = np.zeros(vocabulary.size), np.log(p)
+    out = np.zeros(vocabulary.size)
     for part in _in_parts(words):
-        arcs = vocabulary.arcs(words[part])
-        a, z = arcs.forward(log_p[:, None])[:, 0], arcs.backward(log_p)
-        share = np.exp(a[arcs.source] + log_p[arcs.piece] + z[arcs.target] - a[arcs.last][arcs.part])
-        out += np.bincount(arcs.piece, share * counts[part][arcs.word][arcs.part], vocabulary.size)
+        here, n = words[part], counts[part]
+        arcs = vocabulary.arcs(here)
+        share, sound = arcs.shares(p)
+        rest = np.unique(arcs.word[~sound])
+        n_here = n.copy()
+        n_here[rest] = 0
+        weight = n_here[arcs.word][arcs.part[: arcs.side]]
+        kept = weight > 0
+        out += np.bincount(arcs.piece[: arcs.side][kept], share[kept] * weight[kept], vocabulary.size)
+        if len(rest):
+            arcs, log_p = vocabulary.arcs([here[i] for i in rest]), np.log(p)
+            a, z = arcs.forward(log_p[:, None])[:, 0], arcs.backward(log_p)
+            share = np.exp(a[arcs.source] + log_p[arcs.piece] + z[arcs.target] - a[arcs.last][arcs.part])
+            out += np.bincount(arcs.piece, share * n[rest][arcs.word][arcs.part], vocabulary.size)
     return out
 
 
@@ -253,7 +304,7 @@ def predict(docs: DataFrame, vocabulary_path: str, model: tuple[list[str], np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, shares, p = held.value
         vocabulary, index, table = _vocabulary(held.value), {}, np.zeros((0, len(langs)))
-        for batch in slices(batches):
+        for batch in slices(batches, 4_000):  # many words share one walk through the vocabulary
             places, whole = [], []
             for text in batch.column("text").to_pylist():
                 if text and langs and LETTER.search(text):

@@ -7,34 +7,40 @@ registers' firsts. Two texts agree on a register with probability equal to the p
 Jaccard similarity of their weights. BANDS bands of ROWS registers find candidates: a pair
 at 0.8 meets in a band with probability 1 - (1 - 0.8^5)^20 = 0.9996. Candidates are verified
 on their whole texts; a link is a probability Jaccard or a plain Jaccard similarity of
-shingles of at least 0.8.
+shingles of at least 0.8. For the plain one, a text with repeated shingles has the bands of its shingles
+without weights too; a text without repeats has the same bands with and without. So either kind of link is found with that probability.
 
 Exact copies become one text before banding. In a bucket, members are first compared with its
 lead, the text that meets most others over all bands: in a group of copies, what they were
-made from. Where a bucket then still holds several classes, all its pairs of different classes are
-compared: listed in small buckets; in large ones inside blocks of two parts each, which
-emit only links that join classes. So large groups cost a few rows a member, and no link between
-classes is lost. Classes are the connected components of the links.
-
-One row per row of docs: doc_id, class_id (the smallest id in its class), class_size. Texts
+made from. Where a bucket then still holds several classes, its members of different classes are
+compared: all pairs of them in buckets of up to FEW texts. A larger bucket is divided once more by FINE
+finer bands of FINE_ROWS registers, in which a pair at 0.8 meets again with probability 1 - (1 - 0.8^4)^25 = 0.999998, and
+pairs are compared where they meet again; if more than FEW texts of several classes do, in blocks of two parts
+each, which emit only links that join classes. The work in such a finer bucket (texts that agree on nine registers, but aren't linked with
+their lead) grows with its square, and so do the texts sent to blocks, by the square of its members over BLOCK. Classes are the connected components of the links.
+
+One row per row of docs: doc_id, class_id (the smallest id in its class), class_size (its rows). Texts
 without words are never copies: each is a class of its own. A null id is a class of its own
-with a null class_id. Rows that share an id share a class.
+with a null class_id. Rows with words that share an id share a class, whatever their texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, stored, texts
+from .common import LIGHT, cut, map_batches, spread_join, stored, texts
 from .shingles import mix, shingles
 
 M, BANDS, LEAST = 100, 20, 0.8
 ROWS = M // BANDS
-#: Members of a bucket up to which its pairs of different classes are listed; beyond, they are compared in blocks of BLOCK members.
-FEW, BLOCK = 32, 512
+FINE, FINE_ROWS = 25, 4
+#: Members of a bucket up to which its pairs of different classes are listed; members of a part of a larger one.
+FEW, BLOCK = 32, 1_024
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -98,26 +104,39 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (low / x + high / y)).sum()), len(both) / (len(a[0]) + len(b[0]) - len(both))
 
 
-def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keys: list = [[]] * batch.num_rows
-    part, held = [], 0
-    found = batch.column("text").to_pylist()
+def _keys(found: list[str], count: int) -> list[list[int]]:
+    """The keys of `count` bands of each text, and those of its shingles without weights where some repeat; none for texts without words."""
+    keys: list[list[int]] = [[] for _ in found]
+    part: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
+    held = 0
 
     def flush() -> None:
-        for (i, _), row in zip(part, bands(signatures([w for _, w in part])).tolist(), strict=True) if part else ():
-            keys[i] = row
+        for (i, _), row in zip(part, bands(signatures([w for _, w in part]), count).tolist(), strict=True) if part else ():
+            keys[i] += row
         part.clear()
 
     for i, text in enumerate(found):
-        w = weighted(text)
-        if len(w[0]):
-            part.append((i, w))
-            held += len(w[0])
-        if held > 1_000_000:
+        s, w = weighted(text)
+        if len(s):
+            part.append((i, (s, w)))
+            if w.max() > 1:
+                part.append((i, (s, np.ones(len(s)))))
+            held += len(s)
+        if held > 500_000:
             flush()
             held = 0
     flush()
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
+    return keys
+
+
+def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = batch.column("text").to_pylist()
+    copy = [hashlib.sha256(x.encode()).digest()[:16] for x in found]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(copy, pa.binary()), pa.array(_keys(found, BANDS), pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
+
+
+def _finer(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_keys(batch.column("text").to_pylist(), FINE), pa.list_(pa.int64()))], ["node", "fine"])
 
 
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -134,7 +153,7 @@ def _block(rows: pa.Table) -> pa.Table:
 
     Shared shingles of all pairs are counted by products of matrices whose columns are the block's shared shingles.
     """
-    doc, root, part, i, j = (rows.column(c).to_numpy() for c in ("doc", "root", "part", "i", "j"))
+    doc, root, part, i, j = (rows.column(c).to_numpy() for c in ("node", "root", "part", "i", "j"))
     held = [weighted(x) for x in rows.column("text").to_pylist()]
     shingle, owner = np.concatenate([s for s, _ in held]), np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
     weight = np.concatenate([w for _, w in held])
@@ -169,8 +188,7 @@ def _block(rows: pa.Table) -> pa.Table:
         if u != v and max(similarity(held[a], held[b])) >= LEAST:
             above[max(u, v)] = min(u, v)
             out.append((doc[a], doc[b]))
-    kind = rows.schema.field("doc").type
-    return pa.table([pa.array([o[k] for o in out], kind) for k in (0, 1)], ["a", "b"])
+    return pa.table([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,8 +201,8 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        big = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0").withColumn("m", F.least("a", "m"))
+        big = spread_join(both.where("b > a"), low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = cut(small)
@@ -194,63 +212,102 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of members (key, node, root) whose key has several roots, and n, the key's rows."""
+    members = cut(members)
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    return cut(spread_join(members, several, "key", "n"))
+
+
+def _across(few: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share a key; at most FEW rows share one."""
+    x, y = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    return x.join(y, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _verified(pairs: DataFrame, needed: DataFrame) -> DataFrame:
+    """same, for each pair (a, b); needed: node, text. The text of a node that is a in many pairs is sent once for each LIGHT of them."""
+    pairs = stored(pairs, "pairs")
+    n = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / LIGHT).cast("int")
+    dealt = spread_join(pairs, n, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    x = n.join(needed.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    y = needed.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return cut(map_batches(dealt.join(y, "b").join(x, ["a", "salt"]).select("a", "b", "x", "y"), _verify, "a long, b long, same boolean"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root once links (a, b) join classes of roots (node, root) or nodes outside."""
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    new = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    old = roots.join(new, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return old.unionByName(new.join(roots, F.col("node") == new["root"], "left_anti").select(F.col("root").alias("node"), F.col("now").alias("root")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size: one row per row of docs."""
     docs = texts(docs)
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("copy", F.unhex(F.sha2("text", 256)))
+    known = docs.where(F.col("doc_id").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = stored(map_batches(known, _sketch, f"doc_id {kind}, copy binary, bands array<bigint>"), "sketches")
     worded = sketches.where(F.size("bands") > 0)
-    copies = worded.groupBy("copy").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
-    members = cut(copies.select("doc", F.posexplode("bands").alias("band", "key")))
-    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(buckets, ["band", "key"]))
-    met = members.groupBy("doc").agg(F.sum("n").alias("met"))
-    leads = members.join(met, "doc").groupBy("band", "key").agg(F.max_by("doc", F.struct("met", -F.col("doc"))).alias("lead"))
-    # The texts that stand in any bucket with another: only those are joined again.
-    needed = stored(known.select("doc_id", "text").join(met.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-        y = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-        return cut(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _verify, f"a {kind}, b {kind}, same boolean"))
-
-    to_lead = members.join(leads, ["band", "key"]).where("doc <> lead").select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
-    done = verified(to_lead)
+    # One node for each different text.
+    copies = worded.groupBy("copy").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
+    copies = stored(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    members = copies.select("node", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(spread_join(members, buckets, "key", "n"))
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    leads = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("lead"), F.count("*").alias("n")).select("key", "n", F.col("lead.node").alias("lead"))
+    # The texts that stand in any bucket with another: only those are read again, one row each.
+    wanted = copies.join(met, "node", "left_semi").select("node", F.col("doc").alias("doc_id"), "copy")
+    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    needed = stored(known.withColumn("copy", digest).join(wanted, ["doc_id", "copy"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    to_lead = spread_join(members.drop("n"), leads, "key", "n").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    done = _verified(to_lead, needed)
     roots = components(done.where("same"))
     # What is left: members of a bucket that are in different classes, among which its lead linked nothing.
-    grouped = members.join(roots, members["doc"] == roots["node"], "left").select("band", "key", "n", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = cut(grouped.join(grouped.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key"), ["band", "key"], "left_semi"))
-    few = mixed.where(F.col("n") <= FEW)
-    across = few.select("band", "key", F.col("doc").alias("a"), F.col("root").alias("ra")).join(few.select("band", "key", F.col("doc").alias("b"), F.col("root").alias("rb")), ["band", "key"]).where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(across.join(done.select("a", "b"), ["a", "b"], "left_anti")).where("same").select("a", "b")
+    grouped = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = _mixed(grouped)
+    large = mixed.where(F.col("n") > FEW)
+    finer = map_batches(needed.join(large.select("node").distinct(), "node", "left_semi"), _finer, "node long, fine array<bigint>")
+    again = large.join(finer, "node").select("node", "root", F.explode(F.transform("fine", lambda f: F.xxhash64("key", f))).alias("key"))
+    again = _mixed(again)
+    tried = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = _across(mixed.where(F.col("n") <= FEW)).unionByName(_across(again.where(F.col("n") <= FEW))).distinct()
+    links = _verified(across.join(tried, ["a", "b"], "left_anti"), needed).where("same").select("a", "b")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = (
-        mixed.where(F.col("n") > FEW)
-        .withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-        .select("band", "key", "doc", "root", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("band", "key", "doc", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        .join(needed.select(F.col("doc_id").alias("doc"), "text"), "doc")
+        again.where(F.col("n") > FEW)
+        .withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        .select("key", "node", "root", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("key", "node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .join(needed, "node")
     )
-    links = cut(links.unionByName(blocks.groupBy("band", "key", "i", "j").applyInArrow(_block, f"a {kind}, b {kind}")))
-    if not links.isEmpty():  # classes that these join, over the roots found so far
-        old = roots
-        for end in ("a", "b"):
-            links = links.join(old.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
-        new = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
-        roots = old.join(new, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")).unionByName(new.join(old, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root")))
-    named = copies.select("copy", "doc").join(roots, F.col("doc") == F.col("node"), "left").select("copy", F.coalesce("root", "doc").alias("class_id"))
-    out = sketches.select("doc_id", F.when(F.size("bands") > 0, F.col("copy")).alias("copy")).join(named, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = cut(out)
-    # Ids that stand in several rows have one class: the smallest that any of their texts is in.
-    out = out.join(out.groupBy("doc_id").agg(F.min("class_id").alias("least")), "doc_id").select("doc_id", F.col("least").alias("class_id"))
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    alone = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast(kind).alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size").unionByName(alone)
+    links = links.unionByName(blocks.groupBy("key", "i", "j").applyInArrow(_block, "a long, b long"))
+    # Ids that stand with several texts.
+    ids = worded.groupBy("doc_id").agg(F.min("copy").alias("low"), F.max("copy").alias("high"), F.count("*").alias("n")).where("low < high").select("doc_id", "low", "n")
+    node = copies.select("copy", "node")
+    twice = spread_join(worded.select("doc_id", "copy"), ids, "doc_id", "n").select("low", "copy").distinct()
+    twice = twice.join(node.withColumnRenamed("node", "b"), "copy").join(node.select(F.col("copy").alias("low"), F.col("node").alias("a")), "low").select("a", "b").where("a <> b")
+    links = cut(links.unionByName(twice))
+    if not links.isEmpty():
+        roots = _joined(roots, links)
+    named = stored(copies.select("copy", "doc", "rows", "node").join(roots, "node", "left").select("copy", "doc", "rows", F.coalesce("root", "node").alias("root")), "named")
+    whole = named.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("n"))
+    named = spread_join(named.select("copy", "rows", "root"), whole, "root", "n").select("copy", "rows", "class_id", "class_size")
+    out = spread_join(worded.select("doc_id", "copy"), named, "copy", "rows").select("doc_id", "class_id", "class_size")
+    alone = F.lit(1).cast("long").alias("class_size")
+    empty = sketches.where(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"), alone)
+    return out.unionByName(empty).unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast(kind).alias("class_id"), alone))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest id of each class, one row an id; rows with a null id all stay."""
-    kept = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of docs with the smallest id of each class; of rows that share that id the greatest by its columns in order, so the choice can be repeated. Rows with a null id all stay."""
+    kept = classes(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = stored(kept, "kept")
+    one = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("most")).select("most.*")
+    return one.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

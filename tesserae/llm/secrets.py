@@ -148,7 +148,7 @@ def _covered(found: DataFrame, counts: DataFrame) -> DataFrame:
 
     parts = stored(map_batches(tokens.select("digest", "token"), cut, "digest binary, begin long, word string"), "pieces")
     known = counts.where(F.col("n") >= KNOWN).select("word").join(parts.groupBy("word").agg(F.count("*").alias("times")), "word")
-    spans = spread_join(parts, known, ["word"], "times").groupBy("digest").agg(F.collect_list(F.struct("begin", F.length("word").alias("size"))).alias("spans"))
+    spans = spread_join(parts, known, "word", "times").groupBy("digest").agg(F.collect_list(F.struct("begin", F.length("word").alias("size"))).alias("spans"))
     whole = tokens.select("digest", "n", F.length("token").alias("size")).join(spans, "digest", "left")
     return map_batches(whole, share, "digest binary, n long, covered double")
 
@@ -174,9 +174,9 @@ def find(docs: DataFrame, path_col: str = "source") -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = stored(map_batches(rows, run, f"doc_id {kind}, begin long, end long, token string, digest binary, labelled int, apart boolean, x array<double>"), "candidates")
-    covered = stored(_covered(found, counted(whole)), "covered")
+    covered = _covered(found, counted(whole))
     held_out = (F.col("labelled").isNotNull() & F.col("apart")).alias("held_out")
-    found = spread_join(found, covered, ["digest"], "n").select("doc_id", "begin", "end", "labelled", held_out, F.concat("x", F.array("covered")).alias("x"))
+    found = spread_join(found, covered, "digest", "n").select("doc_id", "begin", "end", "labelled", held_out, F.concat("x", F.array("covered")).alias("x"))
     known = drawn(found.where("labelled IS NOT NULL AND NOT held_out"), SAMPLE, "doc_id", "begin").orderBy("doc_id", "begin", "x").select(F.col("labelled").cast("double").alias("label"), array_to_vector("x").alias("features"))
     if known.select("label").distinct().count() < 2:
         return found.select("doc_id", "begin", "end", F.coalesce("labelled", F.lit(0)).alias("secret"), F.lit(None).cast("double").alias("score"), "labelled", "held_out")

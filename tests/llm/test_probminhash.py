@@ -81,6 +81,76 @@ def test_chain_of_copies_in_large_buckets(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in p.classes(df).collect()} == brute(docs)
 
 
+def test_large_mixed_buckets_are_divided_once_more(spark, monkeypatch):
+    """Texts of one passage (not links) and of pairs (links), so that buckets hold many classes."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(60)]
+    docs = []
+    for _ in range(40):
+        own = [*passage, *(word() for _ in range(25))]
+        docs += [" ".join(own), " ".join([*own[:-1], word()])]
+    monkeypatch.setattr(p, "FEW", 4)
+    monkeypatch.setattr(p, "BLOCK", 16)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs)
+    assert len(set(want.values())) > 20
+    assert {x.doc_id: x.class_id for x in p.classes(df).collect()} == want
+
+
+def test_repeated_lines_are_found_by_their_plain_likeness(spark):
+    """Plain Jaccard 1, probability Jaccard about 0.55: found because such texts have bands without weights too."""
+    r = random.Random(12)
+    docs = []
+    for i in range(60):
+        line = [f"w{r.randrange(10**6)}" for _ in range(24)]
+        whole = line + [f"w{r.randrange(10**6)}" for _ in range(80)]
+        docs += [(2 * i, " ".join(whole)), (2 * i + 1, " ".join(line * 300 + whole))]
+    low = [p.similarity(p.weighted(docs[2 * i][1]), p.weighted(docs[2 * i + 1][1])) for i in range(60)]
+    assert max(x for x, _ in low) < 0.75 and min(y for _, y in low) >= 0.8
+    got = {x.doc_id: x.class_id for x in p.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 54  # a recall of 0.9
+
+
+def test_recall_near_the_threshold():
+    """Pairs with a similarity of 0.8 to 0.85 meet in a band, in the bands and in the finer ones."""
+    r = random.Random(13)
+    met = finer = whole = 0
+    while whole < 200:
+        a = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 200))]
+        b = [x if r.random() > 0.025 else "x" for x in a]
+        near = max(p.similarity(p.weighted(" ".join(a)), p.weighted(" ".join(b))))
+        if 0.8 <= near <= 0.85:
+            whole += 1
+            for count, at in ((p.BANDS, 0), (p.FINE, 1)):
+                x, y = p._keys([" ".join(a), " ".join(b)], count)
+                if set(x) & set(y):
+                    met, finer = (met + 1, finer) if at == 0 else (met, finer + 1)
+    assert met >= 198 and finer >= 199
+
+
+def test_hot_copies_ids_of_text_and_repeated_ids(spark, monkeypatch):
+    """Keys above LIGHT take the broadcast way; ids may be strings; one id may stand with several texts."""
+    from tesserae.llm import common
+
+    monkeypatch.setattr(common, "LIGHT", 5)
+    monkeypatch.setattr(p, "LIGHT", 5)
+    long, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(40))
+    rows = [(f"k{i:03}", long if i % 2 else long.replace("w7 ", f"x{i} ")) for i in range(80)] + [("a", other), ("a", "quite another text of this id"), ("b", other), ("z", "single")]
+    df = spark.createDataFrame([(*x, "1") for x in rows], "doc_id string, text string, copy string").repartition(5)
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in p.classes(df).collect())
+    assert got == sorted([(d, "k000", 80) for d, _ in rows[:80]] + [("a", "a", 3)] * 2 + [("b", "a", 3), ("z", "z", 1)])
+    kept = [tuple(r) for r in p.keep_one(df).collect()]
+    assert sorted(d for d, *_ in kept) == ["a", "k000", "z"] and ("a", other, "1") in kept  # the greatest text of the id
+
+
+def test_a_long_text(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(100_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in p.classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [(1, long), (1, long), (2, long), (None, long), (None, None), (3, ""), (4, None)]
