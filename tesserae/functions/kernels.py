@@ -9,7 +9,33 @@ import math
 
 import numpy as np
 
-erf = np.vectorize(math.erf, otypes=[float])
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function: its power series within 3, the continued fraction of its complement beyond."""
+    x = np.asarray(x, float)
+    a = np.minimum(np.abs(np.nan_to_num(x)), 30.0)
+    near = np.minimum(a, 3.0)
+    term, total = near.copy(), near.copy()
+    for n in range(1, 80):
+        term = term * -(near**2) / n
+        total = total + term / (2 * n + 1)
+    far, f = np.maximum(a, 3.0), np.zeros_like(a)
+    for k in range(60, 0, -1):
+        f = k / 2 / (far + f)
+    tail = np.exp(-(far**2)) / (math.sqrt(math.pi) * (far + f))
+    return np.where(np.isnan(x), np.nan, np.sign(x) * np.where(a <= 3, 2 / math.sqrt(math.pi) * total, 1 - tail))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function of positive values: Stirling's series from 14 on, the recurrence below."""
+    x = np.asarray(x, float).copy()
+    shift = np.zeros_like(x)
+    for _ in range(14):
+        low = x < 14
+        shift = np.where(low, shift + np.log(np.where(low, x, 1.0)), shift)
+        x = np.where(low, x + 1, x)
+    r = 1 / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + r / 12 - r**3 / 360 + r**5 / 1260 - r**7 / 1680 - shift
 
 
 def butterworth(order: int, low: float | None, high: float) -> np.ndarray:
@@ -142,35 +168,44 @@ def transfer_entropy(source: np.ndarray, target: np.ndarray, k: int = 4, block:
     return float(np.mean(np.concatenate(terms)))
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or 1e-300)
-    f = d
+def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function of arrays, by its continued fraction."""
+    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    turned = x > (a + 1) / (a + b + 2)
+    a, b, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    inside = (y > 0) & (y < 1)
+    y = np.where(inside, y, 0.5)
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(y) + b * np.log1p(-y)) / a
+    tiny = lambda v: np.where(v == 0, 1e-300, v)
+    c, d = np.ones_like(y), 1 / tiny(1 - (a + b) * y / (a + 1))
+    f = d.copy()
     for m in range(1, 300):
-        for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + n * d) or 1e-300)
-            c = (1 + n / c) or 1e-300
-            f *= c * d
-        if abs(c * d - 1) < 1e-15:
+        for n in (m * (b - m) * y / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * y / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / tiny(1 + n * d)
+            c = tiny(1 + n / c)
+            f = f * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
             break
-    return front * f
+    out = np.where(inside, front * f, 0.0)
+    return np.where(turned, 1 - out, out)
 
 
-def t_two_sided(t: float, dof: float) -> float:
-    return beta_inc(dof / 2, 0.5, dof / (dof + t * t)) if dof > 0 and math.isfinite(t) else math.nan
+def t_two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """Two-sided p of Student's t; missing where t is or the degrees of freedom are not positive."""
+    t, dof = (np.asarray(v, float) for v in np.broadcast_arrays(t, dof))
+    ok = (dof > 0) & np.isfinite(t)
+    safe = np.where(ok, dof, 1.0)
+    u = np.where(ok, t, 0.0)
+    return np.where(ok, beta_inc(safe / 2, 0.5, safe / (safe + u * u)), np.nan)
 
 
-def pearson_p(r: float, n: int) -> float:
-    """Two-sided p of a correlation of n pairs."""
-    if n < 3 or not abs(r) < 1:
-        return 0.0 if n >= 3 and abs(r) == 1 else math.nan
-    return t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+def pearson_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided p of a correlation of n pairs: 0 for a perfect one, missing for fewer than three pairs."""
+    r, n = (np.asarray(v, float) for v in np.broadcast_arrays(r, n))
+    inside = (n >= 3) & (np.abs(r) < 1)
+    x, m = np.where(inside, r, 0.0), np.where(inside, n, 3.0)
+    p = t_two_sided(x * np.sqrt((m - 2) / (1 - x * x)), np.maximum(m - 2, 1e-9))
+    return np.where(inside & (n > 2), p, np.where((n >= 3) & (np.abs(r) == 1), 0.0, np.nan))
 
 
 def newey_west(x: np.ndarray, y: np.ndarray, lag: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -210,25 +245,54 @@ def fit(f, x: np.ndarray, y: np.ndarray, start: list[float], steps: int = 200) -
     return p, best
 
 
-#: Families of coherence against gradient, with a start for their parameters.
+def bessel_ratio(x: np.ndarray) -> np.ndarray:
+    """I1(x) / I0(x) of the modified Bessel functions, an odd function, by its continued fraction from far out inwards; 1 for infinite x."""
+    sign, x = np.sign(x), np.abs(np.asarray(x, float))
+    big = x > 700
+    y = np.where(big, 1.0, x)
+    out = np.zeros_like(y)
+    for k in range(int(60 + 2 * min(700.0, y.max(initial=0.0))), 0, -1):
+        out = 1 / (2 * k / np.maximum(y, 1e-300) + out)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        far = np.where(np.isinf(x), 1.0, 1 - 0.5 / x - 0.125 / x**2 - 0.125 / x**3)
+    return sign * np.where(big, far, np.where(y > 0, out, 0.0))
+
+
+#: Closures of coherence r against the gradient d with one parameter, and where their fits start. Fixed forms.
+CLOSURES = {
+    "bessel": (lambda d, k: bessel_ratio(np.where(d > 0, k / np.maximum(d, 1e-12), np.inf)), [1.0]),
+    "weak": (lambda d, k: np.where(d > 0, k / (2 * np.maximum(d, 1e-12)), 1.0), [1.0]),
+    "simple": (lambda d, tau: 1 / np.sqrt(1 + tau * np.maximum(d, 0.0)), [1.0]),
+}
+
+#: Families of coherence against energy, and where their fits start. Fixed forms.
 FAMILIES = {
-    "simple": (lambda d, tau: 1 / (1 + np.abs(tau) * d), [10.0]),
-    "weak": (lambda d, tau: 1 / np.sqrt(1 + (tau * d) ** 2), [10.0]),
-    "exponential": (lambda d, a, tau: a * np.exp(-np.abs(tau) * d), [1.0, 10.0]),
-    "power": (lambda d, a, b: a * np.maximum(d, 1e-9) ** b, [0.5, -0.2]),
-    "saturating": (lambda d, a, b, tau: a + b / (1 + np.abs(tau) * d), [0.1, 0.8, 10.0]),
+    "registered": (lambda e, tau: (1 + tau * e) ** -0.5, [144.0]),
+    "power": (lambda e, a, tau, b: (a + tau * e) ** -b, [1.0, 144.0, 0.5]),
+    "exp": (lambda e, r0, tau: r0 * np.exp(-tau * e), [1.0, 1.0]),
+    "saturating": (lambda e, low, r0, tau: low + (r0 - low) * np.exp(-tau * e), [0.0, 1.0, 1.0]),
 }
 
 
-def families(d: np.ndarray, r: np.ndarray) -> list[tuple[str, int, list[float], float, float, float]]:
-    """(family, parameters' number and values, sum of squares, AIC, BIC), the best AIC first."""
+def scored(forms: dict, d: np.ndarray, r: np.ndarray) -> list[tuple[str, int, list[float], float, float, float, float]]:
+    """(form, parameters' number and values, sum of squares, reduced chi-square against the sample variance, AIC, BIC), the best AIC first; at least six rows."""
     out, n = [], len(d)
-    for name, (f, start) in FAMILIES.items():
+    for name, (f, start) in forms.items():
         p, ss = fit(f, d, r, start)
         k = len(p)
-        log = n * math.log(max(ss, 1e-300) / n)
-        out.append((name, k, p.tolist(), ss, log + 2 * k, log + k * math.log(n)))
-    return sorted(out, key=lambda x: (x[4], x[0]))
+        log = n * (math.log(2 * math.pi * max(ss, 1e-300) / n) + 1)
+        out.append((name, k, p.tolist(), ss, ss / (max(n - k, 1) * float(np.var(r, ddof=1))), log + 2 * k, log + k * math.log(n)))
+    return sorted(out, key=lambda x: (x[5], x[0]))
+
+
+def gaussian_field(lat: np.ndarray, lon: np.ndarray, km: float, rng: np.random.Generator) -> np.ndarray:
+    """A standardised Gaussian random field at places whose covariance falls off as exp(-d^2 / (2 km^2)) with the great-circle distance d. A few thousand places."""
+    a, o = np.radians(lat), np.radians(lon)
+    h = np.sin((a[:, None] - a[None]) / 2) ** 2 + np.cos(a[:, None]) * np.cos(a[None]) * np.sin((o[:, None] - o[None]) / 2) ** 2
+    d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+    root = np.linalg.cholesky(np.exp(-0.5 * (d / km) ** 2) + 1e-6 * np.eye(len(d)))
+    x = root @ rng.standard_normal(len(d))
+    return (x - x.mean()) / x.std()
 
 
 def blocks(lat: np.ndarray, lon: np.ndarray, km: float) -> np.ndarray:
@@ -262,15 +326,3 @@ def largest_patch(cells: list[tuple[int, int, float]]) -> float:
                 todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
         best = max(best, total)
     return best
-
-
-def kuramoto(omega: np.ndarray, noise: np.ndarray, coupling: float, steps: int, dt: float, seed: int) -> np.ndarray:
-    """Phases (steps, ny, nx) of a periodic grid of noisy oscillators coupled to their four neighbours."""
-    rng = np.random.default_rng(seed)
-    phase = rng.uniform(-np.pi, np.pi, omega.shape)
-    out = np.empty((steps, *omega.shape))
-    for k in range(steps):
-        pull = sum(np.sin(np.roll(phase, s, axis) - phase) for s in (1, -1) for axis in (0, 1))
-        phase = phase + dt * (omega + coupling / 4 * pull) + math.sqrt(dt) * noise * rng.standard_normal(omega.shape)
-        out[k] = np.angle(np.exp(1j * phase))
-    return out

@@ -89,14 +89,46 @@ def band_verdict(x: Column, low: float, high: float) -> Column:
     return F.when(x < low, "falsified").when(x <= high, "deferred").when(x > high, "supported")
 
 
-# Closures of coherence r against the gradient d with time scale tau: simple, weak and exponential forms.
+# Closures of coherence r against the gradient d: the simple form with a time scale, the weak-coupling limit, and the exponential family.
 def closure_simple(d: Column, tau: float) -> Column:
-    return 1 / (1 + tau * d)
+    return 1 / F.sqrt(1 + tau * F.greatest(d, F.lit(0.0)))
 
 
-def closure_weak(d: Column, tau: float) -> Column:
-    return 1 / F.sqrt(1 + F.pow(tau * d, 2))
+def closure_weak(d: Column, k: float) -> Column:
+    return F.when(d > 0, k / (2 * F.greatest(d, F.lit(1e-12)))).otherwise(1.0)
 
 
-def closure_exp(d: Column, tau: float) -> Column:
-    return F.exp(-tau * d)
+def closure_exp(d: Column, tau: float, r0: float = 1.0) -> Column:
+    return r0 * F.exp(-tau * d)
+
+
+def days_of(calendar: str, year: Column, month: Column) -> Column:
+    """Days of a month in a calendar: standard, noleap (no 29 February), 360_day (all months of thirty)."""
+    if calendar == "360_day":
+        return F.lit(30)
+    last = F.day(F.last_day(F.make_date(year, month, F.lit(1))))
+    return last if calendar == "standard" else F.when(month == 2, 28).otherwise(last)
+
+
+def calendar_day(calendar: str, days: Column, first_year: int) -> tuple[Column, Column, Column]:
+    """Year, month and day of a count of days since the first of January of first_year: for calendars that no date type holds."""
+    if calendar == "standard":
+        date = F.date_add(F.lit(f"{first_year}-01-01").cast("date"), days.cast("int"))
+        return F.year(date), F.month(date), F.day(date)
+    if calendar == "360_day":
+        return first_year + F.floor(days / 360), F.floor(F.pmod(days, F.lit(360)) / 30) + 1, F.pmod(days, F.lit(30)) + 1
+    if calendar != "noleap":
+        raise ValueError(f"unknown calendar {calendar!r}")
+    starts = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]  # days before each month of a year of 365
+    day = F.pmod(days, F.lit(365))
+    month = sum(F.when(day >= x, 1).otherwise(0) for x in starts)
+    return first_year + F.floor(days / 365), month, day - F.element_at(F.array(*map(F.lit, starts)), month.cast("int")) + 1
+
+
+def box_on_axes(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:
+    """Whether a place lies in a box, whatever way the axes run: latitudes in either order, longitudes of 0 to 360 or -180 to 180, boxes across the seam as the union of two."""
+    low, high = min(south, north), max(south, north)
+    at = lambda x: F.pmod(x, F.lit(360.0)) if isinstance(x, Column) else F.lit(x % 360.0)
+    x, w, e = at(lon), west % 360.0, east % 360.0
+    across = (x >= w) & (x <= e) if w <= e else (x >= w) | (x <= e)
+    return lat.between(low, high) & across

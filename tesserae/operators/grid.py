@@ -213,30 +213,36 @@ def tile_condition(values: DataFrame, degrees: float = 10.0, least: int = 12) ->
     return out.select("ti", "tj", "n", F.when(half > root, (half + root) / (half - root)).alias("kappa"))
 
 
-def degree(series: DataFrame, threshold: float = 0.5, parts: int = 8) -> DataFrame:
-    """cell, degree: how many other cells' series correlate beyond the threshold, in blocks of cells held beside each other.
+def degree(series: DataFrame, threshold: float = 0.5, cells_a_part: int = 2_000) -> DataFrame:
+    """cell, degree: how many other cells' series correlate beyond the threshold over the times that both have (at least three), in blocks of cells held beside each other.
 
-    series: cell, values (arrays of one length without nulls). Standardised series are dealt to `parts` groups; each pair
-    of groups is one task's matrix product, so a cell is sent to `parts` tasks and no pair becomes a row.
+    series: cell, values (arrays of one length, null where a value is missing). Cells are dealt to parts of about cells_a_part; each pair
+    of parts is one task's matrix products, so a cell is sent to as many tasks as there are parts and no pair becomes a row.
     """
     import numpy as np
     import pandas as pd
 
+    parts = -(-series.count() // cells_a_part) or 1
     part = F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int")
     dealt = series.select("cell", "values", part.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q"))
 
-    def standard(values):
-        x = np.array(values.tolist(), float)
-        x = x - x.mean(1, keepdims=True)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(n > 0, n, np.inf)
+    def arrays(values):
+        x = np.array([[np.nan if v is None else v for v in row] for row in values], float)
+        there = np.isfinite(x)
+        middle = np.nanmean(np.where(there, x, np.nan), 1, keepdims=True) if x.size else x
+        return np.where(there, x - middle, 0.0), there.astype(float)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, yours = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if mine.empty or yours.empty:
             return pd.DataFrame({"cell": [], "degree": []}).astype({"cell": "int64", "degree": "int64"})
-        r = standard(mine["values"]) @ standard(yours["values"]).T
-        hit = (np.abs(r) > threshold) & (mine["cell"].to_numpy()[:, None] != yours["cell"].to_numpy()[None])
+        (x, a), (y, b) = arrays(mine["values"]), arrays(yours["values"])
+        n = a @ b.T
+        with np.errstate(all="ignore"):
+            sx, sy = x @ b.T, a @ y.T
+            vx, vy = (x * x) @ b.T - sx * sx / n, a @ (y * y).T - sy * sy / n
+            r = (x @ y.T - sx * sy / n) / np.sqrt(vx * vy)
+        hit = (n >= 3) & (vx > 1e-12) & (vy > 1e-12) & (np.abs(r) > threshold) & (mine["cell"].to_numpy()[:, None] != yours["cell"].to_numpy()[None])
         return pd.DataFrame({"cell": mine["cell"].to_numpy(), "degree": hit.sum(1)})
 
     left = dealt.select("cell", "values", F.col("p").alias("i"), F.col("q").alias("j"), F.lit(0).alias("side"))

@@ -80,14 +80,17 @@ def rolling(field: DataFrame, by: list[str], width: int) -> DataFrame:
 
 
 def lag1_products(field: DataFrame, by: list[str], definition: str) -> DataFrame:
-    """Lag-1 autocorrelation by one of three definitions: mean of the n - 1 products over the variance; sum over sum; Pearson's of the slices."""
+    """Lag-1 autocorrelation by one of four definitions: mean of the n - 1 products over the variance; sum over sum; Pearson's of the slices;
+    Pearson's of the slices of what is left once missing values are taken out (`present`)."""
     o = ordered(by)
+    if definition == "present":
+        field = field.where("v IS NOT NULL")
     rows = field.withColumn("_c", F.col("v") - F.avg("v").over(Window.partitionBy(*by))).withColumn("_p", F.lag("_c").over(o)).withColumn("_l", F.lag("v").over(o))
     if definition == "mean":
         e = F.try_divide(F.avg(F.col("_c") * F.col("_p")), F.var_pop("v"))
     elif definition == "sum":
         e = F.try_divide(F.sum(F.col("_c") * F.col("_p")), F.sum(F.col("_c") * F.col("_c")))
-    elif definition == "pearson":
+    elif definition in ("pearson", "present"):
         e = safe_corr(F.col("v"), F.col("_l"))
     else:
         raise ValueError(f"unknown definition {definition!r}")

@@ -57,9 +57,9 @@ def lowpass(field: DataFrame, by: list[str], period: float, order: int = 4) -> D
     return as_field(apply_rows(as_rows(field, by), lambda x: {"f": kernels.zero_phase(sections, x)}, ["f"]), by, "f")
 
 
-def phase_of(field: DataFrame, by: list[str], longest: float, shortest: float) -> DataFrame:
+def phase_of(field: DataFrame, by: list[str], longest: float, shortest: float, order: int = 4) -> DataFrame:
     """by, t, amplitude, phase of the band-passed signal."""
-    sections = kernels.butterworth(4, 2 / longest, 2 / shortest)
+    sections = kernels.butterworth(order, 2 / longest, 2 / shortest)
 
     def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
         z = kernels.analytic(kernels.zero_phase(sections, x))
@@ -125,14 +125,16 @@ def spatial_blocks(places: DataFrame, by: list[str], km: float) -> DataFrame:
     return places.select(*by, "cell", "lat", "lon").groupBy(*by).applyInPandas(one, f"{kinds}, block long")
 
 
-def block_permutation(spark: SparkSession, cells: DataFrame, replicates: int, seed: int = 5) -> DataFrame:
-    """n_cells, n_blocks, rho (over cells), p: share of shuffles of the blocks' means with as large a correlation, at least 1 / replicates.
+def block_permutation(spark: SparkSession, cells: DataFrame, replicates: int, by: list[str] = (), seed: int = 5) -> DataFrame:
+    """by, n_cells, n_blocks, rho (over cells), p: share of shuffles of the blocks' means with as large a correlation, at least 1 / replicates.
 
-    cells: block, x, y. Fewer than ten cells or four blocks give nulls. The blocks' means are one row; replicates are dealt to tasks.
+    cells: by, block, x, y. Fewer than ten cells or four blocks give nulls. The blocks' means of one group are one row (a basin has at most some
+    thousands); replicates are dealt to tasks.
     """
+    by = list(by)
     rows = cells.where("x IS NOT NULL AND y IS NOT NULL")
-    means = rows.groupBy("block").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    whole = means.agg(F.array_sort(F.collect_list(F.struct("block", "x", "y"))).alias("b"))  # one basin's blocks
+    means = rows.groupBy(*by, "block").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    whole = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block", "x", "y"))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,14 +144,16 @@ def block_permutation(spark: SparkSession, cells: DataFrame, replicates: int, se
                 ok = len(b) >= 4 and x.std() > 0 and y.std() > 0
                 null.append(float(np.corrcoef(np.random.default_rng([seed, r]).permutation(x), y)[0, 1]) if ok else None)
                 seen.append(float(np.corrcoef(x, y)[0, 1]) if ok else None)
-            yield pa.RecordBatch.from_arrays([pa.array(null, pa.float64()), pa.array(seen, pa.float64())], ["null", "seen"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(null, pa.float64()), pa.array(seen, pa.float64())], [*by, "null", "seen"])
 
-    shuffles = spark.range(replicates).crossJoin(F.broadcast(whole)).mapInArrow(run, "null double, seen double")
-    p = shuffles.agg(F.greatest(F.avg((F.abs("null") >= F.abs("seen") - 1e-12).cast("double")), F.lit(1 / replicates)).alias("p"))
+    kinds = "".join(f"{b} {cells.schema[b].dataType.simpleString()}, " for b in by)
+    dealt = whole.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).repartition(*by, "id") if by else whole.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).repartition("id")
+    p = dealt.mapInArrow(run, f"{kinds}null double, seen double").groupBy(*by).agg(F.greatest(F.avg((F.abs("null") >= F.abs("seen") - 1e-12).cast("double")), F.lit(1 / replicates)).alias("p"))
     vx, vy = F.var_pop("x"), F.var_pop("y")
-    head = rows.agg(F.count("*").alias("n_cells"), F.count_distinct("block").alias("n_blocks"), F.when((vx > 0) & (vy > 0), F.covar_pop("x", "y") / F.sqrt(vx * vy)).alias("rho"))
+    head = rows.groupBy(*by).agg(F.count("*").alias("n_cells"), F.count_distinct("block").alias("n_blocks"), F.when((vx > 0) & (vy > 0), F.covar_pop("x", "y") / F.sqrt(vx * vy)).alias("rho"))
     enough = (F.col("n_cells") >= 10) & (F.col("n_blocks") >= 4)
-    return head.crossJoin(p).select("n_cells", "n_blocks", F.when(enough, F.col("rho")).alias("rho"), F.when(enough, F.col("p")).alias("p"))
+    both = head.join(p, by, "left") if by else head.join(p, how="left")
+    return both.select(*by, "n_cells", "n_blocks", F.when(enough, F.col("rho")).alias("rho"), F.when(enough, F.col("p")).alias("p"))
 
 
 def largest_patches(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -171,38 +175,39 @@ def regressions(rows: DataFrame, by: list[str], lag: int = 4) -> DataFrame:
         out = [np.nan] * 3
         if len(pdf) > lag + 4:
             b, e = kernels.newey_west(pdf[["x", "z"]].to_numpy(float), pdf["y"].to_numpy(float), lag)
-            out = [b[1], e[1], kernels.t_two_sided(b[1] / e[1], len(pdf) - 3) if e[1] > 0 else np.nan]
+            out = [b[1], e[1], float(kernels.t_two_sided(b[1] / e[1], len(pdf) - 3)) if e[1] > 0 else np.nan]
         return pd.DataFrame({**{k: [pdf[k].iloc[0] if len(pdf) else None] for k in by}, **{n: [v] for n, v in zip(("slope", "error", "p"), out, strict=True)}})
 
     kinds = ", ".join(f"{b} {rows.schema[b].dataType.simpleString()}" for b in by)
     return rows.select(*by, "t", "x", "y", "z").groupBy(*by).applyInPandas(one, f"{kinds}, slope double, error double, p double")
 
 
-def closures(cells: DataFrame, by: list[str]) -> DataFrame:
-    """by, family, k, params, ss, aic, bic, best: fits of r against d in each group, in order of AIC."""
+def closures(cells: DataFrame, by: list[str], forms: dict = kernels.CLOSURES) -> DataFrame:
+    """by, family, k, params, ss, chi2, aic, bic, best: fits of r against d in each group (one basin's cells), in order of AIC; none with fewer than six cells."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna()
-        found = kernels.families(pdf["d"].to_numpy(float), pdf["r"].to_numpy(float)) if len(pdf) > 5 else []
-        out = pd.DataFrame(found, columns=["family", "k", "params", "ss", "aic", "bic"])
+        found = kernels.scored(forms, pdf["d"].to_numpy(float), pdf["r"].to_numpy(float)) if len(pdf) > 5 else []
+        out = pd.DataFrame(found, columns=["family", "k", "params", "ss", "chi2", "aic", "bic"])
         for b in by:
             out[b] = pdf[b].iloc[0] if len(pdf) else None
         out["best"] = out.index == 0
-        return out[[*by, "family", "k", "params", "ss", "aic", "bic", "best"]]
+        return out[[*by, "family", "k", "params", "ss", "chi2", "aic", "bic", "best"]]
 
     kinds = ", ".join(f"{b} {cells.schema[b].dataType.simpleString()}" for b in by)
-    return cells.select(*by, "d", "r").groupBy(*by).applyInPandas(one, f"{kinds}, family string, k int, params array<double>, ss double, aic double, bic double, best boolean")
+    return cells.select(*by, "d", "r").groupBy(*by).applyInPandas(one, f"{kinds}, family string, k int, params array<double>, ss double, chi2 double, aic double, bic double, best boolean")
 
 
-def simulations(spark: SparkSession, runs: list[tuple[int, float, float]], size: int = 12, steps: int = 200, dt: float = 0.1) -> DataFrame:
-    """run, step, r: the order parameter of noisy oscillators on a periodic grid, a task a run of (seed, coupling, noise)."""
-    rows = spark.createDataFrame(runs, "run long, coupling double, noise double").repartition(len(runs), "run")
+def gaussian_fields(spark: SparkSession, places: DataFrame, numbers: int, km: float, seed: int = 1) -> DataFrame:
+    """number, cell, v: Gaussian random fields of one length scale at places (cell, lat, lon; a basin's grid), a task a field."""
+    whole = places.agg(F.array_sort(F.collect_list(F.struct("cell", "lat", "lon"))).alias("c"))  # the grid, one row
+    rows = spark.range(numbers).withColumnRenamed("id", "number").repartition("number").crossJoin(F.broadcast(whole))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        run, coupling, noise = pdf.iloc[0]
-        rng = np.random.default_rng(int(run) + 1000)
-        phases = kernels.kuramoto(rng.normal(0, 0.1, (size, size)), np.full((size, size), noise), coupling, steps, dt, int(run))
-        r = np.abs(np.exp(1j * phases).mean((1, 2)))
-        return pd.DataFrame({"run": int(run), "step": np.arange(steps), "r": r})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, cells in zip(batch.column("number").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                lat, lon = (np.array([c[k] for c in cells], float) for k in ("lat", "lon"))
+                v = kernels.gaussian_field(lat, lon, km, np.random.default_rng([seed, number]))
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(v), pa.int64()), pa.array([c["cell"] for c in cells], pa.int64()), pa.array(v)], ["number", "cell", "v"])
 
-    return rows.groupBy("run").applyInPandas(lambda pdf: one(pdf[["run", "coupling", "noise"]]), "run long, step long, r double")
+    return rows.mapInArrow(run, "number long, cell long, v double")

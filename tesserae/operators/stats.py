@@ -56,13 +56,22 @@ def sliding_sen(series: DataFrame, by: list[str], width: int, stride: int, least
 
 
 def fdr(tests: DataFrame, p: str = "p", by: list[str] = ()) -> DataFrame:
-    """Adds q: Benjamini-Hochberg adjusted p-values; null p stays null and isn't counted."""
-    o = Window.partitionBy(*by, F.col(p).isNull()).orderBy(p)
-    m = F.count(p).over(Window.partitionBy(*by))
-    raw = m * F.col(p) / F.row_number().over(o)
-    out = tests.withColumn("_raw", F.when(F.col(p).isNotNull(), raw))
-    back = Window.partitionBy(*by, F.col(p).isNull()).orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return out.withColumn("q", F.least(F.min("_raw").over(back), F.when(F.col(p).isNotNull(), F.lit(1.0)))).drop("_raw")
+    """Adds q: Benjamini-Hochberg adjusted p-values, of all rows or of each group of `by` (one family of tests a task); null p stays null and isn't counted."""
+    if by:
+        o = Window.partitionBy(*by, F.col(p).isNull()).orderBy(p)
+        raw = F.count(p).over(Window.partitionBy(*by)) * F.col(p) / F.row_number().over(o)
+        out = tests.withColumn("_raw", F.when(F.col(p).isNotNull(), raw))
+        back = Window.partitionBy(*by, F.col(p).isNull()).orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        return out.withColumn("q", F.least(F.min("_raw").over(back), F.when(F.col(p).isNotNull(), F.lit(1.0)))).drop("_raw")
+    known = tests.where(F.col(p).isNotNull())
+    n = known.count()
+    ranked = ranked_rows(known, [p, *[c for c in tests.columns if c != p]], keep=True).withColumn("_raw", n * F.col(p) / F.col("rank"))
+    least = {r["_part"]: r.m for r in ranked.groupBy("_part").agg(F.min("_raw").alias("m")).collect()}  # a row a partition
+    later = {k: min((m for q, m in least.items() if q > k), default=1.0) for k in least} or {0: 1.0}
+    behind = F.create_map(*[F.lit(x) for pair in later.items() for x in pair])[F.col("_part")]
+    inside = F.min("_raw").over(Window.partitionBy("_part").orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = ranked.withColumn("q", F.least(inside, behind, F.lit(1.0))).drop("_raw", "_part", "rank")
+    return out.unionByName(tests.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def average_rank(v: Column, by: list[str], order: list) -> Column:
@@ -71,10 +80,11 @@ def average_rank(v: Column, by: list[str], order: list) -> Column:
 
 
 def mann_whitney(values: DataFrame, group: str, one) -> DataFrame:
-    """U of the group `one` against the others, and both sizes."""
-    ranked = values.where("v IS NOT NULL").withColumn("_r", average_rank(F.col("v"), [], ["v"]))
-    n = F.count_if(F.col(group) == one)
-    return ranked.agg(n.alias("n1"), F.count_if(F.col(group) != one).alias("n2"), (F.sum(F.when(F.col(group) == one, F.col("_r"))) - n * (n + 1) / 2).alias("u"))
+    """U of the group `one` against the others, and both sizes. Equal values share their mean rank; ranks run over ranges of values, not in one task."""
+    ranked = ranked_rows(values.where("v IS NOT NULL").select("v", (F.col(group) == one).alias("_one")), ["v", "_one"])
+    by = ranked.groupBy("v").agg(F.avg("rank").alias("_r"), F.count_if("_one").alias("_a"), F.count_if(~F.col("_one")).alias("_b"))
+    n = F.coalesce(F.sum("_a"), F.lit(0))
+    return by.agg(n.alias("n1"), F.coalesce(F.sum("_b"), F.lit(0)).alias("n2"), (F.sum(F.col("_r") * F.col("_a")) - n * (n + 1) / 2).alias("u"))
 
 
 def spearman(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -109,6 +119,45 @@ def fisher_interval(r: Column, n: Column, z: float = 1.959963984540054) -> tuple
     return F.tanh(F.atanh(r) - spread), F.tanh(F.atanh(r) + spread)
 
 
+def block_bootstrap(spark: SparkSession, cells: DataFrame, replicates: int, by: list[str] = (), seed: int = 7) -> DataFrame:
+    """by, n_cells, n, rho_cells, rho, low, high, boot_low, boot_high of the correlation of x and y over spatial blocks.
+
+    The unit is the block's mean: rho and its interval by Fisher's z with as many samples as blocks; and percentiles of the correlation of blocks
+    drawn with replacement, in the scale of z. Fewer than ten cells or four blocks give nulls. cells: by, block, x, y.
+    """
+    by = list(by)
+    rows = cells.where("x IS NOT NULL AND y IS NOT NULL")
+    means = rows.groupBy(*by, "block").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    one = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # one basin's blocks
+    means = means.withColumn("n", F.count("*").over(one)).withColumn("i", (F.row_number().over(one.orderBy("block")) - 1).cast("long"))
+    head = rows.groupBy(*by).agg(F.count("*").alias("n_cells"), safe_corr(F.col("x"), F.col("y")).alias("rho_cells"))
+    whole = means.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("rho"))
+    low, high = fisher_interval(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("rho"))), F.col("n"))
+    draws = whole.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    drawn = draws.withColumn("i", pseudo_draw(F.col("replicate"), F.col("k"), F.col("n"), seed)).drop("n").join(means.drop("n"), [*by, "i"])
+    z = drawn.groupBy(*by, "replicate").agg(safe_corr(F.col("x"), F.col("y")).alias("c")).withColumn("z", F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("c")))))
+    boot = z.groupBy(*by).agg(F.tanh(F.percentile("z", 0.025)).alias("boot_low"), F.tanh(F.percentile("z", 0.975)).alias("boot_high"))
+    join = lambda a, b: a.join(b, by) if by else a.crossJoin(F.broadcast(b))  # noqa: E731  one row beside one
+    out = join(join(head, whole), boot)
+    enough = (F.col("n_cells") >= 10) & (F.col("n") >= 4)
+    when = lambda c, name: F.when(enough, c).alias(name)
+    return out.select(*by, "n_cells", "n", "rho_cells", "rho", when(low, "low"), when(high, "high"), when(F.col("boot_low"), "boot_low"), when(F.col("boot_high"), "boot_high"))
+
+
+def block_p(spark: SparkSession, rows: DataFrame, by: list[str], predictor: DataFrame, replicates: int, block: int) -> DataFrame:
+    """by, n, slope of y on x, and p: the share of circular block resamples of the predictor with a slope as large, one added to both counts.
+
+    rows: by, t, y; predictor: t, x, one series, which is what is resampled, so every group meets the same draws.
+    """
+    x = predictor.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("t")) - 1).cast("long"))  # one series
+    places = rows.join(x.select("t", "x", F.col("i").alias("place")), "t").where("y IS NOT NULL AND x IS NOT NULL")
+    seen = places.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"))
+    drawn = resampled(spark, x.select("i", F.col("x").alias("xr")), replicates, block).select("replicate", "place", "xr")
+    null = places.select(*by, "place", "y").join(drawn, "place").groupBy(*by, "replicate").agg(F.regr_slope("y", "xr").alias("b"))
+    hits = null.join(seen, by).groupBy(*by, "n", "slope").agg(((1 + F.count_if(F.abs("b") >= F.abs("slope") - 1e-12)) / F.lit(replicates + 1.0)).alias("p"))
+    return hits
+
+
 def effective_n(n: Column, r1: Column, r2: Column) -> Column:
     """n (1 - r1 r2) / (1 + r1 r2), autocorrelations clamped to 0.95, at least 5."""
     clamp = lambda c: F.greatest(F.lit(-0.95), F.least(F.lit(0.95), c))
@@ -151,10 +200,10 @@ def band(values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def empirical_cdf(values: DataFrame, v: str) -> DataFrame:
-    """Sorted values with rank / total, where missing ones count in the total."""
-    total = F.count("*").over(Window.partitionBy())
-    rows = values.withColumn("_n", total).where(F.col(v).isNotNull())
-    return rows.withColumn("cdf", F.row_number().over(Window.orderBy(v)) / F.col("_n")).drop("_n")
+    """Sorted values with rank / total, where missing ones count in the total; equal values in the order of the other columns."""
+    total = max(1, values.count())
+    order = [v, *[c for c in values.columns if c != v]]
+    return ranked_rows(values.where(F.col(v).isNotNull()), order).withColumn("cdf", F.col("rank") / total).drop("rank")
 
 
 def sign_agreement(values: DataFrame, by: list[str]) -> DataFrame:
@@ -163,9 +212,38 @@ def sign_agreement(values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def jackknife_median(values: DataFrame, member: str, v: str) -> DataFrame:
-    """The median without each member in turn."""
-    a, b = values.select(F.col(member).alias("without")), values.select(member, v)
-    return a.join(b, a["without"] != b[member]).groupBy("without").agg(F.percentile(v, 0.5).alias("median"))
+    """The median without each member in turn: it lies at or beside the middle of all, so only the few values there are gathered."""
+    n = values.where(F.col(v).isNotNull()).count()
+    if n < 2:
+        return values.select(F.col(member).alias("without"), F.lit(None).cast("double").alias("median"))
+    ranked = ranked_rows(values.where(F.col(v).isNotNull()), [v, member])
+    middle = {r.rank: r.x for r in ranked.where(F.col("rank").between((n - 1) // 2, n // 2 + 2)).select("rank", F.col(v).cast("double").alias("x")).collect()}  # at most four rows
+
+    def median(skipped: Column, at: list[int]) -> Column:
+        """Mean of the values at these ranks (from 1) of the others: those at or behind the one left out move up by one."""
+        pick = lambda k: F.when(skipped > k, F.lit(middle.get(k))).otherwise(F.lit(middle.get(k + 1)))
+        return sum(pick(k) for k in at) / len(at)
+
+    others = n - 1
+    at = [(others + 1) // 2] if others % 2 else [others // 2, others // 2 + 1]
+    return ranked.select(F.col(member).alias("without"), median(F.col("rank"), at).alias("median"))
+
+
+def ranked_rows(rows: DataFrame, order: list[str], keep: bool = False) -> DataFrame:
+    """Adds rank, from 1, over all rows in the order of these columns: rows are dealt to ranges, counted, and numbered within them, so no task sees all of them. keep: and _part, the range."""
+    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    stored = spread.persist()  # the ranges are drawn by sampling, so both uses must see the same
+    sizes = {r["_part"]: r.n for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    before, total = [], 0
+    for p in sorted(sizes):
+        before.append((p, total))
+        total += sizes[p]
+    if not before:
+        return rows.withColumn("rank", F.lit(0).cast("long")).withColumn("_part", F.lit(0)) if keep else rows.withColumn("rank", F.lit(0).cast("long"))
+    offset = F.create_map(*[F.lit(x) for pair in before for x in pair])[F.col("_part")]
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = stored.withColumn("rank", (inside + offset).cast("long"))
+    return out if keep else out.drop("_part")
 
 
 def density(points: DataFrame, at: DataFrame, bandwidth: float) -> DataFrame:

@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tesserae.functions import scalar
-from tesserae.operators import grid, series
+from tesserae.functions import kernels, scalar
+from tesserae.operators import grid, series, spectral
 from tesserae.queries import query
-from tesserae.sources.fields import customer_grid, nation_month, table
+from tesserae.sources.fields import customer_grid, nation_month, table, whole_months
 
 HAV = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
 AB = HAV.format(a="a", b="b")
 KM = 700.0
-#: Stand-in phases in SQL alone, from the anomaly and its step: p = atan2(a(t) - a(t-1), a(t)).
-PHASES = """an AS (SELECT *, v - avg(v) OVER (PARTITION BY cell, month) AS a FROM f),
+#: The band of the phases in months, the filter's order, and the months trimmed at both ends.
+LONGEST, SHORTEST, ORDER, TRIM = 40.0, 8.0, 4, 6
+
+
+def _phase_sql() -> str:
+    """The chain of phases() in SQL: whole months, anomaly, detrending, the filter forward and backward over an odd continuation (by its impulse
+    response, begun in the steady state of the first value), the analytic signal by the one-sided spectrum's kernel, trimmed ends."""
+    sections = kernels.butterworth(ORDER, 2 / LONGEST, 2 / SHORTEST)
+    up, down = np.ones(1), np.ones(1)
+    for b0, b1, b2, a1, a2 in sections:
+        up, down = np.polymul(up, [b0, b1, b2]), np.polymul(down, [1.0, a1, a2])
+    b, a = ("[" + ", ".join(f"{x:.17g}::DOUBLE" for x in y) + "]" for y in (up, down[1:]))
+    n, k = 3 * (2 * len(sections) + 1), len(down) - 1
+    once = "sum(hs.h * s.{x}) - sum(CASE WHEN s.e = {end} THEN hs.s * s.{x} ELSE 0 END)"
+    return f"""lim AS (SELECT (year(m) - 1995) * 12 + month(m) - 1 + CASE WHEN m = last_day(m) THEN 1 ELSE 0 END AS t FROM (SELECT CAST(max(o_orderdate) AS DATE) AS m FROM orders)),
+fw AS (SELECT f.* FROM f, lim WHERE f.t < lim.t), rg AS (SELECT min(t) AS a, max(t) AS b FROM fw),
+fc AS (SELECT * FROM fw WHERE cell IN (SELECT cell FROM fw GROUP BY cell HAVING count(v) = (SELECT b - a + 1 FROM rg))),
+an AS (SELECT *, v - avg(v) OVER (PARTITION BY cell, month) AS a FROM fc),
 dt AS (SELECT *, a - avg(a) OVER w - covar_pop(a, t) OVER w / var_pop(t) OVER w * (t - avg(t) OVER w) AS d FROM an WINDOW w AS (PARTITION BY cell)),
-ph AS (SELECT *, atan2(d - lag(d) OVER (PARTITION BY cell ORDER BY t), d) AS phase FROM dt),
+en AS (SELECT cell, max(CASE WHEN t = rg.a THEN d END) AS x0, max(CASE WHEN t = rg.b THEN d END) AS x1 FROM dt, rg GROUP BY cell),
+xe AS (SELECT cell, t - rg.a + {n} AS e, d AS x FROM dt, rg
+ UNION ALL SELECT dt.cell, {n} - (t - rg.a), 2 * x0 - d FROM dt JOIN en USING (cell), rg WHERE t - rg.a BETWEEN 1 AND {n}
+ UNION ALL SELECT dt.cell, {n} + (rg.b - rg.a) + (rg.b - t), 2 * x1 - d FROM dt JOIN en USING (cell), rg WHERE rg.b - t BETWEEN 1 AND {n}),
+im AS (SELECT 0 AS k, {up[0]:.17g}::DOUBLE AS h, [{up[0]:.17g}::DOUBLE, {', '.join(['0.0::DOUBLE'] * (k - 1))}] AS past
+ UNION ALL SELECT k + 1, h, list_prepend(h, past[1:{k - 1}]) FROM (SELECT k, past, coalesce({b}[k + 2], 0.0) - list_dot_product({a}, past) AS h FROM im) WHERE k < 600),
+hs AS (SELECT k, h, sum(h) OVER (ORDER BY k) AS s FROM im),
+yf AS (SELECT t.cell, t.e, {once.format(x='x', end='0')} AS y FROM xe t JOIN xe s ON s.cell = t.cell AND s.e <= t.e JOIN hs ON hs.k = t.e - s.e GROUP BY t.cell, t.e),
+yb AS (SELECT t.cell, t.e, {once.format(x='y', end=f'(SELECT {2 * n} + b - a FROM rg)')} AS y FROM yf t JOIN yf s ON s.cell = t.cell AND s.e >= t.e JOIN hs ON hs.k = s.e - t.e GROUP BY t.cell, t.e),
+bp AS (SELECT cell, e - {n} + a AS t, y FROM yb, rg WHERE e BETWEEN {n} AND {n} + b - a),
+gk AS (SELECT d, sum(2.0 / n * sin(2 * pi() * k * d / n)) AS g FROM (SELECT d, n, unnest(range(1, (n - 1) // 2 + 1)) AS k FROM (SELECT unnest(range(a - b, b - a + 1)) AS d, b - a + 1 AS n FROM rg)) GROUP BY d),
+hb AS (SELECT t.cell, t.t, max(t.y) AS y, sum(s.y * g) AS im FROM bp t JOIN bp s ON s.cell = t.cell JOIN gk ON gk.d = t.t - s.t GROUP BY t.cell, t.t),
+ph AS (SELECT dt.cell, lat_idx, lon_idx, lat, lon, dt.t, atan2(im, y) AS phase, sqrt(im * im + y * y) AS amplitude, y AS f FROM dt JOIN hb ON dt.cell = hb.cell AND dt.t = hb.t, rg WHERE dt.t - rg.a >= {TRIM} AND rg.b - dt.t >= {TRIM}),
 places AS (SELECT DISTINCT cell, lat, lon FROM f),
-nb AS (SELECT a.cell, b.cell AS nbr, """ + AB + f""" AS km FROM places a, places b WHERE {AB} <= {KM})"""
+nb AS (SELECT a.cell, b.cell AS nbr, {AB} AS km FROM places a, places b WHERE {AB} <= {KM})"""
+
+
+PHASES = _phase_sql()
 LOCAL = PHASES + """,
 lr AS (SELECT nb.cell, ph.t, count(phase) AS n, CASE WHEN count(phase) >= 4 THEN sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) END AS r FROM nb JOIN ph ON nb.nbr = ph.cell GROUP BY ALL)"""
 MEAN = "m AS (SELECT cell, lat_idx, lon_idx, lat, lon, avg(v) AS v FROM f GROUP BY ALL)"
@@ -36,9 +68,14 @@ def mean_field(spark, d):
     return nation_month(spark, d).groupBy("cell", "lat_idx", "lon_idx", "lat", "lon").agg(F.avg("v").alias("v"))
 
 
+PLACE = ["cell", "lat_idx", "lon_idx", "lat", "lon"]
+
+
 def phases(spark, d):
-    rows = series.detrend(series.anomaly(nation_month(spark, d), ["cell"]), ["cell"], "a")
-    return rows.withColumn("phase", F.atan2(F.col("d") - F.lag("d").over(series.ordered(["cell"])), F.col("d")))
+    """Phase and amplitude of each cell: its anomaly from the calendar months, detrended, band-passed without a shift, made analytic, the ends trimmed. Cells without every month have none."""
+    rows = series.detrend(series.anomaly(whole_months(spark, d), ["cell"]), ["cell"], "a").select(*PLACE, "first", "last", "t", F.col("d").alias("v"))
+    out = spectral.phase_of(rows, [*PLACE, "first", "last"], LONGEST, SHORTEST, ORDER)
+    return out.where((F.col("t") - F.col("first") >= TRIM) & (F.col("last") - F.col("t") >= TRIM)).drop("first", "last")
 
 
 def near(spark, d, km=KM):
@@ -123,12 +160,12 @@ def _(spark, d):
     return nation_month(spark, d).groupBy("year").agg((F.avg(F.when(F.col("lat") >= 22, F.col("v"))) - F.avg(F.when(F.col("lat") <= 14, F.col("v")))).alias("v"))
 
 
-@query("d10_order_parameter", "t n", "r", views="f", ctes=PHASES, sql="SELECT t, count(phase) AS n, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r FROM ph GROUP BY t")
+@query("d10_order_parameter", "t n", "r", views="f", ctes=PHASES, sql="SELECT t, count(phase) AS n, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r FROM ph GROUP BY t", places=4)
 def _(spark, d):
     return grid.order_parameter(phases(spark, d), ["t"])
 
 
-@query("d11_regional_phase", "t", "r angle", views="f", ctes=PHASES, sql="SELECT t, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r, atan2(avg(sin(phase)), avg(cos(phase))) AS angle FROM ph WHERE lat <= 18 GROUP BY t HAVING count(phase) > 0")
+@query("d11_regional_phase", "t", "r angle", views="f", ctes=PHASES, sql="SELECT t, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r, atan2(avg(sin(phase)), avg(cos(phase))) AS angle FROM ph WHERE lat <= 18 GROUP BY t HAVING count(phase) > 0", places=4)
 def _(spark, d):
     return grid.order_parameter(phases(spark, d).where("lat <= 18"), ["t"]).where("n > 0")
 
@@ -165,19 +202,26 @@ def _(spark, d):
     return customer_grid(spark, d).groupBy((F.floor(F.col("lat") / 5) * 5).alias("la"), (F.floor(F.col("lon") / 5) * 5).alias("lo")).agg(F.count("*").alias("n"))
 
 
-@query("j1_local_coherence", "cell t", "r", views="f", ctes=LOCAL, sql="SELECT cell, t, r FROM lr")
+@query("j1_local_coherence", "cell t", "r", views="f", ctes=LOCAL, sql="SELECT cell, t, r FROM lr", places=4)
 def _(spark, d):
     return grid.local_coherence(phases(spark, d), near(spark, d))
 
 
-@query("j2_square_coherence", "t lat_idx lon_idx n", "r", views="f", ctes=PHASES + ", k AS (SELECT unnest(range(-1, 2)) AS k), sq AS (SELECT t, (lat_idx + a.k + 5) % 5 AS lat_idx, (lon_idx + b.k + 5) % 5 AS lon_idx, phase FROM ph, k a, k b)", sql="SELECT t, lat_idx, lon_idx, count(phase) AS n, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r FROM sq GROUP BY ALL")
+@query("j2_square_coherence", "t lat_idx lon_idx n", "r", views="f", ctes=PHASES + ", k AS (SELECT unnest(range(-1, 2)) AS k), sq AS (SELECT t, (lat_idx + a.k + 5) % 5 AS lat_idx, (lon_idx + b.k + 5) % 5 AS lon_idx, phase FROM ph, k a, k b)", sql="SELECT t, lat_idx, lon_idx, count(phase) AS n, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r FROM sq GROUP BY ALL", places=4)
 def _(spark, d):
     return grid.square_coherence(phases(spark, d), 5, 5)
 
 
-@query("j3_frequency_dispersion", "cell n", "spread", views="f", ctes=PHASES + ", mv AS (SELECT cell, avg(v) AS v FROM f GROUP BY cell)", sql="SELECT nb.cell, count(v) AS n, stddev_pop(v) AS spread FROM nb JOIN mv ON nb.nbr = mv.cell GROUP BY nb.cell HAVING count(v) >= 4")
+FREQ = """fs AS (SELECT cell, t, phase - lag(phase) OVER (PARTITION BY cell ORDER BY t) AS s FROM ph),
+fu AS (SELECT cell, t, sum(coalesce(atan2(sin(s), cos(s)), 0)) OVER (PARTITION BY cell ORDER BY t ROWS UNBOUNDED PRECEDING) AS u FROM fs),
+fg AS (SELECT cell, coalesce((lead(u) OVER w - lag(u) OVER w) / 2, lead(u) OVER w - u, u - lag(u) OVER w) AS g FROM fu WINDOW w AS (PARTITION BY cell ORDER BY t)),
+om AS (SELECT cell, avg(g) * 12 / (2 * pi()) AS v FROM fg GROUP BY cell)"""
+
+
+@query("j3_frequency_dispersion", "cell n", "spread", views="f", ctes=PHASES + ", " + FREQ, sql="SELECT nb.cell, count(v) AS n, stddev_pop(v) AS spread FROM nb JOIN om ON nb.nbr = om.cell GROUP BY nb.cell HAVING count(v) >= 4")
 def _(spark, d):
-    return grid.local_dispersion(mean_field(spark, d), near(spark, d))
+    omega = series.frequency(phases(spark, d), ["cell"], 12).withColumnRenamed("omega", "v")
+    return grid.local_dispersion(omega, near(spark, d))
 
 
 WIND = PHASES + """, e1 AS (SELECT *, CASE WHEN lead(lon_idx) OVER w = lon_idx + 1 THEN lead(phase) OVER w END AS se FROM ph WINDOW w AS (PARTITION BY t, lat_idx ORDER BY lon_idx)),
@@ -185,7 +229,7 @@ n1 AS (SELECT *, CASE WHEN lead(lat_idx) OVER w = lat_idx + 1 THEN lead(phase) O
 wd AS (SELECT cell, t, (atan2(sin(se - phase), cos(se - phase)) + atan2(sin(ne - se), cos(ne - se)) + atan2(sin(nw - ne), cos(nw - ne)) + atan2(sin(phase - nw), cos(phase - nw))) / (2 * pi()) AS winding FROM n1)"""
 
 
-@query("j4_winding", "cell t", "winding", views="f", ctes=WIND, sql="SELECT * FROM wd")
+@query("j4_winding", "cell t", "winding", views="f", ctes=WIND, sql="SELECT * FROM wd", places=4)
 def _(spark, d):
     return grid.winding(phases(spark, d))
 
@@ -195,12 +239,12 @@ def _(spark, d):
     return grid.defect_density(grid.winding(phases(spark, d)), near(spark, d))
 
 
-@query("j7_network_degree", "cell degree", views="f", ctes="k AS (SELECT cell FROM f GROUP BY cell HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM f GROUP BY cell))), c AS (SELECT f.cell, t, v FROM f JOIN k ON f.cell = k.cell), r AS (SELECT a.cell, b.cell AS other, corr(a.v, b.v) AS r FROM c a JOIN c b ON a.t = b.t AND a.cell <> b.cell GROUP BY ALL)", sql="SELECT k.cell, count(*) FILTER (abs(r) > 0.2) AS degree FROM k LEFT JOIN r ON k.cell = r.cell GROUP BY k.cell")
+@query("j7_network_degree", "cell degree", views="f", ctes="r AS (SELECT a.cell, b.cell AS other, corr(a.v, b.v) AS r FROM f a JOIN f b ON a.t = b.t AND a.cell <> b.cell GROUP BY ALL HAVING count(*) >= 3 AND var_pop(a.v) > 0 AND var_pop(b.v) > 0)", sql="SELECT c.cell, count(*) FILTER (abs(r) > 0.2) AS degree FROM (SELECT DISTINCT cell FROM f) c LEFT JOIN r ON c.cell = r.cell GROUP BY c.cell")
 def _(spark, d):
     f = nation_month(spark, d)
-    rows = f.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("x"))
-    full = rows.withColumn("n", F.size("x")).withColumn("most", F.max("n").over(series.Window.partitionBy(F.lit(1)))).where("n = most")
-    return grid.degree(full.select("cell", F.transform("x", lambda s: s["v"]).alias("values")), 0.2, 3)
+    months = f.select("t").distinct().agg(F.array_sort(F.collect_list("t")).alias("ts"))  # the field's months, one row
+    rows = f.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("x")).crossJoin(F.broadcast(months))
+    return grid.degree(rows.select("cell", F.transform("ts", lambda t: F.try_element_at("x", t)).alias("values")), 0.2)
 
 
 @query("j8_tile_condition", "ti tj n", "kappa", views="g", sql="SELECT floor(lat / 10) AS ti, floor(lon / 10) AS tj, count(v) AS n, ((count(v) + sum(x * x)) / 2 + sqrt(pow((count(v) - sum(x * x)) / 2, 2) + sum(x) * sum(x))) / ((count(v) + sum(x * x)) / 2 - sqrt(pow((count(v) - sum(x * x)) / 2, 2) + sum(x) * sum(x))) AS kappa FROM (SELECT *, v / 1e4 AS x FROM g) GROUP BY ALL HAVING count(v) >= 12")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import scalar
 from tesserae.operators import series
 from tesserae.queries import query
-from tesserae.sources.fields import events_hour, nation_month, segment_month, ship_month
+from tesserae.sources.fields import events_hour, exact_sum, nation_month, segment_month, ship_month, table
 
 CORR = "CASE WHEN var_pop({x}) {w} > 0 AND var_pop({y}) {w} > 0 THEN covar_pop({x}, {y}) {w} / sqrt(var_pop({x}) {w} * var_pop({y}) {w}) END"
 
@@ -49,10 +49,10 @@ def _(spark, d):
     return nation_month(spark, d).withColumn("a", F.col("v") - F.avg("v").over(w)).groupBy("cell").agg((F.avg(F.col("a") * F.col("a")) / 2).alias("e"))
 
 
-@query("d25_paleo_stack", "place n", "v", views="f", ctes="one AS (SELECT cell, t * 7 + cell AS age, v FROM f WHERE (t + cell) % 3 = 0), pr AS (SELECT *, lead(age) OVER w AS na, lead(v) OVER w AS nv FROM one WINDOW w AS (PARTITION BY cell ORDER BY age)), gr AS (SELECT unnest(range(0, 601, 10)) AS place), ip AS (SELECT DISTINCT cell, place, v + (nv - v) * (place - age) / (na - age) AS v FROM pr JOIN gr ON place >= age AND place <= na WHERE na IS NOT NULL), iq AS (SELECT cell, place, max(v) AS v FROM ip GROUP BY ALL)", sql="SELECT place, count(*) AS n, avg(v) AS v FROM iq GROUP BY place HAVING count(*) >= 3", places=5)
+@query("d25_paleo_stack", "place n", "v", views="f", ctes="one AS (SELECT cell, t * 7 + (t * t + cell * 3) % 5 AS age, v FROM f), pr AS (SELECT *, lead(age) OVER w AS na, lead(v) OVER w AS nv FROM one WINDOW w AS (PARTITION BY cell ORDER BY age)), gr AS (SELECT unnest(range(0, 601, 10)) AS place), ip AS (SELECT DISTINCT cell, place, v + (nv - v) * (place - age) / (na - age) AS v FROM pr JOIN gr ON place >= age AND place <= na WHERE na IS NOT NULL), iq AS (SELECT cell, place, max(v) AS v FROM ip GROUP BY ALL)", sql="SELECT place, count(*) AS n, avg(v) AS v FROM iq GROUP BY place HAVING count(*) >= 3", places=5)
 def _(spark, d):
-    samples = nation_month(spark, d).where("(t + cell) % 3 = 0").select("cell", (F.col("t") * 7 + F.col("cell")).alias("age"), "v")
-    return series.stack(samples, ["cell"], 10, 0, 600).withColumnRenamed("at", "place")
+    age = F.col("t") * 7 + (F.col("t") * F.col("t") + F.col("cell") * 3) % 5  # irregular ages of all samples
+    return series.stack(nation_month(spark, d).select("cell", age.alias("age"), "v"), ["cell"], 10, 0, 600).withColumnRenamed("at", "place")
 
 
 @query("e1_sliding_windows", "start centre n", "mean", "model", views="s", ctes="ws AS (SELECT unnest(range(1995, 2000)) AS start)", sql="SELECT model, start, start + 1 AS centre, count(v) AS n, CASE WHEN count(v) >= 0.8 * 36 THEN avg(v) END AS mean FROM s JOIN ws ON year BETWEEN start AND start + 2 GROUP BY ALL")
@@ -157,11 +157,14 @@ def _(spark, d):
     return a.join(b, "centre").agg(F.count("*").alias("n"), scalar.safe_corr(F.col("x"), F.col("y")).alias("r"))
 
 
-@query("c4_nearest_time", "t place", "v", "model", views="e", ctes="l AS (SELECT model, t + 1 AS t FROM e WHERE t % 5 = 0), r AS (SELECT model, t, v FROM e WHERE t % 3 = 1), c AS (SELECT l.model, l.t, r.t AS place, r.v, row_number() OVER (PARTITION BY l.model, l.t ORDER BY abs(l.t - r.t) NULLS LAST, r.t) AS k FROM l LEFT JOIN r ON l.model = r.model AND abs(l.t - r.t) <= 2)", sql="SELECT model, t, coalesce(place, -1) AS place, v FROM c WHERE k = 1")
+@query("c4_nearest_time", "t place", "v", "model", ctes="l AS (SELECT n_name AS model, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), r AS (SELECT n_name AS model, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS t, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL), c AS (SELECT l.model, l.t, r.t AS place, r.v, row_number() OVER (PARTITION BY l.model, l.t ORDER BY abs(l.t - r.t) NULLS LAST, r.t) AS k FROM l LEFT JOIN r ON l.model = r.model AND abs(l.t - r.t) <= 2)", sql="SELECT model, t, coalesce(place, -1) AS place, v FROM c WHERE k = 1")
 def _(spark, d):
-    e = events_hour(spark, d)
-    left = e.where("t % 5 = 0").select("model", (F.col("t") + 1).alias("t"))
-    return series.nearest_time(left, e.where("t % 3 = 1"), ["model"], 2).withColumn("place", F.coalesce("at", F.lit(-1)))
+    """All days on which a nation's customers order, with the shipped quantity of the nation's suppliers on the nearest day."""
+    o, c, n, li, su = (table(spark, d, x) for x in ("orders", "customer", "nation", "lineitem", "supplier"))
+    day = lambda x: F.datediff(F.col(x).cast("date"), F.lit("1995-01-01").cast("date")).alias("t")
+    left = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("model"), day("o_orderdate")).distinct()
+    right = li.join(su, li.l_suppkey == su.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("model"), day("l_shipdate")).agg(exact_sum("l_quantity").alias("v"))
+    return series.nearest_time(left, right, ["model"], 2).withColumn("place", F.coalesce("at", F.lit(-1)))
 
 
 @query("c8_complete_models", "n", "", "model", views="e", sql="SELECT model, count(DISTINCT t % 24) AS n FROM e GROUP BY model HAVING count(DISTINCT t % 24) = 24")
@@ -177,7 +180,7 @@ def _(spark, d):
     return first.unionByName(second)
 
 
-@query("c14_parameter_grid", "k", "u tau", sql="SELECT k, u / 10.0 AS u, 1 / (1 + k * u / 10.0) AS tau FROM (SELECT unnest(range(1, 6)) AS k), (SELECT unnest(range(1, 9)) AS u)")
+@query("c14_parameter_grid", "k", "u tau", sql="SELECT k, u / 10.0 AS u, 1 / sqrt(1 + k * u / 10.0) AS tau FROM (SELECT unnest(range(1, 6)) AS k), (SELECT unnest(range(1, 9)) AS u)")
 def _(spark, d):
     k, u = spark.range(1, 6).withColumnRenamed("id", "k"), spark.range(1, 9).select((F.col("id") / 10.0).alias("u"))
     return k.crossJoin(u).select("k", "u", scalar.closure_simple(F.col("u"), F.col("k")).alias("tau"))  # a grid of stated parameters
@@ -257,6 +260,12 @@ for _name, _e in (("mean", "avg(c * q) / var_pop(v)"), ("sum", "sum(c * q) / sum
         return series.lag1_products(segment_month(spark, d), ["model"], name)
 
 
+@query("i11_lag1_present", "", "ac1", "model", views="s", ctes="g AS (SELECT model, t, v FROM s WHERE month <> 7), l AS (SELECT model, v, lag(v) OVER (PARTITION BY model ORDER BY t) AS u FROM g)", sql="SELECT model, corr(v, u) AS ac1 FROM l GROUP BY model")
+def _(spark, d):
+    gaps = segment_month(spark, d).withColumn("v", F.when(F.col("month") != 7, F.col("v")))
+    return series.lag1_products(gaps, ["model"], "present")
+
+
 @query("i12_binary_transfer_entropy", "", "bits", views="p", ctes="q AS (SELECT t, CASE WHEN x > quantile_cont(x, 0.5) OVER () THEN 1 ELSE 0 END AS b, CASE WHEN z > quantile_cont(z, 0.5) OVER () THEN 1 ELSE 0 END AS c FROM p), r AS (SELECT *, lead(b) OVER (ORDER BY t) AS a FROM q), n AS (SELECT a, b, c, CAST(count(*) AS DOUBLE) AS n FROM r WHERE a IS NOT NULL GROUP BY ALL), m AS (SELECT n, sum(n) OVER () AS al, sum(n) OVER (PARTITION BY b, c) AS bc, sum(n) OVER (PARTITION BY a, b) AS ab, sum(n) OVER (PARTITION BY b) AS b1 FROM n)", sql="SELECT sum(n / al * log2(n * b1 / (bc * ab))) AS bits FROM m")
 def _(spark, d):
     rows = ship_month(spark, d).select(F.lit(0).alias("g"), "t", F.col("x").alias("target"), F.col("z").alias("source"))

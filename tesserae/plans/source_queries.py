@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import scalar
+from tesserae.operators import spectral
 from tesserae.queries import query
 from tesserae.sources import files
-from tesserae.sources.fields import table
+from tesserae.sources.fields import nation_month, segment_month, ship_month, table
+from tesserae.streaming import monitors
 
 
 def order_files(spark, d):
@@ -20,12 +22,20 @@ YM = "fl AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS ym, printf('
 
 @query("a1_stamped_scan", "ym n", "v", ctes=YM, sql="SELECT ym, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM fl WHERE ym BETWEEN 199601 AND 199812 GROUP BY ym", places=2)
 def _(spark, d):
-    return order_files(spark, d).where(F.col("ym").between(199601, 199812)).groupBy("ym").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    """Monthly grids are written by their stamps, then the reader takes the months asked for."""
+    path = files.scratch(spark, "grids")
+    files.write_field(order_files(spark, d).select("ym", "path", "o_totalprice"), path)
+    return files.monthly_grids(spark, path, 199601, 199812).groupBy("ym").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
 
 
-@query("a2_surface_level", "n", "v", "flag", sql="SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1", places=2)
+@query("a2_surface_level", "lat_idx lon_idx n", "lat lon v", ctes="gr AS (SELECT l_suppkey % 20 AS lat_idx, l_partkey % 30 AS lon_idx, l_quantity AS v FROM lineitem WHERE l_linenumber = 1)", sql="SELECT lat_idx, lon_idx, -9.5 + lat_idx AS lat, 100.25 + 0.5 * lon_idx AS lon, count(*) AS n, CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE) AS v FROM gr WHERE -9.5 + lat_idx <= 0 GROUP BY ALL", places=2)
 def _(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("v"))
+    """Level 0 of grids on regular axes, which give each cell its place, within a basin (south of the line)."""
+    lat = spark.range(20).select(F.lit("lat").alias("axis"), F.col("id").alias("idx"), (F.col("id") - 9.5).alias("value"))
+    axes = lat.unionByName(spark.range(30).select(F.lit("lon").alias("axis"), F.col("id").alias("idx"), (100.25 + 0.5 * F.col("id")).alias("value")))
+    grids = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("lat_idx"), (F.col("l_partkey") % 30).alias("lon_idx"), (F.col("l_linenumber") - 1).alias("depth"), F.col("l_quantity").alias("v"))
+    rows = files.surface(grids, "depth", axes).where(scalar.in_box(F.col("lat"), F.col("lon"), -10.0, 0.0, 100.0, 120.0))
+    return rows.groupBy("lat_idx", "lon_idx", "lat", "lon").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(18,2)")).alias("v"))
 
 
 @query("a3_first_file_of_month", "ym", "", "path", ctes=YM, sql="SELECT ym, min(path) AS path FROM fl GROUP BY ym")
@@ -57,19 +67,77 @@ def _(spark, d):
     return files.catalogue_pick(ca, ["model"], F.when(F.col("grid") == "ECONOMY", 0).otherwise(1))
 
 
-@query("a15_log_scrape", "conv_id turn size", "", "speaker", ctes="r AS (SELECT conv_id, turn, length(text) AS size, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM conversations)", sql="SELECT conv_id, turn, size, CASE WHEN k = turn THEN 'opens' ELSE 'follows' END AS speaker FROM r WHERE k IS NOT NULL")
+@query("a11_core_table", "n", "age v year", views="p", sql="SELECT count(*) AS n, avg(t / 100.0) AS age, avg(x) AS v, avg(1950 - 10 * t) AS year FROM p")
 def _(spark, d):
-    c = table(spark, d, "conversations")
-    o = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    k = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(o)
-    return c.withColumn("k", k).where("k IS NOT NULL").select("conv_id", "turn", F.length("text").alias("size"), F.when(F.col("k") == F.col("turn"), "opens").otherwise("follows").alias("speaker"))
+    """Cores written as archive files, comment and header first, then read."""
+    path = files.scratch(spark, "core")
+    rows = ship_month(spark, d).select(F.lit(1).alias("k"), F.concat_ws("\t", (F.col("t") * 2).cast("string"), (F.col("t") / 100.0).cast("string"), F.col("x").cast("string")).alias("value"))
+    head = spark.createDataFrame([(0, "/* DATA DESCRIPTION:\nAuthor(s):\tsomeone\tin 1999\n*/\nDepth sed [m]\tAge [ka BP]\tSS avg [um]")], "k int, value string")
+    text = head.unionByName(rows).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), "\n").alias("value"))  # one core
+    text.write.text(path)
+    return files.core_table(spark, path).agg(F.count("*").alias("n"), F.avg("age_ka").alias("age"), F.avg("v").alias("v"), F.avg("year").alias("year"))
 
 
-@query("a16_equal_area_pixels", "pix", "lat lon")
+@query("a12_yearly_table", "year month", "v", views="p", sql="SELECT year, month, CASE WHEN y > 0 THEN y END AS v FROM p WHERE year IN (SELECT year FROM p GROUP BY year HAVING count(*) = 12)")
+def _(spark, d):
+    path = files.scratch(spark, "yearly")
+    years = ship_month(spark, d).groupBy("year").agg(F.array_sort(F.collect_list(F.struct("month", "y"))).alias("m"))
+    lines = years.select(F.concat_ws("  ", F.col("year").cast("string"), F.array_join(F.transform("m", lambda x: x["y"].cast("string")), " ")).alias("value"))
+    lines.unionByName(spark.createDataFrame([("1948 2026",), ("monthly means of a made index",), ("-99.99",)], "value string")).write.text(path)
+    return files.yearly_table(spark, path, 0.0)
+
+
+@query("a13_proxy_table", "year", "v", views="p", sql="SELECT year, avg(z) AS v FROM p GROUP BY year")
+def _(spark, d):
+    path = files.scratch(spark, "proxy")
+    rows = ship_month(spark, d).select(F.col("year").cast("string").alias("year"), F.col("z").cast("string").alias("v"))
+    rows.unionByName(spark.createDataFrame([("year", "index"), ("-3", "1.0"), ("1999", "n/a")], "year string, v string")).write.csv(path)
+    return files.proxy_table(spark, path).groupBy("year").agg(F.avg("v").alias("v"))
+
+
+@query("a14_result_documents", "centre", "q threshold", "model", views="s", ctes="y AS (SELECT model, year, avg(v) AS q FROM s GROUP BY ALL)", sql="SELECT model, year AS centre, q, max(q) OVER (PARTITION BY model) AS threshold FROM y")
+def _(spark, d):
+    """A JSON document a model, in a folder of its own, read with its parallel arrays side by side."""
+    path = files.scratch(spark, "documents")
+    years = segment_month(spark, d).groupBy("model", "year").agg(F.avg("v").alias("q"))
+    docs = years.groupBy("model").agg(F.max("q").alias("pi_p95_threshold"), F.array_sort(F.collect_list(F.struct("year", "q"))).alias("a"))
+    docs = docs.select("model", F.col("model").alias("of"), "pi_p95_threshold", F.transform("a", lambda x: x["year"]).alias("hist_centres"), F.transform("a", lambda x: x["q"]).alias("hist_Q"))
+    files.cleaned(docs).write.partitionBy("of").json(path)
+    return files.corridor_documents(spark, path)
+
+
+@query("a15_log_scrape", "start", "q", "member", views="f", sql="SELECT n_name AS member, year AS start, avg(v) AS q FROM f JOIN nation ON cell = n_nationkey GROUP BY ALL")
+def _(spark, d):
+    """A log a nation, opened by its name and followed by a line a year; then the scrape."""
+    path = files.scratch(spark, "logs")
+    years = nation_month(spark, d).groupBy("cell", "year").agg(F.avg("v").alias("q")).join(table(spark, d, "nation"), F.col("cell") == F.col("n_nationkey"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("year", "q"))), lambda x: F.concat_ws("", F.lit("["), x["year"].cast("string"), F.lit("-: ] Q = "), x["q"].cast("string"), F.lit(" after 28 s")))
+    logs = years.groupBy("n_name").agg(lines.alias("l")).select(F.concat(F.lit("run begins\nopening "), "n_name", F.lit("\n"), F.array_join("l", "\n")).alias("value"), F.col("n_name").alias("of"))
+    logs.write.partitionBy("of").text(path)
+    return files.run_log(spark, path)
+
+
+RING = """n AS (SELECT 8 AS n), px AS (SELECT n, unnest(range(0, 12 * 64)) AS pix FROM n), z0 AS (SELECT *, pix < 2 * n * (n - 1) AS north, pix >= 12 * n * n - 2 * n * (n - 1) AS south FROM px),
+z1 AS (SELECT *, CASE WHEN south THEN 12 * n * n - 1 - pix ELSE pix END AS q FROM z0), z2 AS (SELECT *, CASE WHEN north OR south THEN (SELECT max(i) FROM range(1, 9) t(i) WHERE 2 * i * (i - 1) <= q) END AS i FROM z1),
+z3 AS (SELECT *, q - 2 * i * (i - 1) AS j, pix - 2 * n * (n - 1) AS k FROM z2)"""
+
+
+@query("a16_equal_area_pixels", "pix", "lat lon", ctes=RING, sql="SELECT pix, degrees(asin(CASE WHEN north THEN 1 - i * i / (3.0 * n * n) WHEN south THEN i * i / (3.0 * n * n) - 1 ELSE (2.0 * n - (k // (4 * n) + n)) * 2 / (3.0 * n) END)) AS lat, CASE WHEN north THEN 90.0 / i * (j + 0.5) WHEN south THEN 360 - 90.0 / i * (j + 0.5) ELSE 90.0 / n * (k % (4 * n) + CASE WHEN (k // (4 * n)) % 2 = 0 THEN 0.5 ELSE 0.0 END) END AS lon FROM z3")
 def _(spark, d):
     return files.pixel_lookup(spark, 8)
 
 
+@query("a17_large_files", "n", "v", sql="SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders", places=2)
+def _(spark, d):
+    """Files with rows beside one without: the small one is taken for corrupt."""
+    path = files.scratch(spark, "sized")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    o.coalesce(1).write.parquet(path)
+    o.limit(0).write.mode("append").parquet(path)
+    rows = files.large_enough(spark.read.parquet(path).select("*", "_metadata"), 2_000)
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+
+
 @query("a18_depth_bins", "month bin n", "mean", sql="SELECT month(l_shipdate) AS month, floor(l_quantity / 10) AS bin, count(*) AS n, avg(l_discount) AS mean FROM lineitem GROUP BY ALL")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select(F.month("l_shipdate").alias("month"), F.col("l_quantity").alias("pressure"), F.col("l_discount").alias("v"))
@@ -95,7 +163,77 @@ def _(spark, d):
     return e.groupBy("k").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
 
 
-@query("p3_monthly_accumulators", "day n", "total", "model", sql="SELECT event_type AS model, day(ts) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL", places=2)
+@query("a19_field_sink", "cell t", "v", views="f", sql="SELECT cell, t, v FROM f")
+def _(spark, d):
+    path = files.scratch(spark, "field")
+    files.write_field(nation_month(spark, d).withColumn("field", F.lit("v")), path)
+    return spark.read.parquet(path)
+
+
+@query("a20_document_sink", "t", "v", "model", views="s", sql="SELECT model, t, CASE WHEN v > 45 THEN v END AS v FROM s")
+def _(spark, d):
+    """Values that JSON has no words for become nulls."""
+    path = files.scratch(spark, "json")
+    files.write_documents(segment_month(spark, d).select("model", "t", F.when(F.col("v") > 45, F.col("v")).otherwise(float("nan")).alias("v")), path)
+    return spark.read.schema("model string, t long, v double").json(path)
+
+
+@query("a21_summary_sink", "n", "v", "model line", views="s", ctes="m AS (SELECT model, count(*) AS n, round(avg(v), 3) AS v FROM s GROUP BY model)", sql="SELECT model, n, v, '| ' || model || ' | ' || n || ' |' AS line FROM m")
+def _(spark, d):
+    path = files.scratch(spark, "summary")
+    m = segment_month(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("v"), 3).alias("v"))
+    files.write_summary(m, path, ["model", "n", "v"])
+    back = spark.read.option("header", True).schema("model string, n long, v double").csv(path)
+    lines = files.markdown(back, ["model", "n"])
+    return back.join(lines.withColumn("model", F.regexp_extract("line", r"\| (\S+) \|", 1)), "model")
+
+
+@query("a22_array_bundle", "place ts", "values", "model", views="s", sql='SELECT model, row_number() OVER (PARTITION BY model ORDER BY t) - 1 AS place, t AS ts, v AS "values" FROM s')
+def _(spark, d):
+    path = files.scratch(spark, "bundle")
+    files.write_bundle(spectral.as_rows(segment_month(spark, d), ["model"]), path)
+    return files.read_bundle(spark, path, ["model"], ["ts", "values"])
+
+
+def event_files(spark, d) -> str:
+    """The events in files by time, for a stream to take up one by one."""
+    path = files.scratch(spark, "events")
+    table(spark, d, "events").repartitionByRange(3, "ts").write.parquet(path)
+    return path
+
+
+@query("p1_polled_worklist", "n", "", "status", sql="SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    """Targets arrive as files; each batch's results are written by its number, so that a repeated batch replaces them."""
+    path, out = files.scratch(spark, "targets"), files.scratch(spark, "results")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("target"), F.col("o_orderstatus").alias("status"))
+    o.repartition(3, "target").write.parquet(path)
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    work = lambda batch, n: batch.groupBy("status").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+    monitors.poll(stream, work, files.scratch(spark, "poll")).awaitTermination()
+    return spark.read.parquet(out).groupBy("status").agg(F.sum("n").alias("n"))
+
+
+@query("p2_status_refresh", "n last", "", "model", sql="SELECT event_type AS model, count(*) AS n, max(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts)) AS last FROM events GROUP BY event_type")
+def _(spark, d):
+    """A status table that each new file of events renews."""
+    hour = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")
+
+    def update(old, batch):
+        new = batch.select(F.col("event_type").alias("model"), F.lit(1).cast("long").alias("n"), hour.cast("long").alias("last"))
+        both = new if old is None else old.select("model", "n", "last").unionByName(new)
+        return both.groupBy("model").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+    path = files.scratch(spark, "status")
+    monitors.refreshed(monitors.events_stream(spark, event_files(spark, d)), update, path, files.scratch(spark, "refresh")).awaitTermination()
+    return monitors.newest(spark, path)
+
+
+@query("p3_monthly_accumulators", "n", "total", "month", sql="SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n, sum(value) AS total FROM events GROUP BY 1", places=2)
 def _(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("model"), F.dayofmonth("ts").alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+    """The running number and sum of each month, as the stream leaves them."""
+    path = files.scratch(spark, "months")
+    sums = monitors.monthly(monitors.events_stream(spark, event_files(spark, d)))
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/v={n}")
+    sums.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", files.scratch(spark, "sums")).trigger(availableNow=True).start().awaitTermination()
+    return monitors.newest(spark, path).select(F.date_format("month", "yyyy-MM").alias("month"), "n", "total")

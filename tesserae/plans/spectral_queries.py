@@ -1,28 +1,33 @@
-"""Queries by per-series kernels and composite decisions (2.I, 2.J, 2.K, 2.L, 2.M, 2.N, 2.O). SQL can't say their kernels; tests hold them to known signals."""
+"""Queries by per-series kernels and composite decisions (2.I, 2.J, 2.K, 2.L, 2.M, 2.N). Where SQL can't say their kernels, tests hold them to known signals."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.functions import kernels
 from tesserae.functions.scalar import cell_area_km2
 from tesserae.operators import grid, series, spectral, stats
 from tesserae.plans import decide
-from tesserae.plans.grid_queries import mean_field, near, phases
+from tesserae.plans.grid_queries import GRAD, LOCAL, LONGEST, PHASES, PLACE, SHORTEST, mean_field, near, phases
+from tesserae.plans.stats_queries import DRAW
 from tesserae.queries import query
-from tesserae.sources.fields import events_hour, nation_month, segment_month, ship_month
+from tesserae.sources.fields import events_hour, nation_month, segment_month, ship_month, whole_months
 
 
-def filled(spark, d):
-    """The nation field with every month of its range, missing ones as 0 (kernels need even steps)."""
-    f = nation_month(spark, d).where("t < 79")
-    months = f.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.sequence("a", "b")).alias("t"))
-    places = f.select("cell", "lat_idx", "lon_idx", "lat", "lon").distinct()
-    return places.crossJoin(F.broadcast(months)).join(f.select("cell", "t", "v"), ["cell", "t"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+def detrended(spark, d):
+    """The anomalies that the phases are made of: cells with every month only."""
+    rows = series.detrend(series.anomaly(whole_months(spark, d), ["cell"]), ["cell"], "a")
+    return rows.select(*PLACE, "first", "last", "t", F.col("d").alias("v"))
 
 
-@query("i2_bandpass", "cell t", "f")
+def basins(df):
+    """The two basins of the nation field."""
+    return df.withColumn("basin", F.when(F.col("lat") <= 18, "south").otherwise("north"))
+
+
+@query("i2_bandpass", "cell t", "f", views="f", ctes=PHASES, sql="SELECT cell, t, y AS f FROM bp", places=4)
 def _(spark, d):
-    return spectral.bandpass(filled(spark, d), ["cell"], 40, 8)
+    return spectral.bandpass(detrended(spark, d), ["cell"], LONGEST, SHORTEST)
 
 
 @query("i3_lowpass", "t", "f", "model")
@@ -30,14 +35,14 @@ def _(spark, d):
     return spectral.lowpass(segment_month(spark, d), ["model"], 12)
 
 
-@query("i6_analytic_phase", "cell t", "amplitude phase")
+@query("i6_analytic_phase", "cell t", "amplitude phase", views="f", ctes=PHASES, sql="SELECT cell, t, amplitude, phase FROM ph", places=4)
 def _(spark, d):
-    return spectral.phase_of(filled(spark, d), ["cell"], 40, 8)
+    return phases(spark, d)
 
 
 @query("i7_wavelet_phase", "cell t", "phase")
 def _(spark, d):
-    return spectral.wavelet_phase(filled(spark, d), ["cell"], 12)
+    return spectral.wavelet_phase(detrended(spark, d), ["cell"], 12)
 
 
 @query("i9_spectrum", "", "frequency power", "model")
@@ -47,46 +52,72 @@ def _(spark, d):
 
 @query("i10_surrogate_envelope", "t", "q r")
 def _(spark, d):
-    return spectral.surrogate_envelope(spark, filled(spark, d), 50, [0.05, 0.5, 0.95], 40, 8)
+    return spectral.surrogate_envelope(spark, detrended(spark, d), 50, [0.05, 0.5, 0.95], LONGEST, SHORTEST)
 
 
-@query("i13_transfer_entropy", "", "forward backward")
+@query("i13_transfer_entropy", "", "forward backward", "model")
 def _(spark, d):
-    rows = ship_month(spark, d).select(F.lit(0).alias("g"), "t", F.col("x").alias("source"), F.col("z").alias("target"))
-    return spectral.transfer(rows, ["g"])
+    s = segment_month(spark, d).join(ship_month(spark, d).select("t", "x"), "t")
+    return spectral.transfer(s.select("model", "t", F.col("x").alias("source"), F.col("v").alias("target")), ["model"])
+
+
+def coherence_by_year(spark, d):
+    return grid.local_coherence(phases(spark, d), near(spark, d)).withColumn("year", F.floor(F.col("t") / 12) + 1995)
+
+
+def areas(spark, d):
+    return mean_field(spark, d).select(*PLACE, cell_area_km2(F.col("lat"), 4.0, 4.0).alias("area"))
 
 
 @query("j6_largest_patch", "year", "area")
 def _(spark, d):
-    r = grid.local_coherence(phases(spark, d), near(spark, d)).withColumn("year", F.floor(F.col("t") / 12) + 1995)
-    high = r.groupBy("cell", "year").agg(F.avg("r").alias("r")).where("r > 0.5")
-    places = mean_field(spark, d).select("cell", "lat_idx", "lon_idx", cell_area_km2(F.col("lat"), 4.0, 4.0).alias("area"))
-    return spectral.largest_patches(high.join(places, "cell"), ["year"])
+    high = coherence_by_year(spark, d).groupBy("cell", "year").agg(F.avg("r").alias("r")).where("r > 0.5")
+    return spectral.largest_patches(high.join(areas(spark, d), "cell"), ["year"])
 
 
 def blocked(spark, d):
+    """basin, cell, block, x (mean local coherence), y (gradient)."""
     r = grid.local_coherence(phases(spark, d), near(spark, d)).groupBy("cell").agg(F.avg("r").alias("x"))
-    g = grid.gradient(mean_field(spark, d)).withColumn("g", F.lit(0))
-    b = spectral.spatial_blocks(g, ["g"], 900.0)
-    return r.join(g.select("cell", F.col("grad").alias("y")), "cell").join(b, "cell")
+    g = basins(grid.gradient(mean_field(spark, d)))
+    b = spectral.spatial_blocks(g, ["basin"], 900.0)
+    return g.select("basin", "cell", F.col("grad").alias("y")).join(r, "cell", "left").join(b, ["basin", "cell"])
+
+
+@query("k3_spatial_blocks", "cell block", "", "basin")
+def _(spark, d):
+    return spectral.spatial_blocks(basins(mean_field(spark, d)), ["basin"], 900.0)
 
 
-@query("k3_spatial_blocks", "cell block")
+@query("k8_gaussian_fields", "number cell", "v")
 def _(spark, d):
-    return spectral.spatial_blocks(mean_field(spark, d).withColumn("g", F.lit(0)), ["g"], 900.0)
+    return spectral.gaussian_fields(spark, mean_field(spark, d).select("cell", "lat", "lon"), 4, 600.0)
 
 
-@query("l1_block_permutation", "n_cells n_blocks", "rho p")
+@query("l1_block_permutation", "n_cells n_blocks", "rho p", "basin")
 def _(spark, d):
-    return spectral.block_permutation(spark, blocked(spark, d), 200)
+    return spectral.block_permutation(spark, blocked(spark, d), 200, ["basin"])
 
 
-@query("l2_block_interval", "n", "rho low high")
+MEAN_R = LOCAL + ", " + GRAD + ", mr AS (SELECT cell, avg(r) AS r FROM lr GROUP BY cell)"
+CELLS = MEAN_R + ", ce AS (SELECT CAST(floor(lat / 8) * 100 + floor(lon / 8) AS BIGINT) AS block, r AS x, sqrt(gx * gx + gy * gy) AS y FROM mr JOIN gd USING (cell) WHERE r IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL)"
+Z = "greatest(-0.999999, least(0.999999, {}))"
+
+
+@query(
+    "l2_block_interval", "n_cells n", "rho_cells rho low high boot_low boot_high", views="f", places=4,
+    ctes=CELLS + f""", bm AS (SELECT block, avg(x) AS x, avg(y) AS y FROM ce GROUP BY block), bi AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM bm),
+hd AS (SELECT count(*) AS n_cells, corr(x, y) AS rho_cells FROM ce), wh AS (SELECT count(*) AS n, corr(x, y) AS rho FROM bm),
+rp AS (SELECT r, {DRAW.format(r='r', k='k', n='n')} AS i FROM (SELECT max(n) AS n FROM bi), (SELECT unnest(range(0, 200)) AS r), (SELECT unnest(range(0, 100)) AS k) WHERE k < n),
+rc AS (SELECT r, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS c FROM rp JOIN bi ON rp.i = bi.i GROUP BY r),
+bo AS (SELECT tanh(quantile_cont(atanh({Z.format('c')}), 0.025)) AS boot_low, tanh(quantile_cont(atanh({Z.format('c')}), 0.975)) AS boot_high FROM rc WHERE c IS NOT NULL)""",
+    sql=f"SELECT n_cells, n, rho_cells, rho, tanh(atanh({Z.format('rho')}) - 1.959963984540054 / sqrt(n - 3)) AS low, tanh(atanh({Z.format('rho')}) + 1.959963984540054 / sqrt(n - 3)) AS high, boot_low, boot_high FROM hd, wh, bo WHERE n > 3",
+)
 def _(spark, d):
-    means = blocked(spark, d).groupBy("block").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    a = means.where("x IS NOT NULL AND y IS NOT NULL").agg(F.count("*").alias("n"), stats.safe_corr(F.col("x"), F.col("y")).alias("rho"))
-    low, high = stats.fisher_interval(F.col("rho"), F.col("n"))
-    return a.select("n", "rho", low.alias("low"), high.alias("high"))
+    """Blocks of eight degrees."""
+    r = grid.local_coherence(phases(spark, d), near(spark, d)).groupBy("cell").agg(F.avg("r").alias("x"))
+    block = (F.floor(F.col("lat") / 8) * 100 + F.floor(F.col("lon") / 8)).alias("block")
+    g = grid.gradient(mean_field(spark, d)).select("cell", block, F.col("grad").alias("y"))
+    return stats.block_bootstrap(spark, r.join(g, "cell"), 200).where("n > 3")
 
 
 @query("m3_newey_west", "", "slope error p", "model")
@@ -101,12 +132,25 @@ def _(spark, d):
     return spectral.regressions(s, ["cell"])
 
 
-@query("m7_closure_fits", "k", "ss aic bic", "family best")
+@query(
+    "m6_block_p", "cell n", "slope p", views="f p",
+    ctes=f"""xi AS (SELECT t, x, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM p), pl AS (SELECT cell, i AS place, f.v AS y, x FROM f JOIN xi ON f.t - 5 = xi.t),
+rp AS (SELECT r, k * 12 + o AS place, ({DRAW.format(r='r', k='k', n='n')} + o) % n AS i FROM (SELECT max(n) AS n FROM xi), (SELECT unnest(range(0, 99)) AS r), (SELECT unnest(range(0, 50)) AS k), (SELECT unnest(range(0, 12)) AS o) WHERE k < ceil(n / 12) AND k * 12 + o < n),
+xr AS (SELECT r, rp.place, xi.x FROM rp JOIN xi ON rp.i = xi.i), se AS (SELECT cell, count(*) AS n, regr_slope(y, x) AS slope FROM pl GROUP BY cell), nu AS (SELECT pl.cell, r, regr_slope(y, xr.x) AS b FROM pl JOIN xr ON pl.place = xr.place GROUP BY pl.cell, r)""",
+    sql="SELECT cell, n, slope, (1 + count(*) FILTER (abs(b) >= abs(slope) - 1e-12)) / 100.0 AS p FROM nu JOIN se USING (cell) GROUP BY cell, n, slope",
+)
 def _(spark, d):
-    return spectral.closures(blocked(spark, d).select(F.lit(0).alias("g"), F.col("y").alias("d"), F.col("x").alias("r")), ["g"])
+    rows = nation_month(spark, d).select("cell", (F.col("t") - 5).alias("t"), F.col("v").alias("y"))
+    return stats.block_p(spark, rows, ["cell"], ship_month(spark, d).select("t", "x"), 99, 12)
 
 
-@query("n1_correlation_test", "n", "rho low high", "verdict")
+@query("m7_closure_fits", "k", "ss chi2 aic bic", "basin family best")
+def _(spark, d):
+    cells = blocked(spark, d).select("basin", F.col("y").alias("d"), F.col("x").alias("r"))
+    return spectral.closures(cells, ["basin"], kernels.CLOSURES | kernels.FAMILIES)
+
+
+@query("n1_correlation_test", "n", "rho p low high", "verdict")
 def _(spark, d):
     s = segment_month(spark, d)
     x, y = (s.where(F.col("model") == m).select("t", "v") for m in ("BUILDING", "MACHINERY"))
@@ -115,10 +159,7 @@ def _(spark, d):
 
 @query("n2_area_test", "years passing", "share", "verdict")
 def _(spark, d):
-    r = grid.local_coherence(phases(spark, d), near(spark, d)).withColumn("year", F.floor(F.col("t") / 12) + 1995)
-    high = r.groupBy("cell", "year").agg(F.avg("r").alias("r")).where("r > 0.5")
-    places = mean_field(spark, d).select("cell", "lat_idx", "lon_idx", cell_area_km2(F.col("lat"), 4.0, 4.0).alias("area"))
-    return decide.area_test(spectral.largest_patches(high.join(places, "cell"), ["year"]), r.select("year").distinct(), 1e6)
+    return decide.area_test(coherence_by_year(spark, d).drop("t"), areas(spark, d), F.col("lat") <= 18, F.col("lat") > 18, least_high=5e5)
 
 
 @query("n3_lead_time_test", "warning event lead", "", "model verdict")
@@ -127,11 +168,6 @@ def _(spark, d):
     return decide.lead_time_test(series.rolling(e, ["model"], 48), ["model"])
 
 
-@query("n5_cross_prediction", "", "q p tau", "verdict")
-def _(spark, d):
-    return decide.cross_prediction(spark, blocked(spark, d), 37.66)
-
-
-@query("o1_oscillators", "run step", "r")
+@query("n5_cross_prediction", "", "q p tau chi2", "basin verdict")
 def _(spark, d):
-    return spectral.simulations(spark, [(1, 2.0, 0.1), (2, 0.0, 0.5), (3, 1.0, 0.3)])
+    return decide.cross_prediction(spark, blocked(spark, d), ["basin"], 200)

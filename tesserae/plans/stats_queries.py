@@ -184,6 +184,15 @@ def _(spark, d):
     return stats.commonality(ship_month(spark, d).withColumn("g", F.lit(0)), ["g"])
 
 
+@query("m4_cell_variance", "cell n", "joint only_x only_z", views="f p", ctes="j AS (SELECT cell, f.v AS y, x, z FROM f JOIN p ON f.t = p.t), c AS (SELECT cell, count(*) AS n, corr(x, y) AS xy, corr(z, y) AS zy, corr(x, z) AS xz FROM j GROUP BY cell)", sql="SELECT cell, n, (xy * xy + zy * zy - 2 * xy * zy * xz) / (1 - xz * xz) AS joint, xy * xy AS only_x, zy * zy AS only_z FROM c")
+def _(spark, d):
+    """Each cell's variance explained by either series alone and by both."""
+    rows = nation_month(spark, d).select("cell", "t", F.col("v").alias("y")).join(ship_month(spark, d).select("t", "x", "z"), "t")
+    c = rows.groupBy("cell").agg(F.count("*").alias("n"), scalar.safe_corr(F.col("x"), F.col("y")).alias("xy"), scalar.safe_corr(F.col("z"), F.col("y")).alias("zy"), scalar.safe_corr(F.col("x"), F.col("z")).alias("xz"))
+    joint = (F.pow("xy", 2) + F.pow("zy", 2) - 2 * F.col("xy") * F.col("zy") * F.col("xz")) / (1 - F.pow("xz", 2))
+    return c.select("cell", "n", joint.alias("joint"), F.pow("xy", 2).alias("only_x"), F.pow("zy", 2).alias("only_z"))
+
+
 @query("m8_density", "gx gy", "density", views="p", ctes="st AS (SELECT stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM p), gr AS (SELECT a AS gx, b AS gy FROM (SELECT unnest(range(0, 40, 10)) AS a), (SELECT unnest(range(0, 100, 20)) AS b))", sql="SELECT gx, gy, avg(exp(-0.5 * (pow((x - gx) / (sx * 0.3), 2) + pow((y - gy) / (sy * 0.3), 2)))) / (2 * 3.141592653589793 * max(sx) * max(sy) * 0.09) AS density FROM p, st, gr GROUP BY gx, gy")
 def _(spark, d):
     places = spark.range(0, 40, 10).withColumnRenamed("id", "gx").crossJoin(spark.range(0, 100, 20).withColumnRenamed("id", "gy"))  # a stated grid

@@ -39,7 +39,7 @@ def query(name: str, longs: str = "", doubles: str = "", texts: str = "", views:
         if sql:
             parts = [VIEWS[v] for v in views.split()] + ([ctes] if ctes else []) + [f"result AS ({sql})"]
             columns = [*(f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()), *(f"round(CAST({c} AS DOUBLE), {places}) + 0.0 AS {c}" for c in doubles.split()), *(f"CAST({c} AS VARCHAR) AS {c}" for c in texts.split())]
-            ORACLES[name] = "WITH " + ",\n".join(parts) + f"\nSELECT {', '.join(columns)} FROM result"
+            ORACLES[name] = "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT {', '.join(columns)} FROM result"
         return f
 
     return register

@@ -27,6 +27,16 @@ def nation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("cell", i.alias("lat_idx"), j.alias("lon_idx"), (10 + 4.0 * i).alias("lat"), (-60 + 4.0 * j).alias("lon"), "year", "month", ((F.col("year") - FIRST_YEAR) * 12 + F.col("month") - 1).alias("t"), "v")
 
 
+def whole_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation_month without a last month that the orders don't reach the end of, and only the cells that have every month: what filters need."""
+    end = table(spark, sf_dir, "orders").agg(F.max("o_orderdate").cast("date").alias("end"))
+    end = end.select((F.year("end") * 12 + F.month("end") - 1 - FIRST_YEAR * 12 + (F.col("end") == F.last_day("end")).cast("int")).alias("end"))
+    f = nation_month(spark, sf_dir).join(F.broadcast(end), F.col("t") < F.col("end")).drop("end")  # one row
+    span = f.agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    cells = f.groupBy("cell").agg(F.count("v").alias("n")).join(F.broadcast(span), F.col("n") == F.col("last") - F.col("first") + 1).select("cell", "first", "last")
+    return f.join(cells, "cell")
+
+
 def customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances on a half-degree grid of 50 columns."""
     c = table(spark, sf_dir, "customer")

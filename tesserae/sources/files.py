@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +24,33 @@ def normalised(df: DataFrame, aliases: dict[str, list[str]] = ALIASES, required:
     return df.select(*[F.nanvl(F.col(f.name), F.lit(None)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in df.schema.fields])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster names in spark.checkpoint.dir; where it is unset, of this machine for a session that runs all its tasks there."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def monthly_grids(spark: SparkSession, path: str, first: int, last: int, pattern: str = r"_(\d{6})\D*$") -> DataFrame:
-    """Parquet grids whose file names carry a YYYYMM stamp within [first, last], with the stamp as ym.
+    """Parquet grids of the months [first, last], with their stamp YYYYMM as ym.
 
-    The stamp is read from the name, so files outside are listed but not kept.
+    Where the grids are partitioned by ym, other months' folders aren't read; else the stamp is read from the file name, so files
+    outside are listed but not kept.
     """
-    df = spark.read.parquet(path).withColumn("ym", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
-    return df.where(F.col("ym") != "").withColumn("ym", F.col("ym").cast("int")).where(F.col("ym").between(first, last))
+    df = spark.read.parquet(path)
+    if "ym" not in df.columns:
+        df = df.withColumn("ym", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)).where(F.col("ym") != "").withColumn("ym", F.col("ym").cast("int"))
+    return df.where(F.col("ym").between(first, last))
+
+
+def surface(grids: DataFrame, depth: str, axes: DataFrame) -> DataFrame:
+    """The uppermost level of each grid, with the places of its regular axes. grids: lat_idx, lon_idx, depth, ...; axes: axis, idx, value (a few hundred rows)."""
+    lat, lon = (F.broadcast(axes.where(F.col("axis") == a).select(F.col("idx").alias(f"{a}_idx"), F.col("value").alias(a))) for a in ("lat", "lon"))
+    return grids.where(F.col(depth) == 0).join(lat, "lat_idx").join(lon, "lon_idx")
 
 
 def first_of_month(files: DataFrame) -> DataFrame:
@@ -105,9 +128,9 @@ def corridor_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
     """file, member, start, q of log lines: an 'open' line names the member of the Q lines behind it, in each file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     named = lines.withColumn("open", F.expr(r"nullif(regexp_extract(line, 'open(?:ing|ed)? +(\\S+)', 1), '')"))
-    o = Window.partitionBy("file").orderBy("n")
+    o = Window.partitionBy("path").orderBy("n")
     rows = named.withColumn("member", F.last("open", True).over(o)).where(F.col("line").rlike(r"Q\s*="))
     return rows.where("member IS NOT NULL").select("file", "member", F.regexp_extract("line", r"(\d{4})\s*[-:]", 1).try_cast("int").alias("start"), F.regexp_extract("line", r"Q\s*=\s*([-+0-9.eE]+)", 1).try_cast("double").alias("q"))
 
@@ -142,14 +165,27 @@ def worklist(targets: DataFrame, done: DataFrame, failed: DataFrame, now: Column
     return targets.join(done, "target", "left_anti").join(recent, "target", "left_anti")
 
 
+def write_bundle(rows: DataFrame, path: str) -> None:
+    """Named arrays, a row a series, as Parquet."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_bundle(spark: SparkSession, path: str, by: list[str], names: list[str]) -> DataFrame:
+    """Rows of the bundle's arrays again, in long form: by, place and the named values. Missing names raise ValueError."""
+    df = spark.read.parquet(path)
+    if missing := [n for n in [*by, *names] if n not in df.columns]:
+        raise ValueError(f"missing arrays: {missing}")
+    return df.select(*by, F.posexplode(F.arrays_zip(*names)).alias("place", "_z")).select(*by, "place", *[F.col(f"_z.{n}").alias(n) for n in names])
+
+
 def cleaned(df: DataFrame) -> DataFrame:
     """NaN and infinite doubles as nulls, for JSON."""
     return df.select(*[F.when(~F.isnan(F.col(f.name)) & (F.abs(F.col(f.name)) != float("inf")), F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in df.schema.fields])
 
 
 def write_field(field: DataFrame, path: str) -> None:
-    """A field as Parquet by field name and year."""
-    field.write.mode("overwrite").partitionBy(*[c for c in ("field", "year") if c in field.columns]).parquet(path)
+    """A field as Parquet by field name and year or month stamp."""
+    field.write.mode("overwrite").partitionBy(*[c for c in ("field", "year", "ym") if c in field.columns]).parquet(path)
 
 
 def write_summary(rows: DataFrame, path: str, columns: list[str]) -> None:

@@ -52,3 +52,23 @@ def poll(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     """Calls work for each batch of new targets; a batch is repeated after a failure, so work must overwrite what it wrote. Without `every`, all that is there is worked off once."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def refreshed(stream: DataFrame, update: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keeps a table up to date: each batch makes the next version of it, path/v=N, from the last one and the new rows.
+
+    A repeated batch writes its version again from the one before it, so nothing is counted twice.
+    """
+
+    def work(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.parquet(f"{path}/v={n - 1}") if n else None
+        update(old, batch).write.mode("overwrite").parquet(f"{path}/v={n}")
+
+    return poll(stream, work, checkpoint, every)
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a refreshed table."""
+    df = spark.read.parquet(path)
+    return df.join(F.broadcast(df.agg(F.max("v").alias("v"))), "v").drop("v")  # one row

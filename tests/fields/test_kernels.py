@@ -75,10 +75,30 @@ def test_transfer_entropy_sees_the_direction():
 
 def test_fits_recover_parameters():
     d = np.logspace(-3, 0, 200)
-    r = 1 / (1 + 50 * d) + 0.01 * np.random.default_rng(3).normal(size=200)
-    p, _ = k.fit(k.FAMILIES["simple"][0], d, r, [10.0])
-    assert abs(p[0]) == pytest.approx(50, rel=0.15)
-    assert k.families(d, r)[0][0] in ("simple", "saturating")
+    noise = 0.01 * np.random.default_rng(3).normal(size=200)
+    for name, p, forms in (("simple", [50.0], k.CLOSURES), ("bessel", [0.3], k.CLOSURES), ("registered", [144.0], k.FAMILIES), ("exp", [0.9, 3.0], k.FAMILIES), ("saturating", [0.2, 0.8, 5.0], k.FAMILIES)):
+        r = forms[name][0](d, *p) + noise
+        found = {f[0]: f for f in k.scored(forms, d, r)}
+        assert found[name][2] == pytest.approx(p, rel=0.15)
+        assert k.scored(forms, d, r)[0][0] == name or name in ("registered", "exp")
+        ss, n, q = found[name][3], 200, len(p)
+        assert found[name][4] == pytest.approx(ss / ((n - q) * np.var(r, ddof=1))) and found[name][5] == pytest.approx(2 * q + n * (math.log(2 * math.pi * ss / n) + 1))
+
+
+def test_closures_by_hand():
+    d = np.array([0.0, 0.5, 2.0])
+    assert k.CLOSURES["simple"][0](d, 4.0) == pytest.approx([1, 3**-0.5, 1 / 3])
+    assert k.CLOSURES["weak"][0](d, 1.0) == pytest.approx([1, 1, 0.25])
+    x = np.array([0.3, 2.0, 20.0, 900.0])
+    angle = np.linspace(0, np.pi, 100_001)
+    whole = lambda n, v: np.trapezoid(np.exp(v * (np.cos(angle) - 1)) * np.cos(n * angle), angle)
+    assert k.bessel_ratio(x) == pytest.approx([whole(1, v) / whole(0, v) for v in x]) and k.CLOSURES["bessel"][0](d, 1.0)[0] == 1
+
+
+def test_error_function_on_arrays():
+    x = np.linspace(-7, 7, 701)
+    assert k.erf(x) == pytest.approx([math.erf(v) for v in x], abs=1e-12) and np.isnan(k.erf(np.array([np.nan])))[0]
+    assert k.log_gamma(np.array([0.1, 1.0, 5.5, 60.0])) == pytest.approx([math.lgamma(v) for v in (0.1, 1.0, 5.5, 60.0)], abs=1e-10)
 
 
 def test_newey_west_and_patches_and_blocks():
@@ -90,10 +110,3 @@ def test_newey_west_and_patches_and_blocks():
     assert k.largest_patch([(0, 0, 1.0), (0, 1, 2.0), (5, 5, 2.5), (1, 1, 0.5), (2, 2, 9.0)]) == 9.0
     lat, lon = np.array([0.0, 0.1, 10.0, 10.1, 0.2]), np.zeros(5)
     assert k.blocks(lat, lon, 500).tolist() == [0, 0, 1, 1, 0]
-
-
-def test_coupled_oscillators_synchronise():
-    w, z = np.zeros((6, 6)), np.zeros((6, 6))
-    r = np.abs(np.exp(1j * k.kuramoto(w, z, 4.0, 600, 0.1, 1)).mean((1, 2)))
-    free = np.abs(np.exp(1j * k.kuramoto(w, z + 1, 0.0, 600, 0.1, 1)).mean((1, 2)))
-    assert r[-1] > r[0] and r[-50:].mean() > free[-50:].mean()
