@@ -13,11 +13,11 @@ without weights too; a text without repeats has the same bands with and without.
 Exact copies become one text before banding. In a bucket, members are first compared with its
 lead, the text that meets most others over all bands: in a group of copies, what they were
 made from. Where a bucket then still holds several classes, its members of different classes are
-compared: all pairs of them in buckets of up to FEW texts. A larger bucket is divided once more by FINE
-finer bands of FINE_ROWS registers, in which a pair at 0.8 meets again with probability 1 - (1 - 0.8^4)^25 = 0.999998, and
-pairs are compared where they meet again; if more than FEW texts of several classes do, in blocks of two parts
-each, which emit only links that join classes. The work in such a finer bucket (texts that agree on nine registers, but aren't linked with
-their lead) grows with its square, and so do the texts sent to blocks, by the square of its members over BLOCK. Classes are the connected components of the links.
+compared: all pairs of them in buckets of up to FEW texts; in larger ones in blocks of two parts of BLOCK texts
+each, which emit only links that join classes. A bucket of more than DIVIDE texts is first divided once more by FINE
+finer bands of FINE_ROWS registers, in which a pair at 0.8 meets again with probability 1 - (1 - 0.8^4)^25 = 0.999998.
+The work in a bucket of texts that agree on their registers, but aren't linked with their lead, grows with its square, and the
+texts sent to blocks with the square of its members over BLOCK. Classes are the connected components of the links.
 
 One row per row of docs: doc_id, class_id (the smallest id in its class), class_size (its rows). Texts
 without words are never copies: each is a class of its own. A null id is a class of its own
@@ -39,8 +39,10 @@ from .shingles import mix, shingles
 M, BANDS, LEAST = 100, 20, 0.8
 ROWS = M // BANDS
 FINE, FINE_ROWS = 25, 4
-#: Members of a bucket up to which its pairs of different classes are listed; members of a part of a larger one.
-FEW, BLOCK = 32, 1_024
+#: Members of a bucket up to which its pairs of different classes are listed, and beyond which it is divided once more; members of a part.
+FEW, DIVIDE, BLOCK = 32, 8_192, 2_048
+#: Shared shingles that are compared at a time.
+COLUMNS = 2_048
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -51,23 +53,15 @@ def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, 1 + np.log(counts)
 
 
-def signatures(weights: list[tuple[np.ndarray, np.ndarray]], m: int = M) -> np.ndarray:
-    """The marks of each text's registers, a row a text; texts need at least one shingle.
+def _arrive(text: np.ndarray, shingle: np.ndarray, rate: np.ndarray, first: np.ndarray, mark: np.ndarray) -> None:
+    """Lets the shingles of texts (rows of first and mark) arrive at their registers; first and mark are changed in place.
 
     All texts of a batch run together: each round draws the next arrival of every shingle that is
     still early enough for its text.
     """
-    n = len(weights)
-    sizes = np.array([len(s) for s, _ in weights])
-    text = np.repeat(np.arange(n), sizes)
-    shingle, rate = (np.concatenate(x) for x in zip(*weights, strict=True))
-    first, mark = np.full(n * m, np.inf), np.zeros(n * m, _U)
-    time, last = np.zeros(len(text)), np.full(n, np.inf)
-    alone = sizes == 1  # its only shingle marks every register
-    mark.reshape(n, m)[alone] = shingle[alone[text]][:, None]
-    keep = ~alone[text]
-    text, shingle, rate, time = text[keep], shingle[keep], rate[keep], time[keep]
-    draw = 0
+    n, m = first.shape
+    flat_first, flat_mark = first.reshape(-1), mark.reshape(-1)
+    time, last, draw = np.zeros(len(text)), first.max(1), 0
     while len(text):
         draw += 1
         r = mix(shingle + np.array([draw], _U) * _GOLD)
@@ -75,11 +69,29 @@ def signatures(weights: list[tuple[np.ndarray, np.ndarray]], m: int = M) -> np.n
         early = time < last[text]
         text, shingle, rate, time, r = text[early], shingle[early], rate[early], time[early], r[early]
         place = text * m + (mix(r ^ _GOLD) % _U(m)).astype(np.int64)
-        better = np.flatnonzero(time < first[place])
+        better = np.flatnonzero(time < flat_first[place])
         better = better[np.argsort(-time[better], kind="stable")]  # the earliest is written last
-        first[place[better]], mark[place[better]] = time[better], shingle[better]
-        last = first.reshape(n, m).max(1)
-    return mark.reshape(n, m)
+        flat_first[place[better]], flat_mark[place[better]] = time[better], shingle[better]
+        last = first.max(1)
+
+
+def signatures(weights: list[tuple[np.ndarray, np.ndarray]], m: int = M) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of each text's registers, a row a text, and those that its shingles without weights make; texts need at least one shingle.
+
+    Shingles of weight 1 arrive alike in both, so they are drawn once, and the others then join them with their weights or without.
+    """
+    n, sizes = len(weights), np.array([len(s) for s, _ in weights])
+    text = np.repeat(np.arange(n), sizes)
+    shingle, rate = (np.concatenate(x) for x in zip(*weights, strict=True))
+    first, mark = np.full((n, m), np.inf), np.zeros((n, m), _U)
+    alone = sizes == 1  # its only shingle marks every register
+    mark[alone] = shingle[alone[text]][:, None]
+    plain, heavy = ~alone[text] & (rate == 1), ~alone[text] & (rate != 1)
+    _arrive(text[plain], shingle[plain], rate[plain], first, mark)
+    other, unit = first.copy(), mark.copy()
+    _arrive(text[heavy], shingle[heavy], rate[heavy], first, mark)
+    _arrive(text[heavy], shingle[heavy], np.ones(int(heavy.sum())), other, unit)
+    return mark, unit
 
 
 def bands(marks: np.ndarray, count: int = BANDS) -> np.ndarray:
@@ -105,23 +117,24 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _keys(found: list[str], count: int) -> list[list[int]]:
-    """The keys of `count` bands of each text, and those of its shingles without weights where some repeat; none for texts without words."""
+    """The keys of `count` bands of each text, and those of its shingles without weights where they differ; none for texts without words."""
     keys: list[list[int]] = [[] for _ in found]
     part: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
     held = 0
 
     def flush() -> None:
-        for (i, _), row in zip(part, bands(signatures([w for _, w in part]), count).tolist(), strict=True) if part else ():
-            keys[i] += row
-        part.clear()
+        if part:
+            marks, unit = signatures([w for _, w in part])
+            other = (marks != unit).any(1)
+            for (i, _), own, plain, differs in zip(part, bands(marks, count).tolist(), bands(unit, count).tolist(), other.tolist(), strict=True):
+                keys[i] = sorted({*own, *plain}) if differs else own
+            part.clear()
 
     for i, text in enumerate(found):
-        s, w = weighted(text)
-        if len(s):
-            part.append((i, (s, w)))
-            if w.max() > 1:
-                part.append((i, (s, np.ones(len(s)))))
-            held += len(s)
+        w = weighted(text)
+        if len(w[0]):
+            part.append((i, w))
+            held += len(w[0])
         if held > 500_000:
             flush()
             held = 0
@@ -161,9 +174,9 @@ def _block(rows: pa.Table) -> pa.Table:
     column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
     x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
     both, mine, yours = (np.zeros((len(x), len(y)), np.float32) for _ in range(3))
-    for c in range(0, int((times > 1).sum()), 4096):
-        here = (column >= c) & (column < c + 4096)
-        ones = np.zeros((len(held), 4096), np.float32)
+    for c in range(0, int((times > 1).sum()), COLUMNS):
+        here = (column >= c) & (column < c + COLUMNS)
+        ones = np.zeros((len(held), COLUMNS), np.float32)
         heavy = ones.copy()
         ones[owner[here], column[here] - c] = 1
         heavy[owner[here], column[here] - c] = weight[here]
@@ -271,16 +284,16 @@ def classes(docs: DataFrame) -> DataFrame:
     # What is left: members of a bucket that are in different classes, among which its lead linked nothing.
     grouped = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = _mixed(grouped)
-    large = mixed.where(F.col("n") > FEW)
+    large = mixed.where(F.col("n") > DIVIDE)
     finer = map_batches(needed.join(large.select("node").distinct(), "node", "left_semi"), _finer, "node long, fine array<bigint>")
-    again = large.join(finer, "node").select("node", "root", F.explode(F.transform("fine", lambda f: F.xxhash64("key", f))).alias("key"))
-    again = _mixed(again)
+    again = _mixed(large.join(finer, "node").select("node", "root", F.explode(F.transform("fine", lambda f: F.xxhash64("key", f))).alias("key")))
+    buckets = mixed.where(F.col("n") <= DIVIDE).unionByName(again)
     tried = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = _across(mixed.where(F.col("n") <= FEW)).unionByName(_across(again.where(F.col("n") <= FEW))).distinct()
+    across = _across(buckets.where(F.col("n") <= FEW)).distinct()
     links = _verified(across.join(tried, ["a", "b"], "left_anti"), needed).where("same").select("a", "b")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = (
-        again.where(F.col("n") > FEW)
+        buckets.where(F.col("n") > FEW)
         .withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
         .select("key", "node", "root", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
         .select("key", "node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))

@@ -22,9 +22,13 @@ def test_similarity_and_estimate():
     a, b = (a[0], 1 + r.random(len(a[0])) * 3), (b[0], 1 + r.random(len(b[0])) * 3)
     exact = p.similarity(a, b)[0]
     assert exact == pytest.approx(slow_similarity(a, b))
-    marks = p.signatures([a, b, a], 4000)
+    marks, _ = p.signatures([a, b, a], 4000)
     assert (marks[0] == marks[2]).all()
     assert (marks[0] == marks[1]).mean() == pytest.approx(exact, abs=0.04)
+    one = lambda x: (x[0], np.ones(len(x[0])))
+    mixed = (a[0], np.where(np.arange(len(a[0])) % 3 > 0, 1.0, a[1]))  # some shingles have weight 1
+    own, unit = p.signatures([mixed, b], 200)
+    assert (unit == p.signatures([one(mixed), one(b)], 200)[0]).all() and (own[1] == p.signatures([b], 200)[0][0]).all() and (own[0] != unit[0]).any()
     assert p.similarity((a[0], np.ones(len(a[0]))), (b[0], np.ones(len(b[0]))))[0] == pytest.approx(p.similarity(a, b)[1])
 
 
@@ -81,7 +85,8 @@ def test_chain_of_copies_in_large_buckets(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in p.classes(df).collect()} == brute(docs)
 
 
-def test_large_mixed_buckets_are_divided_once_more(spark, monkeypatch):
+@pytest.mark.parametrize("divide", [8, 10_000])
+def test_large_mixed_buckets_are_divided_once_more(spark, monkeypatch, divide):
     """Texts of one passage (not links) and of pairs (links), so that buckets hold many classes."""
     r = random.Random(11)
     word = lambda: "".join(r.choices("abcdefghij", k=6))
@@ -91,6 +96,7 @@ def test_large_mixed_buckets_are_divided_once_more(spark, monkeypatch):
         own = [*passage, *(word() for _ in range(25))]
         docs += [" ".join(own), " ".join([*own[:-1], word()])]
     monkeypatch.setattr(p, "FEW", 4)
+    monkeypatch.setattr(p, "DIVIDE", divide)
     monkeypatch.setattr(p, "BLOCK", 16)
     docs = list(enumerate(docs))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
