@@ -25,7 +25,7 @@ def _(spark, d):
     return nation_month(spark, d).withColumn("region", region).where("region IS NOT NULL").groupBy("region").agg(F.count("*").alias("n"), F.avg("v").alias("v"))
 
 
-@query("b5_box_on_axes", "n", "v", "box", views="g", sql="SELECT 'plain' AS box, count(*) AS n, avg(v) AS v FROM g WHERE lat BETWEEN 10 AND 40 AND lon BETWEEN -35 AND -20 UNION ALL SELECT 'turned', count(*), avg(v) FROM g WHERE lat BETWEEN 10 AND 40 AND lon BETWEEN -35 AND -20 UNION ALL SELECT 'across', count(*), avg(v) FROM g WHERE lat BETWEEN 0 AND 60 AND (lon * 9 - 360 * floor(lon * 9 / 360) >= 350 OR lon * 9 - 360 * floor(lon * 9 / 360) <= 20)")
+@query("b5_box_on_axes", "n", "v", "box", views="g", sql="SELECT * FROM (SELECT 'plain' AS box, count(*) AS n, avg(v) AS v FROM g WHERE lat BETWEEN 10 AND 40 AND lon BETWEEN -35 AND -20 UNION ALL SELECT 'turned', count(*), avg(v) FROM g WHERE lat BETWEEN 10 AND 40 AND lon BETWEEN -35 AND -20 UNION ALL SELECT 'across', count(*), avg(v) FROM g WHERE lat BETWEEN 0 AND 60 AND (lon * 9 - 360 * floor(lon * 9 / 360) >= 350 OR lon * 9 - 360 * floor(lon * 9 / 360) <= 20)) WHERE n > 0")
 def _(spark, d):
     """The same box on axes of either direction and either range of longitudes, and one across the seam."""
     g = customer_grid(spark, d)
