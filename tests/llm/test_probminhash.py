@@ -75,7 +75,7 @@ def test_chain_of_copies_in_large_buckets(spark, monkeypatch):
     r = random.Random(7)
     base = [f"w{i}" for i in range(150)]
     docs = []
-    for i in range(90):
+    for i in range(60):
         docs.append((i, " ".join(base)))
         for _ in range(3):
             base[r.randrange(len(base))] = f"x{r.randrange(10**6)}"
@@ -92,7 +92,7 @@ def test_large_mixed_buckets_are_divided_once_more(spark, monkeypatch, divide):
     word = lambda: "".join(r.choices("abcdefghij", k=6))
     passage = [word() for _ in range(60)]
     docs = []
-    for _ in range(40):
+    for _ in range(24):
         own = [*passage, *(word() for _ in range(25))]
         docs += [" ".join(own), " ".join([*own[:-1], word()])]
     monkeypatch.setattr(p, "FEW", 4)
