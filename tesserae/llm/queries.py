@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, bpe, brown, edits, fm_index, langid, pii, probminhash, secrets, toxicity
+from . import alignment, bottomk, bpe, brown, edits, fm_index, langid, pii, probminhash, secrets, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE_ENTRIES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), BYTE_BPE_ENTRIES, PIECES, public_tokenizers.PATTERN)
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -69,5 +74,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN item ON d.doc_id = item.doc_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_probminhash": op7_probminhash, "op8_fm_index": op8_fm_index, "op9_bottomk": op9_bottomk, "op10_langid": op10_langid}
+QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_probminhash": op7_probminhash, "op8_fm_index": op8_fm_index, "op9_bottomk": op9_bottomk, "op10_langid": op10_langid, "op13_alignment": op13_alignment}
 ORACLES: dict[str, str] = {"op8_fm_index": OP8_SQL}
