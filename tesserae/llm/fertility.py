@@ -3,7 +3,7 @@
 Two public vocabularies, one of pieces with byte fallback and one of bytes, measure each text: characters per token of both, the share of byte-fallback
 tokens, and the entropy of the tokens as a share of the greatest that so many could have (1 for one token). Natural text of one language has narrow
 values; symbols, capitals, tables and repeated words have others. As short texts vary more, and entropy falls with length, the bands are those
-of a language and a length class (doublings of the number of tokens): WIDTH times the distance from the median to a quartile beyond that
+of a language and a length class (doublings of the number of words): WIDTH times the distance from the median to a quartile beyond that
 quartile's side, and no closer than SLACK of the median. Texts without a lang are banded by script, that of most of their letters by Unicode block. A class
 with fewer than ENOUGH texts rejects nothing. Medians and quartiles are taken over all texts that pass the base rules.
 
@@ -29,9 +29,9 @@ from .common import fields, map_batches, spread_join, stored, worker_holds
 SYMBOLS = "#*$%&|<>"
 WINDOW, FEWEST, MOST = 3, 50, 50
 MEASURES = ["piece_chars", "byte_chars", "fallback", "entropy"]
-WIDTH, SLACK, ENOUGH = 8.0, 0.03, 200
-#: Shares are near zero for many texts: a band's least distance from the median for those.
-LEAST = 0.05
+WIDTH, SLACK, ENOUGH = 5.0, 0.015, 200
+#: The share of byte fallback is near zero for most texts: its band's least distance from the median.
+LEAST = 0.02
 
 
 def base(text: str) -> tuple[int, int, int, int, int]:
@@ -101,7 +101,7 @@ def measured(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str) -
             text = x.as_py()
             rows.append(base(text))
             n, values = tokens.measure(text)
-            bands.append(f"{lang if lang is not None else script(text)}:{n.bit_length()}" if n else None)
+            bands.append(f"{lang if lang is not None else script(text)}:{rows[-1][0].bit_length()}" if n else None)
             found.append(values or [None] * len(MEASURES))
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + [pa.array(bands, pa.string())] + [pa.array(c, pa.float64()) for c in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *counts, "band", *MEASURES])
@@ -117,7 +117,7 @@ def bands(rows: DataFrame) -> DataFrame:
 
     def edge(c: str, side: int):
         q = F.col(c)
-        away = F.greatest(WIDTH * F.abs(q[1 + side] - q[1]), F.lit(SLACK) * q[1], F.lit(LEAST if c in ("fallback", "entropy") else 0.0))
+        away = F.greatest(WIDTH * F.abs(q[1 + side] - q[1]), F.lit(SLACK) * q[1], F.lit(LEAST if c == "fallback" else 0.0))
         return F.when(F.col("n_learn") >= ENOUGH, q[1] + side * away)
 
     return found.select("band", "n", *[edge(c, s).alias(f"{c}_{name}") for c in MEASURES for s, name in ((-1, "low"), (1, "high"))])
