@@ -313,16 +313,19 @@ def blocks(lat: np.ndarray, lon: np.ndarray, km: float) -> np.ndarray:
     return out
 
 
-def largest_patch(cells: list[tuple[int, int, float]]) -> float:
-    """The largest summed weight of cells (i, j, weight) connected by edges."""
-    left = {(i, j): w for i, j, w in cells}
-    best = 0.0
+def patch_labels(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A label for each cell (i, j), the same for cells connected by edges: the least place of its patch, i * 2^32 + j."""
+    left = set(zip(i.tolist(), j.tolist(), strict=True))
+    label = {}
     while left:
-        todo, total = [next(iter(left))], 0.0
+        todo, patch = [left.pop()], []
         while todo:
-            i, j = todo.pop()
-            if (w := left.pop((i, j), None)) is not None:
-                total += w
-                todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
-        best = max(best, total)
-    return best
+            a, b = here = todo.pop()
+            patch.append(here)
+            for beside in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                if beside in left:
+                    left.remove(beside)
+                    todo.append(beside)
+        a, b = min(patch)
+        label |= dict.fromkeys(patch, (a << 32) + b)
+    return np.array([label[c] for c in zip(i.tolist(), j.tolist(), strict=True)], np.int64)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import kernels
+from tesserae.sources.files import scratch
 
 
 def as_rows(field: DataFrame, by: list[str], v: str = "v") -> DataFrame:
@@ -125,61 +126,53 @@ def spatial_blocks(places: DataFrame, by: list[str], km: float) -> DataFrame:
     return places.select(*by, "cell", "lat", "lon").groupBy(*by).applyInPandas(one, f"{kinds}, block long")
 
 
-def block_permutation(spark: SparkSession, cells: DataFrame, replicates: int, by: list[str] = (), seed: int = 5) -> DataFrame:
-    """by, n_cells, n_blocks, rho (over cells), p: share of shuffles of the blocks' means with as large a correlation, at least 1 / replicates.
+def largest_patches(cells: DataFrame, by: list[str], strip: int = 256) -> DataFrame:
+    """by, area: the largest area of edge-connected cells (lat_idx, lon_idx, area) in each group.
 
-    cells: by, block, x, y. Fewer than ten cells or four blocks give nulls. The blocks' means of one group are one row (a basin has at most some
-    thousands); replicates are dealt to tasks.
+    A task labels the cells of one strip of rows; labels that touch across the edges of strips are joined over rounds.
     """
-    by = list(by)
-    rows = cells.where("x IS NOT NULL AND y IS NOT NULL")
-    means = rows.groupBy(*by, "block").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    whole = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block", "x", "y"))).alias("b"))
+    cells = cells.select(*by, F.col("lat_idx").cast("long").alias("lat_idx"), F.col("lon_idx").cast("long").alias("lon_idx"), F.col("area").cast("double").alias("area"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            null, seen = [], []
-            for r, b in zip(batch.column("id").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.array([e["x"] for e in b], float), np.array([e["y"] for e in b], float)
-                ok = len(b) >= 4 and x.std() > 0 and y.std() > 0
-                null.append(float(np.corrcoef(np.random.default_rng([seed, r]).permutation(x), y)[0, 1]) if ok else None)
-                seen.append(float(np.corrcoef(x, y)[0, 1]) if ok else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(null, pa.float64()), pa.array(seen, pa.float64())], [*by, "null", "seen"])
-
-    kinds = "".join(f"{b} {cells.schema[b].dataType.simpleString()}, " for b in by)
-    dealt = whole.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).repartition(*by, "id") if by else whole.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).repartition("id")
-    p = dealt.mapInArrow(run, f"{kinds}null double, seen double").groupBy(*by).agg(F.greatest(F.avg((F.abs("null") >= F.abs("seen") - 1e-12).cast("double")), F.lit(1 / replicates)).alias("p"))
-    vx, vy = F.var_pop("x"), F.var_pop("y")
-    head = rows.groupBy(*by).agg(F.count("*").alias("n_cells"), F.count_distinct("block").alias("n_blocks"), F.when((vx > 0) & (vy > 0), F.covar_pop("x", "y") / F.sqrt(vx * vy)).alias("rho"))
-    enough = (F.col("n_cells") >= 10) & (F.col("n_blocks") >= 4)
-    both = head.join(p, by, "left") if by else head.join(p, how="left")
-    return both.select(*by, "n_cells", "n_blocks", F.when(enough, F.col("rho")).alias("rho"), F.when(enough, F.col("p")).alias("p"))
-
-
-def largest_patches(cells: DataFrame, by: list[str]) -> DataFrame:
-    """by, area: the largest area of edge-connected cells (lat_idx, lon_idx, area) in each group."""
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(label=kernels.patch_labels(pdf["lat_idx"].to_numpy(), pdf["lon_idx"].to_numpy())).drop(columns="_strip")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = kernels.largest_patch(list(zip(pdf["lat_idx"], pdf["lon_idx"], pdf["area"], strict=True)))
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "area": [area]})
+    kinds = "".join(f"`{b}` {cells.schema[b].dataType.simpleString()}, " for b in by)
+    labelled = kept(cells.withColumn("_strip", F.floor(F.col("lat_idx") / strip)).groupBy(*by, "_strip").applyInPandas(label, f"{kinds}lat_idx long, lon_idx long, area double, label long"))
+    areas = labelled.groupBy(*by, "label").agg(F.sum("area").alias("area"))
+    low = labelled.where(F.pmod("lat_idx", F.lit(strip)) == 0).select(*by, (F.col("lat_idx") - 1).alias("lat_idx"), "lon_idx", F.col("label").alias("a"))
+    high = labelled.where(F.pmod(F.col("lat_idx") + 1, F.lit(strip)) == 0).select(*by, "lat_idx", "lon_idx", F.col("label").alias("b"))
+    touching = low.join(high, [*by, "lat_idx", "lon_idx"]).select(*by, "a", "b").distinct()
+    patches = areas.join(merged_labels(touching, by), [*by, "label"], "left").groupBy(*by, F.coalesce("root", "label").alias("_root")).agg(F.sum("area").alias("area"))
+    return patches.groupBy(*by).agg(F.max("area").alias("area"))
 
-    kinds = ", ".join(f"{b} {cells.schema[b].dataType.simpleString()}" for b in by)
-    return cells.select(*by, "lat_idx", "lon_idx", "area").groupBy(*by).applyInPandas(one, f"{kinds}, area double")
 
+def merged_labels(touching: DataFrame, by: list[str]) -> DataFrame:
+    """by, label, root of labels in pairs (by, a, b): the least label that each is linked with.
 
-def regressions(rows: DataFrame, by: list[str], lag: int = 4) -> DataFrame:
-    """by, slope of y on x beside z, its Newey-West error and two-sided p."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("t")
-        out = [np.nan] * 3
-        if len(pdf) > lag + 4:
-            b, e = kernels.newey_west(pdf[["x", "z"]].to_numpy(float), pdf["y"].to_numpy(float), lag)
-            out = [b[1], e[1], float(kernels.t_two_sided(b[1] / e[1], len(pdf) - 3)) if e[1] > 0 else np.nan]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0] if len(pdf) else None] for k in by}, **{n: [v] for n, v in zip(("slope", "error", "p"), out, strict=True)}})
-
-    kinds = ", ".join(f"{b} {rows.schema[b].dataType.simpleString()}" for b in by)
-    return rows.select(*by, "t", "x", "y", "z").groupBy(*by).applyInPandas(one, f"{kinds}, slope double, error double, p double")
+    In each round every root takes the least root beside it, then chains of roots are followed by doubling; rounds end when no pair has two roots.
+    """
+    edges = kept(touching)
+    roots = edges.select(*by, F.col("a").alias("label")).union(edges.select(*by, F.col("b").alias("label"))).distinct().withColumn("root", F.col("label"))
+    while not edges.isEmpty():
+        both = edges.union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+        up = kept(both.groupBy(*by, "a").agg(F.least("a", F.min("b")).alias("to")))
+        while True:
+            above = up.select(*by, F.col("a").alias("to"), F.col("to").alias("_next"))
+            up = kept(up.join(above, [*by, "to"]).select(*by, "a", F.col("_next").alias("to"), (F.col("_next") < F.col("to")).alias("_went")))
+            if up.where("_went").isEmpty():
+                break
+            up = up.drop("_went")
+        step = up.select(*by, F.col("a").alias("root"), "to")
+        roots = kept(roots.join(step, [*by, "root"], "left").select(*by, "label", F.coalesce("to", "root").alias("root")))
+        ends = lambda c, n: step.withColumnsRenamed({"root": c, "to": n})
+        edges = kept(edges.join(ends("a", "_a"), [*by, "a"]).join(ends("b", "_b"), [*by, "b"]).where("_a <> _b").select(*by, F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    return roots
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: rounds don't repeat each other's work, and survive a lost executor."""
+    scratch(df.sparkSession, "rounds")
+    return df.checkpoint(eager=True)
 
 
 def closures(cells: DataFrame, by: list[str], forms: dict = kernels.CLOSURES) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import safe_corr
+from tesserae.operators.trends import pair_trends
 
 
 def pseudo_draw(replicate: Column, position: Column, n: Column, seed: int = 7) -> Column:
@@ -20,18 +21,10 @@ def pseudo_draw(replicate: Column, position: Column, n: Column, seed: int = 7) -
     return x % n
 
 
-def pairs_below(series: DataFrame, by: list[str], t: str = "t", v: str = "v") -> DataFrame:
-    """dt and dv of each later point against each earlier one: the pairs that trend tests are defined on."""
-    a = series.select(*by, F.col(t).alias("_t1"), F.col(v).alias("_v1"))
-    b = series.select(*by, F.col(t).alias("_t2"), F.col(v).alias("_v2"))
-    joined = a.join(b, by) if by else a.crossJoin(b)
-    return joined.where("_t1 < _t2").select(*by, (F.col("_t2") - F.col("_t1")).alias("dt"), (F.col("_v2") - F.col("_v1")).alias("dv"))
-
-
 def mann_kendall(series: DataFrame, by: list[str]) -> DataFrame:
     """s, its tie-corrected variance, z with continuity correction, and Sen's slope (the median pairwise one)."""
     rows = series.where("v IS NOT NULL")
-    pair = pairs_below(rows, by).groupBy(*by).agg(F.sum(F.signum("dv")).alias("s"), F.percentile(F.col("dv") / F.col("dt"), 0.5).alias("sen"))
+    pair = pair_trends(rows, by).select(*by, F.col("rises").cast("double").alias("s"), "sen")
     ties = rows.groupBy(*by, "v").agg(F.count("*").alias("_g")).groupBy(*by).agg(F.sum("_g").alias("n"), F.sum(F.col("_g") * (F.col("_g") - 1) * (2 * F.col("_g") + 5)).alias("tie"))
     out = pair.join(ties, by)
     out = out.withColumn("var", (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("tie")) / 18.0)
@@ -41,8 +34,8 @@ def mann_kendall(series: DataFrame, by: list[str]) -> DataFrame:
 
 def kendall_tau(series: DataFrame, by: list[str]) -> DataFrame:
     """Kendall's tau-b of v against t."""
-    p = pairs_below(series.where("v IS NOT NULL"), by).groupBy(*by).agg(F.sum(F.signum("dv")).alias("s"), F.count("*").alias("p"), F.count_if(F.col("dv") != 0).alias("u"))
-    return p.select(*by, F.try_divide(F.col("s"), F.sqrt(F.col("p").cast("double") * F.col("u"))).alias("tau"))
+    p = pair_trends(series, by)
+    return p.select(*by, F.try_divide(F.col("rises"), F.sqrt(F.col("every").cast("double") * F.col("differ"))).alias("tau"))
 
 
 def sliding_sen(series: DataFrame, by: list[str], width: int, stride: int, least: int = 3) -> DataFrame:
@@ -51,8 +44,7 @@ def sliding_sen(series: DataFrame, by: list[str], width: int, stride: int, least
     first = F.ceil((F.col("t") - width) / stride).cast("int") * stride
     rows = series.where("v IS NOT NULL").withColumn("start", F.explode(F.sequence(first, last, F.lit(stride))))
     counts = rows.groupBy(*by, "start").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    slopes = pairs_below(rows, [*by, "start"]).groupBy(*by, "start").agg(F.percentile(F.col("dv") / F.col("dt"), 0.5).alias("slope"))
-    return slopes.join(counts, [*by, "start"])
+    return pair_trends(rows, [*by, "start"]).select(*by, "start", F.col("sen").alias("slope")).join(counts, [*by, "start"])
 
 
 def fdr(tests: DataFrame, p: str = "p", by: list[str] = ()) -> DataFrame:
@@ -144,6 +136,29 @@ def block_bootstrap(spark: SparkSession, cells: DataFrame, replicates: int, by:
     return out.select(*by, "n_cells", "n", "rho_cells", "rho", when(low, "low"), when(high, "high"), when(F.col("boot_low"), "boot_low"), when(F.col("boot_high"), "boot_high"))
 
 
+def block_permutation(cells: DataFrame, replicates: int, by: list[str] = (), seed: int = 7) -> DataFrame:
+    """by, n_cells, n_blocks, rho (over cells), p: share of shuffles of the blocks' means of x with as large a correlation, at least 1 / replicates.
+
+    A shuffle is the order of a draw from (replicate, block), so replicates are rows and no basin is one. Fewer than ten cells or four blocks give
+    nulls. cells: by, block, x, y.
+    """
+    by = list(by)
+    key = by or ["_all"]
+    rows = cells.where("x IS NOT NULL AND y IS NOT NULL")
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    means = rows.groupBy(*key, "block").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    means = means.withColumn("i", (F.row_number().over(Window.partitionBy(*key).orderBy("block")) - 1).cast("long"))
+    draws = means.select(*key, "i", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
+    draw = pseudo_draw(F.col("replicate"), F.col("i"), F.lit(2147483647), seed)
+    shuffled = draws.withColumn("place", (F.row_number().over(Window.partitionBy(*key, "replicate").orderBy(draw, "i")) - 1).cast("long"))
+    null = shuffled.select(*key, "replicate", "x", "place").join(means.select(*key, F.col("i").alias("place"), "y"), [*key, "place"]).groupBy(*key, "replicate").agg(safe_corr(F.col("x"), F.col("y")).alias("null"))
+    seen = means.groupBy(*key).agg(F.count("*").alias("n_blocks"), safe_corr(F.col("x"), F.col("y")).alias("seen"))
+    p = null.join(seen, key).groupBy(*key).agg(F.when(F.count("null") > 0, F.greatest(F.avg((F.abs("null") >= F.abs("seen") - 1e-12).cast("double")), F.lit(1 / replicates))).alias("p"))
+    head = rows.groupBy(*key).agg(F.count("*").alias("n_cells"), safe_corr(F.col("x"), F.col("y")).alias("rho"))
+    enough = (F.col("n_cells") >= 10) & (F.col("n_blocks") >= 4)
+    return head.join(seen, key).join(p, key, "left").select(*by, "n_cells", "n_blocks", F.when(enough, F.col("rho")).alias("rho"), F.when(enough, F.col("p")).alias("p"))
+
+
 def block_p(spark: SparkSession, rows: DataFrame, by: list[str], predictor: DataFrame, replicates: int, block: int) -> DataFrame:
     """by, n, slope of y on x, and p: the share of circular block resamples of the predictor with a slope as large, one added to both counts.
 

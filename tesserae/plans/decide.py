@@ -59,7 +59,7 @@ TAU, Q_SUPPORT, Q_FALSIFY, NEAR, FAR, P_SUPPORT, P_FALSIFY, CHI2 = 144.0, 0.20,
 
 def cross_prediction(spark: SparkSession, cells: DataFrame, by: list[str], replicates: int = 1000) -> DataFrame:
     """by, q, p, tau, chi2 and a verdict for each basin. cells: by, block, x (coherence), y (energy or gradient)."""
-    p = spectral.block_permutation(spark, cells, replicates, by)
+    p = stats.block_permutation(cells, replicates, by)
     form = {"registered": kernels.FAMILIES["registered"]}
     fits = spectral.closures(cells.select(*by, F.col("y").alias("d"), F.col("x").alias("r")), by, form).select(*by, F.col("params")[0].alias("tau"), "chi2")
     out = p.join(fits, by, "left").withColumn("q", -F.col("rho"))

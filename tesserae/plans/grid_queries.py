@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tesserae.functions import kernels, scalar
-from tesserae.operators import grid, series, spectral
+from tesserae.operators import grid, radius, series, spectral
 from tesserae.queries import query
 from tesserae.sources.fields import customer_grid, nation_month, table, whole_months
 
@@ -78,10 +78,6 @@ def phases(spark, d):
     return out.where((F.col("t") - F.col("first") >= TRIM) & (F.col("last") - F.col("t") >= TRIM)).drop("first", "last")
 
 
-def near(spark, d, km=KM):
-    return grid.neighbours(nation_month(spark, d).select("cell", "lat", "lon").distinct(), km)
-
-
 @query("b1_wrap_lon", "cell", "east west", views="g", sql="SELECT cell, (lon * 9 + 180) - 360 * floor((lon * 9 + 180) / 360) - 180 AS west, (lon * 9 - 200) - 360 * floor((lon * 9 - 200) / 360) AS east FROM g")
 def _(spark, d):
     return customer_grid(spark, d).select("cell", scalar.rotated_lon(F.col("lon") * 9, 200.0).alias("east"), scalar.wrap_lon(F.col("lon") * 9).alias("west"))
@@ -181,7 +177,7 @@ def _(spark, d):
 
 @query("d16_quiescence_index", "n", "q", views="f", ctes=LOCAL + ", " + GRAD + ", mr AS (SELECT cell, avg(r) AS r FROM lr GROUP BY cell), j AS (SELECT r, sqrt(gx * gx + gy * gy) AS grad FROM mr JOIN gd USING (cell) WHERE r IS NOT NULL)", sql="SELECT count(*) AS n, -corr(r, grad) AS q FROM j")
 def _(spark, d):
-    r = grid.local_coherence(phases(spark, d), near(spark, d)).groupBy("cell").agg(F.avg("r").alias("r"))
+    r = radius.local_coherence(phases(spark, d), mean_field(spark, d), KM).groupBy("cell").agg(F.avg("r").alias("r"))
     return grid.quiescence(r, grid.gradient(mean_field(spark, d)).select("cell", "grad"))
 
 
@@ -204,7 +200,7 @@ def _(spark, d):
 
 @query("j1_local_coherence", "cell t", "r", views="f", ctes=LOCAL, sql="SELECT cell, t, r FROM lr", places=4)
 def _(spark, d):
-    return grid.local_coherence(phases(spark, d), near(spark, d))
+    return radius.local_coherence(phases(spark, d), mean_field(spark, d), KM)
 
 
 @query("j2_square_coherence", "t lat_idx lon_idx n", "r", views="f", ctes=PHASES + ", k AS (SELECT unnest(range(-1, 2)) AS k), sq AS (SELECT t, (lat_idx + a.k + 5) % 5 AS lat_idx, (lon_idx + b.k + 5) % 5 AS lon_idx, phase FROM ph, k a, k b)", sql="SELECT t, lat_idx, lon_idx, count(phase) AS n, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r FROM sq GROUP BY ALL", places=4)
@@ -221,7 +217,7 @@ om AS (SELECT cell, avg(g) * 12 / (2 * pi()) AS v FROM fg GROUP BY cell)"""
 @query("j3_frequency_dispersion", "cell n", "spread", views="f", ctes=PHASES + ", " + FREQ, sql="SELECT nb.cell, count(v) AS n, stddev_pop(v) AS spread FROM nb JOIN om ON nb.nbr = om.cell GROUP BY nb.cell HAVING count(v) >= 4")
 def _(spark, d):
     omega = series.frequency(phases(spark, d), ["cell"], 12).withColumnRenamed("omega", "v")
-    return grid.local_dispersion(omega, near(spark, d))
+    return radius.local_dispersion(omega, mean_field(spark, d), KM)
 
 
 WIND = PHASES + """, e1 AS (SELECT *, CASE WHEN lead(lon_idx) OVER w = lon_idx + 1 THEN lead(phase) OVER w END AS se FROM ph WINDOW w AS (PARTITION BY t, lat_idx ORDER BY lon_idx)),
@@ -236,7 +232,7 @@ def _(spark, d):
 
 @query("j5_defect_density", "cell", "density", views="f", ctes=WIND + ", pd AS (SELECT nb.cell, t, count(*) AS n, avg(CASE WHEN abs(winding) >= 0.5 THEN 1.0 ELSE 0.0 END) AS dd FROM nb JOIN wd ON nb.nbr = wd.cell WHERE winding IS NOT NULL GROUP BY ALL HAVING count(*) >= 4)", sql="SELECT cell, avg(dd) AS density FROM pd GROUP BY cell")
 def _(spark, d):
-    return grid.defect_density(grid.winding(phases(spark, d)), near(spark, d))
+    return radius.defect_density(grid.winding(phases(spark, d)), mean_field(spark, d), KM)
 
 
 @query("j7_network_degree", "cell degree", views="f", ctes="r AS (SELECT a.cell, b.cell AS other, corr(a.v, b.v) AS r FROM f a JOIN f b ON a.t = b.t AND a.cell <> b.cell GROUP BY ALL HAVING count(*) >= 3 AND var_pop(a.v) > 0 AND var_pop(b.v) > 0)", sql="SELECT c.cell, count(*) FILTER (abs(r) > 0.2) AS degree FROM (SELECT DISTINCT cell FROM f) c LEFT JOIN r ON c.cell = r.cell GROUP BY c.cell")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import registered, scalar
 from tesserae.operators import grid, series, stats
 from tesserae.plans.grid_queries import mean_field
+from tesserae.plans.regression_queries import t_p_sql
 from tesserae.queries import query
 from tesserae.sources.fields import customer_grid, nation_month, segment_month, ship_month, table
 
@@ -134,8 +135,9 @@ def _(spark, d):
     return ship_month(spark, d).selectExpr("t", "erf(z) AS e", "bessel_ratio(20 * z) AS b")
 
 
-@query("h9_correlation_p", "t", "p")
+@query("h9_correlation_p", "t", "p", views="p", ctes="ra AS (SELECT t, asin(z * 5) AS angle, 58 AS dof FROM p)", sql=f"SELECT t, {t_p_sql('angle', 'dof')} AS p FROM ra")
 def _(spark, d):
+    """The tangent of a correlation's angle is t over the root of the degrees of freedom."""
     registered.register(spark)
     return ship_month(spark, d).selectExpr("t", "pearson_p(z * 5, 60) AS p")
 

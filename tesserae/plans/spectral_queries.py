@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tesserae.functions import kernels
-from tesserae.functions.scalar import cell_area_km2
-from tesserae.operators import grid, series, spectral, stats
+from tesserae.functions.scalar import EARTH_KM, cell_area_km2
+from tesserae.operators import grid, radius, series, spectral, stats
 from tesserae.plans import decide
-from tesserae.plans.grid_queries import GRAD, LOCAL, LONGEST, PHASES, PLACE, SHORTEST, mean_field, near, phases
+from tesserae.plans.grid_queries import AB, GRAD, KM, LOCAL, LONGEST, MEAN, PHASES, PLACE, SHORTEST, mean_field, phases
 from tesserae.plans.stats_queries import DRAW
 from tesserae.queries import query
 from tesserae.sources.fields import events_hour, nation_month, segment_month, ship_month, whole_months
@@ -62,14 +64,24 @@ def _(spark, d):
 
 
 def coherence_by_year(spark, d):
-    return grid.local_coherence(phases(spark, d), near(spark, d)).withColumn("year", F.floor(F.col("t") / 12) + 1995)
+    return radius.local_coherence(phases(spark, d), mean_field(spark, d), KM).withColumn("year", F.floor(F.col("t") / 12) + 1995)
+
+
+AREA = f"{16 * (EARTH_KM * math.pi / 180) ** 2:.17g}"
 
 
 def areas(spark, d):
     return mean_field(spark, d).select(*PLACE, cell_area_km2(F.col("lat"), 4.0, 4.0).alias("area"))
 
 
-@query("j6_largest_patch", "year", "area")
+@query(
+    "j6_largest_patch", "year", "area", views="f",
+    ctes=LOCAL + f""", hi AS (SELECT lr.cell, CAST(floor(t / 12) AS BIGINT) + 1995 AS year, avg(r) AS r FROM lr GROUP BY ALL HAVING avg(r) > 0.5), pc AS (SELECT DISTINCT cell, lat_idx, lon_idx, lat FROM f), hp AS (SELECT hi.cell, year, lat_idx, lon_idx, cos(radians(lat)) * {AREA} AS area FROM hi JOIN pc ON hi.cell = pc.cell),
+eg AS (SELECT a.year, a.cell, b.cell AS other FROM hp a JOIN hp b ON a.year = b.year AND abs(a.lat_idx - b.lat_idx) + abs(a.lon_idx - b.lon_idx) = 1),
+rc AS (SELECT year, cell, cell AS other FROM hp UNION SELECT rc.year, rc.cell, eg.other FROM rc JOIN eg ON rc.year = eg.year AND rc.other = eg.cell),
+ar AS (SELECT rc.year, rc.cell, sum(area) AS area FROM rc JOIN hp ON rc.year = hp.year AND rc.other = hp.cell GROUP BY ALL)""",
+    sql="SELECT year, max(area) AS area FROM ar GROUP BY year", places=3,
+)
 def _(spark, d):
     high = coherence_by_year(spark, d).groupBy("cell", "year").agg(F.avg("r").alias("r")).where("r > 0.5")
     return spectral.largest_patches(high.join(areas(spark, d), "cell"), ["year"])
@@ -77,13 +89,25 @@ def _(spark, d):
 
 def blocked(spark, d):
     """basin, cell, block, x (mean local coherence), y (gradient)."""
-    r = grid.local_coherence(phases(spark, d), near(spark, d)).groupBy("cell").agg(F.avg("r").alias("x"))
+    r = radius.local_coherence(phases(spark, d), mean_field(spark, d), KM).groupBy("cell").agg(F.avg("r").alias("x"))
     g = basins(grid.gradient(mean_field(spark, d)))
     b = spectral.spatial_blocks(g, ["basin"], 900.0)
     return g.select("basin", "cell", F.col("grad").alias("y")).join(r, "cell", "left").join(b, ["basin", "cell"])
 
 
-@query("k3_spatial_blocks", "cell block", "", "basin")
+#: The scan of greedy blocks: places in order, each a seed if no seed before it is within the radius, else with the nearest of those before it.
+BLOCKS = f"""pl AS (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY cell) AS i FROM (SELECT cell, lat, lon, CASE WHEN lat <= 18 THEN 'south' ELSE 'north' END AS basin FROM m)),
+er AS (SELECT a.basin, a.i, b.i AS j, {AB} AS km FROM pl a JOIN pl b ON a.basin = b.basin AND b.i < a.i WHERE {AB} <= 450),
+nr AS (SELECT pl.basin, pl.i, list(er.j) FILTER (er.j IS NOT NULL) AS near FROM pl LEFT JOIN er ON pl.basin = er.basin AND pl.i = er.i GROUP BY ALL),
+sd AS (SELECT DISTINCT basin, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS seeds FROM pl
+ UNION ALL SELECT sd.basin, nr.i, CASE WHEN len(list_intersect(seeds, coalesce(near, []))) = 0 THEN list_append(seeds, nr.i) ELSE seeds END FROM sd JOIN nr ON sd.basin = nr.basin AND nr.i = sd.i + 1),
+la AS (SELECT basin, seeds FROM sd WHERE i = (SELECT max(i) FROM pl WHERE pl.basin = sd.basin)),
+op AS (SELECT er.basin, er.i, list_position(seeds, er.j) - 1 AS block, km FROM er JOIN la ON er.basin = la.basin WHERE list_contains(seeds, er.j) AND NOT list_contains(seeds, er.i)
+ UNION ALL SELECT pl.basin, pl.i, list_position(seeds, pl.i) - 1, 0 FROM pl JOIN la ON pl.basin = la.basin WHERE list_contains(seeds, pl.i)),
+bk AS (SELECT basin, cell, block FROM (SELECT op.*, cell, row_number() OVER (PARTITION BY op.basin, op.i ORDER BY km, block) AS place FROM op JOIN pl ON op.basin = pl.basin AND op.i = pl.i) WHERE place = 1)"""
+
+
+@query("k3_spatial_blocks", "cell block", "", "basin", views="f", ctes=MEAN + ", " + BLOCKS, sql="SELECT basin, cell, block FROM bk")
 def _(spark, d):
     return spectral.spatial_blocks(basins(mean_field(spark, d)), ["basin"], 900.0)
 
@@ -93,43 +117,41 @@ def _(spark, d):
     return spectral.gaussian_fields(spark, mean_field(spark, d).select("cell", "lat", "lon"), 4, 600.0)
 
 
-@query("l1_block_permutation", "n_cells n_blocks", "rho p", "basin")
+MEAN_R = LOCAL + ", " + GRAD + ", mr AS (SELECT cell, avg(r) AS r FROM lr GROUP BY cell)"
+@query(
+    "l1_block_permutation", "n_cells n_blocks", "rho p", "basin", views="f",
+    ctes=MEAN_R + ", " + BLOCKS + f""", cb AS (SELECT bk.basin, block, r AS x, sqrt(gx * gx + gy * gy) AS y FROM bk JOIN gd ON bk.cell = gd.cell JOIN mr ON bk.cell = mr.cell WHERE r IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL),
+bm AS (SELECT basin, block, avg(x) AS x, avg(y) AS y FROM cb GROUP BY ALL), bi AS (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY block) - 1 AS i FROM bm),
+rp AS (SELECT basin, r, x, row_number() OVER (PARTITION BY basin, r ORDER BY {DRAW.format(r='r', k='i', n='2147483647')}, i) - 1 AS place FROM bi, (SELECT unnest(range(0, 200)) AS r)),
+nu AS (SELECT rp.basin, r, CASE WHEN var_pop(rp.x) > 0 AND var_pop(bi.y) > 0 THEN corr(rp.x, bi.y) END AS c FROM rp JOIN bi ON rp.basin = bi.basin AND rp.place = bi.i GROUP BY ALL),
+hd AS (SELECT basin, count(*) AS n_cells, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS rho FROM cb GROUP BY basin), se AS (SELECT basin, count(*) AS n_blocks, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS seen FROM bm GROUP BY basin),
+pv AS (SELECT nu.basin, greatest(avg(CASE WHEN abs(c) >= abs(seen) - 1e-12 THEN 1.0 WHEN c IS NOT NULL THEN 0.0 END), 1 / 200.0) AS p FROM nu JOIN se ON nu.basin = se.basin GROUP BY nu.basin)""",
+    sql="SELECT hd.basin, n_cells, n_blocks, CASE WHEN n_cells >= 10 AND n_blocks >= 4 THEN rho END AS rho, CASE WHEN n_cells >= 10 AND n_blocks >= 4 THEN p END AS p FROM hd JOIN se ON hd.basin = se.basin LEFT JOIN pv ON hd.basin = pv.basin", places=4,
+)
 def _(spark, d):
-    return spectral.block_permutation(spark, blocked(spark, d), 200, ["basin"])
+    return stats.block_permutation(blocked(spark, d), 200, ["basin"])
 
 
-MEAN_R = LOCAL + ", " + GRAD + ", mr AS (SELECT cell, avg(r) AS r FROM lr GROUP BY cell)"
-CELLS = MEAN_R + ", ce AS (SELECT CAST(floor(lat / 8) * 100 + floor(lon / 8) AS BIGINT) AS block, r AS x, sqrt(gx * gx + gy * gy) AS y FROM mr JOIN gd USING (cell) WHERE r IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL)"
+CELLS = MEAN_R + ", ce AS (SELECT CASE WHEN lat <= 18 THEN 'south' ELSE 'north' END AS basin, CAST(floor(lat / 8) * 100 + floor(lon / 8) AS BIGINT) AS block, r AS x, sqrt(gx * gx + gy * gy) AS y FROM mr JOIN gd USING (cell) WHERE r IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL)"
 Z = "greatest(-0.999999, least(0.999999, {}))"
 
 
 @query(
-    "l2_block_interval", "n_cells n", "rho_cells rho low high boot_low boot_high", views="f", places=4,
-    ctes=CELLS + f""", bm AS (SELECT block, avg(x) AS x, avg(y) AS y FROM ce GROUP BY block), bi AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM bm),
-hd AS (SELECT count(*) AS n_cells, corr(x, y) AS rho_cells FROM ce), wh AS (SELECT count(*) AS n, corr(x, y) AS rho FROM bm),
-rp AS (SELECT r, {DRAW.format(r='r', k='k', n='n')} AS i FROM (SELECT max(n) AS n FROM bi), (SELECT unnest(range(0, 200)) AS r), (SELECT unnest(range(0, 100)) AS k) WHERE k < n),
-rc AS (SELECT r, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS c FROM rp JOIN bi ON rp.i = bi.i GROUP BY r),
-bo AS (SELECT tanh(quantile_cont(atanh({Z.format('c')}), 0.025)) AS boot_low, tanh(quantile_cont(atanh({Z.format('c')}), 0.975)) AS boot_high FROM rc WHERE c IS NOT NULL)""",
-    sql=f"SELECT n_cells, n, rho_cells, rho, tanh(atanh({Z.format('rho')}) - 1.959963984540054 / sqrt(n - 3)) AS low, tanh(atanh({Z.format('rho')}) + 1.959963984540054 / sqrt(n - 3)) AS high, boot_low, boot_high FROM hd, wh, bo WHERE n > 3",
+    "l2_block_interval", "n_cells n", "rho_cells rho low high boot_low boot_high", "basin", views="f", places=4,
+    ctes=CELLS + f""", bm AS (SELECT basin, block, avg(x) AS x, avg(y) AS y FROM ce GROUP BY ALL), bi AS (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY basin) AS n FROM bm),
+hd AS (SELECT basin, count(*) AS n_cells, corr(x, y) AS rho_cells FROM ce GROUP BY basin), wh AS (SELECT basin, count(*) AS n, corr(x, y) AS rho FROM bm GROUP BY basin),
+rp AS (SELECT basin, r, {DRAW.format(r='r', k='k', n='n')} AS i FROM (SELECT basin, max(n) AS n FROM bi GROUP BY basin), (SELECT unnest(range(0, 200)) AS r), (SELECT unnest(range(0, 100)) AS k) WHERE k < n),
+rc AS (SELECT rp.basin, r, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS c FROM rp JOIN bi ON rp.basin = bi.basin AND rp.i = bi.i GROUP BY ALL),
+bo AS (SELECT basin, tanh(quantile_cont(atanh({Z.format('c')}), 0.025)) AS boot_low, tanh(quantile_cont(atanh({Z.format('c')}), 0.975)) AS boot_high FROM rc WHERE c IS NOT NULL GROUP BY basin)""",
+    sql=f"""SELECT hd.basin, n_cells, n, rho_cells, rho, CASE WHEN n_cells >= 10 THEN tanh(atanh({Z.format('rho')}) - 1.959963984540054 / sqrt(n - 3)) END AS low, CASE WHEN n_cells >= 10 THEN tanh(atanh({Z.format('rho')}) + 1.959963984540054 / sqrt(n - 3)) END AS high,
+  CASE WHEN n_cells >= 10 THEN boot_low END AS boot_low, CASE WHEN n_cells >= 10 THEN boot_high END AS boot_high FROM hd JOIN wh ON hd.basin = wh.basin JOIN bo ON hd.basin = bo.basin WHERE n > 3""",
 )
 def _(spark, d):
-    """Blocks of eight degrees."""
-    r = grid.local_coherence(phases(spark, d), near(spark, d)).groupBy("cell").agg(F.avg("r").alias("x"))
+    """Blocks of eight degrees in each basin."""
+    r = radius.local_coherence(phases(spark, d), mean_field(spark, d), KM).groupBy("cell").agg(F.avg("r").alias("x"))
     block = (F.floor(F.col("lat") / 8) * 100 + F.floor(F.col("lon") / 8)).alias("block")
-    g = grid.gradient(mean_field(spark, d)).select("cell", block, F.col("grad").alias("y"))
-    return stats.block_bootstrap(spark, r.join(g, "cell"), 200).where("n > 3")
-
-
-@query("m3_newey_west", "", "slope error p", "model")
-def _(spark, d):
-    s = segment_month(spark, d).join(ship_month(spark, d).select("t", "x", "z"), "t").select("model", "t", F.col("v").alias("y"), "x", "z")
-    return spectral.regressions(s, ["model"])
-
-
-@query("m6_regression_map", "cell", "slope error p")
-def _(spark, d):
-    s = nation_month(spark, d).select("cell", (F.col("t") - 5).alias("t"), F.col("v").alias("y")).join(ship_month(spark, d).select("t", "x", "z"), "t")
-    return spectral.regressions(s, ["cell"])
+    g = basins(grid.gradient(mean_field(spark, d))).select("basin", "cell", block, F.col("grad").alias("y"))
+    return stats.block_bootstrap(spark, r.join(g, "cell"), 200, ["basin"]).where("n > 3")
 
 
 @query(

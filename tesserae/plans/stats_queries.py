@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalar
-from tesserae.operators import series, stats
+from tesserae.operators import series, stats, trends
 from tesserae.queries import query
 from tesserae.sources.fields import nation_month, segment_month, ship_month
 
@@ -113,7 +113,7 @@ def _(spark, d):
 
 @query("l9_sen_slope", "", "sen", "model", views="s", ctes=PAIRS, sql="SELECT model, quantile_cont(dv / dt, 0.5) AS sen FROM pr GROUP BY model")
 def _(spark, d):
-    return stats.pairs_below(segment_month(spark, d), ["model"]).groupBy("model").agg(F.percentile(F.col("dv") / F.col("dt"), 0.5).alias("sen"))
+    return trends.pair_trends(segment_month(spark, d), ["model"]).select("model", "sen")
 
 
 @query("l10_kendall_tau", "", "tau", "model", views="s", ctes=PAIRS, sql="SELECT model, sum(sign(dv)) / sqrt(count(*) * CAST(count(*) FILTER (dv <> 0) AS DOUBLE)) AS tau FROM pr GROUP BY model")
@@ -228,12 +228,12 @@ def _(spark, d):
 
 @query("n6_stationarity_audit", "passed failed", "", "failing", views="s", ctes=PAIRS + ", t AS (SELECT model, abs(sum(sign(dv))) / count(*) AS tau FROM pr GROUP BY model)", sql="SELECT count(*) FILTER (tau < 0.1) AS passed, count(*) FILTER (tau >= 0.1) AS failed, coalesce(string_agg(CASE WHEN tau >= 0.1 THEN model END, ',' ORDER BY model), '') AS failing FROM t")
 def _(spark, d):
-    t = stats.pairs_below(segment_month(spark, d), ["model"]).groupBy("model").agg((F.abs(F.sum(F.signum("dv"))) / F.count("*")).alias("tau"))
+    t = trends.pair_trends(segment_month(spark, d), ["model"]).select("model", (F.abs("rises") / F.col("every")).alias("tau"))
     return t.agg(F.count_if(F.col("tau") < 0.1).alias("passed"), F.count_if(F.col("tau") >= 0.1).alias("failed"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("tau") >= 0.1, F.col("model")))), ",").alias("failing"))
 
 
 @query("c9_admitted_models", "t", "v", "model", views="s", ctes=PAIRS + ", t AS (SELECT model FROM pr GROUP BY model HAVING abs(sum(sign(dv))) / count(*) < 0.1)", sql="SELECT model, t, v FROM s WHERE model IN (SELECT model FROM t)")
 def _(spark, d):
     s = segment_month(spark, d)
-    steady = stats.pairs_below(s, ["model"]).groupBy("model").agg((F.abs(F.sum(F.signum("dv"))) / F.count("*")).alias("tau")).where("tau < 0.1")
+    steady = trends.pair_trends(s, ["model"]).select("model", (F.abs("rises") / F.col("every")).alias("tau")).where("tau < 0.1")
     return s.join(steady, "model", "left_semi")

@@ -45,4 +45,4 @@ def query(name: str, longs: str = "", doubles: str = "", texts: str = "", views:
     return register
 
 
-from tesserae.plans import grid_queries, more_queries, series_queries, source_queries, spectral_queries, stats_queries  # noqa: E402, F401  (they register)
+from tesserae.plans import archive_queries, grid_queries, more_queries, regression_queries, series_queries, source_queries, spectral_queries, stats_queries  # noqa: E402, F401  (they register)

@@ -9,7 +9,7 @@ from tesserae.queries import ORACLES, QUERIES
 
 DIR, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Queries on phases need cells with every month, which the smallest tables don't have.
-WHOLE = ("d10_", "d11_", "d12_", "d16_", "i2_", "i6_", "i7_", "i10_", "j1_", "j2_", "j3_", "j4_", "j5_", "j6_", "l1_", "l2_", "m7_", "n2_", "n5_")
+WHOLE = ("d10_", "d11_", "d12_", "d16_", "i2_", "i6_", "i7_", "i10_", "j1_", "j2_", "j3_", "j4_", "j5_", "j6_", "l1_", "l2_", "m7_", "n2_", "n5_", "m4_four")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 

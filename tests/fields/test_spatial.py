@@ -49,7 +49,7 @@ def blocked(rows, places, km):
 @pytest.mark.parametrize(("km", "trials", "replicates", "low", "high"), [(200.0, 60, 300, 0.005, 0.13), (600.0, 30, 200, 0.15, 1.0)])
 def test_permutation_is_calibrated_unless_blocks_are_too_small(spark, km, trials, replicates, low, high):
     rows, places = fields(spark, km, 4.0, trials)
-    p = [r.p for r in spectral.block_permutation(spark, blocked(rows, places, 500.0), replicates, ["trial"]).collect()]
+    p = [r.p for r in stats.block_permutation(blocked(rows, places, 500.0), replicates, ["trial"]).collect()]
     assert len(p) == trials and low <= np.mean(np.array(p) <= 0.05) <= high
 
 
@@ -63,13 +63,13 @@ def test_interval_covers(spark):
 def test_strong_and_missing(spark):
     rows, places = fields(spark, 200.0, 4.0, 1)
     strong = blocked(rows.withColumn("y", F.col("x") + 0.1 * F.col("y")), places, 500.0)
-    r = spectral.block_permutation(spark, strong, 500).first()
+    r = stats.block_permutation(strong, 500).first()
     assert r.rho > 0.9 and r.p <= 1 / 500 and r.n_blocks >= 5
     s = stats.block_bootstrap(spark, strong, 100).first()
     assert s.low > 0 and s.boot_low > 0
     gap = strong.withColumn("x", F.when(F.col("cell") >= 60, F.col("x")))
-    assert spectral.block_permutation(spark, gap, 20).first().n_cells == strong.count() - 60
-    few = spectral.block_permutation(spark, strong.where("cell < 3"), 20).first()
+    assert stats.block_permutation(gap, 20).first().n_cells == strong.count() - 60
+    few = stats.block_permutation(strong.where("cell < 3"), 20).first()
     assert (few.rho, few.p) == (None, None)
 
 
