@@ -93,7 +93,7 @@ def base(text: str) -> Spans:
     return out
 
 
-_SHAPE = ((re.compile("[0-9]+"), "9"), (re.compile("[A-Z]+"), "A"), (re.compile(r"[^\W\d_]*[a-z\x80-￿][^\W\d_]*"), "a"))
+_SHAPE = ((re.compile("[0-9]+"), "9"), (re.compile("[A-Z]+"), "A"), (re.compile(r"[^\W\d_]*[a-z\x80-\U0010ffff][^\W\d_]*"), "a"))  # letters that the middle doesn't take are single by then, so no run is read twice
 
 
 def shape(token: str) -> str:

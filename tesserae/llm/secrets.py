@@ -33,15 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .brown import counted
-from .common import drawn, map_batches, spread_join, stored, texts
+from .common import drawn, map_batches, slices, spread_join, stored, texts
 
 SHORTEST, SAMPLE, TREES, DEPTH, SEED = 16, 50_000, 40, 8, 7
 #: Occurrences from which on a word is in the dictionary; lengths of its words; buckets of hashed neighbours and paths.
 KNOWN, LENGTHS, BUCKETS = 20, range(4, 17), 32
+#: Characters of a token whose pieces are made at a time.
+PART = 20_000
 #: Values with which key strings of well-known services begin, and how they go on.
 _KEYS = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)"
 FORMATS = re.compile(rf"\A{_KEYS}\Z")
@@ -117,40 +119,46 @@ def features(token: str, before: str, after: str, path: str, transitions: np.nda
     return [float(len(token)), float(transitions[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0, entropy, share(str.isdigit), share(str.isupper), share(str.islower), changes, len(counts) / len(token), *hashed(before.lower()), *hashed(after.lower()), *hashed(path)]
 
 
-def pieces(token: str) -> list[tuple[int, str]]:
-    """(begin, lower-cased text) of each run of 4 to 16 letters that a dictionary word could cover."""
+def pieces(token: str, start: int = 0, stop: int | None = None) -> list[tuple[int, str]]:
+    """(begin, lower-cased text) of each run of 4 to 16 letters that a dictionary word could cover, of those that begin from start to before stop."""
     low = token.lower() if len(token.lower()) == len(token) else token
-    return [(i, low[i : i + n]) for m in LETTERS.finditer(low) for n in LENGTHS for i in range(m.start(), m.end() - n + 1)]
+    stop = len(low) if stop is None else stop
+    return [(i, low[i : i + n]) for m in LETTERS.finditer(low) for n in LENGTHS for i in range(max(start, m.start()), min(stop, m.end() - n + 1))]
 
 
-def coverage(size: int, spans: list[tuple[int, int]]) -> float:
-    """The share of a token's characters within spans (begin, length)."""
-    inside, end = 0, 0
-    for b, n in sorted(spans):
-        inside += max(0, b + n - max(b, end))
-        end = max(end, b + n)
-    return inside / size
+def coverage(spans: DataFrame, key: str) -> DataFrame:
+    """key and inside, the number of characters within its spans (key, begin, size), overlapping ones once: each adds what lies behind the farthest end before it."""
+    before = Window.partitionBy(key).orderBy("begin", "size").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("begin") + F.col("size")
+    more = F.greatest(F.lit(0), end - F.greatest(F.col("begin"), F.coalesce(F.max(end).over(before), F.lit(0))))
+    return spans.withColumn("_more", more).groupBy(key).agg(F.sum("_more").alias("inside"))
 
 
 def _covered(found: DataFrame, counts: DataFrame) -> DataFrame:
     """digest, n (rows of found), covered of each different token: pieces of tokens are joined with the dictionary, neither is gathered anywhere."""
     tokens = found.groupBy("digest").agg(F.count("*").alias("n"), F.first("token").alias("token"))
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = [(d, b, p) for d, t in zip(batch.column("digest").to_pylist(), batch.column("token").to_pylist(), strict=True) for b, p in pieces(t)]
-        if rows:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string()), strict=True)], ["digest", "begin", "word"])
-
-    def share(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [[(s["begin"], s["size"]) for s in x or ()] for x in batch.column("spans").to_pylist()]
-        covered = [coverage(size, x) for size, x in zip(batch.column("size").to_pylist(), spans, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(covered, pa.float64())], ["digest", "n", "covered"])
-
-    parts = stored(map_batches(tokens.select("digest", "token"), cut, "digest binary, begin long, word string"), "pieces")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of PART characters of a token at a time."""
+        for batch in slices(batches, 100):
+            rows = []
+            for d, t in zip(batch.column("digest").to_pylist(), batch.column("token").to_pylist(), strict=True):
+                for begin in range(0, len(t), PART):
+                    rows += [(d, b, p) for b, p in pieces(t, begin, begin + PART)]
+                    if len(rows) >= PART:
+                        yield as_batch(rows)
+                        rows = []
+            if rows:
+                yield as_batch(rows)
+
+    def as_batch(rows: list[tuple[bytes, int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string()), strict=True)], ["digest", "begin", "word"])
+
+    parts = stored(tokens.select("digest", "token").mapInArrow(cut, "digest binary, begin long, word string"), "pieces")
     known = counts.where(F.col("n") >= KNOWN).select("word").join(parts.groupBy("word").agg(F.count("*").alias("times")), "word")
-    spans = spread_join(parts, known, "word", "times").groupBy("digest").agg(F.collect_list(F.struct("begin", F.length("word").alias("size"))).alias("spans"))
-    whole = tokens.select("digest", "n", F.length("token").alias("size")).join(spans, "digest", "left")
-    return map_batches(whole, share, "digest binary, n long, covered double")
+    spans = spread_join(parts, known, "word", "times").select("digest", "begin", F.length("word").alias("size"))
+    inside = coverage(spans, "digest")
+    return tokens.join(inside, "digest", "left").select("digest", "n", (F.coalesce("inside", F.lit(0)) / F.length("token")).alias("covered"))
 
 
 def find(docs: DataFrame, path_col: str = "source") -> DataFrame:

@@ -19,6 +19,7 @@ LONG = {
     "documents": [
         (1, "xé" * 60_000, "en", "s", 1), (2, " ".join(f"w{i % 3000}" for i in range(60_000)) + " " + PASSAGE, "en", "s", 1), (3, "0" * 5_000 + ".1.1.1 and " + "9" * 100_000, "de", "s", 1),
         (4, "a1@b.cd " * 20_000, "de", "t", 1), (5, "a!" * 100_000, "de", "t", 1), (6, "漢字" * 40_000, "de", "t", 1), (7, "one text of this id", "en", "t", 1), (7, "and another one of it", "en", "t", 1),
+        (8, "0" + "𠀀" * 1_000_000, "de", "t", 1), (9, "key1" + "Zqthe" * 200_000 + " end", "en", "t", 1),
     ],
     "labels": [(1, 1, 0), (2, 1, 1), (4, 0, 1), (6, 0, 0)],
     "benchmark": [(1, PASSAGE), (2, "z" * 100_000)],
@@ -42,13 +43,17 @@ def test_edges(spark, tables, name):
     kind, d = tables
     rows = (QUERIES | {"pipeline": corpus_pipeline.run})[name](spark, d).collect()
     if kind != "long":
-        want = {"op4_secrets": 0, "pipeline": 2}.get(name, 7) if kind == "nulls" else 0
+        want = {"op4_secrets": 0, "op11_variants": 0, "pipeline": 2}.get(name, 7) if kind == "nulls" else 0
         assert len(rows) == want
     elif name == "pipeline":
-        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7} and len(rows) == 7
-    elif name != "op4_secrets":
+        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, 8, 9} and len(rows) == 9
+    elif name == "op11_variants":
+        assert {r.word: r.n for r in rows} == {}
+    elif name == "op4_secrets":
+        assert 9 in {r.doc_id for r in rows}
+    else:
         by = {r.doc_id: r for r in rows}
-        assert len(rows) == 8 and len(by) == 7
+        assert len(rows) == 10 and len(by) == 9
         if name == "op2_pii":
             assert by[3].n_ip == 1 and by[4].n_email == 20_000
         if name == "op8_fm_index":

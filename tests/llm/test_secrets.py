@@ -41,13 +41,15 @@ def test_long_texts_take_linear_time():
     assert time.process_time() - began < 30
 
 
-def test_features_and_coverage_by_hand():
+def test_features_and_coverage_by_hand(spark):
     t = np.log(np.full((128, 128), 1 / 128))
     x = s.features("ab12Ab", "Pre", "post", "src", t)
     assert x[:8] == pytest.approx([6, math.log(1 / 128), -(2 * math.log2(1 / 6) * 1 / 6 * 1 + 2 / 6 * math.log2(2 / 6) + 2 * math.log2(1 / 6) * 1 / 6), 2 / 6, 1 / 6, 3 / 6, 3 / 5, 5 / 6])
     assert len(x) == 8 + 3 * s.BUCKETS and sum(x[8:]) == 3
     assert s.pieces("xyTown9ab") == [(0, "xyto"), (1, "ytow"), (2, "town"), (0, "xytow"), (1, "ytown"), (0, "xytown")]
-    assert s.coverage(10, [(5, 4), (0, 4), (2, 4)]) == 0.9 and s.coverage(4, []) == 0
+    assert sorted(p for b in range(0, 9, 2) for p in s.pieces("xyTown9ab", b, b + 2)) == sorted(s.pieces("xyTown9ab"))
+    spans = spark.createDataFrame([("a", 5, 4), ("a", 0, 4), ("a", 2, 4), ("b", 3, 5), ("b", 4, 2), ("b", 3, 5)], "key string, begin long, size int")
+    assert sorted(map(tuple, s.coverage(spans, "key").collect())) == [("a", 9), ("b", 5)]
 
 
 def test_forest_generalises_and_drops_false_positives(spark):
