@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LIGHT, cut, map_batches, spread_join, stored, texts
@@ -258,11 +258,17 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return old.unionByName(new.join(roots, F.col("node") == new["root"], "left_anti").select(F.col("root").alias("node"), F.col("now").alias("root")))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size: one row per row of docs."""
-    docs = texts(docs)
-    known = docs.where(F.col("doc_id").isNotNull())
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _digest(text: Column) -> Column:
+    """The half digest that tells texts apart, as _sketch makes it."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _found(known: DataFrame, ids_join: bool) -> tuple[DataFrame, DataFrame]:
+    """(sketches, named) of docs (doc_id, text) with ids: doc_id, copy, bands of each row; and copy, doc (its least id), rows, root of each different text with words.
+
+    ids_join: texts of one id are of one class whatever they say.
+    """
+    kind = known.schema["doc_id"].dataType.simpleString()
     sketches = stored(map_batches(known, _sketch, f"doc_id {kind}, copy binary, bands array<bigint>"), "sketches")
     worded = sketches.where(F.size("bands") > 0)
     # One node for each different text.
@@ -275,8 +281,7 @@ def classes(docs: DataFrame) -> DataFrame:
     leads = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("lead"), F.count("*").alias("n")).select("key", "n", F.col("lead.node").alias("lead"))
     # The texts that stand in any bucket with another: only those are read again, one row each.
     wanted = copies.join(met, "node", "left_semi").select("node", F.col("doc").alias("doc_id"), "copy")
-    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    needed = stored(known.withColumn("copy", digest).join(wanted, ["doc_id", "copy"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    needed = stored(known.withColumn("copy", _digest(F.col("text"))).join(wanted, ["doc_id", "copy"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     to_lead = spread_join(members.drop("n"), leads, "key", "n").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     done = _verified(to_lead, needed)
@@ -300,15 +305,29 @@ def classes(docs: DataFrame) -> DataFrame:
         .join(needed, "node")
     )
     links = links.unionByName(blocks.groupBy("key", "i", "j").applyInArrow(_block, "a long, b long"))
-    # Ids that stand with several texts.
+    if ids_join:
+        links = links.unionByName(_of_one_id(worded, copies))
+    links = cut(links)
+    if not links.isEmpty():
+        roots = _joined(roots, links)
+    return sketches, stored(copies.select("copy", "doc", "rows", "node").join(roots, "node", "left").select("copy", "doc", "rows", F.coalesce("root", "node").alias("root")), "named")
+
+
+def _of_one_id(worded: DataFrame, copies: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of texts that stand with one id."""
     ids = worded.groupBy("doc_id").agg(F.min("copy").alias("low"), F.max("copy").alias("high"), F.count("*").alias("n")).where("low < high").select("doc_id", "low", "n")
     node = copies.select("copy", "node")
     twice = spread_join(worded.select("doc_id", "copy"), ids, "doc_id", "n").select("low", "copy").distinct()
     twice = twice.join(node.withColumnRenamed("node", "b"), "copy").join(node.select(F.col("copy").alias("low"), F.col("node").alias("a")), "low").select("a", "b").where("a <> b")
-    links = cut(links.unionByName(twice))
-    if not links.isEmpty():
-        roots = _joined(roots, links)
-    named = stored(copies.select("copy", "doc", "rows", "node").join(roots, "node", "left").select("copy", "doc", "rows", F.coalesce("root", "node").alias("root")), "named")
+    return twice
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size: one row per row of docs. Rows of one id are of one class."""
+    docs = texts(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketches, named = _found(docs.where(F.col("doc_id").isNotNull()), True)
+    worded = sketches.where(F.size("bands") > 0)
     whole = named.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("n"))
     named = spread_join(named.select("copy", "rows", "root"), whole, "root", "n").select("copy", "rows", "class_id", "class_size")
     out = spread_join(worded.select("doc_id", "copy"), named, "copy", "rows").select("doc_id", "class_id", "class_size")
@@ -318,9 +337,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest id of each class; of rows that share that id the greatest by its columns in order, so the choice can be repeated. Rows with a null id all stay."""
-    kept = classes(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = stored(kept, "kept")
-    one = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("most")).select("most.*")
+    """Of each class of near copies the row with the smallest id, of several texts of that id in the class the first by digest.
+
+    Members are rows, so different texts that share an id are judged each on its own. Of rows of one id and one text the greatest by its columns in order stays, so
+    the choice can be repeated. Texts without words, and rows with a null id, all stay.
+    """
+    sketches, named = _found(texts(docs).where(F.col("doc_id").isNotNull()), False)
+    firsts = named.groupBy("root").agg(F.min(F.struct("doc", "copy")).alias("first")).select(F.col("first.doc").alias("doc_id"), F.col("first.copy").alias("copy"))
+    counts = sketches.where(F.size("bands") > 0).join(firsts, ["doc_id", "copy"], "left_semi").groupBy("doc_id", "copy").agg(F.count("*").alias("n"))
+    wordless = sketches.where(F.size("bands") == 0).select("doc_id", "copy").distinct().withColumn("n", F.lit(1).cast("long"))
+    kept = stored(counts.unionByName(wordless).withColumnsRenamed({"doc_id": "_id", "copy": "_copy"}), "kept")
+    rows = docs.withColumns({"_id": F.col("doc_id"), "_copy": _digest(F.coalesce("text", F.lit("")))})
+    one = rows.join(kept.where("n = 1").select("_id", "_copy"), ["_id", "_copy"], "left_semi").select(docs.columns)
+    again = rows.join(kept.where("n > 1").select("_id", "_copy"), ["_id", "_copy"], "left_semi").groupBy("_id", "_copy").agg(F.max(F.struct(*docs.columns)).alias("most")).select("most.*")
     return one.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

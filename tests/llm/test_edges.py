@@ -46,7 +46,7 @@ def test_edges(spark, tables, name):
         want = {"op4_secrets": 0, "op11_variants": 0, "pipeline": 2}.get(name, 7) if kind == "nulls" else 0
         assert len(rows) == want
     elif name == "pipeline":
-        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, 8, 9} and len(rows) == 9
+        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, 8, 9} and len(rows) == 10
     elif name == "op11_variants":
         assert {r.word: r.n for r in rows} == {}
     elif name == "op4_secrets":
