@@ -29,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near copies stays, one row an id; texts without words are no copies. Rows with words that share an id are of one class;
-    of rows that share the id that stays, the greatest by its columns in order stays. Rows without an id all stay."""
+    """The document of the smallest id of each class of near copies stays; texts without words are no copies. Different texts that share an id are members of their own. Of rows of one id
+    and one text the greatest by its columns in order stays. Rows without an id all stay."""
     return probminhash.keep_one(docs.select(COLUMNS))
 
 
