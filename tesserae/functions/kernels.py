@@ -9,6 +9,8 @@ import math
 
 import numpy as np
 
+from tesserae.functions import nearest
+
 
 def erf(x: np.ndarray) -> np.ndarray:
     """The error function: its power series within 3, the continued fraction of its complement beyond."""
@@ -145,27 +147,19 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
 
 
-def transfer_entropy(source: np.ndarray, target: np.ndarray, k: int = 4, block: int = 512, seed: int = 0) -> float:
+def transfer_entropy(source: np.ndarray, target: np.ndarray, k: int = 4, seed: int = 0) -> float:
     """Nats that the source's present tells of the target's next value beyond the target's present: k nearest neighbours in the largest norm.
 
-    Series are standardised and jittered by 1e-10; constant ones give NaN. Distances are taken in blocks of rows.
+    Series are standardised and jittered by 1e-10; constant ones give NaN. Neighbours are looked up in cells, balls counted by ranks.
     """
     rng = np.random.default_rng(seed)
     if not (np.std(source) > 0 and np.std(target) > 0) or len(source) < k + 3:
         return math.nan
     s, y = ((v - v.mean()) / v.std() + 1e-10 * rng.standard_normal(len(v)) for v in (source, target))
     a, b, c = y[1:], y[:-1], s[:-1]
-    terms = []
-    for i in range(0, len(a), block):
-        rows = slice(i, i + block)
-        da, db, dc = (np.abs(v[rows, None] - v[None]) for v in (a, b, c))
-        joint = np.maximum(np.maximum(da, db), dc)
-        me = np.arange(len(joint))
-        joint[me, i + me] = np.inf
-        e = np.partition(joint, k - 1, 1)[:, k - 1 : k]
-        count = lambda d, e=e: np.maximum((d < e).sum(1) - 1, 0)  # noqa: E731  itself excluded
-        terms.append(digamma(np.full(len(joint), float(k))) + digamma(count(db) + 1) - digamma(count(np.maximum(da, db)) + 1) - digamma(count(np.maximum(db, dc)) + 1))
-    return float(np.mean(np.concatenate(terms)))
+    e = nearest.kth_distance(np.stack([a, b, c], 1), k)
+    own, with_next, with_source = nearest.ball_counts(b, None, e), nearest.ball_counts(b, a, e), nearest.ball_counts(b, c, e)
+    return float(np.mean(digamma(np.full(len(a), float(k))) + digamma(own + 1.0) - digamma(with_next + 1.0) - digamma(with_source + 1.0)))
 
 
 def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -285,32 +279,44 @@ def scored(forms: dict, d: np.ndarray, r: np.ndarray) -> list[tuple[str, int, li
     return sorted(out, key=lambda x: (x[5], x[0]))
 
 
-def gaussian_field(lat: np.ndarray, lon: np.ndarray, km: float, rng: np.random.Generator) -> np.ndarray:
-    """A standardised Gaussian random field at places whose covariance falls off as exp(-d^2 / (2 km^2)) with the great-circle distance d. A few thousand places."""
-    a, o = np.radians(lat), np.radians(lon)
-    h = np.sin((a[:, None] - a[None]) / 2) ** 2 + np.cos(a[:, None]) * np.cos(a[None]) * np.sin((o[:, None] - o[None]) / 2) ** 2
-    d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
-    root = np.linalg.cholesky(np.exp(-0.5 * (d / km) ** 2) + 1e-6 * np.eye(len(d)))
-    x = root @ rng.standard_normal(len(d))
-    return (x - x.mean()) / x.std()
+def _away(lat: np.ndarray, lon: np.ndarray, i: int, at: list[int]) -> np.ndarray:
+    """Great-circle distances (km) of place i from others; lat, lon in radians."""
+    h = np.sin((lat[at] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[at]) * np.sin((lon[at] - lon[i]) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+
+
+def decided(lat: np.ndarray, lon: np.ndarray, state: np.ndarray, own: np.ndarray, km: float) -> np.ndarray:
+    """One scan over places in order, some with a state: 1 seed, 0 none, -1 not known. A place within km of an earlier seed is none, of an earlier unknown place unknown, else a seed if it is
+    an own one, whose neighbours are all here."""
+    a, o, out = np.radians(lat), np.radians(lon), state.copy()
+    seeds, unknown = [], []
+    for i in range(len(out)):
+        if out[i] < 0:
+            if seeds and _away(a, o, i, seeds).min() <= km:
+                out[i] = 0
+            elif own[i] and not (unknown and _away(a, o, i, unknown).min() <= km):
+                out[i] = 1
+        if out[i]:
+            (seeds if out[i] > 0 else unknown).append(i)
+    return out
+
+
+def nearest_seed(lat: np.ndarray, lon: np.ndarray, block: np.ndarray, km: float) -> np.ndarray:
+    """The number of the nearest earlier seed of each place without a number (-1) among places in order; of equally near ones the first."""
+    a, o, out, seeds = np.radians(lat), np.radians(lon), block.copy(), []
+    for i in range(len(out)):
+        if block[i] >= 0:
+            seeds.append(i)
+        elif seeds:
+            d = _away(a, o, i, seeds)
+            out[i] = block[seeds[int(d.argmin())]] if d.min() <= km else -1
+    return out
 
 
 def blocks(lat: np.ndarray, lon: np.ndarray, km: float) -> np.ndarray:
     """Greedy blocks in the order given: each place joins the nearest seed within km / 2, or becomes one."""
-    seeds: list[int] = []
-    out = np.zeros(len(lat), int)
-    a, o = np.radians(lat), np.radians(lon)
-    for i in range(len(lat)):
-        if seeds:
-            s = np.array(seeds)
-            h = np.sin((a[s] - a[i]) / 2) ** 2 + np.cos(a[i]) * np.cos(a[s]) * np.sin((o[s] - o[i]) / 2) ** 2
-            d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
-            if d.min() <= km / 2:
-                out[i] = int(d.argmin())
-                continue
-        out[i] = len(seeds)
-        seeds.append(i)
-    return out
+    state = decided(lat, lon, np.full(len(lat), -1), np.full(len(lat), True), km / 2)
+    return nearest_seed(lat, lon, np.where(state == 1, state.cumsum() - 1, -1), km / 2)
 
 
 def patch_labels(i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -255,12 +255,3 @@ def quiescence(coherence: DataFrame, gradients: DataFrame, by: list[str] = (), l
     """q = -corr(mean local coherence, gradient) over cells. coherence: cell, r (and by); gradients: cell, grad (and by)."""
     both = coherence.join(gradients, ["cell", *by])
     return both.groupBy(*by).agg(F.count(F.when(F.col("r").isNotNull() & F.col("grad").isNotNull(), 1)).alias("n"), (-safe_corr(F.col("r"), F.col("grad"))).alias("q")).where(F.col("n") >= least)
-
-
-def spectral_field(spark, rows: int, columns: int, waves: int) -> DataFrame:
-    """A smooth field by rule: waves of number k with amplitude k^-1.5, direction and phase that depend on k alone."""
-    i, j, k = (spark.range(*r).withColumnRenamed("id", n) for n, r in (("lat_idx", (0, rows)), ("lon_idx", (0, columns)), ("k", (1, waves + 1))))
-    all_of = i.crossJoin(j).crossJoin(F.broadcast(k))  # the cells, each with the few waves
-    k, turn = F.col("k"), (F.col("k") * 7 + 3) % 11
-    wave = F.pow(k.cast("double"), F.lit(-1.5)) * F.cos(2 * math.pi * (k * F.col("lat_idx") / float(rows) + turn * F.col("lon_idx") / float(columns)) + k * k)
-    return all_of.groupBy("lat_idx", "lon_idx").agg(F.sum(wave).alias("v"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import kernels
+from tesserae.functions.scalar import EARTH_KM
+from tesserae.operators.radius import KM_PER_DEGREE
 from tesserae.sources.files import scratch
 
 
@@ -115,15 +118,47 @@ def transfer(pairs: DataFrame, by: list[str], k: int = 4) -> DataFrame:
     return pairs.select(*by, "t", "source", "target").groupBy(*by).applyInPandas(one, f"{kinds}, forward double, backward double")
 
 
-def spatial_blocks(places: DataFrame, by: list[str], km: float) -> DataFrame:
-    """by, cell, block: greedy blocks in order of cell; a group is one basin's coarse grid."""
+UNDECIDED, MEMBER, SEED = -1, 0, 1
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell")
-        return pdf[[*by, "cell"]].assign(block=kernels.blocks(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), km))
 
-    kinds = ", ".join(f"{b} {places.schema[b].dataType.simpleString()}" for b in [*by, "cell"])
-    return places.select(*by, "cell", "lat", "lon").groupBy(*by).applyInPandas(one, f"{kinds}, block long")
+def spatial_blocks(places: DataFrame, by: list[str], km: float, strip_km: float = 5_000.0) -> DataFrame:
+    """by, cell, block: greedy blocks in order of cell, as one scan makes them: a place within km / 2 of a seed before it joins the nearest of those, others become seeds.
+
+    A task scans one strip of latitude, with the places of the adjacent strips within the distance. A place beside an earlier seed is none; beside
+    an earlier place that is undecided it waits for the next round; else it is a seed. Each round decides the first place that is left, at least, and mostly a whole strip.
+    """
+    radius = km / 2
+    height = max(strip_km, km) / KM_PER_DEGREE
+    edge = radius / KM_PER_DEGREE * 1.0001
+    own = F.floor((F.col("lat") + 90) / height).cast("int")
+    inside = F.col("lat") + 90 - own * height
+    sent_to = F.array_compact(F.array(own, F.when(inside <= edge, own - 1), F.when(height - inside <= edge, own + 1)))
+    kinds = "".join(f"`{b}` {places.schema[b].dataType.simpleString()}, " for b in by) + f"cell {places.schema['cell'].dataType.simpleString()}, lat double, lon double, "
+
+    def in_strips(df: DataFrame, scan: Callable[[pd.DataFrame], pd.DataFrame], last: str) -> DataFrame:
+        dealt = df.withColumn("_strip", F.explode(sent_to)).withColumn("_own", F.col("_strip") == own)
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = scan(pdf.sort_values("cell", ignore_index=True))
+            return out[out["_own"]].drop(columns=["_strip", "_own"])
+
+        return kept(dealt.groupBy(*by, "_strip").applyInPandas(one, f"{kinds}{last}"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(state=kernels.decided(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), pdf["state"].to_numpy(), pdf["_own"].to_numpy(), radius))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(block=kernels.nearest_seed(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), pdf["block"].to_numpy(), radius))
+
+    state = places.select(*by, "cell", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.lit(UNDECIDED).alias("state"))
+    while True:
+        state = in_strips(state, decide, "state int")
+        if state.where(F.col("state") == UNDECIDED).isEmpty():
+            break
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("cell")) - 1  # of seeds, some thousands
+    numbered = state.where(F.col("state") == SEED).select(*by, "cell", "lat", "lon", number.cast("long").alias("block"))
+    others = state.where(F.col("state") == MEMBER).select(*by, "cell", "lat", "lon", F.lit(-1).cast("long").alias("block"))
+    return in_strips(numbered.unionByName(others), join, "block long").select(*by, "cell", "block")
 
 
 def largest_patches(cells: DataFrame, by: list[str], strip: int = 256) -> DataFrame:
@@ -191,16 +226,26 @@ def closures(cells: DataFrame, by: list[str], forms: dict = kernels.CLOSURES) ->
     return cells.select(*by, "d", "r").groupBy(*by).applyInPandas(one, f"{kinds}, family string, k int, params array<double>, ss double, chi2 double, aic double, bic double, best boolean")
 
 
-def gaussian_fields(spark: SparkSession, places: DataFrame, numbers: int, km: float, seed: int = 1) -> DataFrame:
-    """number, cell, v: Gaussian random fields of one length scale at places (cell, lat, lon; a basin's grid), a task a field."""
-    whole = places.agg(F.array_sort(F.collect_list(F.struct("cell", "lat", "lon"))).alias("c"))  # the grid, one row
-    rows = spark.range(numbers).withColumnRenamed("id", "number").repartition("number").crossJoin(F.broadcast(whole))
+#: Waves of a random field.
+WAVES = 400
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, cells in zip(batch.column("number").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                lat, lon = (np.array([c[k] for c in cells], float) for k in ("lat", "lon"))
-                v = kernels.gaussian_field(lat, lon, km, np.random.default_rng([seed, number]))
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(v), pa.int64()), pa.array([c["cell"] for c in cells], pa.int64()), pa.array(v)], ["number", "cell", "v"])
 
-    return rows.mapInArrow(run, "number long, cell long, v double")
+def gaussian_fields(spark: SparkSession, places: DataFrame, numbers: int, km: float, seed: int = 1, waves: int = WAVES) -> DataFrame:
+    """number, cell, v: standardised random fields of covariance exp(-d^2 / (2 km^2)), d the chord between two places (cell, lat, lon).
+
+    A field is a sum of plane waves in space with normal wave vectors of spread 1 / km and random phases, all drawn from a digest of (seed, number, wave): close to
+    Gaussian for many waves, the same in every engine, and a sum of its own at each place, so that no task needs two places.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("number"), F.col("wave")).cast("binary"))
+    u = [(F.conv(F.substring(digest, 6 * i + 1, 6), 16, 10).cast("double") + 0.5) / 2.0**24 for i in range(5)]
+    normal = lambda a, b, f: F.sqrt(-2 * F.log(a)) * f(2 * math.pi * b) / km
+    drawn = spark.range(numbers).withColumnRenamed("id", "number").withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
+    wave = F.struct(normal(u[0], u[1], F.cos).alias("x"), normal(u[0], u[1], F.sin).alias("y"), normal(u[2], u[3], F.cos).alias("z"), (2 * math.pi * u[4]).alias("p"))
+    sets = drawn.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("wave", wave.alias("k")))).alias("_w"))  # a row a field, its size a parameter
+    lat, lon = F.radians("lat"), F.radians("lon")
+    at = places.select("cell", (EARTH_KM * F.cos(lat) * F.cos(lon)).alias("_x"), (EARTH_KM * F.cos(lat) * F.sin(lon)).alias("_y"), (EARTH_KM * F.sin(lat)).alias("_z"))
+    phase = lambda w: w["k"]["x"] * F.col("_x") + w["k"]["y"] * F.col("_y") + w["k"]["z"] * F.col("_z") + w["k"]["p"]
+    v = F.aggregate("_w", F.lit(0.0), lambda s, w: s + F.cos(phase(w)))
+    rows = at.crossJoin(F.broadcast(sets)).select("number", "cell", v.alias("v"))  # the stated fields at every place
+    spread = rows.groupBy("number").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    return rows.join(F.broadcast(spread), "number").select("number", "cell", F.when(F.col("_s") > 0, (F.col("v") - F.col("_m")) / F.col("_s")).alias("v"))

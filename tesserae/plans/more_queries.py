@@ -142,11 +142,6 @@ def _(spark, d):
     return ship_month(spark, d).selectExpr("t", "pearson_p(z * 5, 60) AS p")
 
 
-@query("k8_random_field", "lat_idx lon_idx", "v", sql="SELECT i AS lat_idx, j AS lon_idx, sum(k ** -1.5 * cos(2 * pi() * (k * i / 24.0 + ((k * 7 + 3) % 11) * j / 36.0) + k * k)) AS v FROM (SELECT unnest(range(0, 24)) AS i), (SELECT unnest(range(0, 36)) AS j), (SELECT unnest(range(1, 9)) AS k) GROUP BY ALL")
-def _(spark, d):
-    return grid.spectral_field(spark, 24, 36, 8)
-
-
 @query("m8_exit_fraction", "n outside", "level", views="p", ctes="k AS (SELECT a.t, avg(exp(-0.5 * (pow((a.x - b.x) / (0.3 * sx), 2) + pow((a.y - b.y) / (0.3 * sy), 2)))) AS d FROM p a, p b, (SELECT stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM p) GROUP BY a.t)", sql="SELECT count(*) AS n, count(*) FILTER (d < q) AS outside, q AS level FROM k, (SELECT quantile_cont(d, 0.1) AS q FROM k) GROUP BY q")
 def _(spark, d):
     return stats.exit_fraction(ship_month(spark, d), 0.3, 0.1)

@@ -180,10 +180,12 @@ def _(spark, d):
     return first.unionByName(second)
 
 
-@query("c14_parameter_grid", "k", "u tau", sql="SELECT k, u / 10.0 AS u, 1 / sqrt(1 + k * u / 10.0) AS tau FROM (SELECT unnest(range(1, 6)) AS k), (SELECT unnest(range(1, 9)) AS u)")
+@query("c14_parameter_grid", "k", "u tau", ctes="ks AS (SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS k FROM orders), us AS (SELECT DISTINCT l_discount AS u FROM lineitem WHERE l_discount > 0)", sql="SELECT k, u, 1 / sqrt(1 + k * u) AS tau FROM ks, us")
 def _(spark, d):
-    k, u = spark.range(1, 6).withColumnRenamed("id", "k"), spark.range(1, 9).select((F.col("id") / 10.0).alias("u"))
-    return k.crossJoin(u).select("k", "u", scalar.closure_simple(F.col("u"), F.col("k")).alias("tau"))  # a grid of stated parameters
+    """Every pair of two parameters, each as many as a table has different ones."""
+    k = table(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).cast("long").alias("k")).distinct()
+    u = table(spark, d, "lineitem").select(F.col("l_discount").alias("u")).where("u > 0").distinct()
+    return k.crossJoin(u).select("k", "u", scalar.closure_simple(F.col("u"), F.col("k")).alias("tau"))  # the grid is what is asked for
 
 
 @query("h3_calendar", "t n", "year_part", "ym", views="p", sql="SELECT t, printf('%04d-%02d', year, month) AS ym, year + (month - 0.5) / 12 AS year_part, day(last_day(make_date(year, month, 1))) AS n FROM p")

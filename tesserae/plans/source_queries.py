@@ -67,15 +67,16 @@ def _(spark, d):
     return files.catalogue_pick(ca, ["model"], F.when(F.col("grid") == "ECONOMY", 0).otherwise(1))
 
 
-@query("a11_core_table", "n", "age v year", views="p", sql="SELECT count(*) AS n, avg(t / 100.0) AS age, avg(x) AS v, avg(1950 - 10 * t) AS year FROM p")
+@query("a11_core_table", "year n", "age v", views="p", sql="SELECT year, count(*) AS n, avg(t / 100.0) AS age, avg(x) AS v FROM p GROUP BY year")
 def _(spark, d):
-    """Cores written as archive files, comment and header first, then read."""
+    """A core a year, each written as an archive file, comment and header first; then all are read."""
     path = files.scratch(spark, "core")
-    rows = ship_month(spark, d).select(F.lit(1).alias("k"), F.concat_ws("\t", (F.col("t") * 2).cast("string"), (F.col("t") / 100.0).cast("string"), F.col("x").cast("string")).alias("value"))
-    head = spark.createDataFrame([(0, "/* DATA DESCRIPTION:\nAuthor(s):\tsomeone\tin 1999\n*/\nDepth sed [m]\tAge [ka BP]\tSS avg [um]")], "k int, value string")
-    text = head.unionByName(rows).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), "\n").alias("value"))  # one core
-    text.write.text(path)
-    return files.core_table(spark, path).agg(F.count("*").alias("n"), F.avg("age_ka").alias("age"), F.avg("v").alias("v"), F.avg("year").alias("year"))
+    line = F.concat_ws("\t", F.concat("year", F.lit("."), "month"), (F.col("t") / 100.0).cast("string"), F.col("x").cast("string"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("t", line.alias("line")))), lambda x: x["line"])
+    head = "/* DATA DESCRIPTION:\nAuthor(s):\tsomeone\tin 1999\n*/\nDepth sed [m]\tAge [ka BP]\tSS avg [um]\n"
+    cores = ship_month(spark, d).groupBy("year").agg(lines.alias("lines")).select(F.concat(F.lit(head), F.array_join("lines", "\n")).alias("value"), F.col("year").alias("core"))
+    cores.write.partitionBy("core").text(path)
+    return files.core_table(spark, path).groupBy(F.floor("depth").alias("year")).agg(F.count("*").alias("n"), F.avg("age_ka").alias("age"), F.avg("v").alias("v"))
 
 
 @query("a12_yearly_table", "year month", "v", views="p", sql="SELECT year, month, CASE WHEN y > 0 THEN y END AS v FROM p WHERE year IN (SELECT year FROM p GROUP BY year HAVING count(*) = 12)")
@@ -122,9 +123,11 @@ z1 AS (SELECT *, CASE WHEN south THEN 12 * n * n - 1 - pix ELSE pix END AS q FRO
 z3 AS (SELECT *, q - 2 * i * (i - 1) AS j, pix - 2 * n * (n - 1) AS k FROM z2)"""
 
 
-@query("a16_equal_area_pixels", "pix", "lat lon", ctes=RING, sql="SELECT pix, degrees(asin(CASE WHEN north THEN 1 - i * i / (3.0 * n * n) WHEN south THEN i * i / (3.0 * n * n) - 1 ELSE (2.0 * n - (k // (4 * n) + n)) * 2 / (3.0 * n) END)) AS lat, CASE WHEN north THEN 90.0 / i * (j + 0.5) WHEN south THEN 360 - 90.0 / i * (j + 0.5) ELSE 90.0 / n * (k % (4 * n) + CASE WHEN (k // (4 * n)) % 2 = 0 THEN 0.5 ELSE 0.0 END) END AS lon FROM z3")
+@query("a16_equal_area_pixels", "pix n", "lat lon v", ctes=RING + ", cu AS (SELECT c_custkey % 768 AS pix, count(*) AS n, avg(c_acctbal) AS v FROM customer GROUP BY 1)", sql="SELECT pix, cu.n, v, degrees(asin(CASE WHEN north THEN 1 - i * i / (3.0 * z3.n * z3.n) WHEN south THEN i * i / (3.0 * z3.n * z3.n) - 1 ELSE (2.0 * z3.n - (k // (4 * z3.n) + z3.n)) * 2 / (3.0 * z3.n) END)) AS lat, CASE WHEN north THEN 90.0 / i * (j + 0.5) WHEN south THEN 360 - 90.0 / i * (j + 0.5) ELSE 90.0 / z3.n * (k % (4 * z3.n) + CASE WHEN (k // (4 * z3.n)) % 2 = 0 THEN 0.5 ELSE 0.0 END) END AS lon FROM z3 JOIN cu USING (pix)")
 def _(spark, d):
-    return files.pixel_lookup(spark, 8)
+    """Values by pixel, as models on the equal-area sphere give them, get their pixels' places."""
+    values = table(spark, d, "customer").groupBy((F.col("c_custkey") % 768).alias("pix")).agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("v"))
+    return values.join(files.pixel_lookup(spark, 8), "pix")
 
 
 @query("a17_large_files", "n", "v", sql="SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders", places=2)
@@ -132,9 +135,9 @@ def _(spark, d):
     """Files with rows beside one without: the small one is taken for corrupt."""
     path = files.scratch(spark, "sized")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    o.coalesce(1).write.parquet(path)
+    o.write.parquet(path)
     o.limit(0).write.mode("append").parquet(path)
-    rows = files.large_enough(spark.read.parquet(path).select("*", "_metadata"), 2_000)
+    rows = files.large_enough(spark.read.parquet(path).select("*", "_metadata"), 1_500)
     return rows.agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
 
 
@@ -195,10 +198,15 @@ def _(spark, d):
     return files.read_bundle(spark, path, ["model"], ["ts", "values"])
 
 
+def parts(rows, size: int = 1_000_000) -> int:
+    """Files of about `size` rows, three at least, for a stream to take up one by one."""
+    return max(3, -(-rows.count() // size))
+
+
 def event_files(spark, d) -> str:
-    """The events in files by time, for a stream to take up one by one."""
-    path = files.scratch(spark, "events")
-    table(spark, d, "events").repartitionByRange(3, "ts").write.parquet(path)
+    """The events in files by time."""
+    path, events = files.scratch(spark, "events"), table(spark, d, "events")
+    events.repartitionByRange(parts(events), "ts").write.parquet(path)
     return path
 
 
@@ -207,7 +215,7 @@ def _(spark, d):
     """Targets arrive as files; each batch's results are written by its number, so that a repeated batch replaces them."""
     path, out = files.scratch(spark, "targets"), files.scratch(spark, "results")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("target"), F.col("o_orderstatus").alias("status"))
-    o.repartition(3, "target").write.parquet(path)
+    o.repartition(parts(o), "target").write.parquet(path)
     stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
     work = lambda batch, n: batch.groupBy("status").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={n}")
     monitors.poll(stream, work, files.scratch(spark, "poll")).awaitTermination()

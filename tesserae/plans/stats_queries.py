@@ -50,10 +50,20 @@ def _(spark, d):
     return segment_month(spark, d).groupBy("model").agg(F.count_if(F.col("v") > 40).alias("n"), F.avg((F.col("v") > 40).cast("double")).alias("share"))
 
 
-@query("d24_empirical_cdf", "cell", "v cdf", views="f", ctes="m AS (SELECT cell, CASE WHEN cell % 4 > 0 THEN avg(v) END AS v FROM f GROUP BY cell)", sql="SELECT cell, v, row_number() OVER (ORDER BY v) / 25 AS cdf FROM m WHERE v IS NOT NULL")
+#: Every month of the calendar of every nation, without a value where there were no orders.
+CALENDAR = "mo AS (SELECT unnest(range((SELECT min(t) FROM f), (SELECT max(t) + 1 FROM f))) AS t), ce AS (SELECT DISTINCT cell FROM f), ca AS (SELECT ce.cell, mo.t, f.v FROM ce CROSS JOIN mo LEFT JOIN f ON f.cell = ce.cell AND f.t = mo.t)"
+
+
+def calendar(spark, d):
+    f = nation_month(spark, d).select("cell", "t", "v")
+    span = f.agg(F.sequence(F.min("t"), F.max("t")).alias("ts"))  # one row
+    months = f.select("cell").distinct().crossJoin(F.broadcast(span)).select("cell", F.explode("ts").alias("t"))
+    return months.join(f, ["cell", "t"], "left")
+
+
+@query("d24_empirical_cdf", "cell t", "v cdf", views="f", ctes=CALENDAR, sql="SELECT cell, t, v, row_number() OVER (ORDER BY v, cell, t) / (SELECT count(*) FROM ca) AS cdf FROM ca WHERE v IS NOT NULL")
 def _(spark, d):
-    means = nation_month(spark, d).groupBy("cell").agg(F.avg("v").alias("v")).withColumn("v", F.when(F.col("cell") % 4 > 0, F.col("v")))
-    return stats.empirical_cdf(means, "v")
+    return stats.empirical_cdf(calendar(spark, d), "v")
 
 
 @query("d26_corridor", "n", "p05 p95", "model", views="s", sql="SELECT model, count(*) AS n, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95 FROM s WHERE year <= 1998 GROUP BY model")
@@ -121,11 +131,9 @@ def _(spark, d):
     return stats.kendall_tau(segment_month(spark, d), ["model"])
 
 
-@query("l11_fdr", "cell", "p q", views="f", ctes="t AS (SELECT cell, CASE WHEN cell % 6 > 0 THEN round(avg(v) - floor(avg(v)), 3) END AS p FROM f GROUP BY cell), r AS (SELECT *, p * count(p) OVER () / row_number() OVER (PARTITION BY p IS NULL ORDER BY p) AS w FROM t)", sql="SELECT cell, p, CASE WHEN p IS NOT NULL THEN least(1.0, min(w) OVER (PARTITION BY p IS NULL ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS q FROM r")
+@query("l11_fdr", "cell t", "p q", views="f", ctes=CALENDAR + ", te AS (SELECT cell, t, round(v - floor(v), 3) AS p FROM ca), r AS (SELECT *, p * count(p) OVER () / row_number() OVER (PARTITION BY p IS NULL ORDER BY p) AS w FROM te)", sql="SELECT cell, t, p, CASE WHEN p IS NOT NULL THEN least(1.0, min(w) OVER (PARTITION BY p IS NULL ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS q FROM r")
 def _(spark, d):
-    m = F.avg("v")
-    tests = nation_month(spark, d).groupBy("cell").agg(F.round(m - F.floor(m), 3).alias("p")).withColumn("p", F.when(F.col("cell") % 6 > 0, F.col("p")))
-    return stats.fdr(tests)
+    return stats.fdr(calendar(spark, d).select("cell", "t", F.round(F.col("v") - F.floor("v"), 3).alias("p")))
 
 
 @query("l12_mann_whitney", "n1 n2", "u", views="f", ctes="m AS (SELECT cell, cell % 2 AS side, avg(v) AS v FROM f GROUP BY ALL), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM m)", sql="SELECT count(*) FILTER (side = 1) AS n1, count(*) FILTER (side <> 1) AS n2, sum(CASE WHEN side = 1 THEN r END) - count(*) FILTER (side = 1) * (count(*) FILTER (side = 1) + 1) / 2 AS u FROM r")
