@@ -115,13 +115,6 @@ class Model:
         """The places of words; those not held stand at -1."""
         return np.fromiter(map(self.ids.get, found, repeat(-1)), np.int64, len(found))
 
-    def symbols(self, found: list[bytes]) -> np.ndarray:
-        """Symbols for the exchange: the clustered words, any other word, the end; an end on both sides."""
-        at = self.places(found)
-        out = np.full(len(at) + 2, self.clustered + 1)
-        out[1:-1] = np.where((at >= 0) & (at < self.clustered), at, self.clustered)
-        return out
-
     def cluster(self, pairs: np.ndarray) -> None:
         """pairs: counts of (symbol before, symbol)."""
         of = exchange(pairs, self.clustered, self.classes, ROUNDS)
@@ -184,10 +177,12 @@ def _matrix(codes: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model but for its class bigrams, and the table of the words that aren't held (word, n, class); docs: doc_id, text, all learned from."""
-    spark = docs.sparkSession
-    docs = texts(docs)
+#: Stands for an end among the places of words in _framed.
+END = -2
+
+
+def _held_words(docs: DataFrame) -> Model:
+    """The model with its counts and held words; docs: doc_id, text, all learned from."""
     counts = counted(docs)
     ends = docs.count()
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -195,47 +190,94 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     first = [(r.word, r.n) for r in most_frequent(counts, EACH * classes).collect()]
     held = sorted(((r.word, r.n) for r in frequent(counts, HEAD).collect()), key=lambda x: (-x[1], x[0]))
     held = first + sorted(set(held) - set(first), key=lambda x: (-x[1], x[0]))
-    model = Model(held, len(first), max(1, min(classes, len(first))), ends, n_tokens + ends, n_words + (ends > 0))
-    shared = spark.sparkContext.broadcast(model)
-    size = model.clustered + 2
+    return Model(held, len(first), max(1, min(classes, len(first))), ends, n_tokens + ends, n_words + (ends > 0))
+
+
+def _symbols(docs: DataFrame, model: Model, keep: str) -> DataFrame:
+    """row, doc_id, keep, ids (places of the words, -1 for those that aren't held), words (those, different ones) and places (from 1, of each of them) of each row of docs; stored, so that texts are cut into words once."""
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
+        for batch in slices(batches):
+            rows = []
+            for text in batch.column("text"):
+                found = tokens(text.as_py())
+                at = m.places(found)
+                rest: dict[bytes, list] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    rest.setdefault(found[i], []).append(i + 1)
+                rows.append((at.astype(np.int32), [w.decode() for w in rest], list(rest.values())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", keep)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["row", "doc_id", keep, "ids", "words", "places"])
+
+    return stored(docs.mapInArrow(run, f"row long, doc_id {kind}, {keep} boolean, ids array<int>, words array<string>, places array<array<int>>"), "symbols")
+
+
+def _lengths(x: pa.ListArray) -> np.ndarray:
+    return x.value_lengths().fill_null(0).to_numpy()
+
+
+def _framed(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of all words of a batch with an end on both sides of each row, the row of each, and where each row begins."""
+    many = _lengths(ids)
+    row = np.repeat(np.arange(len(many)), many + 2)
+    at = np.full(len(row), END)
+    at[np.arange(many.sum()) + 2 * np.repeat(np.arange(len(many)), many) + 1] = ids.flatten().to_numpy()
+    return at, row, np.cumsum(many + 2) - many - 2
+
+
+def _fit(rows: DataFrame, model: Model) -> DataFrame:
+    """Gives the model its classes, from _symbols of the rows learned from; the table of the words that aren't held (word, n, class)."""
+    size, k = model.clustered + 2, model.clustered
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes of (symbol before, symbol): the clustered words, any other word, the end."""
         codes, n = [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                s = shared.value.symbols(tokens(text.as_py()))
-                codes.append(s[:-1] * size + s[1:])
-                n += len(s)
-                if n > HELD:
-                    yield _summed(codes)
-                    codes, n = [], 0
+        for batch in slices(batches):
+            at, row, _ = _framed(batch.column("ids"))
+            s = np.where(at == END, k + 1, np.where((at >= 0) & (at < k), at, k))
+            codes.append((s[:-1] * size + s[1:])[row[:-1] == row[1:]])
+            n += len(s)
+            if n > HELD:
+                yield _summed(codes)
+                codes, n = [], 0
         if codes:
             yield _summed(codes)
 
-    model.cluster(_matrix(docs.mapInArrow(pairs, "code long, n long"), size))
-    others = _place_others(docs, model)
-    k = model.clustered
+    model.cluster(_matrix(rows.select("ids").mapInArrow(pairs, "code long, n long"), size))
+    others = _place_others(rows, model)
     mass, types = (np.bincount(model.of[:k], x, model.classes).astype(float) for x in (model.counts[:k], np.ones(k)))
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         mass[r["class"]] += r.n
         types[r["class"]] += r.k
     model.placed(mass, types)
-    return model, others.where("id < 0").select("word", "n", "class")
+    return others.where("id < 0").select("word", "n", "class")
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model but for its class bigrams, and the table of the words that aren't held (word, n, class); docs: doc_id, text, all learned from."""
+    docs = texts(docs).withColumn("learn", F.lit(True))
+    model = _held_words(docs)
+    return model, _fit(_symbols(docs, model, "learn"), model)
 
 
-def _place_others(docs: DataFrame, model: Model) -> DataFrame:
+def _place_others(rows: DataFrame, model: Model) -> DataFrame:
     """word, id (-1 if it isn't held), n, class of each word that was not exchanged; gives the held ones their classes.
 
     A task adds up the neighbours' classes of a word before it passes them on, so few rows of a word meet, however frequent it is.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     size = model.classes + 2
     names = ["word", "id", "codes", "times"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         word_of = list(m.ids)
-        codes, rare, n, others = [], {}, 0, 0
+        codes, n = [], 0
+        rare, others = [], 0
 
         def flush_held() -> pa.RecordBatch:
             code, times = np.unique(np.concatenate(codes), return_counts=True)
@@ -246,29 +288,33 @@ def _place_others(docs: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([word_of[i] for i in ids], pa.binary()).cast(pa.string()), pa.array(ids, pa.int32()), *lists], names)
 
         def flush_rare() -> pa.RecordBatch:
-            ints = pa.list_(pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(list(rare), pa.binary()).cast(pa.string()), pa.array([-1] * len(rare), pa.int32()), pa.array(rare.values(), ints), pa.nulls(len(rare), ints)], names)
+            """Words of several texts as one row each."""
+            named = pa.concat_arrays([x for x, _, _ in rare]).dictionary_encode()
+            word = np.repeat(named.indices.to_numpy(), np.concatenate([x for _, x, _ in rare]))
+            both = np.concatenate([x for _, _, x in rare])[np.argsort(word, kind="stable")].ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, 2 * np.bincount(word, minlength=len(named.dictionary)).cumsum()), pa.int32()), pa.array(both, pa.int32()))
+            return pa.RecordBatch.from_arrays([named.dictionary, pa.array([-1] * len(lists), pa.int32()), lists, pa.nulls(len(lists), pa.list_(pa.int32()))], names)
 
-        for batch in batches:
-            for text in batch.column("text"):
-                found = tokens(text.as_py())
-                at = m.places(found)
-                # of other words the class is not known yet: they count as one, behind all classes, and then comes the end
-                of = np.concatenate([[size - 1], np.where((at >= 0) & (at < m.clustered), m.of[at], size - 2), [size - 1]])
-                i = np.flatnonzero(at >= m.clustered)
-                if len(i):
-                    codes += [at[i] * (2 * size) + of[i + 2], at[i] * (2 * size) + size + of[i]]
-                    n += 2 * len(i)
-                i = np.flatnonzero(at < 0)
+        for batch in slices(batches):
+            at, _, begin = _framed(batch.column("ids"))
+            # of other words the class is not known yet: they count as one, behind all classes, and then comes the end
+            of = np.where(at == END, size - 1, np.where((at >= 0) & (at < m.clustered), m.of[np.maximum(at, -1)], size - 2))
+            i = np.flatnonzero(at >= m.clustered)
+            if len(i):
+                codes += [at[i] * (2 * size) + of[i + 1], at[i] * (2 * size) + size + of[i - 1]]
+                n += 2 * len(i)
+            words, places = batch.column("words"), batch.column("places").flatten()
+            times = _lengths(places)
+            if len(times):
+                i = np.repeat(np.repeat(begin, _lengths(words)), times) + places.flatten().to_numpy()
+                rare.append((words.flatten(), times, np.stack([of[i + 1], of[i - 1] + size], 1)))
                 others += len(i)
-                for k, behind, before in zip(i.tolist(), of[i + 2].tolist(), (of[i] + size).tolist(), strict=True):
-                    rare.setdefault(found[k], []).extend((behind, before))
-                if n > HELD:
-                    yield flush_held()
-                    codes, n = [], 0
-                if others > 300_000:
-                    yield flush_rare()
-                    rare, others = {}, 0
+            if n > HELD:
+                yield flush_held()
+                codes, n = [], 0
+            if others > 300_000:
+                yield flush_rare()
+                rare, others = [], 0
         if codes:
             yield flush_held()
         if rare:
@@ -306,65 +352,50 @@ def _place_others(docs: DataFrame, model: Model) -> DataFrame:
         if last is not None:
             yield out([last[0]], [last[1]], [int(last[2])], last[3][None])
 
-    found = docs.mapInArrow(contexts, "word string, id int, codes array<int>, times array<int>")
+    found = rows.select("ids", "words", "places").mapInArrow(contexts, "word string, id int, codes array<int>, times array<int>")
     placed = stored(found.repartition("word").sortWithinPartitions("word").mapInArrow(best, "word string, id int, n long, class int"), "placed")
     own = placed.where("id >= 0").select("id", "class").toArrow()  # at most HEAD rows
     model.of[own.column("id").to_numpy()] = own.column("class").to_numpy()
     return placed
 
 
-def _resolved(docs: DataFrame, model: Model, others: DataFrame, keep: str) -> DataFrame:
-    """doc_id, keep, n_tokens, n_known, base, prob (of the words in their classes) and codes (the classes, with an end on both sides) of each row of docs; stored."""
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int16()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
-        for batch in slices(batches):
-            rows = []
-            for text in batch.column("text"):
-                found = tokens(text.as_py())
-                at = m.places(found)
-                of = np.concatenate([[m.classes], m.of[at], [m.classes]])
-                rest: dict[bytes, list] = {}
-                for i in np.flatnonzero(at < 0).tolist():
-                    rest.setdefault(found[i], []).append(i + 1)
-                n, known = len(found) + 1, int((at >= 0).sum()) + (m.ends > 0)
-                rows.append((n, known, float(m.held_log[at].sum() + np.log10(m.ends + 1) - n * m.unit), float(m.held_emit[at].sum()), of.astype(np.int16), [w.decode() for w in rest], list(rest.values())))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column(keep), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["row", "doc_id", keep, "n_tokens", "known", "base", "prob", "codes", "words", "places"])
+def _resolved(rows: DataFrame, model: Model, others: DataFrame, keep: str) -> DataFrame:
+    """doc_id, keep, n_tokens, n_known, base, prob (of the words in their classes) and codes (the classes, with an end on both sides) of each row of _symbols; stored."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches):
-            lengths = lambda x: x.value_lengths().fill_null(0).to_numpy()
-            codes, rest, size = batch.column("codes"), batch.column("rest"), batch.num_rows
-            many = lengths(codes)
-            of = codes.flatten().to_numpy().copy()
+            ids, rest, size = batch.column("ids"), batch.column("rest"), batch.num_rows
+            at, row, begin = _framed(ids)
+            of = np.where(at == END, m.classes, m.of[np.maximum(at, -1)])
+            inside = at != END
+            row, at = row[inside], at[inside]
             words = rest.flatten()
             places, count, kind_of = (pc.struct_field(words, i) for i in (0, 1, 2))
-            owner, times = np.repeat(np.arange(size), lengths(rest)), lengths(places)
+            owner, times = np.repeat(np.arange(size), _lengths(rest)), _lengths(places)
             n, kind_of = count.to_numpy().astype(float), kind_of.to_numpy().astype(np.int64)
-            of[np.repeat((np.cumsum(many) - many)[owner], times) + places.flatten().to_numpy()] = np.repeat(kind_of, times)
+            of[np.repeat(begin[owner], times) + places.flatten().to_numpy()] = np.repeat(kind_of, times)
             add = lambda x: np.bincount(owner, x, size)
-            known = batch.column("known").to_numpy() + add(times).astype(np.int64)
-            base = batch.column("base").to_numpy() + add(times * np.log10(n + 1))
-            prob = batch.column("prob").to_numpy() + add(times * (m.emit(n, kind_of) - m.held_emit[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(of, pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(keep), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(prob, pa.float64()), lists], ["doc_id", keep, "n_tokens", "n_known", "base", "prob", "codes"])
-
-    part = stored(docs.mapInArrow(run, f"row long, doc_id {kind}, {keep} boolean, n_tokens long, known long, base double, prob double, codes array<smallint>, words array<string>, places array<array<int>>"), "scored")
-    rest = part.select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.places").alias("places"))
+            n_tokens = _lengths(ids).astype(np.int64) + 1
+            known = np.bincount(row, at >= 0, size).astype(np.int64) + (m.ends > 0) + add(times).astype(np.int64)
+            base = np.bincount(row, m.held_log[at], size) + np.log10(m.ends + 1) - n_tokens * m.unit + add(times * np.log10(n + 1))
+            prob = np.bincount(row, m.held_emit[at], size) + add(times * (m.emit(n, kind_of) - m.held_emit[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(of)), pa.int32()), pa.array(of, pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(keep), pa.array(n_tokens), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(prob, pa.float64()), lists], ["doc_id", keep, "n_tokens", "n_known", "base", "prob", "codes"])
+
+    rest = rows.select("row", F.explode(F.arrays_zip("words", "places")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.places").alias("places"))
     rest = rest.join(others, "word").groupBy("row").agg(F.collect_list(F.struct("places", "n", "class")).alias("rest"))
-    return stored(part.drop("words", "places").join(rest, "row", "left").mapInArrow(finish, f"doc_id {kind}, {keep} boolean, n_tokens long, n_known long, base double, prob double, codes array<smallint>"), "resolved")
+    return stored(rows.select("row", "doc_id", keep, "ids").join(rest, "row", "left").mapInArrow(finish, f"doc_id {kind}, {keep} boolean, n_tokens long, n_known long, base double, prob double, codes array<smallint>"), "resolved")
 
 
 def score(docs: DataFrame, learn: str) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text), learned from those whose column `learn` is true."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), learn)
-    model, others = train(docs.where(F.col(learn)))
-    rows = _resolved(docs, model, others, learn)
+    model = _held_words(docs.where(F.col(learn)))
+    symbols = _symbols(docs, model, learn)
+    rows = _resolved(symbols, model, _fit(symbols.where(F.col(learn)), model), learn)
     size = model.classes + 1
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,6 @@
 import time
+import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -83,3 +85,60 @@ def test_predict(spark):
     assert {(d, q) for d, _, q, _ in got if 100 <= d < 104} == {(100, "und"), (101, "und"), (102, "und"), (103, "en")}
     assert langid.digest(docs.limit(0), PATH).count() == 0
     assert {r.lang_pred for r in langid.digest(docs.drop("lang").selectExpr("*", "cast(null as string) lang"), PATH).collect()} == {"und"}
+
+
+def by_definition(rows):
+    """(lang_pred, score) of each row: expectation maximisation and scores place by place, word by word."""
+    pieces = {x: k for k, x in enumerate(langid.load_pieces(PATH))}
+    size, longest = len(pieces) + 1, max(map(len, pieces))
+
+    def arcs(w):
+        out = [(i, j, pieces[w[i:j]]) for i in range(len(w)) for j in range(i + 1, min(len(w), i + longest) + 1) if w[i:j] in pieces]
+        return out + [(i, i + 1, size - 1) for i in range(len(w)) if w[i] not in pieces]
+
+    def before(w, p):
+        a = [1.0] + [0.0] * len(w)
+        for i, j, k in sorted(arcs(w)):
+            a[j] += a[i] * p[k]
+        return a
+
+    learned = [(t, lang) for d, t, lang in rows if d is not None and t is not None and lang is not None and zlib.crc32(str(d).encode()) % 5]
+    langs = sorted({lang for _, lang in learned})
+    counts = {g: Counter(w for t, lang in learned if lang == g for w in t.split()) for g in langs}
+    p = {g: np.full(size, 1 / size) for g in langs}
+    for _ in range(langid.ROUNDS):
+        for g in langs:
+            sums = np.zeros(size)
+            for word, n in counts[g].items():
+                w = "▁" + word
+                a, z = before(w, p[g]), [0.0] * len(w) + [1.0]
+                for i, j, k in sorted(arcs(w), reverse=True):
+                    z[i] += p[g][k] * z[j]
+                for i, j, k in arcs(w):
+                    sums[k] += n * a[i] * p[g][k] * z[j] / a[-1]
+            p[g] = (sums + langid.ADDED) / (sums.sum() + langid.ADDED * size)
+    out = []
+    for _, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        x = np.array([np.log(sum(lang == g for _, lang in learned) / len(learned)) + sum(np.log(before("▁" + w, p[g])[-1]) for w in t.split()) for g in langs])
+        q = np.exp(x - x.max())
+        out.append((langs[int(x.argmax())], q.max() / q.sum()))
+    return out
+
+
+def test_query_by_definition(spark):
+    stems = {"en": "the house of this dog was near", "de": "der hund war nah bei dem haus über", "fr": "la maison du chien était près élève", "xx": "日本 語 zz qu漢"}
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        lang = list(stems)[i % 4]
+        mixed = stems[lang].split() + stems[list(stems)[(i + 1) % 4]].split()[: i % 3]
+        rows.append((i, " ".join(r.choice(mixed, r.integers(1, 6))), lang if i % 11 else None))
+    rows += [(None, "the house", "en"), (500, None, "de"), (501, "", "de"), (502, "12 !", "fr"), (503, "zzz unseen wörds", None), (0, rows[0][1], rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = [(x.lang_pred, x.score) for x in langid.digest(docs, PATH).collect()]
+    want = by_definition(rows)
+    assert [g for g, _ in got] == [g for g, _ in want] and len({g for g, _ in want}) == 5
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-7)
