@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import kernels
 from tesserae.functions.scalar import EARTH_KM
 from tesserae.operators.radius import KM_PER_DEGREE
-from tesserae.sources.files import scratch
+from tesserae.sources.files import kept
 
 
 def as_rows(field: DataFrame, by: list[str], v: str = "v") -> DataFrame:
@@ -204,12 +204,6 @@ def merged_labels(touching: DataFrame, by: list[str]) -> DataFrame:
     return roots
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: rounds don't repeat each other's work, and survive a lost executor."""
-    scratch(df.sparkSession, "rounds")
-    return df.checkpoint(eager=True)
-
-
 def closures(cells: DataFrame, by: list[str], forms: dict = kernels.CLOSURES) -> DataFrame:
     """by, family, k, params, ss, chi2, aic, bic, best: fits of r against d in each group (one basin's cells), in order of AIC; none with fewer than six cells."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import safe_corr
 from tesserae.operators.trends import pair_trends
+from tesserae.sources.files import kept
 
 
 def pseudo_draw(replicate: Column, position: Column, n: Column, seed: int = 7) -> Column:
@@ -253,18 +254,12 @@ def jackknife_median(values: DataFrame, member: str, v: str) -> DataFrame:
 
 def ranked_rows(rows: DataFrame, order: list[str], keep: bool = False) -> DataFrame:
     """Adds rank, from 1, over all rows in the order of these columns: rows are dealt to ranges, counted, and numbered within them, so no task sees all of them. keep: and _part, the range."""
-    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    stored = spread.persist()  # the ranges are drawn by sampling, so both uses must see the same
-    sizes = {r["_part"]: r.n for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    before, total = [], 0
-    for p in sorted(sizes):
-        before.append((p, total))
-        total += sizes[p]
-    if not before:
-        return rows.withColumn("rank", F.lit(0).cast("long")).withColumn("_part", F.lit(0)) if keep else rows.withColumn("rank", F.lit(0).cast("long"))
-    offset = F.create_map(*[F.lit(x) for pair in before for x in pair])[F.col("_part")]
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # ranges are drawn by sampling, so all uses must see the same
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    out = stored.withColumn("rank", (inside + offset).cast("long"))
+    out = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("rank", (F.col("_inside") + F.col("_before")).cast("long")).drop("_inside", "_before")
+    out = out.select(*rows.columns, "_part", "rank")
     return out if keep else out.drop("_part")
 
 

@@ -35,6 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: what reads it later sees the same rows, also after an executor is lost, and rounds don't repeat each other's work."""
+    scratch(df.sparkSession, "kept")
+    return df.checkpoint(eager=True)
+
+
 def monthly_grids(spark: SparkSession, path: str, first: int, last: int, pattern: str = r"_(\d{6})\D*$") -> DataFrame:
     """Parquet grids of the months [first, last], with their stamp YYYYMM as ym.
 
