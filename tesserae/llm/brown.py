@@ -330,22 +330,23 @@ def _place_others(rows: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((word, ids, n, of), kinds, strict=True)], ["word", "id", "n", "class"])
 
         for batch in slices(batches, 5_000):
-            codes, times = batch.column("codes"), batch.column("times")
+            codes, times, words = batch.column("codes"), batch.column("times"), batch.column("word")
             many = codes.value_lengths().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), many)
-            x = np.ones(len(row))
+            # Rows are sorted by word: those of one are summed before they meet the weights.
+            begins = np.append(True, pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False))
+            first = np.flatnonzero(begins)
+            group = np.repeat(begins.cumsum() - 1, many)
+            x = np.ones(len(group))
             x[np.repeat(times.is_valid().to_numpy(zero_copy_only=False), many)] = times.flatten().to_numpy()
-            both = np.bincount(row * len(w) + codes.flatten().to_numpy(), x, batch.num_rows * len(w)).reshape(-1, len(w))
-            word, ids, n, sums = batch.column("word").to_pylist(), batch.column("id").to_pylist(), both.sum(1) / 2, both @ w
+            both = np.bincount(group * len(w) + codes.flatten().to_numpy(), x, len(first) * len(w)).reshape(-1, len(w))
+            n, sums = both.sum(1) / 2, both @ w
+            word, ids = (batch.column(c).take(pa.array(first)).to_pylist() for c in ("word", "id"))
             if last is not None:
                 if last[0] == word[0]:
                     n[0] += last[2]
                     sums[0] += last[3]
                 else:
                     yield out([last[0]], [last[1]], [int(last[2])], last[3][None])
-            first = np.flatnonzero([a != b for a, b in zip(word, [None, *word[:-1]], strict=True)])
-            n, sums = np.add.reduceat(n, first), np.add.reduceat(sums, first)
-            word, ids = [word[i] for i in first], [ids[i] for i in first]
             last = word[-1], ids[-1], n[-1], sums[-1]
             if len(word) > 1:
                 yield out(word[:-1], ids[:-1], n[:-1].astype(np.int64), sums[:-1])
