@@ -147,6 +147,7 @@ def block_permutation(cells: DataFrame, replicates: int, by: list[str] = (), see
     key = by or ["_all"]
     rows = cells.where("x IS NOT NULL AND y IS NOT NULL")
     rows = rows if by else rows.withColumn("_all", F.lit(0))
+    rows = kept(rows.select(*key, "block", "x", "y"))  # what the cells come from is worked out once
     means = rows.groupBy(*key, "block").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     means = means.withColumn("i", (F.row_number().over(Window.partitionBy(*key).orderBy("block")) - 1).cast("long"))
     draws = means.select(*key, "i", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
