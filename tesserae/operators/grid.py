@@ -15,6 +15,10 @@ from tesserae.functions.scalar import EARTH_KM, coriolis, haversine_km, safe_cor
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
 G = 9.81
+#: Cells of a position in one block at most; a position with more has several blocks.
+BLOCK = 1024
+#: Cells of a block that are paired at once.
+FEW = 32
 
 
 def regrid(field: DataFrame, by: list[str], south: float, west: float, step: float, rows: int, columns: int, least: int = 4, weighted: bool = True) -> DataFrame:
@@ -38,15 +42,20 @@ def box_mean(field: DataFrame, by: list[str], box: Column | None = None) -> Data
     return rows.groupBy(*by).agg((F.sum(w * F.col("v")) / F.sum(F.when(F.col("v").isNotNull(), w))).alias("v"))
 
 
-def neighbours(places: DataFrame, km: float, self_too: bool = True) -> DataFrame:
-    """cell, nbr, km for all pairs of places within the distance, each place with itself if asked for.
+def pieces(array: str, size: int) -> Column:
+    """A filled array cut into arrays of at most `size` values."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / size).cast("int")), lambda i: F.slice(array, i * size + 1, F.lit(size)))
 
-    places: cell, lat, lon. Within `km` two places differ by at most one latitude band; the longitude cell of a band is as
-    wide as the distance at the band's poleward neighbours, so they differ by at most one of those too.
+
+def neighbours(places: DataFrame, km: float, self_too: bool = True, digits: int | None = None) -> DataFrame:
+    """cell, nbr, km for all pairs of places within the distance, each place with itself if asked for; km is rounded if `digits` are given.
+
+    places: cell (never null), lat, lon. Cells of one position share its distances: they meet in blocks, a distance is worked out for two
+    blocks, and pairs of their cells are made last. Within `km` two places differ by at most one latitude band; the longitude cell of a
+    band is as wide as the distance at the band's poleward neighbours, so they differ by at most one of those too.
     """
     degrees = km / KM_PER_DEGREE * 1.0001
     band = F.floor((F.col("lat") + 90) / degrees).cast("int")
-    p = places.select("cell", "lat", "lon", band.alias("band"))
 
     def width(b: Column) -> Column:
         """Longitude cells in a band: none narrower than the distance at the latitudes within one band of it."""
@@ -54,16 +63,32 @@ def neighbours(places: DataFrame, km: float, self_too: bool = True) -> DataFrame
         ratio = F.sin(F.radians(F.lit(min(degrees, 180.0) / 2))) / F.greatest(F.cos(F.radians(pole)), F.lit(1e-9))
         return F.when((ratio >= 0.5) | (pole >= 89.0), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) / 1.0001))).cast("int")
 
-    spread = p.select("cell", "lat", "lon", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("at"))
+    def place(n: Column) -> Column:
+        return F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360 * n).cast("int")
+
+    cells = F.sort_array(F.collect_list("cell"))  # sorted: a task that runs again makes the same blocks
+    p = places.groupBy("lat", "lon").agg(cells.alias("all")).withColumn("band", band)
+    p = p.where(F.size("all") > 0).select("lat", "lon", "band", F.posexplode(pieces("all", BLOCK)).alias("part", "cells"))
+    spread = p.select("cells", "lat", "lon", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("at"))
     n = width(F.col("at"))
-    place = F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360 * n).cast("int")
-    spread = spread.withColumn("n", n).withColumn("x", place)
-    spread = spread.select("cell", "lat", "lon", "at", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("x") + d, F.col("n"))))).alias("slot"))
-    n = width(F.col("band"))
-    other = p.select(F.col("cell").alias("nbr"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), F.col("band").alias("at"), F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360 * n).cast("int").alias("slot"))
+    spread = spread.withColumn("n", n).withColumn("x", place(n))
+    spread = spread.select("cells", "lat", "lon", "at", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("x") + d, F.col("n"))))).alias("slot"))
+    # Each block of a crowd, a position of several, is a key of its own, and what lies around is sent to all of them. Crowds are fewer than one in BLOCK of the places.
+    crowds = places.groupBy("lat", "lon").agg(F.ceil(F.count("cell") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    deals = crowds.select("parts", band.alias("at"), place(width(band)).alias("slot")).groupBy("at", "slot").agg(F.max("parts").alias("deals"))
+    spread = spread.join(F.broadcast(deals), ["at", "slot"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("deals"), F.lit(1)) - 1)))
+    other = p.select(F.col("cells").alias("nbrs"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), F.col("band").alias("at"), place(width(F.col("band"))).alias("slot"), "part")
+    # The few bytes of the blocks say nothing about the pairs they make: tasks are as many as asked for, not as the bytes ask for.
+    spark = places.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    keys = ["at", "slot", "part"]
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"))
-    near = spread.join(other, ["at", "slot"]).select("cell", "nbr", d.alias("km")).where(F.col("km") <= km)
-    return near if self_too else near.where("cell <> nbr")
+    near = spread.repartition(tasks, *keys).join(other.repartition(tasks, *keys), keys).select("cells", "nbrs", d.alias("km")).where(F.col("km") <= km)
+    if digits is not None:
+        near = near.withColumn("km", F.round("km", digits))
+    few = near.select(F.explode(pieces("cells", FEW)).alias("few"), "nbrs", "km")  # Spark holds all pairs that it makes of a row at once
+    pairs = few.select(F.explode("few").alias("cell"), "nbrs", "km").select("cell", F.explode("nbrs").alias("nbr"), "km")
+    return pairs if self_too else pairs.where("cell <> nbr")
 
 
 def nearest(places: DataFrame, k: int, km: float) -> DataFrame:

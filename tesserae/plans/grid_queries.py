@@ -112,9 +112,9 @@ def _(spark, d):
     return nation_month(spark, d).withColumn("k", k).withColumn("n", n).where("k > 6 AND k <= n - 6")
 
 
-@query("c5_radius_join", "cell nbr", "km", views="g", sql=f"SELECT a.cell, b.cell AS nbr, {AB} AS km FROM g a, g b WHERE abs(a.lat - b.lat) < 1 AND {AB} <= 80.0", places=4)
+@query("c5_radius_join", "cell nbr", "km", views="g", sql=f"SELECT a.cell, b.cell AS nbr, {AB} AS km FROM g a, g b WHERE abs(a.lat - b.lat) < 1 AND {AB} <= 80.0", places=4, rounded=True)
 def _(spark, d):
-    return grid.neighbours(customer_grid(spark, d), 80.0)
+    return grid.neighbours(customer_grid(spark, d), 80.0, digits=4)
 
 
 @query("c6_nearest", "cell nbr rank", views="f", ctes="places AS (SELECT DISTINCT cell, lat, lon FROM f)", sql=f"SELECT cell, nbr, rank FROM (SELECT a.cell, b.cell AS nbr, row_number() OVER (PARTITION BY a.cell ORDER BY round({AB}, 6), b.cell) AS rank FROM places a, places b WHERE a.cell <> b.cell AND {AB} <= 3000) WHERE rank <= 4")

@@ -27,13 +27,14 @@ f AS (SELECT cell, cell // 5 AS lat_idx, cell % 5 AS lon_idx, CAST(10 + 4 * (cel
 }
 
 
-def query(name: str, longs: str = "", doubles: str = "", texts: str = "", views: str = "", ctes: str = "", sql: str | None = None, places: int = 6):
-    """Registers a function of (spark, sf_dir) under name, its columns in fixed types, and the SQL that gives the same rows."""
+def query(name: str, longs: str = "", doubles: str = "", texts: str = "", views: str = "", ctes: str = "", sql: str | None = None, places: int = 6, rounded: bool = False):
+    """Registers a function of (spark, sf_dir) under name, its columns in fixed types, and the SQL that gives the same rows. rounded: the function rounds its doubles itself, where they are fewer."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.select(*[F.col(c).cast("long").alias(c) for c in longs.split()], *[(F.round(F.col(c).cast("double"), places) + 0.0).alias(c) for c in doubles.split()], *[F.col(c).cast("string").alias(c) for c in texts.split()])
+            shown = lambda c: c.cast("double") if rounded else F.round(c.cast("double"), places) + 0.0
+            return df.select(*[F.col(c).cast("long").alias(c) for c in longs.split()], *[shown(F.col(c)).alias(c) for c in doubles.split()], *[F.col(c).cast("string").alias(c) for c in texts.split()])
 
         QUERIES[name] = run
         if sql:

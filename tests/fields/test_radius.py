@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tesserae.operators import grid, radius
+from tesserae.queries import QUERIES
 
 
 def places(seed=0):
@@ -48,3 +49,38 @@ def test_rows_grow_with_latitude_rows_not_with_neighbours(spark):
 def test_nothing(spark):
     at = spark.createDataFrame([], "cell long, lat double, lon double")
     assert radius.local_coherence(spark.createDataFrame([], "cell long, t int, phase double"), at, 500.0).count() == 0
+
+
+def joined(plan):
+    """Rows that the joins of a finished query's last stage gave."""
+    name = plan.nodeName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name == "ResultQueryStage" else [plan.children().apply(i) for i in range(plan.children().size())]
+    return sum((joined(p) for p in below), [plan.metrics().apply("numOutputRows").value()] if "Join" in name else [])
+
+
+@pytest.mark.parametrize(("block", "few"), [(1024, 32), (7, 2), (1, 1)])
+def test_copies_of_a_position_share_its_distances(spark, monkeypatch, block, few):
+    if hasattr(grid, "BLOCK"):
+        monkeypatch.setattr(grid, "BLOCK", block)
+        monkeypatch.setattr(grid, "FEW", few)
+    # A crowd, smaller groups around it (over the date line too), single places, one far away, one without a position.
+    at = [(0.25, 179.75)] * 40 + [(0.75, 179.75)] * 12 + [(0.25, -179.75)] * 9 + [(0.25, 179.25), (-0.25, 179.75), (50.0, 10.0), (None, None)]
+    rows = [(int(c), *p) for c, p in zip(np.random.default_rng(1).permutation(len(at)), at, strict=True)]
+    df = grid.neighbours(spark.createDataFrame(rows, "cell long, lat double, lon double").repartition(3), 60.0)
+    got = df.collect()
+    km = lambda a, b: 12742 * np.arcsin(np.sqrt(np.sin(np.radians(b[1] - a[1]) / 2) ** 2 + np.cos(np.radians(a[1])) * np.cos(np.radians(b[1])) * np.sin(np.radians(b[2] - a[2]) / 2) ** 2))
+    want = {(a[0], b[0]): d for a in rows for b in rows if a[1] is not None and b[1] is not None and (d := km(a, b)) <= 60}
+    assert len(got) == len(want) and {(r.cell, r.nbr): r.km for r in got} == pytest.approx(want, abs=1e-9)
+    if block == 1024:  # 14 pairs of positions, 3,668 pairs of places
+        assert joined(df._jdf.queryExecution().executedPlan()) == [14] and len(want) == 3668
+    others = grid.neighbours(spark.createDataFrame(rows, "cell long, lat double, lon double"), 60.0, self_too=False)
+    assert {(r.cell, r.nbr) for r in others.collect()} == {k for k in want if k[0] != k[1]}
+
+
+def test_radius_query_rounds_before_it_makes_pairs(spark, tmp_path):
+    spark.range(0, 24_000, 50).selectExpr("id AS c_custkey", "0.0D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    df = QUERIES["c5_radius_join"](spark, str(tmp_path))
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next((i for i, x in enumerate(lines) if "Generate explode" in x), len(lines))
+    assert not any("round(" in x for x in lines[:made]) and any("round(" in x for x in lines[made:])
+    assert df.count() == 120 * 16 + 2 * 119 * 16  # each of 120 latitudes holds four places: itself and the rows beside it
